@@ -1,0 +1,17 @@
+"""Registered queries over the driver's tables, each with the SQL it must equal."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kept = events.where("event_type = 'purchase' and value > 0").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("next_cursor"), F.max("k").alias("max_k"))
