@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe
+from weirflow.llm import bpe, exact_dedup, mixing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +20,45 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived(table(spark, sf_dir, "pages"))
+    page = lambda urn: F.regexp_extract(urn, r":capture:(-?\d+):", 1).try_cast("long")
+    got = F.col("response")
+    return captures.select(
+        page(got.record_id).alias("page_id"),
+        got.payload_bytes.alias("payload_bytes"),
+        got.payload_digest.alias("payload_digest"),
+        got.kind.alias("record_type"),
+        page(F.coalesce(got.refers_to, F.lit(""))).alias("refers_to"),
+    )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixture(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encoded(docs, tokenizer_file(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
+    "op6_simhash": op6_simhash,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {}

@@ -48,20 +48,25 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def as_scan(docs: DataFrame) -> DataFrame:
+    """``docs`` if it scans Parquet files, else the same rows written as a table."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return written(docs, "docs")
+    return docs
+
+
 def located(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with ``file`` and ``row``, where each row lies in its Parquet file.
+    """``columns`` of ``docs`` with ``__file`` and ``__row``, where each row lies in its Parquet file.
 
     The two survive a second scan, so they identify rows whose ids are null or
     repeated. A DataFrame that isn't a file scan is first written as a table.
     """
-    docs = docs.select(*columns)
-    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.select(*columns, *place)
-    except AnalysisException:
-        return written(docs, "docs").select(*columns, *place)
+    place = (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return as_scan(docs).select(*columns, *place)
 
 
 def row_key() -> list[Column]:
-    """``file`` and ``row`` of :func:`located` as two narrow columns."""
-    return [F.xxhash64("file").alias("file_key"), F.col("row").alias("row_key")]
+    """``__file`` and ``__row`` of :func:`located` as two narrow columns."""
+    return [F.xxhash64("__file").alias("file_key"), F.col("__row").alias("row_key")]
