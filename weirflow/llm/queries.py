@@ -61,4 +61,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS first, list_transform(range(8), i -> ('0x' || substr(x, 1 + 5 * i, 5))::BIGINT) AS v FROM p)
+        SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(flatten(list_transform(v, n -> [n // 32768, n // 1024 % 32, n // 32 % 32, n % 32])),
+                              k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + k::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
+    "op10_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
