@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, exact_dedup, mixing, simhash, warc
+from weirflow.llm import bpe, chat, exact_dedup, mixing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{odd}'), (-7L, 1L, 'assistant', '{odd}') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.windows(turns))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -58,16 +65,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
-        d AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS first, list_transform(range(8), i -> ('0x' || substr(x, 1 + 5 * i, 5))::BIGINT) AS v FROM p)
+        d AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS first, list_transform(range(8), lambda i: ('0x' || substr(x, 1 + 5 * i, 5))::BIGINT) AS v FROM p)
         SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
-               list_aggregate(list_transform(flatten(list_transform(v, n -> [n // 32768, n // 1024 % 32, n // 32 % 32, n % 32])),
-                              k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + k::INT, 1)), 'string_agg', '') AS payload_digest,
+               list_aggregate(list_transform(flatten(list_transform(v, lambda n: [n // 32768, n // 1024 % 32, n // 32 % 32, n % 32])),
+                              lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + k::INT, 1)), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM d""",
