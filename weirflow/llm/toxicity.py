@@ -1,10 +1,10 @@
 """Toxicity of whole texts by a subsequence string-kernel SVM with Nyström landmarks.
 
 Training takes at most ``TRAIN`` labelled rows of each class, those first in a seeded
-order of ids, texts that repeat counted once. Words that tell their toxic texts apart
-are picked one after another by how many toxic texts they explain that none before
-did; they, against frequent and rare words of clean texts, train the machine of
-``string_kernel``. A text scores by its strongest word; a logistic curve fitted on
+order of ids, texts that repeat counted once. Words of more toxic and fewer clean texts
+than chance allows, without those that are merely shared by near copies of one text, train
+the machine of ``string_kernel`` against frequent and rare words of clean texts,
+then again with the clean words that the first machine takes for toxic. A text scores by its strongest word; a logistic curve fitted on
 the same rows turns that into a probability.
 
 A word is what stands between white space, lower-cased and stripped of all but
@@ -20,6 +20,7 @@ of label 1 (0 without any); an empty table gives no rows; texts of any length ar
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.string_kernel import fit, landmarks, project, windows
+from weirflow.llm.string_kernel import WINDOW, fit, landmarks, project, windows
 from weirflow.llm.storage import written
 
 #: Labelled rows of each class, words that the machine is trained on, landmarks.
-TRAIN, CANDIDATES, CLEAN_WORDS, MARKS = 3_000, 4_000, 20_000, 96
+TRAIN, CANDIDATES, CLEAN_WORDS, MARKS = 3_000, 2_000, 20_000, 96
+HARD_WORDS, ALIKE, CROWD = 2_000, 0.6, 12
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Strongest-word value of a text without words.
 LOW = -2.0
@@ -105,6 +107,13 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def surprising(n1: int, n0: int, rate: float, words: int) -> bool:
+    """Whether so many toxic among its texts are too many for chance, given how many words there are."""
+    n = n1 + n0
+    tail = sum(math.comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(n1, n + 1))
+    return tail * words < 0.05
+
+
 def by_word(docs: DataFrame) -> DataFrame:
     """``word``, ``doc_id`` and ``toxic`` of each distinct word of letters of a text."""
 
@@ -112,27 +121,54 @@ def by_word(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text, toxic in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 words = {"".join(filter(str.isalpha, w)) for w in (text or "").lower().split()}
-                words = [w for w in words if 2 < len(w) <= 4 * 12]
+                words = [w for w in words if 2 < len(w) <= 4 * WINDOW]
                 yield pa.RecordBatch.from_pydict({"word": words, "doc_id": [doc_id] * len(words), "toxic": [toxic] * len(words)}, pa.schema([("word", pa.string()), ("doc_id", pa.int64()), ("toxic", pa.int32())]))
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(run, "word string, doc_id long, toxic int")
 
 
-def telling(rows: list, clean: int) -> list[str]:
-    """Words picked one after another by the toxic texts that they alone explain so far."""
-    left = {r.word: set(r.docs) for r in rows}
-    cost = {r.word: r.n0 / max(1, clean) for r in rows}
-    picked = []
-    while left:
-        word = max(left, key=lambda w: (len(left[w]) * (1 - min(1, 50 * cost[w])), w))
-        gone = left.pop(word)
-        if len(gone) < 4:
-            break
-        picked.append(word)
-        left = {w: rest for w, docs in left.items() if len(rest := docs - gone) > 3}
+def telling(rows: list) -> list[str]:
+    """Words of toxic texts without those that only a text and its near copies hold.
+
+    Such words come in crowds, all in the same texts: one with ``CROWD`` others in
+    nearly the same texts doesn't tell.
+    """
+    if not rows:
+        return []
+    ids = {d: i for i, d in enumerate(sorted({d for r in rows for d in r.docs}))}
+    held = np.zeros((len(rows), len(ids)), np.float32)
+    for i, r in enumerate(rows):
+        held[i, [ids[d] for d in r.docs]] = 1
+    sizes, picked = held.sum(1), []
+    for at in range(0, len(rows), 256):
+        both = held[at : at + 256] @ held.T
+        alike = (both >= ALIKE * (sizes[at : at + 256, None] + sizes[None] - both)).sum(1) - 1
+        picked += [rows[at + i].word for i in np.nonzero(alike < CROWD)[0]]
     return picked
 
 
+def machine_for(toxic: list[str], clean: list[str], hard: list[str] = ()) -> tuple[np.ndarray, float]:
+    """Table and offset trained on words; toxic, clean and hard clean ones weigh the same as groups."""
+    groups = [(1.0, [w[:WINDOW] for w in toxic]), (-1.0, [p for w in clean for p in windows(w)]), (-1.0, [p for w in hard for p in windows(w)])]
+    marks = [m for (_, g), most in zip(groups, (MARKS, MARKS // 2, MARKS // 2)) if g for m in landmarks(g[:: max(1, len(g) // 2000)], most)]
+    labels = np.concatenate([np.full(len(g), label) for label, g in groups])
+    weights = np.concatenate([np.full(len(g), 1 / max(1, len(g))) for _, g in groups])
+    return fit([w for _, g in groups for w in g], labels, weights, list(dict.fromkeys(marks)))
+
+
+def word_values(words: DataFrame, machine: Machine) -> DataFrame:
+    """``word`` and its ``value``."""
+    sent = words.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("word")
+            values = pa.array(sent.value.strongest(column.to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([column, values], ["word", "value"])
+
+    return words.select("word").mapInArrow(run, "word string, value double")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine for ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
@@ -145,34 +181,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     picked = F.broadcast(first[0].unionByName(first[1]))  # 2 * TRAIN rows at most
     texts = docs.select("doc_id", "text").join(picked, "doc_id")
     texts = written(texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")), "toxic-texts")
-    clean = texts.where("toxic = 0").count()
-    if not clean or clean == texts.count():
+    clean, every = texts.where("toxic = 0").count(), texts.count()
+    if not clean or clean == every:
         return plain
 
     words = by_word(texts).groupBy("word").agg(
         F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"), F.sort_array(F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id")))).alias("docs")
     )
     words = written(words, "toxic-words")  # lists of 2 * TRAIN ids at most
-    telltale = words.where("n1 >= 4 and n1 >= 8 * n0").orderBy(F.desc("n1"), "word").limit(CANDIDATES).collect()
-    toxic = telling(telltale, clean)
+    telltale = words.where("n1 >= 3 and n1 >= 8 * n0").orderBy(F.desc("n1"), "word").limit(CANDIDATES).collect()
+    distinct = words.count()
+    telltale = [r for r in telltale if surprising(r.n1, r.n0, 1 - clean / every, distinct)]
+    toxic = telling(telltale)
     if not toxic:
         return plain
     common = words.where("n0 > 0 and n1 < 8 * n0").select("word", "n0")
     often = common.orderBy(F.desc("n0"), "word").limit(CLEAN_WORDS // 2)
     seldom = common.orderBy(F.xxhash64(F.lit(5), "word"), "word").limit(CLEAN_WORDS // 2)
     clean_words = sorted({r.word for r in often.unionByName(seldom).collect()} - set(toxic))
-    strings, y = [], []
-    for label, group in ((1.0, toxic), (-1.0, clean_words)):
-        for word in group:
-            parts = windows(word) if label < 0 else windows(word)[:1]
-            strings += parts
-            y += [label] * len(parts)
-    y = np.array(y)
-    share = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum()))
-    some = [w[:12] for w in clean_words[:: max(1, len(clean_words) // 2000)]]
-    marks = landmarks([w[:12] for w in toxic], MARKS) + (landmarks(some, MARKS // 2) if some else [])
-    table, offset = fit(strings, y, share, list(dict.fromkeys(marks)))
+    table, offset = machine_for(toxic, clean_words)
     machine = Machine(table, offset, 1.0, 0.0)
+    near = word_values(common, machine).orderBy(F.desc("value"), "word").limit(HARD_WORDS)
+    hard = [r.word for r in near.collect()]  # clean words most like toxic ones
+    machine.table, machine.offset = machine_for(toxic, clean_words, hard)
     values = strongest(texts, machine, ("toxic",)).collect()
     x, toxic_doc = np.array([r.strongest for r in values]), np.array([float(r.toxic) for r in values])
     machine.slope, machine.shift = logistic(x, toxic_doc)
