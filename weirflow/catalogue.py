@@ -4,14 +4,502 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weirflow.functions import dates, text, values
+from weirflow.operators import filters, joins, loading, records, state
+from weirflow.plans import slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None, *tables: str):
+    """Registers a function of the named tables' DataFrames."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def key(events: DataFrame) -> Column:
+    return F.get_json_object(events["props"], "$.k").cast("bigint")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kept = events.where("event_type = 'purchase' and value > 0").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("next_cursor"), F.max("k").alias("max_k"))
+    return QUERIES["flagship_incremental"](spark, sf_dir)
+
+
+@query(
+    "flagship_incremental",
+    """SELECT user_id, count(*) AS n, max(ts) AS next_cursor, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS max_k, round(sum(value * 2), 4) AS doubled
+    FROM events WHERE event_type = 'purchase' AND value > 0 AND ts >= TIMESTAMP '1990-01-01' GROUP BY user_id""",
+    "events",
+)
+def _(events):
+    kept = filters.keep_where(events, "event_type = 'purchase' and value > 0").where("ts >= '1990-01-01'")
+    made = records.add_fields(kept, [("k", key(events), None), ("doubled", "value * 2", "double")])
+    return made.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.max("ts").cast("timestamp").alias("next_cursor"), F.max("k").alias("max_k"), F.round(F.sum("doubled"), 4).alias("doubled")
+    )
+
+
+@query("f_record_filter", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 50", "events")
+def _(events):
+    return filters.keep_where(events, "event_type = 'purchase' and value > 50").select("event_id", "user_id", "value")
+
+
+@query(
+    "f_truthy_props",
+    """SELECT event_id, CASE WHEN NOT json_exists(props, '$.k') THEN false WHEN json_extract_string(props, '$.k') IS NULL THEN true
+    ELSE json_extract_string(props, '$.k') NOT IN ('False', 'false', '{}', '[]', '()', '', '0', '0.0') END AS truth FROM events""",
+    "events",
+)
+def _(events):
+    return events.select("event_id", values.truthy_json(F.col("props"), "k").alias("truth"))
+
+
+@query(
+    "f_incremental_range",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate IS NULL OR o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30'",
+    "orders",
+)
+def _(orders):
+    return filters.in_range(orders, F.col("o_orderdate"), F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-06-30").cast("timestamp_ntz")).select("o_orderkey", "o_custkey")
+
+
+@query(
+    "f_cdc_route",
+    """SELECT event_id, 'delete' AS route FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 'load' AS route FROM events WHERE event_type IS DISTINCT FROM 'error'""",
+    "events",
+)
+def _(events):
+    load, gone = filters.route_deletes(events, F.col("event_type") == "error")
+    return gone.select("event_id", F.lit("delete").alias("route")).unionByName(load.select("event_id", F.lit("load").alias("route")))
+
+
+@query(
+    "f_conformance",
+    """SELECT event_id, len(list_filter(json_keys(props), lambda k: k <> 'k')) = 0 AND coalesce(json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'NULL', 'BOOLEAN'), true) AS fits FROM events""",
+    "events",
+)
+def _(events):
+    return events.select("event_id", filters.conforms(F.col("props"), {"k": "integer"}).alias("fits"))
+
+
+@query("f_limit_ordered", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "orders")
+def _(orders):
+    return filters.first_rows(orders, 100, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("p_extract_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL", "events")
+def _(events):
+    return records.extract_json(events, "props", "$.k", "bigint", "k").select("event_id", "k")
+
+
+@query(
+    "p_expand_lines",
+    """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS t(i)
+    UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL""",
+    "documents",
+)
+def _(documents):
+    return records.expand(documents.select("doc_id", "text"), F.split("text", "\n"), "line", emit_parent=True, position="line_no").drop("text")
+
+
+@query(
+    "p_add_fields_chain",
+    """SELECT l_orderkey, l_linenumber, floor(net) AS net, floor(net * (1 + l_tax)) AS gross, CASE WHEN net * (1 + l_tax) > 50000 THEN 'large' ELSE 'small' END AS size
+    FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem)""",
+    "lineitem",
+)
+def _(lineitem):
+    made = records.add_fields(lineitem, [("net", "l_extendedprice * (1 - l_discount)", None), ("gross", "net * (1 + l_tax)", None), ("size", "if(gross > 50000, 'large', 'small')", None)])
+    return made.select("l_orderkey", "l_linenumber", F.floor("net").cast("double").alias("net"), F.floor("gross").cast("double").alias("gross"), "size")
+
+
+@query("p_remove_fields", "SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal FROM customer", "customer")
+def _(customer):
+    return records.remove_fields(records.remove_fields(customer, ["c_nationkey", "c_mktsegment", "absent"]), ["c_acctbal"], F.col("c_acctbal") < 0)
+
+
+@query("p_rename_snake", "SELECT p_partkey AS part_key, p_name AS part_name, p_brand AS pbrand2, p_size AS size_of FROM part", "part")
+def _(part):
+    named = part.select(F.col("p_partkey").alias("PartKey"), F.col("p_name").alias("part name"), F.col("p_brand").alias("PBrand2"), F.col("p_size").alias("SizeOf"))
+    return records.keys_replace(records.keys_to_snake(named), "brand_2", "brand2")
+
+
+@query("p_flatten", "SELECT o_orderkey AS order_key, o_orderstatus AS status, o_totalprice AS total, o_custkey AS customer_key FROM orders", "orders")
+def _(orders):
+    nested = orders.select(
+        F.struct(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("total")).alias("customer"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("key")).alias("order")
+    )
+    flat = records.flatten(nested)
+    return flat.withColumnsRenamed({"key": "order_key", "customer.key": "customer_key"})
+
+
+@query("p_lift", "SELECT o_orderkey, o_orderstatus AS s_status, o_totalprice AS s_total FROM orders", "orders")
+def _(orders):
+    nested = orders.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")).alias("s"))
+    return records.lift(nested, "s", drop=True, prefix="s_")
+
+
+@query(
+    "p_normalize",
+    "SELECT event_id, event_type AS raw, TRY_CAST(event_type AS BIGINT) AS typed, event_type IS NOT NULL AND TRY_CAST(event_type AS BIGINT) IS NULL AS cast_error FROM events",
+    "events",
+)
+def _(events):
+    return events.select("event_id", values.cast_or_keep(F.col("event_type"), "bigint").alias("x")).select("event_id", "x.*")
+
+
+@query("p_name_normalize", "SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '_', 'g') AS name FROM nation", "nation")
+def _(nation):
+    return nation.select("n_nationkey", text.normal_name(F.col("n_name")).alias("name"))
+
+
+@query("p_remap", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders", "orders")
+def _(orders):
+    return orders.select("o_orderkey", values.remap(F.col("o_orderstatus"), {"F": "finished", "O": "open"}).alias("status"))
+
+
+@query(
+    "j_substream",
+    """SELECT o_orderkey, c_custkey AS customer, c_mktsegment AS parent_c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey""",
+    "customer",
+    "orders",
+)
+def _(customer, orders):
+    return joins.substream(customer, orders, "c_custkey", "o_custkey", "customer", ["c_mktsegment"]).select("o_orderkey", "customer", "parent_c_mktsegment")
+
+
+@query(
+    "j_chunk_merge",
+    """SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, a.p_name, coalesce(b.p_size, a.p_size) AS p_size, b.p_brand
+    FROM (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey, p_size + 1 AS p_size, p_brand FROM part WHERE p_partkey % 2 = 0) b USING (p_partkey)""",
+    "part",
+)
+def _(part):
+    one = part.where("p_partkey % 3 <> 0").select("p_partkey", "p_name", "p_size")
+    two = part.where("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") + 1).alias("p_size"), "p_brand")
+    return joins.merge_chunks([one, two], ["p_partkey"])
+
+
+@query("r_list_product", "SELECT r_name, n_name FROM region CROSS JOIN nation", "region", "nation")
+def _(region, nation):
+    return slices.product(region.select("r_name"), nation.select("n_name"))
+
+
+@query(
+    "r_union_dedupe",
+    """SELECT child, "position", nation FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY child, "position") AS r FROM (
+    SELECT 0 AS child, c_custkey AS "position", c_nationkey AS nation FROM customer UNION ALL SELECT 1, s_suppkey, s_nationkey FROM supplier)) WHERE r = 1""",
+    "customer",
+    "supplier",
+)
+def _(customer, supplier):
+    one = customer.select(F.col("c_custkey").alias("position"), F.col("c_nationkey").alias("nation"), "c_name")
+    two = supplier.select(F.col("s_suppkey").alias("position"), F.col("s_nationkey").alias("nation"), "s_name")
+    return slices.union_first([one, two], "nation").select("child", "position", "nation")
+
+
+@query(
+    "r_grouping",
+    """SELECT c_nationkey, CAST((i - 1) // 7 AS BIGINT) AS batch, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY i) AS ids, count(*) AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) GROUP BY ALL""",
+    "customer",
+)
+def _(customer):
+    out = slices.grouped(customer, "c_custkey", ["c_custkey"], 7, distinct=True, partition=["c_nationkey"])
+    return out.select("c_nationkey", "batch", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("ids"), "n")
+
+
+@query(
+    "r_property_chunk",
+    "SELECT CAST(chunk AS BIGINT) AS chunk, names FROM (VALUES (0, 'p_partkey,p_name,p_brand'), (1, 'p_partkey,p_type,p_size'), (2, 'p_partkey,p_retailprice')) AS t(chunk, names)",
+    "part",
+)
+def _(part):
+    chunked = slices.property_chunks([c for c in part.columns if c != "p_partkey"], 2, always=["p_partkey"])
+    return part.sparkSession.createDataFrame([(i, ",".join(c)) for i, c in enumerate(chunked)], "chunk long, names string")
+
+
+@query(
+    "g_offset_pages",
+    """SELECT o_custkey, o_orderkey, CAST((r - 1) // 5 + 1 AS BIGINT) AS page, CAST((r - 1) // 5 * 5 AS BIGINT) AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders)""",
+    "orders",
+)
+def _(orders):
+    return slices.pages(orders, ["o_orderdate", "o_orderkey"], 5, first=1, partition=["o_custkey"]).select("o_custkey", "o_orderkey", "page", "offset")
+
+
+@query(
+    "a_max_per_slice",
+    "SELECT user_id, max(ts) AS \"cursor\", false AS is_global FROM events GROUP BY user_id UNION ALL SELECT NULL, max(ts), true FROM events",
+    "events",
+)
+def _(events):
+    return state.max_cursor(events.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts")
+
+
+SESSIONS = """WITH s AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS a, CAST(floor(epoch(ts)) AS BIGINT) // 3600 + CAST(event_id % 5 AS BIGINT) AS b FROM events),
+    f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM s),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f),
+    m AS (SELECT user_id, min(a) AS start, max(b) AS "end" FROM g GROUP BY user_id, island)"""
+
+
+def merged(events: DataFrame) -> DataFrame:
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    spans = events.select("user_id", hour.alias("start"), (hour + F.col("event_id") % 5).alias("end"))
+    return state.merge_intervals(spans, ["user_id"], step=1)
+
+
+@query("a_interval_merge", SESSIONS + " SELECT * FROM m", "events")
+def _(events):
+    return merged(events)
+
+
+@query(
+    "a_interval_gaps",
+    SESSIONS + """, n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS nxt FROM m)
+    SELECT user_id, "end" + 1 AS gap_start, nxt - 1 AS gap_end FROM n WHERE nxt > "end" + 1""",
+    "events",
+)
+def _(events):
+    return state.interval_gaps(merged(events), ["user_id"])
+
+
+@query(
+    "i_unsynced",
+    SESSIONS + """, n AS (SELECT *, lead(start) OVER w AS nxt, lag("end") OVER w AS prv FROM m WINDOW w AS (PARTITION BY user_id ORDER BY start))
+    SELECT user_id, CAST(0 AS BIGINT) AS start, start - 1 AS "end" FROM n WHERE prv IS NULL AND start > 0
+    UNION ALL SELECT user_id, "end" + 1, nxt - 1 FROM n WHERE nxt > "end" + 1
+    UNION ALL SELECT user_id, greatest("end" - 2, 0), CAST(1000000 AS BIGINT) FROM n WHERE nxt IS NULL AND "end" - 2 < 1000000""",
+    "events",
+)
+def _(events):
+    return slices.unsynced(merged(events), ["user_id"], F.lit(0).cast("long"), F.lit(1_000_000).cast("long"), step=1, lookback=2)
+
+
+@query(
+    "a_status_rollup",
+    """SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'failed' WHEN bool_or(o_orderstatus = 'O') THEN 'running' ELSE 'completed' END AS status FROM orders GROUP BY o_custkey""",
+    "orders",
+)
+def _(orders):
+    named = orders.withColumn("status", values.remap(F.col("o_orderstatus"), {"P": "failed", "O": "running", "F": "completed"}))
+    return state.rollup_status(named, ["o_custkey"], "status")
+
+
+@query(
+    "a_format_infer",
+    """SELECT o_orderpriority, bool_and(try_strptime(d, '%Y-%m-%d') IS NOT NULL) AS fits_0, bool_and(try_strptime(d, '%d/%m/%Y') IS NOT NULL) AS fits_1
+    FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) GROUP BY 1""",
+    "orders",
+)
+def _(orders):
+    dated = orders.withColumn("d", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return dated.groupBy("o_orderpriority").agg(*state.formats_that_fit(F.col("d"), [dates.java_pattern("%Y-%m-%d"), dates.java_pattern("%d/%m/%Y")]))
+
+
+@query(
+    "a_type_infer",
+    """SELECT event_type, CASE WHEN bool_and(lower(v) IN ('true','false','yes','no','y','n','t','f','on','off','1','0')) THEN 'boolean' WHEN bool_and(TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'integer' ELSE 'string' END AS k_type, 'string' AS type_type
+    FROM (SELECT event_type, json_extract_string(props, '$.k') AS v FROM events) GROUP BY 1""",
+    "events",
+)
+def _(events):
+    return events.groupBy("event_type").agg(state.inferred_type(F.get_json_object("props", "$.k")).alias("k_type"), state.inferred_type(F.col("props")).alias("type_type"))
+
+
+@query("a_record_counts", "SELECT event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1", "events")
+def _(events):
+    return events.groupBy("event_type").agg(F.count("*").cast("double").alias("n"))
+
+
+@query("a_duplicate_names", "SELECT md5(text) AS name, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1", "documents")
+def _(documents):
+    return documents.groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select(F.md5("text").alias("name"), "n")
+
+
+@query("a_ascending", "SELECT o_custkey, coalesce(bool_and(d >= p OR p IS NULL), true) AS ascending FROM (SELECT o_custkey, o_orderdate AS d, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) GROUP BY 1", "orders")
+def _(orders):
+    return state.is_ascending(orders, ["o_custkey"], "o_orderkey", "o_orderdate")
+
+
+@query(
+    "i_range_slices",
+    """SELECT n_nationkey, s AS start, least(s + INTERVAL 10 DAY - INTERVAL 1 SECOND, TIMESTAMP '2021-03-05') AS "end"
+    FROM (SELECT n_nationkey, unnest(generate_series(TIMESTAMP '2021-01-01' + to_days(n_nationkey), TIMESTAMP '2021-03-05', INTERVAL 10 DAY)) AS s FROM nation)""",
+    "nation",
+)
+def _(nation):
+    low = F.timestamp_seconds(F.lit(1609459200) + F.col("n_nationkey") * 86_400)
+    spans = nation.select("n_nationkey", low.alias("low"), F.lit("2021-03-05").cast("timestamp").alias("high"))
+    return slices.range_slices(spans, "low", "high", "10 DAYS", "1 SECOND").select("n_nationkey", "start", "end")
+
+
+@query(
+    "i_clamp",
+    """SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 1 DAY AS day_end, CASE WHEN day(o_orderdate) = 1 THEN date_trunc('day', o_orderdate) ELSE date_trunc('month', o_orderdate) + INTERVAL 1 MONTH END AS month_end,
+    CAST(CASE WHEN isodow(o_orderdate) = 1 THEN date_trunc('day', o_orderdate) ELSE date_trunc('week', o_orderdate) + INTERVAL 7 DAY END AS TIMESTAMP) AS week_end FROM orders""",
+    "orders",
+)
+def _(orders):
+    ts = F.col("o_orderdate").cast("timestamp")
+    return orders.select("o_orderkey", *(dates.ceiling(ts, u).cast("timestamp").alias(f"{u}_end") for u in ("day", "month", "week")))
+
+
+@query("i_min_max_bound", "SELECT o_orderkey, least(greatest(o_orderdate, TIMESTAMP '1994-01-01'), TIMESTAMP '1997-01-01') AS d FROM orders WHERE o_orderdate IS NOT NULL", "orders")
+def _(orders):
+    bound = lambda s: F.lit(s).cast("timestamp")
+    return orders.where("o_orderdate is not null").select("o_orderkey", dates.bounded(F.col("o_orderdate").cast("timestamp"), bound("1994-01-01"), bound("1997-01-01")).alias("d"))
+
+
+@query("i_lookback", "SELECT e.event_id FROM events e JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY 1) c USING (user_id) WHERE e.ts >= c.m - INTERVAL 1 DAY", "events")
+def _(events):
+    last = events.groupBy("user_id").agg(F.max("ts").alias("m"))
+    return events.join(last, "user_id").where("ts >= m - INTERVAL 1 DAY").select("event_id")
+
+
+@query(
+    "i_history_antijoin",
+    "SELECT p.url AS uri, p.page_id AS last_modified FROM pages p LEFT JOIN (SELECT url, page_id - page_id % 2 AS seen FROM pages WHERE page_id % 3 <> 0) h ON p.url = h.url WHERE h.url IS NULL OR p.page_id > h.seen",
+    "pages",
+)
+def _(pages):
+    files = pages.select(F.col("url").alias("uri"), F.col("page_id").alias("last_modified"))
+    history = files.where("last_modified % 3 <> 0").withColumn("last_modified", F.col("last_modified") - F.col("last_modified") % 2)
+    return joins.pending_files(files, history)
+
+
+@query("i_rate_window", "SELECT date_trunc('hour', ts) AS hour, count(*) AS calls FROM events GROUP BY 1", "events")
+def _(events):
+    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("calls")).select(F.col("w.start").alias("hour"), "calls")
+
+
+@query(
+    "i_rate_moving",
+    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS calls FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)",
+    "events",
+)
+def _(events):
+    second = F.floor(dates.epoch_seconds(F.col("ts")))
+    return events.withColumn("s", second).select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-3599, 0)).alias("calls"))
+
+
+@query(
+    "k_merge_upsert",
+    "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, c_name, c_acctbal + 1 FROM customer WHERE c_custkey % 4 = 0",
+    "customer",
+)
+def _(customer):
+    target = customer.select("c_custkey", "c_name", "c_acctbal")
+    return loading.merge(target, target.where("c_custkey % 4 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
+
+
+@query("k_append", "SELECT n_nationkey, n_name, NULL AS note FROM nation UNION ALL SELECT n_nationkey, n_name, 'again' FROM nation", "nation")
+def _(nation):
+    rows = nation.select("n_nationkey", "n_name")
+    return loading.append(rows.withColumn("note", F.lit(None).cast("string")), rows.withColumn("note", F.lit("again")))
+
+
+@query("k_load_columns", "SELECT n_nationkey, sha256(CAST(n_nationkey AS VARCHAR)) AS _raw_id, '{}' AS _meta FROM nation", "nation")
+def _(nation):
+    return loading.with_load_columns(nation, ["n_nationkey"], F.lit("2024-01-01").cast("timestamp")).select("n_nationkey", "_raw_id", "_meta")
+
+
+@query(
+    "k_documents",
+    "SELECT concat('ns_docs_', doc_id) AS record_id, concat_ws(chr(10), 'text: ' || text, 'lang: ' || lang) AS content, source AS source FROM documents",
+    "documents",
+)
+def _(documents):
+    return loading.documents(documents, ["text", "lang"], ["source"], ["doc_id"], "docs", "ns").select("record_id", "content", F.col("metadata")["source"].alias("source"))
+
+
+@query(
+    "k_chunks",
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 64) / 48.0) AS BIGINT) + 1))) AS chunk FROM w WHERE len(w) > 0)
+    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, array_to_string(w[chunk * 48 + 1 : chunk * 48 + 64], ' ') AS content FROM c""",
+    "documents",
+)
+def _(documents):
+    return loading.chunks(documents, "text", 64, 16, ["doc_id"])
+
+
+@query(
+    "k_embedding_check",
+    "SELECT vec_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS fits FROM embeddings",
+    "embeddings",
+)
+def _(embeddings):
+    return embeddings.select("vec_id", loading.checked_embedding(F.col("embedding"), 64).alias("fits"))
+
+
+@query("n_hash", "SELECT c_custkey, md5(c_name) AS m, md5(concat(c_name, 'x')) AS salted, sha256(c_name) AS s, sha256(concat('seed', c_name)) AS one_way FROM customer", "customer")
+def _(customer):
+    name = F.col("c_name")
+    return customer.select(
+        "c_custkey", text.digest(name).alias("m"), text.digest(name, salt="x").alias("salted"), text.digest(name, "sha256").alias("s"), text.one_way_hash(name, "seed").alias("one_way")
+    )
+
+
+@query("n_base64", "SELECT c_custkey, base64(encode(c_name)) AS coded, c_name AS decoded FROM customer", "customer")
+def _(customer):
+    coded = text.base64_encode(F.col("c_name"))
+    return customer.select("c_custkey", coded.alias("coded"), text.base64_decode(coded).alias("decoded"))
+
+
+@query(
+    "n_regex",
+    r"SELECT page_id, regexp_extract(url, '://([^/]+)/', 1) AS host, regexp_replace(url, '(\w+)://', '\1:', 'g') AS short FROM pages",
+    "pages",
+)
+def _(pages):
+    url = F.col("url")
+    return pages.select("page_id", text.search(url, "://([^/]+)/").alias("host"), text.replace(url, r"(\w+)://", r"\1:").alias("short"))
+
+
+@query(
+    "n_datetime",
+    """SELECT event_id, epoch_us(ts) / 1000000.0 AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, CAST(epoch_us(ts) // 1000 AS VARCHAR) AS ms, date_trunc('second', ts) AS parsed FROM events""",
+    "events",
+)
+def _(events):
+    ts = F.col("ts").cast("timestamp")
+    shown = dates.render(ts, "%Y-%m-%d %H:%M:%S")
+    return events.select(
+        "event_id", dates.epoch_seconds(ts).alias("seconds"), shown.alias("shown"), dates.render(ts, "%ms").alias("ms"), dates.parse(shown, "%d/%m/%Y", "%Y-%m-%d %H:%M:%S").alias("parsed")
+    )
+
+
+@query("n_snake", "SELECT p_partkey, lower(regexp_replace(replace(p_name, ' ', ''), '(.)([A-Z])', '\\1_\\2', 'g')) AS name FROM part", "part")
+def _(part):
+    return part.select("p_partkey", text.snake(F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
+
+
+@query("n_url", "SELECT page_id, url_encode(url) AS quoted FROM pages WHERE url NOT LIKE '% %'", "pages")
+def _(pages):
+    return pages.where("url not like '% %'").select("page_id", text.url_quote(F.col("url")).alias("quoted"))
+
+
+@query(
+    "n_strtobool",
+    "SELECT o_orderkey, CASE WHEN lower(o_orderstatus) IN ('y','yes','t','true','on','1') THEN true WHEN lower(o_orderstatus) IN ('n','no','f','false','off','0') THEN false END AS flag FROM orders",
+    "orders",
+)
+def _(orders):
+    return orders.select("o_orderkey", values.to_bool(F.col("o_orderstatus")).alias("flag"))
+
+
+@query("n_bounds", "SELECT p_partkey, greatest(p_size, 10) AS at_least, least(p_size, 40) AS at_most FROM part", "part")
+def _(part):
+    return part.select("p_partkey", F.greatest("p_size", F.lit(10)).alias("at_least"), F.least("p_size", F.lit(40)).alias("at_most"))
