@@ -39,19 +39,23 @@ def occurrences(strings: list[str]):
         yield (mixed >> np.uint64(64 - BITS)).astype(np.int64), np.where(left > b, DECAY ** (b - 2), 0.0)
 
 
-def starts(strings: list[str]) -> np.ndarray:
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    return np.cumsum(sizes) - sizes
+class Prepared:
+    """Strings (none empty) whose normed features are multiplied with several tables."""
+
+    def __init__(self, strings: list[str]) -> None:
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.by = np.cumsum(sizes) - sizes
+        self.parts = [(at.astype(np.int32), weight.astype(np.float32)) for at, weight in occurrences(strings)]
+        norm = sum(np.add.reduceat((weight * weight).astype(np.float64), self.by) for _, weight in self.parts)
+        self.norm = np.sqrt(np.maximum(norm, 1e-12))
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(sum(weight * table[at] for at, weight in self.parts), self.by) / self.norm
 
 
 def project(strings: list[str], table: np.ndarray) -> np.ndarray:
     """Products of the strings' normed features with ``table``; strings must not be empty."""
-    total = norm = 0.0
-    for at, weight in occurrences(strings):
-        total = total + weight * table[at]
-        norm = norm + weight * weight
-    by = starts(strings)
-    return np.add.reduceat(total, by) / np.sqrt(np.maximum(np.add.reduceat(norm, by), 1e-12))
+    return Prepared(strings).times(table)
 
 
 def feature(string: str) -> np.ndarray:
@@ -65,11 +69,11 @@ def feature(string: str) -> np.ndarray:
 
 def landmarks(strings: list[str], most: int) -> list[str]:
     """The first string, then again and again the one least like those taken."""
-    likeness, taken = np.full(len(strings), -1.0), []
+    likeness, taken, all_strings = np.full(len(strings), -1.0), [], Prepared(strings)
     at = 0
     while len(taken) < min(most, len(strings)):
         taken.append(strings[at])
-        likeness = np.maximum(likeness, project(strings, feature(strings[at])))
+        likeness = np.maximum(likeness, all_strings.times(feature(strings[at])))
         at = int(likeness.argmin())
         if likeness[at] > 0.95:
             break
@@ -78,12 +82,15 @@ def landmarks(strings: list[str], most: int) -> list[str]:
 
 def fit(strings: list[str], labels: np.ndarray, weights: np.ndarray, marks: list[str], rounds: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """The table and offset of the machine; labels are 1 and -1."""
-    tables = np.stack([feature(m) for m in marks])
-    kernel = tables @ tables.T
+    these, those = Prepared(marks), Prepared(strings)
+    kernel, x = np.empty((len(marks), len(marks))), np.empty((len(strings), len(marks)), np.float32)
+    for i, mark in enumerate(marks):  # one table at a time
+        table = feature(mark)
+        kernel[i], x[:, i] = these.times(table), those.times(table)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K^-1/2, up to a rotation
-    x = np.stack([project(strings, t) for t in tables], 1) @ root
+    x = x @ root.astype(np.float32)
     w, b = np.zeros(x.shape[1]), 0.0
     g2 = np.full(x.shape[1] + 1, 1e-8)
     weights = weights / weights.sum()
@@ -93,4 +100,4 @@ def fit(strings: list[str], labels: np.ndarray, weights: np.ndarray, marks: list
         g2 += g * g
         step = 0.5 * g / np.sqrt(g2)
         w, b = w - step[:-1], b - step[-1]
-    return (root @ w) @ tables, float(b)
+    return sum(c * feature(m) for c, m in zip(root @ w, marks)), float(b)

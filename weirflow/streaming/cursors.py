@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+
 def partition_cursors(stream: DataFrame, keys: list[str], cursor: str) -> DataFrame:
     """The largest cursor and the number of records of each partition so far; write it in update mode."""
     return stream.groupBy(*keys).agg(F.max(cursor).alias("cursor"), F.count("*").alias("n"))
