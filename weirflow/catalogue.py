@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.functions import dates, text, values
+from weirflow.functions import dates, http, text, values
 from weirflow.operators import filters, joins, loading, records, state
 from weirflow.plans import slices
 
@@ -503,3 +503,77 @@ def _(orders):
 @query("n_bounds", "SELECT p_partkey, greatest(p_size, 10) AS at_least, least(p_size, 40) AS at_most FROM part", "part")
 def _(part):
     return part.select("p_partkey", F.greatest("p_size", F.lit(10)).alias("at_least"), F.least("p_size", F.lit(40)).alias("at_most"))
+
+
+@query(
+    "h_actions",
+    """SELECT event_id, CASE WHEN s BETWEEN 200 AND 399 THEN 'success' WHEN s = 429 THEN 'rate_limited' WHEN s IN (408, 500, 502, 503, 504) OR s >= 500 THEN 'retry' ELSE 'fail' END AS action, 5.0 * pow(2.0, event_id % 4) AS wait
+    FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 ELSE 301 END AS s FROM events)""",
+    "events",
+)
+def _(events):
+    at = F.col("event_id") % 5
+    status = F.when(at == 0, 200).when(at == 1, 429).when(at == 2, 503).when(at == 3, 404).otherwise(301)
+    return events.select("event_id", http.action(status).alias("action"), http.exponential_wait((F.col("event_id") % 4).cast("double")).alias("wait"))
+
+
+@query(
+    "o_files_by_time",
+    "SELECT page_id % 50 AS last_modified, string_agg(url, ' ' ORDER BY url) AS uris, count(*) AS n FROM pages GROUP BY 1",
+    "pages",
+)
+def _(pages):
+    files = joins.by_modified(pages.select(F.col("url").alias("uri"), (F.col("page_id") % 50).alias("last_modified")))
+    return files.select("last_modified", F.array_join("uris", " ").alias("uris"), F.size("uris").cast("long").alias("n"))
+
+
+@query(
+    "o_newest_per_key",
+    "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 2",
+    "orders",
+)
+def _(orders):
+    return filters.newest_by(orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("o_history_evict", "SELECT url AS uri, page_id AS last_modified FROM pages ORDER BY page_id DESC, url DESC LIMIT 30", "pages")
+def _(pages):
+    return state.evict(pages.select(F.col("url").alias("uri"), F.col("page_id").alias("last_modified")), 30)
+
+
+@query("o_intersect", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer", "supplier")
+def _(customer, supplier):
+    return customer.select(F.col("c_nationkey").alias("nation")).intersect(supplier.select("s_nationkey"))
+
+
+@query("o_except", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0", "customer", "supplier")
+def _(customer, supplier):
+    return customer.select(F.col("c_nationkey").alias("nation")).subtract(supplier.where("s_suppkey % 3 = 0").select("s_nationkey"))
+
+
+@query(
+    "j_embedded_children",
+    "SELECT o_custkey, o_orderkey, o_totalprice FROM orders",
+    "orders",
+)
+def _(orders):
+    rows = orders.select("o_custkey", "o_orderkey", "o_totalprice").withColumn("at", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    parents = rows.where("at <= 3").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("first_page"))
+    return joins.embedded_children(parents, "first_page", ["o_custkey"], rows.where("at > 3").drop("at"))
+
+
+@query("n_stream_name", "SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS name FROM customer", "customer")
+def _(customer):
+    return customer.select("c_custkey", text.stream_name(F.col("c_name")).alias("name"))
+
+
+@query(
+    "i_state_start",
+    "SELECT user_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN ts END), max(CASE WHEN event_type = 'click' THEN ts END), TIMESTAMP '2020-01-01') AS start FROM events GROUP BY 1",
+    "events",
+)
+def _(events):
+    by = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts").cast("timestamp")))
+    rows = events.groupBy("user_id").agg(by("purchase").alias("most_recent"), by("click").alias("end"))
+    made = F.array(F.struct(F.lit(None).cast("timestamp").alias("start"), "end", "most_recent"))
+    return rows.select("user_id", state.start_from_state(made, F.lit("2020-01-01").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")).alias("start"))

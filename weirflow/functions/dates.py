@@ -81,3 +81,18 @@ def bounded(ts: Column, low: Column | None = None, high: Column | None = None) -
     if high is not None:
         out = F.least(out, high)
     return F.when(ts.isNotNull(), out)
+
+
+def today_in(zone: str) -> Column:
+    """The date that it is in a time zone."""
+    return F.from_utc_timestamp(F.current_timestamp(), zone).cast("date")
+
+
+def day_delta(days: int, format: str = "%Y-%m-%dT%H:%M:%S") -> Column:
+    """Now, so many days on, as text."""
+    return render(F.current_timestamp() + F.make_interval(days=F.lit(days)), format)
+
+
+def lookback(cursor: Column, amount: str) -> Column:
+    """The cursor moved back by an interval; months go by the calendar."""
+    return cursor - F.expr(f"INTERVAL {amount}")

@@ -88,3 +88,14 @@ def normal_key(key: str) -> str:
     if not name.strip("_"):
         raise ValueError(f"no letters or digits in {key!r}")
     return f"_{name}" if name[0].isdigit() else name
+
+
+def stream_name(value: Column) -> Column:
+    """A class name as a stream name; runs of capitals stay one word."""
+    apart = F.regexp_replace(value, "(.)([A-Z][a-z]+)", "$1_$2")
+    return F.lower(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def quoted_json(value: Column) -> Column:
+    """Text as it is, other values as JSON in triple quotes."""
+    return F.concat(F.lit('"""'), F.to_json(value), F.lit('"""'))

@@ -43,3 +43,14 @@ def pending_files(files: DataFrame, history: DataFrame, uri: str = "uri", modifi
     joined = files.join(known, F.col(uri) == F.col("__uri"), "left")
     new = F.col("__uri").isNull() & (F.lit(True) if full is None else full)
     return joined.where(new | (F.col(modified) > F.col("__modified"))).drop("__uri", "__modified")
+
+
+def embedded_children(parent: DataFrame, children: str, keys: list[str], fetched: DataFrame | None = None) -> DataFrame:
+    """Child records that parents hold in an array of structs, and those of ``fetched``, that a reader got beyond the first page."""
+    own = parent.select(*keys, F.explode(children).alias("__c")).select(*keys, "__c.*")
+    return own if fetched is None else own.unionByName(fetched, allowMissingColumns=True)
+
+
+def by_modified(files: DataFrame, uri: str = "uri", modified: str = "last_modified") -> DataFrame:
+    """Files of one moment together, in order of name."""
+    return files.groupBy(modified).agg(F.array_sort(F.collect_list(uri)).alias("uris"))

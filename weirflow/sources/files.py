@@ -122,3 +122,18 @@ def json_values(df: DataFrame, decimal_as_float: bool = False) -> DataFrame:
                  + F.extract(F.lit("MINUTE"), c).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long"))
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+#: Endings of documents that are text already.
+TEXT_ENDINGS = ["md", "txt"]
+
+
+def read_documents(spark: SparkSession, path: str, skip_unknown: bool = True) -> DataFrame:
+    """``document_key``, ``content`` and ``parse_error`` of text and Markdown files; other kinds have an error, or fail the job."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    known = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(TEXT_ENDINGS)
+    error = F.lit("no parser for this kind of file")
+    content = F.when(known, F.decode("content", "utf-8"))
+    if not skip_unknown:
+        content = content.otherwise(F.raise_error(error).cast("string"))
+    return raw.select(F.col("path").alias("document_key"), content.alias("content"), F.when(~known, error).alias("parse_error"))
