@@ -137,9 +137,9 @@ def test_subset_sum_is_optimal():
     for _ in range(200):
         items = [(int(s), int(c)) for s, c in zip(rng.choice(np.arange(1, 30), 4, replace=False), rng.integers(1, 4, 4))]
         goal = int(rng.integers(0, 120))
-        best = max(x for x in (sum(s * k for (s, _), k in zip(items, ks)) for ks in itertools.product(*(range(c + 1) for _, c in items))) if x <= goal)
+        best = min(abs(goal - sum(s * k for (s, _), k in zip(items, ks))) for ks in itertools.product(*(range(c + 1) for _, c in items)))
         taken = mixing.subset_sum(items, goal)
-        assert sum(s * n for s, n in taken.items()) == best and all(n <= dict(items)[s] for s, n in taken.items())
+        assert abs(goal - sum(s * n for s, n in taken.items())) == best and all(n <= dict(items)[s] for s, n in taken.items())
 
 
 def test_mixing_meets_targets_and_reruns_agree(spark):

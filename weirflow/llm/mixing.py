@@ -31,6 +31,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, BUDGET, REPEATS, SEED = (5, 2, 1), 1.5, 2, 17
 #: Largest sum the dynamic program covers, and rows ranked together.
 WINDOW, BUCKET = 1 << 16, 10_000
+#: Documents of each length that the proportional share leaves to the dynamic program.
+SLACK = 2
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> dict[str | None, float]:
@@ -50,21 +52,21 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, bu
 
 
 def subset_sum(items: list[tuple[int, int]], goal: int) -> dict[int, int]:
-    """How many of each size to take so that the sum comes as near below ``goal`` as it can.
+    """How many of each size to take so that the sum comes as near to ``goal`` as it can.
 
     ``items`` are (size, count); the sums reached so far are the bits of one integer.
     """
-    mask, reached, trail = (1 << (goal + 1)) - 1, 1, []
+    mask, reached, trail = (1 << (2 * goal + 1)) - 1, 1, []
     for size, count in items:
         part = 1
-        while count and not reached >> goal & 1:
-            part, count = min(part, count), count - min(part, count)
-            if size * part > goal:
-                break
+        while count and not reached >> goal & 1 and size * min(part, count) <= 2 * goal:
+            part = min(part, count)
             trail.append((size, part, reached))
             reached |= (reached << size * part) & mask
-            part *= 2
-    left, taken = reached.bit_length() - 1, {}
+            part, count = part * 2, count - part
+    above, below = reached >> goal, (reached & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    over = goal + (above & -above).bit_length() - 1 if above else None
+    left, taken = over if over is not None and over - goal < goal - below else below, {}
     for size, part, before in reversed(trail):
         if not before >> left & 1:
             left -= size * part
@@ -79,14 +81,14 @@ def fit(counts: dict[int, int], target: float) -> tuple[int, dict[int, int]]:
     rest = math.floor(target) - whole * total
     if not total or not rest:
         return whole, {}
-    extra = {size: n * rest // total for size, n in counts.items()}
+    extra = {size: max(0, n * rest // total - SLACK) for size, n in counts.items()}
     left = rest - sum(size * n for size, n in extra.items())
     for size in sorted(counts, reverse=True):
         if size:
             more = min(counts[size] - extra[size], max(0, left - WINDOW) // size)
             extra[size] += more
             left -= more * size
-    spare = [(size, counts[size] - extra[size]) for size in sorted(counts, reverse=True) if 0 < size <= left and counts[size] > extra[size]]
+    spare = [(size, counts[size] - extra[size]) for size in sorted(counts, reverse=True) if 0 < size <= 2 * left and counts[size] > extra[size]]
     for size, n in subset_sum(spare, min(left, 2 * WINDOW)).items():
         extra[size] += n
     return whole, extra
