@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.storage import BROADCAST_ROWS, located, row_key, written
+from weirflow.llm.storage import located, row_key, written
 from weirflow.llm.suffixes import anchors, context, name, pack, repeats
 
-RUN, PART, BROADCAST_BYTES = 40_000, 40_000, 32 << 20
+RUN, PART = 40_000, 40_000
 KEY = ["file_key", "row_key"]
 
 
@@ -37,12 +37,6 @@ def raw(value) -> bytes:
     return (value.as_py() or "").encode()
 
 
-def by_document(rows: DataFrame, what: str) -> DataFrame:
-    """``rows`` (one a document, with an array ``what``), broadcast if its measured size is within bounds."""
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(what)), F.lit(0))).first()
-    return F.broadcast(rows) if n <= BROADCAST_ROWS and 8 * size <= BROADCAST_BYTES else rows
-
-
 def anchored(texts: DataFrame) -> DataFrame:
     """A row for each anchor: file_key, row_key, place, gram (its hash)."""
 
@@ -112,7 +106,7 @@ def spans(texts: DataFrame) -> DataFrame:
     kept = kept.groupBy(*KEY).agg(F.collect_list(F.struct("place", "gram")).alias("anchors"))
     kept = written(kept, "suffix-kept")
     parts = max(1, -(-(kept.agg(F.sum(F.size("anchors"))).first()[0] or 0) // PART))
-    both = written(runs(texts.join(by_document(kept, "anchors"), KEY), parts), "suffix-runs")
+    both = written(runs(texts.join(kept, KEY), parts), "suffix-runs")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(repeats(table.column("run").to_pylist()))
@@ -140,7 +134,7 @@ def cut_out(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, removed (array of start and end), kept (bytes)."""
     texts = located(docs, "doc_id", "text").select("doc_id", "text", *row_key())
     found = spans(texts.select(*KEY, "text"))
-    joined = texts.join(by_document(found, "spans"), KEY, "left").select("doc_id", "text", "spans")
+    joined = texts.join(found, KEY, "left").select("doc_id", "text", "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

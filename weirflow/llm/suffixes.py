@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 
 LENGTH, GRAM = 200, 64
 #: How far back of its anchor such a string can begin.
@@ -83,19 +84,20 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 def pack(entries: dict[tuple[bytes, bytes], int]) -> bytes:
-    """A sorted run, front-coded: each suffix as the length shared with the one before and the rest."""
+    """A sorted run, front-coded (each suffix as the length shared with the one before and the rest) and compressed."""
     out, last = [], b""
     for (suffix, before), times in sorted(entries.items()):
         shared = common(last, suffix)
         out.append(struct.pack("<BBBI", shared, len(suffix) - shared, len(before), times))
         out += (suffix[shared:], before)
         last = suffix
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(run: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
     """Suffix, bytes before, times, and the prefix shared with the entry before."""
     at, last, head = 0, b"", struct.Struct("<BBBI")
+    run = zstandard.ZstdDecompressor().decompress(run)
     while at < len(run):
         shared, rest, back, times = head.unpack_from(run, at)
         at += head.size
