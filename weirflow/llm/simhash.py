@@ -16,7 +16,7 @@ keep one row each; null ids take part but are never the smallest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +82,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(labels, "fp").select("doc_id", "fp", "root", "component_id", "__file", "__row")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest ``doc_id``, nulls last, then the first in its file; all columns."""
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """Of each component that ``grouped`` finds the row with the smallest ``doc_id``, nulls last, then the first in its file; all columns."""
     docs = as_scan(docs)
-    found = written(near_duplicates(docs), "simhash-rows")
+    found = written(grouped(docs), "simhash-rows")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__row")
     stays = found.groupBy("root").agg(F.min(place).alias("s")).select("s.__file", "s.__row")
     dropped = written(found.select("__file", "__row").join(stays, ["__file", "__row"], "left_anti"), "simhash-dropped")
