@@ -51,3 +51,12 @@ def test_odd_vectors_take_no_part(spark):
     assert got == {0: [20, 1], 20: [0, 1]}
     assert ann.neighbours(df.limit(0), EVERY20).collect() == []
     assert ann.neighbours(df.where("vec_id = 0"), EVERY20).collect() == []
+
+
+def test_few_distinct_vectors_are_searched_whole(spark):
+    rng = np.random.default_rng(8)
+    for n in (10, 15, 18, 21, 40, 100, 200):
+        vectors = {i: rng.normal(size=64).tolist() for i in range(n)}
+        df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+        got = {q: [r.vec_id for r in rows] for q, rows in gathered(ann.neighbours(df, "true")).items()}
+        assert got == brute(vectors, list(vectors))

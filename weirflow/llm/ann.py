@@ -12,13 +12,14 @@ all of them the length of the longest, and queries get a zero there.
 Equal vectors are one entry that carries its ``TOP + 1`` smallest ids. That loses
 nothing: a further copy has the same score and a larger id than all of those.
 
-``SHARE`` of the leaves are searched. It is set for vectors without structure, the
-hardest case; for clustered vectors a smaller share gives the same recall.
+``SHARE`` of the leaves are searched, and more until they hold ``FLOOR`` times ``TOP``
+distinct vectors, so that few vectors are searched whole. The share is set for vectors
+without structure, the hardest case; for clustered vectors a smaller one gives the same recall.
 
 Edge cases: vectors that are null, zero, of a dimension other than the commonest, or
 hold null or non-finite components, and rows without an id, take no part; of rows
 that share an id the smallest vector counts; with fewer candidates than ``TOP`` all
-that the searched leaves hold are returned, and a single leaf holds all of them.
+of them are returned.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 from weirflow.llm.forest import grow
 from weirflow.llm.storage import small_or_plain, written
 
-SAMPLE, SHARE, TOP, BLOCK = 20_000, 0.3, 20, 4_096
+SAMPLE, SHARE, TOP, BLOCK, FLOOR = 20_000, 0.3, 20, 4_096, 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -112,11 +113,15 @@ def neighbours(vectors: DataFrame, asked: Column | str, top: int = TOP, share: f
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.iloc[at : at + 500]
-                yield part.assign(leaf=sent.value.search(lengthened(matrix(part["embedding"]), True), most)).explode("leaf")
+                yield part.assign(leaf=sent.value.search(lengthened(matrix(part["embedding"]), True), most, sizes, FLOOR * top)).explode("leaf")
 
     placed = entries.select("gid", "embedding", "ids").mapInPandas(place, "gid long, embedding array<double>, ids array<long>, leaf int")
+    placed = written(placed, "ann-placed")
+    sizes = np.zeros(leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row a leaf of the forest
+        sizes[r.leaf] = r["count"]
     wanted = entries.where("asks").select("gid", "embedding").mapInPandas(ask, "gid long, embedding array<double>, leaf int")
-    placed, wanted = written(placed, "ann-placed"), written(wanted, "ann-wanted")
+    wanted = written(wanted, "ann-wanted")
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v")).join(wanted.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q")), "leaf")
     blocks = small_or_plain(written(blocks, "ann-blocks"))  # a row a leaf of the forest
     deal = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")

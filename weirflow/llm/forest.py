@@ -29,8 +29,11 @@ class Forest:
             at[rows, trees] = self.children[node, side]
         return ~at
 
-    def search(self, x: np.ndarray, most: int) -> list[list[int]]:
-        """For each row up to ``most`` leaves, from one queue over all trees.
+    def search(self, x: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """For each row ``most`` leaves, and more until they hold ``least`` distinct entries, from one queue over all trees.
+
+        ``sizes`` has the entries of each leaf. An entry is in one leaf of each tree, so leaves
+        that hold ``least`` times the trees hold ``least`` distinct ones.
 
         A branch waits with the sum of the squared margins that were crossed to reach it.
         """
@@ -40,7 +43,8 @@ class Forest:
             queue = [(0.0, int(r)) for r in self.roots]
             heapq.heapify(queue)
             got: list[int] = []
-            while queue and len(got) < most:
+            wanting = least * len(self.roots)
+            while queue and (len(got) < most or wanting > 0):
                 crossed, node = heapq.heappop(queue)
                 while node >= 0:
                     m = of[node]
@@ -48,6 +52,8 @@ class Forest:
                     heapq.heappush(queue, (crossed + m * m, int(self.children[node, far])))
                     node = int(self.children[node, near])
                 got.append(~node)
+                if least:
+                    wanting -= sizes[~node]
             found.append(got)
         return found
 
