@@ -156,6 +156,21 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert sorted(rows) == sorted(queries.op3_mixing(spark, "/root/testdata/sf0.01").collect())
 
 
+def test_fit_takes_very_long_documents():
+    cases = [({300_000: 3}, 365_000, 300_000), ({1_000_000: 1}, 700_000, 1_000_000), ({300_000: 1, 200_000: 2}, 400_000, 400_000), ({300_000: 1}, 500_000, 600_000), ({900_000: 1}, 400_000, 0)]
+    for counts, target, want in cases:
+        whole, extra = mixing.fit(counts, target)
+        assert sum(size * (whole * n + extra.get(size, 0)) for size, n in counts.items()) == want
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        sizes = [int(x) for x in rng.integers(150_000, 2_000_000, 6)]
+        target = int(rng.integers(1, sum(sizes)))
+        best = min(abs(target - sum(some)) for k in range(7) for some in itertools.combinations(sizes, k))
+        _, extra = mixing.fit(dict.fromkeys(sizes, 1), target)
+        assert all(0 <= n <= 1 for n in extra.values())
+        assert abs(target - sum(size * n for size, n in extra.items())) <= best + 0.0002 * sum(sizes)
+
+
 def test_mixing_ranks_crowded_lengths_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 7)
     rows = [(i, "one two", "", "abc"[i % 3 and 1 + i % 2], 0, "", 0) for i in range(300)]

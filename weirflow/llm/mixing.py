@@ -4,7 +4,9 @@ Documents are counted by source and exact length. A source whose target covers i
 takes every document once; the rest of its budget is first spread over all lengths
 in proportion, then long documents fill what is left down to ``WINDOW``, and a
 bounded-knapsack dynamic program over the remaining counts by length picks the
-final sum. Documents are then selected by length count, in a seeded order.
+final sum; a larger remainder, as sources of few very long documents leave it, is
+covered in units of several words first. Documents are then selected by length
+count, in a seeded order.
 
 Tables by length are as large as the longest text, and one row a source reaches the
 driver; rows of documents stay in narrow distributed tables. A crowded length of a
@@ -74,6 +76,31 @@ def subset_sum(items: list[tuple[int, int]], goal: int) -> dict[int, int]:
     return taken
 
 
+def filled(counts: dict[int, int], extra: dict[int, int], rest: int) -> tuple[int, dict[int, int]]:
+    """How far ``extra`` with further documents comes from ``rest`` words, and the number of each size.
+
+    A remainder that the dynamic program can't cover word by word is first covered in larger units.
+    """
+    extra = dict(extra)
+    while (left := rest - sum(size * n for size, n in extra.items())) > 0:
+        unit = -(-left // (2 * WINDOW))
+        spare: dict[int, list[int]] = {}
+        for size in sorted(counts, reverse=True):
+            if 0 < size <= 2 * left and counts[size] > extra[size] and (units := (size + unit // 2) // unit):
+                spare.setdefault(units, []).append(size)
+        taken = subset_sum([(u, sum(counts[s] - extra[s] for s in of)) for u, of in spare.items()], left // unit)
+        tried = dict(extra)
+        for units, n in taken.items():
+            for size in spare[units]:
+                more = min(n, counts[size] - tried[size])
+                tried[size] += more
+                n -= more
+        if abs(rest - sum(size * n for size, n in tried.items())) >= left:
+            break
+        extra = tried
+    return abs(left), extra
+
+
 def fit(counts: dict[int, int], target: float) -> tuple[int, dict[int, int]]:
     """Copies that every document gets, and how many of each size get one more."""
     total = sum(size * n for size, n in counts.items())
@@ -88,9 +115,11 @@ def fit(counts: dict[int, int], target: float) -> tuple[int, dict[int, int]]:
             more = min(counts[size] - extra[size], max(0, left - WINDOW) // size)
             extra[size] += more
             left -= more * size
-    spare = [(size, counts[size] - extra[size]) for size in sorted(counts, reverse=True) if 0 < size <= 2 * left and counts[size] > extra[size]]
-    for size, n in subset_sum(spare, min(left, 2 * WINDOW)).items():
-        extra[size] += n
+    off, extra = filled(counts, extra, rest)
+    if off > 1:  # few documents but long ones: all of them are open again
+        other = filled(counts, dict.fromkeys(counts, 0), rest)
+        if other[0] < off:
+            extra = other[1]
     return whole, extra
 
 
