@@ -28,8 +28,11 @@ from pyspark.sql import DataFrame
 #: The split pattern of byte-level BPE vocabularies of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_WORD = 2048
-#: Bounds of the tables that a Python worker keeps between batches.
-KEPT_WORDS, KEPT_PAIRS = 250_000, 500_000
+#: Bounds of the tables that a Python worker keeps between batches: bytes of words and their
+#: encodings in each of two generations, and judged pairs of tokens.
+KEPT_BYTES, KEPT_PAIRS = 3_000_000, 400_000
+#: Bytes of words in one trie, and characters of text encoded together.
+TRIE_BYTES, SLICE = 100_000, 1_000_000
 NEVER = 1 << 60
 #: A path's last TAIL bytes say how long a token that ends there can be.
 TAIL, SHORT = 4, (3, 2, 1)
@@ -77,13 +80,19 @@ class Merges:
             sizes.setdefault(raw_token[-TAIL:], set(SHORT)).add(len(raw_token))
         self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
         self.packed = {i: np.array([i], "<u4").tobytes() for i in self.bytes_of}
+        odd = [t["content"] for t in tokenizer.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+        shape = tokenizer.get("pre_tokenizer") or {}
+        if odd or tokenizer.get("normalizer") or (shape.get("type"), shape.get("use_regex", True), shape.get("add_prefix_space")) != ("ByteLevel", True, False):
+            raise ValueError("not a plain byte-level vocabulary file")
         self.special = {t["content"]: t["id"] for t in tokenizer.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[tuple[int, int], bool] = {}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
+        self.known: dict[int, bool] = {}  # by both tokens in one number
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def apart(self, a: int, b: int) -> bool:
         """Whether ``a`` then ``b`` stay two tokens when their bytes are encoded together.
@@ -93,7 +102,7 @@ class Merges:
         inwards; a merge across the boundary that comes before that breaks the pair.
         Equal merges go leftmost first, so the right one must come strictly sooner.
         """
-        if (found := self.known.get((a, b))) is not None:
+        if (found := self.known.get(a << 32 | b)) is not None:
             return found
         x, y, x_until, y_until, fine = a, b, NEVER, NEVER, True
         while fine:
@@ -107,7 +116,7 @@ class Merges:
                 break
         if len(self.known) >= KEPT_PAIRS:
             self.known.clear()
-        self.known[a, b] = fine
+        self.known[a << 32 | b] = fine
         return fine
 
     def step(self, path: bytes, last: list[int], ids: list[bytes]) -> None:
@@ -118,21 +127,33 @@ class Merges:
                 token = self.id_of.get(path[depth - size :])
                 if token is not None:
                     before = depth - size
-                    if not before or self.known.get((last[before], token)) or self.apart(last[before], token):
+                    if not before or self.known.get(last[before] << 32 | token) or self.apart(last[before], token):
                         last[depth], ids[depth] = token, ids[before] + self.packed[token]
                         return
         raise ValueError("the vocabulary lacks a byte")
 
     def words_to_ids(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Encodings of distinct words, by one depth-first walk over their trie."""
+        """Encodings of distinct words; in sorted order, so that words of one trie share their prefixes."""
         found: dict[str, bytes] = {}
-        last, ids = [0] * (LONG_WORD + 1), [b""] * (LONG_WORD + 1)
-        root: dict = {}  # children by byte; at WORD the word that ends here
-        for word in words:
+        held, size = [], 0
+        for word in sorted(words):
             raw = word.encode()
             if len(raw) > LONG_WORD:
                 found[word] = self.long_word(raw)
                 continue
+            held.append((word, raw))
+            size += len(raw)
+            if size >= TRIE_BYTES:
+                self.walk(held, found)
+                held, size = [], 0
+        self.walk(held, found)
+        return found
+
+    def walk(self, words: list[tuple[str, bytes]], found: dict[str, bytes]) -> None:
+        """Adds the encodings of ``words`` to ``found``, by one depth-first walk over their trie."""
+        last, ids = [0] * (LONG_WORD + 1), [b""] * (LONG_WORD + 1)
+        root: dict = {}  # children by byte; at WORD the word that ends here
+        for word, raw in words:
             node = root
             for byte in raw:
                 child = node.get(byte)
@@ -150,7 +171,6 @@ class Merges:
                     found[child] = ids[len(path)]
                 else:
                     walk.append((path + BYTES[byte], child))
-        return found
 
     def long_word(self, raw: bytes) -> bytes:
         """The same walk down a single path, keeping one id a byte."""
@@ -173,12 +193,14 @@ class Merges:
         pieces = [[self.words.findall(p) if not i % 2 else p for i, p in enumerate(of)] for of in parts]
         kept, older = self.kept, self.older
         fresh = {w for of in pieces for p in of[::2] for w in p}.difference(kept)
-        kept.update({w: older[w] for w in fresh.intersection(older)})
-        kept.update(self.words_to_ids(fresh.difference(older)))
+        got = {w: older[w] for w in fresh.intersection(older)}
+        got |= self.words_to_ids(fresh.difference(older))
+        kept |= got
+        self.kept_bytes += sum(len(w) + len(e) for w, e in got.items())
         special = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
         out = [b"".join(b"".join([kept[w] for w in p]) if not i % 2 else special[p] for i, p in enumerate(of)) for of in pieces]
-        if len(kept) > KEPT_WORDS:  # two generations: words in use move to the new one
-            self.kept, self.older = {}, kept
+        if self.kept_bytes > KEPT_BYTES:  # two generations: words in use move to the new one
+            self.kept, self.older, self.kept_bytes = {}, kept, 0
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -189,7 +211,7 @@ class Merges:
 _models: dict[str, Merges] = {}
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows holding about ``most`` characters (one row at least), with their first row; nulls as ''."""
     texts, start, total = [], 0, 0
     for at, value in enumerate(batch.column(column)):
