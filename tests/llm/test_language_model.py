@@ -43,6 +43,7 @@ def test_counts_base_and_gain(spark):
 
 def test_rare_words_go_by_the_table(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 5)
+    monkeypatch.setattr(lm, "TOGETHER", 40)
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % 37}" for j in range(30))) for i in range(60)] + [(None, "w1 Q\x0bq"), (100, None), (101, ""), (102, "x " * 30_000)]
     df = spark.createDataFrame([(*r, "", "") for r in rows], KIND)
     assert shown(lm.scored(df).collect()) == brute(rows)
@@ -56,25 +57,100 @@ def test_without_training_texts(spark):
     assert lm.scored(df.limit(0)).collect() == []
 
 
+def plain_scores(rows):
+    """The model in plain Python: classes by recursion, a dictionary of weights, one token at a time."""
+    counts = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in tokens(t))
+    heads = [b"", *sorted(w for w, n in counts.items() if w and n >= maxent.SEEN)]
+    leaf = lambda w: heads.index(w) if w in heads else len(heads) + zlib.crc32(w[-3:]) % maxent.TAILS
+    mass = [max(counts[w], 0.5) for w in heads] + [0.5] * maxent.TAILS
+    for w, n in counts.items():
+        if w not in heads:
+            mass[leaf(w)] += n + 0.5
+    below = [0.0]
+    for m in mass:
+        below.append(below[-1] + m)
+    found = []
+
+    def split(low, high):
+        middle = next(i for i in range(low, high + 1) if below[i] >= (below[low] + below[high]) / 2)
+        return min(max(middle, low + 1), high - 1)
+
+    level = [(0, len(mass))]  # classes are numbered level by level
+    while level := [c for c in level if c[1] - c[0] > 1]:
+        found += level
+        level = [part for low, high in level for part in ((low, split(low, high)), (split(low, high), high))]
+    number = {c: i for i, c in enumerate(found)}
+    bits, cut = maxent.weight_bits(sum(counts.values())), 0xFFFFFFFF
+
+    def choices(history, at):
+        low, high = 0, len(mass)
+        words = [(history[-k] * 0x9E3779B1 + 1) & cut if len(history) >= k else maxent.BEFORE for k in (1, 2, 3)]
+        while high - low > 1:
+            node, half, places = number[low, high], split(low, high), []
+            for i, template in enumerate(maxent.TEMPLATES):
+                mixed = 0x85EBCA6B * (i + 1) & cut
+                for k in template:
+                    mixed = (mixed ^ words[k - 1]) * 0xC2B2AE35 & cut
+                    mixed ^= mixed >> 15
+                places.append(((mixed ^ ((node + 1) * 0x27D4EB2F & cut)) * 0x9E3779B1 & cut) >> (32 - bits))
+            yield places, at >= half, math.log((below[high] - below[half]) / (below[half] - below[low]))
+            low, high = (half, high) if at >= half else (low, half)
+
+    weights, bend = collections.defaultdict(float), None
+
+    def chance(places, bias):
+        return 1 / (1 + math.exp(-(bias + sum(weights[p] for p in places))))
+
+    for _ in range(lm.ROUNDS):
+        slope, bends = collections.defaultdict(float), collections.defaultdict(float)
+        for i, t in rows:
+            if zlib.crc32(str(i).encode()) % 5 != 1:
+                ids = [leaf(w) for w in tokens(t)]
+                for at, own in enumerate(ids):
+                    for places, side, bias in choices(ids[:at], own):
+                        p = chance(places, bias)
+                        for place in places:
+                            slope[place] += side - p
+                            bends[place] += p * (1 - p)
+        bend = bend or bends
+        for place, g in slope.items():
+            weights[place] += maxent.RATE * g / (bend[place] + maxent.PRIOR)
+    out = {}
+    for i, t in rows:
+        ids, total = [leaf(w) for w in tokens(t)], 0.0
+        for at, (own, w) in enumerate(zip(ids, tokens(t))):
+            for places, side, bias in choices(ids[:at], own):
+                total += math.log10(chance(places, bias) if side else 1 - chance(places, bias))
+            total += math.log10((counts[w] + 0.5) / mass[own]) if w not in heads else 0.0
+        out[i] = total
+    return out
+
+
+def corpus(n=60):
+    rng = np.random.default_rng(4)
+    return [(i, " ".join(f"w{a}" for a in np.minimum(rng.geometric(0.15, 25), 30) + 3 * (i % 3))) for i in range(n)] + [(n, ""), (n + 1, "Odd é words once")]
+
+
+def test_scores_equal_a_plain_version(spark):
+    rows = corpus()
+    found = lm.scored(spark.createDataFrame([(*r, "", "") for r in rows], KIND)).collect()
+    want = plain_scores(rows)
+    assert {r.doc_id: r.score for r in found} == {i: pytest.approx(s, rel=1e-4) for i, s in want.items()}
+
+
+def test_scores_do_not_depend_on_splits(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 200)
+    df = spark.createDataFrame([(*r, "", "") for r in corpus(200)], KIND)
+    one, many = ({r.doc_id: r.score for r in lm.scored(df.repartition(n, "doc_id")).collect()} for n in (1, 9))
+    assert one == {i: pytest.approx(s, rel=1e-5) for i, s in many.items()}
+
+
 def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(5)
     words = [b"", *(f"w{i}".encode() for i in range(40))]
-    counts = np.arange(len(words), 0, -1).astype(float)
-    weights = maxent.letters_clusters(words[1:], counts[1:])
-    rare = [b"rare1", b"rare2"]
-    mass = np.full(maxent.CLUSTERS, 0.5)
-    for c in maxent.by_letters(weights, rare):
-        mass[c] += 1.5
-    v = maxent.Vocabulary(words, counts, weights, mass, int(counts.sum()) + 2, len(words) + 2)
-    _, at, classes, feats, _ = lm.batched(v, [" ".join(w.decode() for w in words[1:] + rare)] * 3)
-    learner = maxent.Learner(maxent.Model().rows)
-    before = learner.of(feats, classes).mean()
-    for _ in range(20):
-        learner.learn(feats, classes)
-    assert learner.of(feats, classes).mean() > before + 0.5
-    per_class = np.exp(learner.logs(feats[:1]))[0]
-    total = sum(per_class[c] * 10**s for c, s in zip(v.classes, v.share))
-    for c, m in enumerate(mass):  # rare words of a cluster and its share for unknown ones fill the class
-        known = sum(1.5 for k in maxent.by_letters(weights, rare) if k == c)
-        total += per_class[maxent.TAIL_CLASS + c] * (known + 0.5) / m
-    empty = set(range(maxent.TAIL_CLASS)) - set(v.classes.tolist())
-    assert total + per_class[sorted(empty)].sum() == pytest.approx(1, abs=1e-5)
+    v = maxent.Vocabulary(words, np.arange(41, 0, -1.0), np.full(maxent.TAILS, 0.5), 900, 50)
+    weights = rng.normal(0, 1, 1 << v.bits).astype(np.float32)
+    leaves = len(words) + maxent.TAILS
+    ids = np.array([x for leaf in range(leaves) for x in (3, 7, leaf)])  # every leaf after the same two words
+    logs = np.concatenate([maxent.token_logs(b, weights) for b in maxent.Batches(v, ids, np.arange(0, len(ids), 3))])
+    assert np.exp(logs[2::3]).sum() == pytest.approx(1, abs=1e-6)

@@ -3,35 +3,38 @@
 1. Words of training texts are counted in each task, then summed by a shuffle.
 2. The frequent head of the vocabulary (``HEAD`` words at most, by a count threshold
    found from a histogram) goes to the tasks; all other counts stay a table.
-3. Each training text is learned from in one of ``ROUNDS`` rounds: tasks take
-   gradient steps from the common rows, and the rows they touched are averaged,
-   weighted by the tokens behind them.
-4. All texts are scored in sparse numpy batches. Words outside the head are joined
+3. Every text is turned into token ids once, kept as a table.
+4. In each of ``ROUNDS`` rounds all training texts give the sums of gradient and
+   curvature of every weight; the sums are added up by blocks of weights and the
+   weights take one step. No text is left out and no order matters.
+5. All texts are scored in sparse numpy batches. Words outside the head are joined
    with their counts, so every count is exact.
 
 Edge cases: a null text counts as empty, and an empty text is one end token; rows
 without an id train; repeated rows train and score as rows of their own; without
-training texts nothing is known and every base probability is 1; an empty table gives no rows.
+training texts nothing is known and every base probability is 1; texts of any length are
+read whole, in batches of tokens; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.bpe import slices
-from weirflow.llm.maxent import BATCH, END_CLASS, TAIL_CLASS, Learner, Model, Vocabulary, by_letters, features, letters_clusters
-from weirflow.llm.storage import located, written
+from weirflow.llm.maxent import ENDING, SEEN, TAILS, Batches, Vocabulary, add_slopes, stepped, token_logs
+from weirflow.llm.storage import located, row_key, written
 
 FOLDS, HELD, ROUNDS = 5, 1, 2
-HEAD, LETTER_WORDS, COUNTED = 1 << 18, 20_000, 300_000
-ROWS = pa.schema([("row", pa.int32()), ("seen", pa.float64()), ("values", pa.list_(pa.float32()))])
+#: Words that all tasks know, words counted before they are passed on, weights in a row of sums,
+#: tokens whose gradient one task sums (fewer tasks send fewer sums), tokens scored together.
+HEAD, COUNTED, BLOCK, TASK_TOKENS, TOGETHER = 1 << 17, 300_000, 4_096, 8_000_000, 200_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -75,159 +78,163 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head of ``counts``, with the totals and the mass of the rest by cluster."""
+    """The head of ``counts``, with the totals and the mass of the rest by tail leaf."""
+    words = counts.where(F.octet_length("word") > 0)
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log2(F.col("n").cast("double")) * 16)).cast("int")
-    bins = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).collect(), reverse=True)
+    bins = sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).collect(), reverse=True)
     held, least = 0, None
     for b in bins:
-        if held + b.words > HEAD:
+        if held + b.words > HEAD or b.least < SEEN:
             break
         held, least = held + b.words, b.least
-    head = counts.where(F.col("n") >= least).collect() if least else []
-    head = sorted(((bytes(r.word), r.n) for r in head), key=lambda x: (-x[1], x[0]))
-    words, numbers = [w for w, _ in head], np.array([n for _, n in head], np.float64)
-    lettered = [(w, n) for w, n in head if w][:LETTER_WORDS]
-    weights = letters_clusters([w for w, _ in lettered], np.array([n for _, n in lettered]))
+    head = words.where(F.col("n") >= least).toArrow() if least else None  # HEAD rows at most
+    pairs = sorted(zip(head.column("word").to_pylist(), head.column("n").to_pylist())) if head else []
+    texts = counts.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    tail = words.where(F.col("n") < least) if least else words
+    leaf = (F.crc32(F.substring("word", -ENDING, ENDING)) % TAILS).cast("int")
+    mass = np.full(TAILS, 0.5)
+    for r in tail.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+        mass[r.leaf] += r.mass
+    tokens, distinct = int(sum(b.n for b in bins)) + texts, sum(b.words for b in bins) + (texts > 0)
+    return Vocabulary([b"", *(w for w, _ in pairs)], np.array([texts, *(n for _, n in pairs)], np.float64), mass, tokens, distinct)
+
+
+def token_table(placed: DataFrame, vocab: Broadcast) -> DataFrame:
+    """For each text its ids, what its head words give, and its other words with their counts."""
+    names = ["doc_id", "file_key", "row_key", "held_out"]
+    entry = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = np.zeros(weights.shape[1])
+        v = vocab.value
+        head = len(v.words)
         for batch in batches:
-            mass += np.bincount(by_letters(weights, batch.column("word").to_pylist()), batch.column("n").to_numpy(zero_copy_only=False) + 0.5, len(mass))
-        yield pa.RecordBatch.from_pydict({"cluster": pa.array(range(len(mass)), pa.int32()), "mass": pa.array(mass)})
-
-    tail = counts.where(F.col("n") < least) if least else counts
-    mass = np.full(weights.shape[1], 0.5)
-    for r in tail.mapInArrow(run, "cluster int, mass double").groupBy("cluster").agg(F.sum("mass").alias("mass")).collect():
-        mass[r.cluster] += r.mass
-    return Vocabulary(words, numbers, weights, mass, int(sum(b.n for b in bins)), sum(b.words for b in bins))
-
-
-def batched(vocab: Vocabulary, texts: list[str]):
-    """Tokens of texts as arrays: words, place in the head or -1, class, features, and where each text begins."""
-    split = [tokens(t) for t in texts]
-    words = [w for s in split for w in s]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    starts = np.cumsum(sizes) - sizes
-    known = vocab.at.get
-    at = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
-    rare = np.nonzero(at < 0)[0]
-    names = list({words[i] for i in rare.tolist()})
-    number = {w: i for i, w in enumerate(names)}
-    which = np.fromiter((number[words[i]] for i in rare.tolist()), np.int64, len(rare))
-    classes = vocab.classes[at] if len(vocab.words) else np.zeros(len(at), np.int64)
-    hashes = vocab.hashes[at].astype(np.int64) if len(vocab.words) else np.zeros(len(at), np.int64)
-    if len(rare):
-        cluster = vocab.clusters(names)
-        kind = np.where(np.array([bool(w) for w in names]), TAIL_CLASS + cluster, END_CLASS)
-        classes[rare] = kind[which]
-        hashes[rare] = np.fromiter(map(zlib.crc32, names), np.int64, len(names))[which]
-    begins = np.arange(len(words)) - np.repeat(starts, sizes)
-    return words, at, classes, features(hashes, begins), starts
-
-
-def learned(texts: DataFrame, vocab, rows: np.ndarray) -> np.ndarray:
-    """The common rows after each task of ``texts`` has learned from them and the touched rows are averaged."""
-    sent = texts.sparkSession.sparkContext.broadcast(rows)
+            for start, some in slices(batch, "text"):
+                sizes, known, base, packed, rare = [], [], [], [], []
+                for text in some:
+                    words = tokens(text)
+                    ids = np.array(v.ids(words), np.int32)
+                    other = Counter(words[i] for i in np.nonzero(ids >= head)[0].tolist())
+                    sizes.append(len(ids))
+                    known.append(int(v.known[ids].sum()))
+                    base.append(float(v.base[ids].sum()))
+                    packed.append(ids.tobytes())
+                    rare.append([{"word": w, "n": n} for w, n in other.items()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k).slice(start, len(some)) for k in names),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(packed, pa.binary()),
+                        pa.array(rare, entry),
+                    ],
+                    [*names, "n_tokens", "n_known", "base", "ids", "rare"],
+                )
+
+    kinds = dict(placed.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", n_tokens long, n_known long, base double, ids binary, rare array<struct<word: binary, n: bigint>>"
+    return placed.select(*names, "text").mapInArrow(run, schema)
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of at least ``TOGETHER`` tokens where there are as many: the rows, their ids one after another, where each begins."""
+    for batch in batches:
+        column, first, held = batch.column("ids"), 0, 0
+        sizes = np.fromiter((len(x.as_buffer()) // 4 for x in column), np.int64, len(column))
+        for at, size in enumerate(sizes.tolist()):
+            held += size
+            if held >= TOGETHER or at == len(sizes) - 1:
+                some = column.slice(first, at + 1 - first)
+                ids = np.frombuffer(b"".join(some.to_pylist()), "<i4")
+                ends = np.cumsum(sizes[first : at + 1])
+                yield batch.slice(first, at + 1 - first), ids, ends - sizes[first : at + 1]
+                first, held = at + 1, 0
+
+
+def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray, bends: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of all weights over all ``texts``, and the curvature if ``bends``."""
+    sent = texts.sparkSession.sparkContext.broadcast(weights)  # 2 ** MOST_BITS weights at most
+    n = len(weights)
+
+    def rows(gradient: np.ndarray, curvature: np.ndarray | None, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g = [x.astype("<f4").tobytes() for x in gradient]
+        h = [x.astype("<f4").tobytes() for x in curvature] if curvature is not None else [None] * len(g)
+        for at in range(0, len(g), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at : at + 64], pa.int32()), pa.array(g[at : at + 64], pa.binary()), pa.array(h[at : at + 64], pa.binary())], ["block", "g", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, held = Learner(sent.value), []
+        gradient, curvature = np.zeros(n), np.zeros(n) if bends else None
+        for _, ids, starts in together(batches):
+            for some in Batches(vocab.value, ids, starts):
+                add_slopes(some, sent.value, gradient, curvature)
+        gradient, curvature = gradient.reshape(-1, BLOCK), curvature.reshape(-1, BLOCK) if bends else None
+        full = np.nonzero(gradient.any(1))[0]
+        yield from rows(gradient[full], curvature[full] if bends else None, full)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, some in slices(batch, "text"):
-                _, _, classes, at, _ = batched(vocab.value, some)
-                held.append((at, classes))
-                if sum(len(c) for _, c in held) >= BATCH:
-                    learner.learn(np.concatenate([a for a, _ in held]), np.concatenate([c for _, c in held]))
-                    held = []
+            for block, g, h in zip(*(batch.column(k).to_pylist() for k in ("block", "g", "h"))):
+                sums = held.setdefault(block, np.zeros((2, BLOCK)))
+                sums[0] += np.frombuffer(g, "<f4")
+                if bends:
+                    sums[1] += np.frombuffer(h, "<f4")
         if held:
-            learner.learn(np.concatenate([a for a, _ in held]), np.concatenate([c for _, c in held]))
-        touched = np.nonzero(learner.seen)[0]
-        for s in range(0, len(touched), 2_000):
-            some = touched[s : s + 2_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(learner.seen[some]), pa.array(list(learner.rows[some]), ROWS.field("values").type)], schema=ROWS)
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(sent.value.shape), np.zeros(len(sent.value))
-        for batch in batches:
-            at, weight = batch.column("row").to_numpy(), batch.column("seen").to_numpy()
-            values = batch.column("values").flatten().to_numpy().reshape(len(at), -1)
-            np.add.at(total, at, values * weight[:, None])
-            np.add.at(seen, at, weight)
-        touched = np.nonzero(seen)[0]
-        if len(touched):
-            mean = (total[touched] / seen[touched, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array(seen[touched]), pa.array(list(mean), ROWS.field("values").type)], schema=ROWS)
-
-    kind = "row int, seen double, values array<float>"
-    means = texts.select("text").mapInArrow(run, kind).repartition("row").mapInArrow(average, kind)
-    rows = rows.copy()
-    for r in means.collect():  # a row a bucket at most, however large the corpus
-        rows[r["row"]] = r["values"]
-    return rows
+            every = np.stack(list(held.values()))
+            yield from rows(every[:, 0], every[:, 1] if bends else None, np.array(list(held)))
+
+    kind = "block int, g binary, h binary"
+    tasks = max(1, -(-vocab.value.tokens // TASK_TOKENS))
+    sums = texts.select("ids").coalesce(tasks).mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
+    gradient, curvature = np.zeros((n // BLOCK, BLOCK)), np.zeros((n // BLOCK, BLOCK))
+    for r in sums.collect():  # a row a block of weights
+        gradient[r.block] = np.frombuffer(r.g, "<f4")
+        if bends:
+            curvature[r.block] = np.frombuffer(r.h, "<f4")
+    return gradient.ravel(), curvature.ravel()
+
+
+def trained(texts: DataFrame, vocab: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights after ``rounds`` steps over all ``texts``."""
+    weights, curvature = np.zeros(1 << vocab.value.bits, np.float32), None
+    for turn in range(rounds):
+        gradient, bends = summed(texts, vocab, weights, turn == 0)
+        curvature = bends if turn == 0 else curvature
+        weights = stepped(weights, gradient, curvature)
+    return weights
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    placed = located(docs, "doc_id", "text")
-    training = placed.where(~held_out(F.col("doc_id")))
-    counts = written(word_counts(training), "lm-counts")
+    placed = located(docs, "doc_id", "text").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), *row_key())
+    counts = written(word_counts(placed.where(~F.col("held_out"))), "lm-counts")
     made = vocabulary(counts)
-    vocab = spark.sparkContext.broadcast(made)
-    rows = Model().rows
-    for turn in range(ROUNDS):
-        part = F.coalesce(F.floor(fold(F.col("doc_id")) / FOLDS) % ROUNDS, F.lit(0))
-        rows = learned(training.where(part == turn), vocab, rows)
-    sent = spark.sparkContext.broadcast(rows)
-    names = ["doc_id", "__file", "__row"]
+    vocab = spark.sparkContext.broadcast(made)  # HEAD words at most
+    table = written(token_table(placed, vocab), "lm-tokens")
+    sent = spark.sparkContext.broadcast(trained(table.where(~F.col("held_out")), vocab))
+    names = ["doc_id", "held_out", "file_key", "row_key", "n_tokens", "n_known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model, log = vocab.value, Model(sent.value), np.log10(vocab.value.tail_mass)
-        for batch in batches:
-            for start, some in slices(batch, "text"):
-                words, at, classes, feats, starts = batched(v, some)
-                rare = at < 0
-                score = model.of(feats, classes) / np.log(10)
-                if len(v.words):
-                    score += np.where(rare, 0, v.share[at])
-                    base = np.where(rare, -np.log10(v.denominator), v.base[at])
-                else:
-                    base = np.full(len(at), -np.log10(v.denominator))
-                tail = rare & (classes >= TAIL_CLASS)
-                score[tail] -= log[classes[tail] - TAIL_CLASS]
-                ends = np.append(starts[1:], len(words))
-                own = [Counter(words[i] for i in (a + np.nonzero(rare[a:b])[0]).tolist()) for a, b in zip(starts.tolist(), ends.tolist())]
-                lost = [list(c.items()) for c in own]
-                entry = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(start, len(some)) for k in names),
-                        pa.array(ends - starts),
-                        pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(score, starts)),
-                        pa.array([[{"word": w, "n": n} for w, n in x if w] for x in lost], entry),
-                    ],
-                    [*names, "n_tokens", "n_known", "base", "score", "rare"],
-                )
-
-    kinds = dict(placed.dtypes)
-    first = placed.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: bigint>>")
-    first = written(first, "lm-scores")
-    key = [F.xxhash64("__file").alias("f"), F.col("__row").alias("r")]
-    rare = first.select(*key, F.explode("rare").alias("x")).select("f", "r", "x.word", F.col("x.n").alias("times"))
-    found = rare.join(counts, "word", "left").groupBy("f", "r").agg(
+        v = vocab.value
+        share = np.append(np.zeros(len(v.words)), -np.log10(v.tail_mass))
+        for batch, ids, starts in together(batches):
+            logs = np.concatenate([token_logs(some, sent.value) for some in Batches(v, ids, starts)]) / np.log(10) + share[ids]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(np.add.reduceat(logs, starts))], [*names, "score"])
+
+    kinds = dict(table.dtypes)
+    whole = table.select(*names, "ids").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", score double")
+    rare = table.select("file_key", "row_key", F.explode("rare").alias("x")).select("file_key", "row_key", "x.word", F.col("x.n").alias("times"))
+    found = rare.join(counts, "word", "left").groupBy("file_key", "row_key").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more")
     )
-    whole = first.select("doc_id", *key, "n_tokens", "n_known", "base", "score").join(found, ["f", "r"], "left")
     more = F.coalesce("more", F.lit(0.0))
-    # without training texts the end is unknown too, and has the whole base probability of one
-    unknown_end = F.lit(0.0 if made.tokens else float(np.log10(0.5)))
-    return whole.select(
+    return whole.join(found, ["file_key", "row_key"], "left").select(
         "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(made.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more + unknown_end).alias("base_score"),
+        (F.col("base") + more).alias("base_score"),
         (F.col("score") + more).alias("score"),
     )

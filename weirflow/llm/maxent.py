@@ -1,158 +1,171 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-A token's probability is that of its class, given the tokens before it, times its
-share of the class. Classes: each of the most frequent words and the end of text
-alone; other frequent words by a cluster of their letters; and, with clusters of
-their own, all rarer and unknown words. The class distribution is a softmax over the
-sum of hashed feature rows: the last word, the last two, and the words two and three
-back (skips). Shares are smoothed relative counts over all training tokens.
-
-``Vocabulary`` is built from exact counts of a bounded head of the vocabulary; the
-feature rows have a fixed number of buckets. So what is sent to tasks is bounded;
-the counts of all other words stay in a distributed table.
+Classes are nested: all words form one class, a class falls into two classes of about
+equal count until single words are left. A token's probability is the product of the
+choices on the way to its word, and each choice is a two-way softmax over hashed
+feature weights of its own: of the last word, the last two, and the words two and three
+back (skips). The bias of a choice is fixed by the counts, so the model without
+features is the unigram model.
+
+Words seen fewer than ``SEEN`` times, those beyond a bounded head of the vocabulary and
+unknown ones are leaves by the hash of their last letters; within such a leaf a word has
+the share of its smoothed count, which stays in a distributed table.
+
+Weights are trained by full gradients: each round adds ``gradient / (curvature + PRIOR)``
+of all training tokens, so the result depends on no order and no split of the input; the curvature is that of the first round.
+Their number grows with the training tokens, up to 2^``MOST_BITS``, since they are sent to all tasks.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
-ALONE, CLUSTERS, BUCKETS = 16, 16, 4_096
-GRAMS = 4_096
 #: Feature templates: how many tokens back the words lie that make a feature.
 TEMPLATES = ((1,), (1, 2), (2,), (3,))
-CLASSES = ALONE + 1 + 2 * CLUSTERS
-END_CLASS, HEAD_CLASS, TAIL_CLASS = ALONE, ALONE + 1, ALONE + 1 + CLUSTERS
-BATCH, RATE = 8_192, 0.5
-#: Hash of what stands before a text.
+SEEN, TAILS, ENDING = 3, 64, 3
+LEAST_BITS, MOST_BITS, TOKENS_A_WEIGHT = 16, 21, 2
+PRIOR, RATE = 2.0, 0.5
+#: Tokens whose choices are held at once.
+BATCH = 16_384
 BEFORE = 0x51ED270B
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed letter trigrams of each word with its ends marked: buckets, and where each word begins."""
-    raw = np.frombuffer(b"".join(b"\x01" + w[:24] + b"\x02" for w in words), np.uint8).astype(np.int64)
-    sizes = np.fromiter((min(24, len(w)) for w in words), np.int64, len(words))
-    at = np.cumsum(sizes + 2) - (sizes + 2)
-    first = np.repeat(at, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    codes = (raw[first] * 66_361 + raw[first + 1] * 8_191 + raw[first + 2] * 131) % GRAMS
-    return codes, np.cumsum(sizes) - sizes
+def weight_bits(tokens: int) -> int:
+    """Bits of the number of weights for so many training tokens."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, tokens) // TOKENS_A_WEIGHT).bit_length()))
+
+
+def tail_of(word: bytes) -> int:
+    """The leaf of a word outside the head."""
+    return zlib.crc32(word[-ENDING:]) % TAILS
+
+
+def nested(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes over leaves in their order: where each leaf's path begins in ``nodes`` and ``sides``, and the bias of each node."""
+    n = len(weights)
+    total = np.concatenate([[0.0], np.cumsum(weights)])
+    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    node = 0
+    leaves, nodes, sides, biases = [], [], [], []
+    while True:
+        open_ = high - low > 1
+        low, high = low[open_], high[open_]
+        if not len(low):
+            break
+        half = np.clip(np.searchsorted(total, (total[low] + total[high]) / 2), low + 1, high - 1)
+        left, right = total[half] - total[low], total[high] - total[half]
+        biases.append(np.log(right / left))
+        sizes = high - low
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) - np.repeat(first - low, sizes)
+        leaves.append(at)
+        nodes.append(np.repeat(node + np.arange(len(low)), sizes))
+        sides.append(at >= np.repeat(half, sizes))
+        node += len(low)
+        low, high = np.stack([low, half], 1).ravel(), np.stack([half, high], 1).ravel()
+    if not leaves:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool), np.zeros(0, np.float32)
+    leaf = np.concatenate(leaves)
+    order = np.argsort(leaf, kind="stable")  # of one leaf the outer classes first
+    starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))])
+    return starts, np.concatenate(nodes)[order].astype(np.uint32), np.concatenate(sides)[order], np.concatenate(biases).astype(np.float32)
 
 
 @dataclass
 class Vocabulary:
-    """The head of the vocabulary, by falling count, with what scoring needs of each word; b"" is the end of a text."""
+    """The head of the vocabulary (``b""`` is the end of a text), with what scoring needs of it; leaf numbers are the ids of tokens."""
 
     words: list[bytes]
     counts: np.ndarray
-    weights: np.ndarray  # letter trigram bucket by cluster
-    tail_mass: np.ndarray  # by cluster: smoothed counts of the words outside the head and of unknown ones
+    tail_mass: np.ndarray  # by tail leaf: smoothed counts of its words and of one unknown word
     tokens: int  # N
     distinct: int  # V
+    at: dict[bytes, int] = field(init=False)
 
     def __post_init__(self) -> None:
         self.at = {w: i for i, w in enumerate(self.words)}
-        self.hashes = np.fromiter(map(zlib.crc32, self.words), np.uint32, len(self.words))
-        self.classes = HEAD_CLASS + self.clusters(self.words)
-        plain = [i for i, w in enumerate(self.words) if w][:ALONE]
-        self.classes[plain] = np.arange(len(plain))
-        if b"" in self.at:
-            self.classes[self.at[b""]] = END_CLASS
-        mass = np.bincount(self.classes, self.counts, CLASSES)
         self.denominator = self.tokens + 0.5 * (self.distinct + 1)
-        self.base = np.log10((self.counts + 0.5) / self.denominator)
-        self.share = np.log10(self.counts / mass[self.classes])
-
-    def clusters(self, words: list[bytes]) -> np.ndarray:
-        """The cluster of each word by its letters."""
-        return by_letters(self.weights, words)
-
-
-def by_letters(weights: np.ndarray, words: list[bytes]) -> np.ndarray:
-    out = [np.zeros(0, np.int64)]
-    for at in range(0, len(words), 50_000):
-        some = [w or b" " for w in words[at : at + 50_000]]
-        codes, starts = grams(some)
-        out.append(np.add.reduceat(weights[codes], starts, 0).argmax(1))
-    return np.concatenate(out)
-
-
-def letters_clusters(words: list[bytes], counts: np.ndarray, rounds: int = 12, seed: int = 2) -> np.ndarray:
-    """Weights of letter trigrams by cluster, from a hard-assignment multinomial mixture over the words."""
-    if not words:
-        return np.zeros((GRAMS, CLUSTERS), np.float32)
-    rng = np.random.default_rng(seed)
-    codes, starts = grams(words)
-    sizes = np.diff(np.append(starts, len(codes)))
-    mass = np.sqrt(counts)
-    of = rng.integers(0, CLUSTERS, len(words))
-    weights = np.zeros((GRAMS, CLUSTERS))
-    for _ in range(rounds):
-        table = np.full((GRAMS, CLUSTERS), 0.05)
-        np.add.at(table, (codes, np.repeat(of, sizes)), np.repeat(mass, sizes))
-        weights = np.log(table / table.sum(0))
-        of = np.add.reduceat(weights[codes], starts, 0).argmax(1)
-    return weights.astype(np.float32)
-
-
-def features(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Feature rows (one column a template) for every token; ``begins`` holds each token's distance from its text's start."""
-    n, columns = len(hashes), []
-    back = {k: np.where(begins >= k, np.concatenate([np.full(k, BEFORE), hashes[: n - k] if n > k else hashes[:0]])[:n], BEFORE) for k in (1, 2, 3)}
+        self.base = np.append(np.log10((self.counts + 0.5) / self.denominator), np.full(TAILS, -np.log10(self.denominator)))
+        self.known = np.append(self.counts > 0, np.zeros(TAILS, bool))
+        # an end without training texts still needs a share
+        self.starts, self.nodes, self.sides, self.biases = nested(np.append(np.maximum(self.counts, 0.5), self.tail_mass))
+        self.bits = weight_bits(self.tokens)
+
+    def ids(self, words: list[bytes]) -> list[int]:
+        known, head = self.at.get, len(self.words)
+        return [i if (i := known(w, -1)) >= 0 else head + tail_of(w) for w in words]
+
+
+def features(ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """A hash for each template and token; ``begins`` holds each token's distance from its text's start."""
+    n, out = len(ids), []
+    back = {}
+    for k in (1, 2, 3):
+        back[k] = np.full(n, BEFORE, np.uint32)
+        back[k][k:] = np.where(begins[k:] >= k, ids[: max(0, n - k)].astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(1), np.uint32(BEFORE))
     for i, template in enumerate(TEMPLATES):
-        mixed = np.full(n, i + 1, np.uint64)
+        mixed = np.full(n, 0x85EBCA6B * (i + 1) & 0xFFFFFFFF, np.uint32)
         for k in template:
-            mixed = (mixed * np.uint64(0x9E3779B97F4A7C15) + back[k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(31)
-        columns.append((mixed % np.uint64(BUCKETS)).astype(np.int64) + i * BUCKETS)
-    return np.stack(columns, 1)
-
-
-class Model:
-    """Feature rows; the last row is the bias."""
-
-    def __init__(self, rows: np.ndarray | None = None) -> None:
-        self.rows = rows if rows is not None else np.zeros((len(TEMPLATES) * BUCKETS + 1, CLASSES), np.float32)
-
-    def logs(self, at: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of all classes for each token's features."""
-        z = self.rows[at[:, 0]]
-        for k in range(1, at.shape[1]):
-            z += self.rows[at[:, k]]
-        z += self.rows[-1]
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def of(self, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural log probability of each token's class."""
-        out = np.empty(len(at))
-        for s in range(0, len(at), BATCH):
-            part = classes[s : s + BATCH]
-            out[s : s + BATCH] = self.logs(at[s : s + BATCH])[np.arange(len(part)), part]
-        return out
-
-
-class Learner(Model):
-    """Adaptive gradient steps over minibatches; ``seen`` counts the tokens behind each row."""
-
-    def __init__(self, rows: np.ndarray) -> None:
-        super().__init__(rows.copy())
-        self.squares = np.full(len(rows), 1.0, np.float32)
-        self.seen = np.zeros(len(rows))
-
-    def learn(self, at: np.ndarray, classes: np.ndarray) -> None:
-        for s in range(0, len(at), BATCH):
-            f, y = at[s : s + BATCH], classes[s : s + BATCH]
-            g = np.exp(self.logs(f))
-            g[np.arange(len(y)), y] -= 1
-            for k in range(f.shape[1]):
-                order = np.argsort(f[:, k], kind="stable")
-                rows, first, times = np.unique(f[order, k], return_index=True, return_counts=True)
-                self.step(rows, np.add.reduceat(g[order], first, 0), times)
-            self.step(np.array([len(self.rows) - 1]), g.sum(0, keepdims=True), np.array([len(y)]))
-
-    def step(self, rows: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
-        self.squares[rows] += (g * g).mean(1)
-        self.rows[rows] -= (RATE / np.sqrt(self.squares[rows]))[:, None] * g
-        self.seen[rows] += times
+            mixed = (mixed ^ back[k]) * np.uint32(0xC2B2AE35)
+            mixed ^= mixed >> np.uint32(15)
+        out.append(mixed)
+    return out
+
+
+class Batches:
+    """The choices of tokens in bounded batches; ``ids`` are whole texts one after another, ``starts`` where each begins."""
+
+    def __init__(self, vocab: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> None:
+        self.vocab, self.ids = vocab, ids
+        sizes = np.diff(np.append(starts, len(ids)))
+        self.hashes = features(ids, np.arange(len(ids)) - np.repeat(starts, sizes))
+
+    def __iter__(self):
+        """First token, path lengths, sides, biases and weight places (an array a template) of each batch."""
+        v, shift = self.vocab, np.uint32(32 - self.vocab.bits)
+        for at in range(0, len(self.ids), BATCH):
+            ids = self.ids[at : at + BATCH]
+            first, sizes = v.starts[ids], v.starts[ids + 1] - v.starts[ids]
+            ends = np.cumsum(sizes)
+            of = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+            nodes = v.nodes[of]
+            salt = (nodes + np.uint32(1)) * np.uint32(0x27D4EB2F)
+            places = [((np.repeat(h[at : at + BATCH], sizes) ^ salt) * np.uint32(0x9E3779B1) >> shift).astype(np.int64) for h in self.hashes]
+            yield at, sizes, v.sides[of], v.biases[nodes], places
+
+
+def chances(batch: tuple, weights: np.ndarray) -> np.ndarray:
+    """For each choice of a batch the probability of its second class."""
+    _, _, _, z, places = batch
+    z = z.copy()
+    for p in places:
+        z += weights.take(p)
+    return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
+
+
+def add_slopes(batch: tuple, weights: np.ndarray, gradient: np.ndarray, curvature: np.ndarray | None) -> None:
+    """Adds the gradient, and the curvature if wanted, of the choices of a batch."""
+    chance = chances(batch, weights)
+    step = (batch[2] - chance).astype(np.float64)
+    bend = (chance * (1 - chance)).astype(np.float64)
+    for p in batch[4]:
+        np.add.at(gradient, p, step)
+        if curvature is not None:
+            np.add.at(curvature, p, bend)
+
+
+def token_logs(batch: tuple, weights: np.ndarray) -> np.ndarray:
+    """The natural log probability of each token's leaf."""
+    _, sizes, sides, _, _ = batch
+    chance = chances(batch, weights).astype(np.float64)
+    taken = np.append(np.where(sides, chance, 1 - chance), 1.0)
+    first = np.cumsum(sizes) - sizes
+    return np.where(sizes > 0, np.log(np.multiply.reduceat(taken, first)), 0.0)
+
+
+def stepped(weights: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+    """The weights after one round; the curvature is that of the first round in all."""
+    return (weights + RATE * gradient / (curvature + PRIOR)).astype(np.float32)
