@@ -10,24 +10,46 @@ from weirflow.llm import toxicity
 KIND = "doc_id long, text string, score double"
 
 
-def brute_kernel(s, t):
-    def features(x):
-        out = {}
-        for i, j, k in itertools.combinations(range(len(x)), 3):
-            if k - i <= sk.SPAN:
-                out[x[i] + x[j] + x[k]] = out.get(x[i] + x[j] + x[k], 0) + sk.DECAY ** (k - i - 2)
-        norm = sum(sk.DECAY ** (2 * (k - i - 2)) for i, j, k in itertools.combinations(range(len(x)), 3) if k - i <= sk.SPAN) ** 0.5
-        return out, norm
+def brute_features(window):
+    out = {}
+    for i, j, k in itertools.combinations(range(len(window)), 3):
+        if k - i <= sk.SPAN and i < sk.WINDOW:
+            out[window[i] + window[j] + window[k]] = out.get(window[i] + window[j] + window[k], 0) + sk.DECAY ** (k - i - 2)
+    return out
+
 
-    (a, m), (b, n) = features(s), features(t)
-    return sum(v * b.get(u, 0) for u, v in a.items()) / (m * n)
+def brute_kernel(s, t):
+    norm = sk.WINDOW * sum(sk.DECAY ** (2 * (b - 2)) for b in range(2, sk.SPAN + 1) for a in range(1, b))
+    a, b = brute_features(s), brute_features(t)
+    return sum(v * b.get(u, 0) for u, v in a.items()) / norm
 
 
 def test_kernel_equals_its_definition():
-    words = ["banana", "bandana", "xyz", "nabana", "aab"]
-    for s in words:
-        got = sk.project(words, sk.feature(s))
-        assert np.allclose(got, [brute_kernel(s, t) for t in words])
+    windows = ["banana", "bandana ban", "xyz", "nabana", "aab", "a longer window"]
+    for s in windows:
+        got = sk.Prepared(windows).times(sk.feature(s))
+        assert np.allclose(got, [brute_kernel(s, t) for t in windows])
+
+
+def test_decision_equals_the_sum_over_landmarks():
+    marks, rng = ["dumb cluck ab", "banana bread x", "hello there ok"], np.random.default_rng(1)
+    features = sk.Nystroem(marks)
+    w = rng.normal(size=features.root.shape[1])
+    shares = features.root @ w
+    texts = ["Hello, dumb-cluck! Banana\nbread there", "", "..!", "ok", "d u m b c l u c k " * 3, "Dumb. " * 500]
+    want = []
+    for text in texts:
+        values = [sum(c * brute_kernel(m, line[i : i + sk.REACH]) for c, m in zip(shares, marks)) for line in sk.sentences(text).split("\n") for i in range(len(line))]
+        want.append(max(values, default=sk.NONE))
+    assert np.allclose(sk.strongest(texts, features.table(w)), want, atol=1e-5)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    table = np.random.default_rng(2).normal(size=1 << sk.BITS).astype(np.float32)
+    text = " ".join("".join(np.random.default_rng(i).choice(list("abcdé"), 7)) for i in range(300))
+    whole = sk.strongest([text, "ab cd"], table)
+    monkeypatch.setattr(sk, "PART", 100)
+    assert np.allclose(sk.strongest([text, "ab cd"], table), whole, atol=1e-5)
 
 
 def corpus(spark):

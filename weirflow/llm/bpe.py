@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from weirflow.llm.storage import for_python
+
 #: The split pattern of byte-level BPE vocabularies of this kind.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_WORD = 2048
@@ -68,10 +70,10 @@ class Merges:
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.made_at = dict.fromkeys(self.bytes_of, -1)
         self.halves: dict[int, tuple[int, int]] = {}
-        self.merge_at: dict[tuple[int, int], int] = {}
+        self.merge_at: dict[int, int] = {}  # by both halves in one number
         for at, pair in enumerate(merges):
             left, right = (self.id_of[raw(s)] for s in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merge_at[left, right] = at
+            self.merge_at[left << 32 | right] = at
             token = self.id_of[self.bytes_of[left] + self.bytes_of[right]]
             if self.made_at[token] < 0:
                 self.made_at[token], self.halves[token] = at, (left, right)
@@ -106,7 +108,7 @@ class Merges:
             return found
         x, y, x_until, y_until, fine = a, b, NEVER, NEVER, True
         while fine:
-            at = self.merge_at.get((x, y), NEVER)
+            at = self.merge_at.get(x << 32 | y, NEVER)
             fine = at == NEVER or at >= x_until or at > y_until
             if self.made_at[x] > self.made_at[y]:
                 x_until, x = self.made_at[x], self.halves[x][1]
@@ -257,4 +259,4 @@ def encoded(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_toke
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{o} {DDL[o]}" for o in outputs])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return for_python(docs.select(*keep, "text")).mapInArrow(run, schema)

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from weirflow.llm.bpe import slices
 from weirflow.llm.maxent import ENDING, SEEN, TAILS, Batches, Vocabulary, add_slopes, stepped, token_logs
 from weirflow.llm.storage import located, row_key, written
+from weirflow.llm.sums import array_sums
 
 FOLDS, HELD, ROUNDS = 5, 1, 2
-#: Words that all tasks know, words counted before they are passed on, weights in a row of sums,
-#: tokens whose gradient one task sums (fewer tasks send fewer sums), tokens scored together.
-HEAD, COUNTED, BLOCK, TASK_TOKENS, TOGETHER = 1 << 17, 300_000, 4_096, 8_000_000, 200_000
+#: Words that all tasks know, words counted before they are passed on, tokens whose gradient one task sums (fewer tasks send fewer sums), tokens scored together.
+HEAD, COUNTED, TASK_TOKENS, TOGETHER = 1 << 17, 300_000, 8_000_000, 200_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -151,56 +151,28 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 first, held = at + 1, 0
 
 
-def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray, bends: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The gradient of all weights over all ``texts``, and the curvature if ``bends``."""
+def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray, bends: bool) -> np.ndarray:
+    """The gradient of all weights over all ``texts``, and then the curvature if ``bends``."""
     sent = texts.sparkSession.sparkContext.broadcast(weights)  # 2 ** MOST_BITS weights at most
-    n = len(weights)
 
-    def rows(gradient: np.ndarray, curvature: np.ndarray | None, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
-        g = [x.astype("<f4").tobytes() for x in gradient]
-        h = [x.astype("<f4").tobytes() for x in curvature] if curvature is not None else [None] * len(g)
-        for at in range(0, len(g), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[at : at + 64], pa.int32()), pa.array(g[at : at + 64], pa.binary()), pa.array(h[at : at + 64], pa.binary())], ["block", "g", "h"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gradient, curvature = np.zeros(n), np.zeros(n) if bends else None
+    def slopes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((1 + bends, len(sent.value)))
         for _, ids, starts in together(batches):
             for some in Batches(vocab.value, ids, starts):
-                add_slopes(some, sent.value, gradient, curvature)
-        gradient, curvature = gradient.reshape(-1, BLOCK), curvature.reshape(-1, BLOCK) if bends else None
-        full = np.nonzero(gradient.any(1))[0]
-        yield from rows(gradient[full], curvature[full] if bends else None, full)
+                add_slopes(some, sent.value, out[0], out[1] if bends else None)
+        return out
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, g, h in zip(*(batch.column(k).to_pylist() for k in ("block", "g", "h"))):
-                sums = held.setdefault(block, np.zeros((2, BLOCK)))
-                sums[0] += np.frombuffer(g, "<f4")
-                if bends:
-                    sums[1] += np.frombuffer(h, "<f4")
-        if held:
-            every = np.stack(list(held.values()))
-            yield from rows(every[:, 0], every[:, 1] if bends else None, np.array(list(held)))
-
-    kind = "block int, g binary, h binary"
     tasks = max(1, -(-vocab.value.tokens // TASK_TOKENS))
-    sums = texts.select("ids").coalesce(tasks).mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
-    gradient, curvature = np.zeros((n // BLOCK, BLOCK)), np.zeros((n // BLOCK, BLOCK))
-    for r in sums.collect():  # a row a block of weights
-        gradient[r.block] = np.frombuffer(r.g, "<f4")
-        if bends:
-            curvature[r.block] = np.frombuffer(r.h, "<f4")
-    return gradient.ravel(), curvature.ravel()
+    return array_sums(texts.select("ids").coalesce(tasks), slopes, 1 + bends, len(weights))
 
 
 def trained(texts: DataFrame, vocab: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
     """The weights after ``rounds`` steps over all ``texts``."""
     weights, curvature = np.zeros(1 << vocab.value.bits, np.float32), None
     for turn in range(rounds):
-        gradient, bends = summed(texts, vocab, weights, turn == 0)
-        curvature = bends if turn == 0 else curvature
-        weights = stepped(weights, gradient, curvature)
+        sums = summed(texts, vocab, weights, turn == 0)
+        curvature = sums[1] if turn == 0 else curvature
+        weights = stepped(weights, sums[0], curvature)
     return weights
 
 

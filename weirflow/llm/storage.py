@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast up to this many rows, and only when its rows have a bounded width.
 BROADCAST_ROWS = 200_000
+#: Rows of texts that pass to Python at once, where the session doesn't say.
+TEXT_ROWS, BATCH_ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -48,6 +50,18 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def for_python(texts: DataFrame) -> DataFrame:
+    """``texts``, in a session whose Arrow batches are small enough for long texts.
+
+    A session that sets their size keeps it; the default is made for short rows, and a
+    batch of texts lies in memory several times, in the executor and in its worker.
+    """
+    conf = texts.sparkSession.conf
+    if conf.get(BATCH_ROWS, None) is None:
+        conf.set(BATCH_ROWS, TEXT_ROWS)
+    return texts
+
+
 def as_scan(docs: DataFrame) -> DataFrame:
     """``docs`` if it scans Parquet files, else the same rows written as a table."""
     try:
@@ -64,7 +78,7 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
     repeated. A DataFrame that isn't a file scan is first written as a table.
     """
     place = (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return as_scan(docs).select(*columns, *place)
+    return for_python(as_scan(docs)).select(*columns, *place)
 
 
 def row_key() -> list[Column]:

@@ -1,27 +1,32 @@
 """Toxicity of whole texts by a subsequence string-kernel SVM with Nyström landmarks.
 
-Training takes at most ``TRAIN`` labelled rows of each class, those first in a seeded
-order of ids, texts that repeat counted once. Words of more toxic and fewer clean texts
-than chance allows, without those that are merely shared by near copies of one text, train
-the machine of ``string_kernel`` against frequent and rare words of clean texts,
-then again with the clean words that the first machine takes for toxic. A text scores by its strongest word; a logistic curve fitted on
-the same rows turns that into a probability.
-
-A word is what stands between white space, lower-cased and stripped of all but
-letters, so that inserted signs vanish; inserted letters are bridged by the kernel's
-gaps; letters written apart (``x y z``) are joined. Long words count by windows.
+Training takes at most ``TRAIN`` labelled texts of each class, those first in a seeded
+order of ids, texts that repeat counted once. A sentence has the label of its text, but
+a toxic text has clean sentences too; so the machine learns by rounds which windows
+of sentences stand for them:
+
+1. A first table weighs each hashed subsequence by how much more toxic texts hold it
+   than clean ones (the statistic of two shares, less ``NOISE``).
+2. In each of ``ROUNDS`` rounds the table picks the strongest window of every sentence;
+   the ``TOXIC_SENTENCES`` strongest sentences of a toxic text and the
+   ``CLEAN_SENTENCES`` strongest of a clean one are trained on. Landmarks are chosen among their
+   windows, and a squared-hinge SVM on the Nyström features is fitted by Newton steps
+   whose sums run over all of these sentences in Spark tasks. It folds into the next table.
+
+A text scores by its strongest window; a logistic curve fitted on the same texts turns
+that into a probability. Inserted letters and blanks are bridged by the kernel's gaps,
+inserted signs vanish, and letters written apart (``x y z``) are joined.
 Neither label, language, source nor id enters a score.
 
 Edge cases: null and empty texts, and texts without letters, score by the curve's low
 end; unlabelled, null-id and held-out rows are never trained on; of several labels of
 one id the largest holds; if the training rows lack a class, every score is their rate
-of label 1 (0 without any); an empty table gives no rows; texts of any length are read whole.
+of label 1 (0 without any); an empty table gives no rows; texts of any length are read
+whole, with or without white space.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.string_kernel import WINDOW, fit, landmarks, project, windows
-from weirflow.llm.storage import written
+from weirflow.llm.storage import for_python, written
+from weirflow.llm.string_kernel import BITS, NONE, Nystroem, best_windows, codes, landmarks, sentences, strongest, subsequences
+from weirflow.llm.sums import array_sums
 
-#: Labelled rows of each class, words that the machine is trained on, landmarks.
-TRAIN, CANDIDATES, CLEAN_WORDS, MARKS = 3_000, 2_000, 20_000, 96
-HARD_WORDS, ALIKE, CROWD = 2_000, 0.6, 12
+#: Labelled rows of each class that are trained on, and the tasks that read them.
+TRAIN, LEARNERS = 3_000, 8
+ROUNDS, NEWTON, MARKS = 2, 6, 96
+TOXIC_SENTENCES, CLEAN_SENTENCES, NOISE, PENALTY = 2, 8, 4.0, 2e-4
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-#: Strongest-word value of a text without words.
+#: Strongest value of a text without letters.
 LOW = -2.0
-KEPT_WORDS = 300_000
-APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, held: int = HELD) -> Column:
@@ -56,44 +61,13 @@ class Machine:
     slope: float = 0.0
     shift: float = -30.0
 
-    def __post_init__(self) -> None:
-        self.kept: dict[str, float] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}}
-
-    def learn(self, words: set[str]) -> None:
-        parts, owner = [], []
-        fresh = [w for w in words if w not in self.kept]
-        for w in fresh:
-            letters = w if w.isalpha() else "".join(filter(str.isalpha, w))
-            if len(letters) > 2:
-                parts += (own := windows(letters))
-                owner += [w] * len(own)
-            else:
-                self.kept[w] = LOW
-        if parts:
-            for w, value in zip(owner, (project(parts, self.table) + self.offset).tolist()):
-                self.kept[w] = max(value, self.kept.get(w, LOW))
-
-    def strongest(self, texts: list[str]) -> list[float]:
-        """The value of each text's strongest word."""
+    def values(self, texts: list[str]) -> list[float]:
         if self.table is None:
             return [LOW] * len(texts)
-        split = []
-        for text in texts:
-            text = text.lower()
-            words = set(text.split())
-            if sum(len(w) == 1 for w in words) > 2:
-                words.update("".join(m.group().split()) for m in APART.finditer(text))
-            split.append(words)
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        self.learn(set().union(*split))
-        return [max(map(self.kept.__getitem__, words), default=LOW) for words in split]
-
-    def probability(self, strongest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * strongest + self.shift, -30, 30)))
+        return [LOW if v == NONE else max(LOW, v + self.offset) for v in strongest(texts, self.table)]
+
+    def probability(self, values: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -107,128 +81,126 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def surprising(n1: int, n0: int, rate: float, words: int) -> bool:
-    """Whether so many toxic among its texts are too many for chance, given how many words there are."""
-    n = n1 + n0
-    tail = sum(math.comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(n1, n + 1))
-    return tail * words < 0.05
+def first_table(texts: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """By hashed subsequence, how surely toxic texts hold it more often than clean ones."""
 
+    def held(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((2, 1 << BITS))
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+                lines = codes(sentences(text.as_py() or ""))
+                ends = np.minimum.accumulate(np.where(lines == 10, np.arange(len(lines)), len(lines))[::-1])[::-1]
+                seen = np.zeros(1 << BITS, bool)
+                for _, at, weight in subsequences(lines, ends - np.arange(len(lines))):
+                    seen[at[weight > 0]] = True
+                out[label] += seen
+        return out
 
-def by_word(docs: DataFrame) -> DataFrame:
-    """``word``, ``doc_id`` and ``toxic`` of each distinct word of letters of a text."""
+    n0, n1 = array_sums(texts.select("text", "toxic"), held, 2, 1 << BITS)
+    share = (n0 + n1) / (toxic + clean)
+    spread = np.sqrt(np.maximum(share * (1 - share) * (1 / toxic + 1 / clean), 1e-12))
+    return np.maximum((n1 / toxic - n0 / clean) / spread - NOISE, 0).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, toxic in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                words = {"".join(filter(str.isalpha, w)) for w in (text or "").lower().split()}
-                words = [w for w in words if 2 < len(w) <= 4 * WINDOW]
-                yield pa.RecordBatch.from_pydict({"word": words, "doc_id": [doc_id] * len(words), "toxic": [toxic] * len(words)}, pa.schema([("word", pa.string()), ("doc_id", pa.int64()), ("toxic", pa.int32())]))
-
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(run, "word string, doc_id long, toxic int")
-
-
-def telling(rows: list) -> list[str]:
-    """Words of toxic texts without those that only a text and its near copies hold.
-
-    Such words come in crowds, all in the same texts: one with ``CROWD`` others in
-    nearly the same texts doesn't tell.
-    """
-    if not rows:
-        return []
-    ids = {d: i for i, d in enumerate(sorted({d for r in rows for d in r.docs}))}
-    held = np.zeros((len(rows), len(ids)), np.float32)
-    for i, r in enumerate(rows):
-        held[i, [ids[d] for d in r.docs]] = 1
-    sizes, picked = held.sum(1), []
-    for at in range(0, len(rows), 256):
-        both = held[at : at + 256] @ held.T
-        alike = (both >= ALIKE * (sizes[at : at + 256, None] + sizes[None] - both)).sum(1) - 1
-        picked += [rows[at + i].word for i in np.nonzero(alike < CROWD)[0]]
-    return picked
-
-
-def machine_for(toxic: list[str], clean: list[str], hard: list[str] = ()) -> tuple[np.ndarray, float]:
-    """Table and offset trained on words; toxic, clean and hard clean ones weigh the same as groups."""
-    groups = [(1.0, [w[:WINDOW] for w in toxic]), (-1.0, [p for w in clean for p in windows(w)]), (-1.0, [p for w in hard for p in windows(w)])]
-    marks = [m for (_, g), most in zip(groups, (MARKS, MARKS // 2, MARKS // 2)) if g for m in landmarks(g[:: max(1, len(g) // 2000)], most)]
-    labels = np.concatenate([np.full(len(g), label) for label, g in groups])
-    weights = np.concatenate([np.full(len(g), 1 / max(1, len(g))) for _, g in groups])
-    return fit([w for _, g in groups for w in g], labels, weights, list(dict.fromkeys(marks)))
-
-
-def word_values(words: DataFrame, machine: Machine) -> DataFrame:
-    """``word`` and its ``value``."""
-    sent = words.sparkSession.sparkContext.broadcast(machine)
+
+def picked(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """``window`` and ``toxic`` of the sentences of ``texts`` that are trained on."""
+    sent = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("word")
-            values = pa.array(sent.value.strongest(column.to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([column, values], ["word", "value"])
-
-    return words.select("word").mapInArrow(run, "word string, value double")
+            windows, labels = [], []
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+                found = best_windows(text.as_py() or "", sent.value)[: TOXIC_SENTENCES if label else CLEAN_SENTENCES]
+                windows += [w for _, w in found]
+                labels += [label] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.int32())], ["window", "toxic"])
+
+    return texts.select("text", "toxic").mapInArrow(run, "window string, toxic int")
+
+
+def fit(windows: DataFrame) -> tuple[np.ndarray, float]:
+    """Table and offset of the SVM for ``windows``; both classes weigh the same."""
+    every = windows.toArrow()  # the sentences of 2 * TRAIN texts at most, a window each
+    labels = np.array(every.column("toxic").to_pylist())
+    named = every.column("window").to_pylist()
+    marks = [m for label in (1, 0) for m in landmarks([w for w, y in zip(named, labels) if y == label], MARKS)]
+    features = Nystroem(list(dict.fromkeys(marks)))
+    sent = windows.sparkSession.sparkContext.broadcast(features)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                x = sent.value.of(part.column("window").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "x"])
+
+    rows = written(windows.mapInArrow(made, "toxic int, x binary"), "toxic-features")
+    weight = [1 / max(1, int((labels == y).sum())) for y in (0, 1)]
+    size = features.root.shape[1] + 1
+    w = np.zeros(size)
+    for _ in range(NEWTON):
+        now = windows.sparkSession.sparkContext.broadcast(w)
+
+        def normal(batches: Iterator[pa.RecordBatch], now=now) -> np.ndarray:
+            out = np.zeros((size, size + 1))
+            for batch in batches:
+                y = batch.column("toxic").to_numpy()
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "<f4").reshape(len(y), size - 1)
+                x, sign = np.hstack([x, np.ones((len(y), 1))]), 2.0 * y - 1
+                share = np.where(sign * (x @ now.value) < 1, np.where(y == 1, weight[1], weight[0]), 0)
+                out[:, :size] += (x * share[:, None]).T @ x
+                out[:, size] += x.T @ (share * sign)
+            return out.reshape(1, -1)
+
+        sums = array_sums(rows, normal, 1, size * (size + 1)).reshape(size, size + 1)
+        before, w = w, np.linalg.solve(sums[:, :size] + PENALTY * np.eye(size), sums[:, size])
+        if np.abs(w - before).max() < 1e-6:
+            break
+    return features.table(w[:-1]), float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine for ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic)."""
-    spark = docs.sparkSession
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = written(labels, "toxic-labels")
     counts = {r.toxic: r.n for r in labels.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     rate = counts.get(True, 0) / max(1, sum(counts.values()))
     plain = Machine(shift=float(np.log(rate / (1 - rate))) if 0 < rate < 1 else 30.0 if rate else -30.0)
     first = [labels.where((F.col("toxic") == 1) == flag).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(TRAIN) for flag in (True, False)]
-    picked = F.broadcast(first[0].unionByName(first[1]))  # 2 * TRAIN rows at most
-    texts = docs.select("doc_id", "text").join(picked, "doc_id")
-    texts = written(texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")), "toxic-texts")
-    clean, every = texts.where("toxic = 0").count(), texts.count()
-    if not clean or clean == every:
+    chosen = F.broadcast(first[0].unionByName(first[1]))  # 2 * TRAIN rows at most
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = texts.groupBy("text").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    texts = written(texts.repartition(LEARNERS, "text"), "toxic-texts")
+    every, toxic = texts.agg(F.count("*"), F.sum("toxic")).first()
+    if not toxic or toxic == every:
         return plain
-
-    words = by_word(texts).groupBy("word").agg(
-        F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"), F.sort_array(F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id")))).alias("docs")
-    )
-    words = written(words, "toxic-words")  # lists of 2 * TRAIN ids at most
-    telltale = words.where("n1 >= 3 and n1 >= 8 * n0").orderBy(F.desc("n1"), "word").limit(CANDIDATES).collect()
-    distinct = words.count()
-    telltale = [r for r in telltale if surprising(r.n1, r.n0, 1 - clean / every, distinct)]
-    toxic = telling(telltale)
-    if not toxic:
+    table, offset = first_table(for_python(texts), toxic, every - toxic), 0.0
+    if not table.any():
         return plain
-    common = words.where("n0 > 0 and n1 < 8 * n0").select("word", "n0")
-    often = common.orderBy(F.desc("n0"), "word").limit(CLEAN_WORDS // 2)
-    seldom = common.orderBy(F.xxhash64(F.lit(5), "word"), "word").limit(CLEAN_WORDS // 2)
-    clean_words = sorted({r.word for r in often.unionByName(seldom).collect()} - set(toxic))
-    table, offset = machine_for(toxic, clean_words)
+    for _ in range(ROUNDS):
+        table, offset = fit(written(picked(texts, table), "toxic-windows"))
     machine = Machine(table, offset, 1.0, 0.0)
-    near = word_values(common, machine).orderBy(F.desc("value"), "word").limit(HARD_WORDS)
-    hard = [r.word for r in near.collect()]  # clean words most like toxic ones
-    machine.table, machine.offset = machine_for(toxic, clean_words, hard)
-    values = strongest(texts, machine, ("toxic",)).collect()
-    x, toxic_doc = np.array([r.strongest for r in values]), np.array([float(r.toxic) for r in values])
-    machine.slope, machine.shift = logistic(x, toxic_doc)
+    found = valued(texts, machine, ("toxic",)).select("value", "toxic").toArrow()  # a number a training text
+    machine.slope, machine.shift = logistic(np.array(found.column("value").to_pylist()), np.array(found.column("toxic").to_pylist(), np.float64))
     return machine
 
 
-def strongest(docs: DataFrame, machine: Machine, keep: tuple[str, ...]) -> DataFrame:
-    """Columns ``keep`` with ``strongest`` and ``score`` of each text."""
+def valued(docs: DataFrame, machine: Machine, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep`` with ``value`` (of the strongest window) and ``score`` of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, values = batch.column("text"), []
-            for at in range(0, batch.num_rows, 500):
-                values += sent.value.strongest([t or "" for t in column.slice(at, 500).to_pylist()])
-            values = np.array(values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(values), pa.array(sent.value.probability(values))], [*keep, "strongest", "score"])
+            values = np.array(sent.value.values([t or "" for t in batch.column("text").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(values, pa.float64()), pa.array(sent.value.probability(values), pa.float64())], [*keep, "value", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "strongest double", "score double"]))
+    return for_python(docs.select(*keep, "text")).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "value double", "score double"]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted."""
-    found = strongest(docs.select("doc_id", "text"), train(docs, labels), ("doc_id",))
+    found = valued(docs.select("doc_id", "text"), train(docs, labels), ("doc_id",))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -238,9 +210,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                values = np.array(sent.value.strongest([t or "" for t in part.column("text").to_pylist()]))
-                yield part.filter(pa.array(sent.value.probability(values) < THRESHOLD))
+            values = np.array(sent.value.values([t or "" for t in batch.column("text").to_pylist()]))
+            yield batch.filter(pa.array(sent.value.probability(values) < THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return for_python(docs).mapInArrow(run, docs.schema)
