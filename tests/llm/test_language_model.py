@@ -84,7 +84,7 @@ def plain_scores(rows):
 
     def choices(history, at):
         low, high = 0, len(mass)
-        words = [(history[-k] * 0x9E3779B1 + 1) & cut if len(history) >= k else maxent.BEFORE for k in (1, 2, 3)]
+        words = [(history[-k] * 0x9E3779B1 + 1) & cut if len(history) >= k else maxent.BEFORE for k in (1, 2)]
         while high - low > 1:
             node, half, places = number[low, high], split(low, high), []
             for i, template in enumerate(maxent.TEMPLATES):

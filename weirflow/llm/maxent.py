@@ -3,8 +3,8 @@
 Classes are nested: all words form one class, a class falls into two classes of about
 equal count until single words are left. A token's probability is the product of the
 choices on the way to its word, and each choice is a two-way softmax over hashed
-feature weights of its own: of the last word, the last two, and the words two and three
-back (skips). The bias of a choice is fixed by the counts, so the model without
+feature weights of its own: of the last word, the last two, and the word two back
+(skipping one). The bias of a choice is fixed by the counts, so the model without
 features is the unigram model.
 
 Words seen fewer than ``SEEN`` times, those beyond a bounded head of the vocabulary and
@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Feature templates: how many tokens back the words lie that make a feature.
-TEMPLATES = ((1,), (1, 2), (2,), (3,))
+TEMPLATES = ((1,), (1, 2), (2,))
 SEEN, TAILS, ENDING = 3, 64, 3
 LEAST_BITS, MOST_BITS, TOKENS_A_WEIGHT = 16, 21, 2
-PRIOR, RATE = 2.0, 0.5
+PRIOR, RATE = 2.0, 0.6
 #: Tokens whose choices are held at once.
 BATCH = 16_384
 BEFORE = 0x51ED270B
@@ -103,7 +103,7 @@ def features(ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
     """A hash for each template and token; ``begins`` holds each token's distance from its text's start."""
     n, out = len(ids), []
     back = {}
-    for k in (1, 2, 3):
+    for k in (1, 2):
         back[k] = np.full(n, BEFORE, np.uint32)
         back[k][k:] = np.where(begins[k:] >= k, ids[: max(0, n - k)].astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(1), np.uint32(BEFORE))
     for i, template in enumerate(TEMPLATES):

@@ -41,8 +41,8 @@ from weirflow.llm.sums import array_sums
 
 #: Labelled rows of each class that are trained on, and the tasks that read them.
 TRAIN, LEARNERS = 3_000, 8
-ROUNDS, NEWTON, MARKS = 2, 6, 96
-TOXIC_SENTENCES, CLEAN_SENTENCES, NOISE, PENALTY = 2, 8, 4.0, 2e-4
+ROUNDS, NEWTON, MARKS = 3, 6, 192
+TOXIC_SENTENCES, CLEAN_SENTENCES, NOISE, PENALTY = 2, 8, 4.0, 2e-3
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Strongest value of a text without letters.
 LOW = -2.0
