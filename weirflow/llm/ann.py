@@ -1,147 +1,188 @@
 """Approximate nearest neighbours by largest inner product, from a random-projection forest.
 
-The forest is built on the driver from at most ``SAMPLE`` vectors, so its size is
-fixed, and sent to the tasks. Every vector is placed in one leaf of each tree; each
-query takes its leaves from one priority queue over all trees. Vectors and queries
-then meet leaf by leaf, in blocks of bounded size, where the candidates are ranked
-by exact inner products in double precision; the best of all blocks are merged.
+The trees are grown from at most ``SAMPLE`` vectors, a tree a task, so their size is
+bounded, and sent to the tasks. Every vector is placed in one small leaf of each tree; each
+query takes leaves from one priority queue over all trees until they hold
+``BUDGET * N ** POWER`` entries of ``N`` (``FLOOR * TOP`` distinct ones at least, so few vectors
+are searched whole). The share of the vectors that are scored so falls as the table grows;
+for structure-free vectors, the hardest case, this power keeps the recall. Vectors and
+queries meet by cells, subtrees of about ``CELL`` entries, in blocks of bounded size, where
+the candidates in the query's leaves are ranked by exact inner products in double
+precision; the best of all blocks are merged.
+
+A query's ``TOP + 1``-st best score among ``SCOUTS`` sample vectors bounds its result from
+below, so candidates under it aren't passed on.
 
 Inner products are searched as angles: vectors get one more coordinate that gives
 all of them the length of the longest, and queries get a zero there.
 
-Equal vectors are one entry that carries its ``TOP + 1`` smallest ids. That loses
+Equal vectors are one entry that carries its ``TOP + 1`` smallest rows. That loses
 nothing: a further copy has the same score and a larger id than all of those.
 
-``SHARE`` of the leaves are searched, and more until they hold ``FLOOR`` times ``TOP``
-distinct vectors, so that few vectors are searched whole. The share is set for vectors
-without structure, the hardest case; for clustered vectors a smaller one gives the same recall.
-
-Edge cases: vectors that are null, zero, of a dimension other than the commonest, or
-hold null or non-finite components, and rows without an id, take no part; of rows
-that share an id the smallest vector counts; with fewer candidates than ``TOP`` all
-of them are returned.
+Edge cases: vectors that are null, zero, or hold null or non-finite components, and rows
+without an id, take no part; vectors of another dimension have no inner product with
+a query, so each dimension is a table of its own; rows that share an id are rows of
+their own, as queries and as candidates; with fewer candidates than ``TOP`` all of them
+are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.llm.forest import grow
-from weirflow.llm.storage import small_or_plain, written
+from weirflow.llm.forest import TREES, Forest, grow, joined
+from weirflow.llm.storage import located, row_key, small_or_plain, written
 
-SAMPLE, SHARE, TOP, BLOCK, FLOOR = 20_000, 0.3, 20, 4_096, 20
+SAMPLE, SCOUTS, TOP, CELL, BLOCK, FLOOR = 60_000, 2_048, 20, 4_096, 8_192, 10
+BUDGET, POWER = 4.0, 0.75
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id``, ``embedding`` as doubles, one row an id."""
+    """``vec_id``, the row's locator, and ``embedding`` of the rows that take part."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select("vec_id", x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull()).where(fine)
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = located(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), *row_key(), "embedding")
+    return rows.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(fine)
 
 
 def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, summed in the order of the components."""
-    total = np.zeros(len(a))
-    for x, y in zip(a.T, b.T):
+def exact(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of one vector with rows, summed in the order of the components."""
+    total = np.zeros(len(vectors))
+    for x, y in zip(q, vectors.T):
         total += x * y
     return total
 
 
-def best(queries: np.ndarray, vectors: np.ndarray, ids: list, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its ``most`` best ids of this block and their scores."""
-    least = np.array([i[0] for i in ids])
-    for start in range(0, len(queries), 256):
-        rough = queries[start : start + 256] @ vectors.T
-        keep = min(most, rough.shape[1])
-        floor = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1]
-        for at, (row, low) in enumerate(zip(rough, floor)):
-            near = np.nonzero(row >= low - 1e-9 * max(1.0, abs(low)))[0]
-            score = exact(np.broadcast_to(queries[start + at], (len(near), queries.shape[1])), vectors[near])
-            order = np.lexsort((least[near], -score))[:most]
-            pairs = sorted((-score[o], i) for o in order for i in ids[near[o]])[:most]
-            yield start + at, np.array([i for _, i in pairs]), np.array([-s for s, _ in pairs])
+def forest_of(spark: SparkSession, sample: np.ndarray, cell: int) -> Forest:
+    """The trees of the sample, each grown by a task of its own."""
+    sent = spark.sparkContext.broadcast(sample.astype(np.float32))  # SAMPLE vectors at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                tree = grow(sent.value.astype(np.float64), number, cell)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pickle.dumps(tree)], pa.binary())], ["id", "tree"])
+
+    rows = spark.range(0, TREES, 1, TREES).mapInArrow(run, "id long, tree binary").collect()
+    return joined([pickle.loads(r.tree) for r in sorted(rows, key=lambda r: r.id)], sample)
 
 
-def neighbours(vectors: DataFrame, asked: Column | str, top: int = TOP, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def neighbours(vectors: DataFrame, asked: Column | str, top: int = TOP, budget: float = BUDGET, sample: int = SAMPLE) -> DataFrame:
     """For rows that ``asked`` (a condition, or SQL, on vec_id) picks: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
     rows = written(usable(vectors), "ann-vectors")
-    dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dims = sorted(r.d for r in rows.select(F.size("embedding").alias("d")).distinct().collect())
     if not dims:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == dims[0].d)
-    keyed = rows.withColumn("key", F.unhex(F.md5(F.col("embedding").cast("string"))))
-    ranked = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("copy") <= top + 1)
-    entries = ranked.groupBy("key").agg(F.min("vec_id").alias("gid"), F.first("embedding").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    askers = keyed.where(asked).select("vec_id", "key")
-    entries = entries.join(askers.select("key").distinct().withColumn("asks", F.lit(True)), "key", "left")
-    entries = written(entries, "ann-entries")
-    askers = written(askers.join(entries.where("asks").select("key", "gid"), "key").select("vec_id", "gid"), "ann-askers")
+        return vectors.sparkSession.createDataFrame([], RESULT)
+    return reduce(DataFrame.unionByName, [of_dimension(rows.where(F.size("embedding") == d), asked, top, budget, sample) for d in dims])
+
 
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
-    longest = float(entries.agg(F.max(norm)).first()[0])
-    picked = matrix(entries.orderBy(F.xxhash64("gid"), "gid").select("embedding").limit(sample).toPandas()["embedding"])
+def of_dimension(rows: DataFrame, asked: Column | str, top: int, budget: float, sample: int) -> DataFrame:
+    spark = rows.sparkSession
+    keyed = rows.withColumn("key", F.unhex(F.md5(F.col("embedding").cast("string"))))
+    member = F.struct("vec_id", "file_key", "row_key")
+    ranked = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(member))).where(F.col("copy") <= top + 1)
+    entries = ranked.groupBy("key").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_list(member)).alias("ids"))
+    askers = keyed.where(asked).select("vec_id", "file_key", "row_key", "key")
+    entries = written(entries.join(askers.select("key").distinct().withColumn("asks", F.lit(True)), "key", "left"), "ann-entries")
+    askers = written(askers, "ann-askers")
+
+    norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v))
+    n, longest = entries.agg(F.count("*"), F.max(norm)).first()
+    taken = entries.orderBy(F.xxhash64("key"), "key").select("embedding").limit(sample).toArrow().column("embedding").combine_chunks()
+    picked = taken.flatten().to_numpy().astype(np.float64).reshape(len(taken), -1)
 
     def lengthened(x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, longest**2 - (x**2).sum(1)))
         return np.hstack([x, more[:, None]]) / longest
 
-    forest = grow(lengthened(picked))
-    leaves = int(-min(forest.roots.min(), forest.children.min(initial=0)))
-    most = max(1, int(np.ceil(share * leaves)))
+    forest = forest_of(spark, lengthened(picked), max(1, CELL * len(picked) // n))
     sent = spark.sparkContext.broadcast(forest)
+    scouts = spark.sparkContext.broadcast(picked[:SCOUTS])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                found = sent.value.leaves(lengthened(matrix(b["embedding"])))
-                for tree in range(found.shape[1]):
-                    yield b.assign(leaf=found[:, tree])
+                leaves = sent.value.leaves(lengthened(matrix(b["embedding"])))
+                yield b.assign(leaves=list(leaves.astype(np.int32)), cells=list(sent.value.cells[leaves].astype(np.int32)))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                yield part.assign(leaf=sent.value.search(lengthened(matrix(part["embedding"]), True), most, sizes, FLOOR * top)).explode("leaf")
-
-    placed = entries.select("gid", "embedding", "ids").mapInPandas(place, "gid long, embedding array<double>, ids array<long>, leaf int")
+    kind = dict(entries.dtypes)["embedding"]
+    placed = entries.select("key", "embedding", "ids").mapInPandas(place, f"key binary, embedding {kind}, ids array<struct<vec_id: bigint, file_key: bigint, row_key: bigint>>, leaves array<int>, cells array<int>")
     placed = written(placed, "ann-placed")
-    sizes = np.zeros(leaves, np.int64)
-    for r in placed.groupBy("leaf").count().collect():  # a row a leaf of the forest
+    sizes = [0] * len(forest.cells)
+    for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # a row a leaf of the forest
         sizes[r.leaf] = r["count"]
-    wanted = entries.where("asks").select("gid", "embedding").mapInPandas(ask, "gid long, embedding array<double>, leaf int")
+    most = max(budget * n**POWER, float(FLOOR * top * TREES))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 100):
+                part = b.iloc[at : at + 100]
+                x = matrix(part["embedding"])
+                known = x @ scouts.value.T
+                least = np.partition(known, -top - 1, axis=1)[:, -top - 1] if known.shape[1] > top else np.full(len(x), -np.inf)
+                out = []
+                for leaves in sent.value.search(lengthened(x, True), most, sizes):
+                    found = np.array(leaves)
+                    cells = sent.value.cells[found]
+                    order = np.argsort(cells, kind="stable")
+                    names, first = np.unique(cells[order], return_index=True)
+                    out.append(list(zip(names.tolist(), np.split(found[order], first[1:]))))
+                part = part.assign(least=least - 1e-9 * np.maximum(1, np.abs(least)), met=out).explode("met")
+                yield part.assign(cell=[int(c) for c, _ in part["met"]], leaves=[v for _, v in part["met"]]).drop(columns="met")
+
+    wanted = entries.where("asks").select("key", "embedding").mapInPandas(ask, f"key binary, embedding {kind}, least double, cell int, leaves array<int>")
     wanted = written(wanted, "ann-wanted")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v")).join(wanted.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q")), "leaf")
-    blocks = small_or_plain(written(blocks, "ann-blocks"))  # a row a leaf of the forest
-    deal = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(blocks, "leaf").withColumn("bv", deal("v")).withColumn("bq", every("q")).drop("v", "q")
-    right = wanted.join(blocks, "leaf").withColumn("bq", deal("q")).withColumn("bv", every("v")).drop("v", "q")
-    block = ["leaf", "bv", "bq"]
+    split = placed.select("key", "embedding", "ids", F.explode(F.arrays_zip("cells", "leaves")).alias("p")).select("key", "embedding", "ids", F.col("p.cells").alias("cell"), F.col("p.leaves").alias("leaf"))
+    parts = lambda name: F.ceil(F.count("*") / BLOCK).cast("int").alias(name)
+    blocks = split.groupBy("cell").agg(parts("v")).join(wanted.groupBy("cell").agg(parts("q")), "cell")
+    blocks = small_or_plain(written(blocks, "ann-blocks"))  # a row a cell of the forest
+    deal = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = split.join(blocks, "cell").withColumn("bv", deal("v")).withColumn("bq", every("q")).drop("v", "q")
+    right = wanted.join(blocks, "cell").withColumn("bq", deal("q")).withColumn("bv", every("v")).drop("v", "q")
+    block = ["cell", "bv", "bq"]
+    columns = ["key", "vec_id", "file_key", "row_key", "score"]
 
     def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"gid": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
-        gid = q["gid"].to_numpy()
-        found = list(best(matrix(q["embedding"]), matrix(v["embedding"]), v["ids"].tolist(), top + 1))
-        sizes = [len(i) for _, i, _ in found]
-        return pd.DataFrame({"gid": np.repeat(gid[[at for at, _, _ in found]], sizes), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
-
-    met = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, "gid long, vec_id long, score double")
-    nearest = Window.partitionBy("gid").orderBy(F.desc("score"), "vec_id")
-    short = met.groupBy("gid", "vec_id").agg(F.first("score").alias("score")).withColumn("near", F.row_number().over(nearest)).where(F.col("near") <= top + 1)
+        out = []
+        if len(v) and len(q):
+            v = v.sort_values("leaf", kind="stable")
+            leaf, x, ids = v["leaf"].to_numpy(), matrix(v["embedding"]), v["ids"].tolist()
+            names, first = np.unique(leaf, return_index=True)
+            bounds = dict(zip(names.tolist(), zip(first.tolist(), np.append(first[1:], len(leaf)).tolist())))
+            for key, own, least, leaves in zip(q["key"], matrix(q["embedding"]), q["least"], q["leaves"]):
+                spans = [np.arange(*bounds[w]) for w in leaves if w in bounds]
+                if not spans:
+                    continue
+                rows = np.concatenate(spans)
+                rough = x[rows] @ own
+                if len(rough) > top + 1:
+                    least = max(least, np.partition(rough, -top - 1)[-top - 1] - 1e-9 * max(1.0, np.abs(rough).max()))
+                rows = rows[rough >= least]
+                score = exact(own, x[rows])
+                pairs = sorted((-s, i["vec_id"], i["file_key"], i["row_key"]) for s, r in zip(score.tolist(), rows.tolist()) for i in ids[r])
+                out += [(key, i, f, r, -s) for s, i, f, r in pairs[: top + 1]]
+        return pd.DataFrame(out, columns=columns).astype({"vec_id": "int64", "file_key": "int64", "row_key": "int64", "score": "float64"})
+
+    met = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, "key binary, vec_id long, file_key long, row_key long, score double")
+    nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "file_key", "row_key")
+    short = met.groupBy(*columns[:4]).agg(F.first("score").alias("score")).withColumn("near", F.row_number().over(nearest)).where(F.col("near") <= top + 1)
     short = written(short, "ann-short")
-    found = askers.withColumnRenamed("vec_id", "query_id").join(short, "gid").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("near"))
+    own = askers.select("key", F.col("vec_id").alias("query_id"), F.col("file_key").alias("own_file"), F.col("row_key").alias("own_row"))
+    found = own.join(short, "key").where("own_file <> file_key or own_row <> row_key")
+    rank = F.row_number().over(Window.partitionBy("own_file", "own_row").orderBy("near"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)

@@ -1,26 +1,41 @@
-"""A forest of random-projection trees, built from a bounded sample, and its shared-queue search."""
+"""A forest of random-projection trees, grown from a bounded sample, and its shared-queue search."""
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
-TREES, LEAVES, SEED = 4, 128, 11
+TREES, LEAF, SEED = 8, 8, 11
+#: Cosine to the query at which neighbours are sought; it weighs crossed planes against each other.
+ALIKE = 0.45
+
+
+@dataclass
+class Tree:
+    """Inner node ``i`` splits at ``x . planes[i] > cuts[i]``; children below 0 are leaves ``~child``; ``cells`` has each leaf's cell."""
+
+    planes: np.ndarray
+    cuts: np.ndarray
+    children: np.ndarray
+    cells: np.ndarray
 
 
 @dataclass
 class Forest:
-    """Inner node ``i`` of all trees splits at ``x . planes[i] > cuts[i]``; children below 0 are leaves ``~child``."""
+    """All trees in one numbering of nodes, leaves and cells."""
 
     roots: np.ndarray
     planes: np.ndarray
     cuts: np.ndarray
     children: np.ndarray
+    cells: np.ndarray
+    spread: float  # of projections of vectors onto a plane's normal
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row in each tree, one column a tree; leaf numbers are unique over the forest."""
+        """The leaf of each row in each tree, one column a tree."""
         at = np.repeat(self.roots[None, :], len(x), 0)
         while (inner := at >= 0).any():
             rows, trees = np.nonzero(inner)
@@ -29,47 +44,49 @@ class Forest:
             at[rows, trees] = self.children[node, side]
         return ~at
 
-    def search(self, x: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
-        """For each row ``most`` leaves, and more until they hold ``least`` distinct entries, from one queue over all trees.
+    def search(self, x: np.ndarray, budget: float, sizes: list[int]) -> list[list[int]]:
+        """For each row leaves of all trees from one shared queue, until they hold ``budget`` entries by ``sizes``.
 
-        ``sizes`` has the entries of each leaf. An entry is in one leaf of each tree, so leaves
-        that hold ``least`` times the trees hold ``least`` distinct ones.
-
-        A branch waits with the sum of the squared margins that were crossed to reach it.
+        A branch waits with the sum of ``-log`` of the chances that a neighbour of the
+        row lies on its side of each plane above it: both for planes that were crossed
+        and, by how near they were, for those that weren't.
         """
-        margins = x @ self.planes.T - self.cuts
-        found = []
-        for of in margins.tolist():
+        steep = ALIKE / math.sqrt(1 - ALIKE**2) / max(self.spread, 1e-12) / math.sqrt(2)
+        children, found, erfc, log = self.children.tolist(), [], math.erfc, math.log
+        for margins in x @ self.planes.T - self.cuts:
             queue = [(0.0, int(r)) for r in self.roots]
             heapq.heapify(queue)
             got: list[int] = []
-            wanting = least * len(self.roots)
-            while queue and (len(got) < most or wanting > 0):
-                crossed, node = heapq.heappop(queue)
-                while node >= 0:
-                    m = of[node]
-                    near, far = (1, 0) if m > 0 else (0, 1)
-                    heapq.heappush(queue, (crossed + m * m, int(self.children[node, far])))
-                    node = int(self.children[node, near])
-                got.append(~node)
-                if least:
-                    wanting -= sizes[~node]
+            left = budget
+            while queue and left > 0:
+                cost, node = heapq.heappop(queue)
+                if node < 0:
+                    got.append(~node)
+                    left -= sizes[~node]
+                    continue
+                m = float(margins[node])
+                far_chance = 0.5 * erfc(abs(m) * steep)
+                near, far = (1, 0) if m > 0 else (0, 1)
+                heapq.heappush(queue, (cost - log(far_chance + 1e-300), children[node][far]))
+                heapq.heappush(queue, (cost - log(1 - far_chance), children[node][near]))
             found.append(got)
         return found
 
 
-def grow(sample: np.ndarray, trees: int = TREES, leaves_each: int = LEAVES, seed: int = SEED) -> Forest:
-    """Trees that halve the sample at the median of a projection onto the line between two random points.
+def grow(sample: np.ndarray, number: int, cell: int, leaf: int = LEAF, seed: int = SEED) -> Tree:
+    """A tree that halves the sample at the median of a projection onto the line between two random points.
 
-    Each tree has about ``leaves_each`` leaves, of eight sample points at least.
+    Halving stops at ``leaf`` sample points; a subtree of at most ``cell`` of them is a cell.
     """
-    leaf = max(8, len(sample) // leaves_each)
-    rng = np.random.default_rng(seed)
-    planes, cuts, children, roots = [], [], [], []
-    leaves = 0
-
-    def build(rows: np.ndarray) -> int:
-        nonlocal leaves
+    rng = np.random.default_rng([seed, number])
+    planes, cuts, children, cells = [], [], [], []
+    last = -1
+
+    def build(rows: np.ndarray, own: int) -> int:
+        nonlocal last
+        if own < 0 and len(rows) <= max(cell, leaf):
+            last += 1
+            own = last
         for _ in range(3 if len(rows) > leaf else 0):
             a, b = sample[rng.choice(rows, 2, replace=False)]
             plane = a - b
@@ -85,12 +102,27 @@ def grow(sample: np.ndarray, trees: int = TREES, leaves_each: int = LEAVES, seed
             planes.append(plane)
             cuts.append(cut)
             children.append([0, 0])
-            children[node] = [build(rows[~upper]), build(rows[upper])]
+            children[node] = [build(rows[~upper], own), build(rows[upper], own)]
             return node
-        leaves += 1
-        return -leaves  # ~(leaves - 1)
+        if own < 0:
+            last += 1
+            own = last
+        cells.append(own)
+        return -len(cells)  # ~(len(cells) - 1)
 
-    for _ in range(trees):
-        roots.append(build(np.arange(len(sample))))
+    root = build(np.arange(len(sample)), -1)
     width = sample.shape[1]
-    return Forest(np.array(roots), np.array(planes).reshape(-1, width), np.array(cuts), np.array(children, int).reshape(-1, 2))
+    if root < 0:  # one leaf: a node that sends everything to it
+        return Tree(np.zeros((1, width)), np.array([math.inf]), np.array([[-1, -1]]), np.array(cells))
+    return Tree(np.array(planes).reshape(-1, width), np.array(cuts), np.array(children, int).reshape(-1, 2), np.array(cells))
+
+
+def joined(trees: list[Tree], sample: np.ndarray) -> Forest:
+    """Trees (each with node 0 as its root) as one forest."""
+    nodes = np.cumsum([0, *(len(t.planes) for t in trees)])
+    leaves = np.cumsum([0, *(len(t.cells) for t in trees)])
+    cells = np.cumsum([0, *(int(t.cells.max()) + 1 for t in trees)])
+    children = [np.where(t.children < 0, t.children - leaf, t.children + node) for t, node, leaf in zip(trees, nodes, leaves)]
+    roots = nodes[:-1]
+    spread = float(np.mean([np.std(sample @ t.planes[0]) for t in trees]))
+    return Forest(roots, np.concatenate([t.planes for t in trees]), np.concatenate([t.cuts for t in trees]), np.concatenate(children), np.concatenate([t.cells + c for t, c in zip(trees, cells)]), spread)
