@@ -6,11 +6,15 @@ in ``WARC-Concurrent-To``. ``write`` makes them with string functions and Spark'
 text writer, gzipped; ``records`` parses whole archive files; ``transactions`` joins
 the three kinds through the concurrent-to identifiers to one nested row a capture.
 
+Record ids hold the page's id and where its row lies, so they are unique even where
+ids repeat. An archive file is one gzip member, as Spark's text writer makes it;
+reading takes any number of members, in time linear in their bytes.
+
 Edge cases: a null payload is empty; a null id is written as ``null``; rows that
-share the largest id of their payload are all responses; a null url is empty; a
-record without its response keeps a row with a null response; of several requests
-or metadata records of one response the smallest record id is taken; line
-ends in a url are percent-encoded so that they can't end a header line.
+share the largest id of their payload are all responses, and revisits refer to the last of them;
+a null url is empty; a record without its response keeps a row with a null response; of several
+records of a kind in one capture the smallest is taken; line
+ends in a url are percent-encoded so that they can't end a header line; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.storage import located, shared_folder, small_or_plain, written
+from weirflow.llm.storage import located, row_key, shared_folder, small_or_plain, written
 
 END = "\r\n\r\n"
+PLACE = ["file_key", "row_key"]
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile that WARC 1.1 gives for a revisit with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages in an archive file at most; a file is parsed by one task.
-FILE_PAGES = 5_000
+#: Pages in an archive file at most, and bytes of pages; a file is parsed by one task.
+FILE_PAGES, FILE_BYTES = 5_000, 1 << 28
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -59,19 +64,25 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0, file_pages: int =
     is the response and the others revisit it.
     """
     payload = F.coalesce("html", F.lit(""))
-    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"))
+    pages = located(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), *row_key())
     pages = pages.withColumns({"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html"), "exact": F.unhex(F.sha2("html", 256))})
-    groups = pages.where(F.col("bytes") >= revisit_from).groupBy("exact").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    first = small_or_plain(written(groups.where("n > 1").select("exact", "first"), "warc-groups"))
+    last = F.max(F.struct("page_id", *PLACE)).alias("first")
+    groups = pages.where(F.col("bytes") >= revisit_from).groupBy("exact").agg(last, F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    groups = written(groups, "warc-groups")
+    longest = max(groups.agg(F.max("bytes")).first()[0] or 0, revisit_from)
+    first = small_or_plain(written(groups.where("n > 1").select("exact", "first"), "warc-copies"))
     rows = pages.join(first, "exact", "left")
 
-    urn = lambda part, number: F.concat(F.lit("<urn:capture:"), F.coalesce(number.cast("string"), F.lit("null")), F.lit(f":{part}>"))
-    own, number = urn("response", F.col("page_id")), F.col("page_id")
+    def urn(part: str, page: Column | None = None) -> Column:
+        of = (lambda c: page[c]) if page is not None else F.col
+        return F.concat(F.lit("<urn:capture:"), F.coalesce(of("page_id").cast("string"), F.lit("null")), F.lit(f":{part}:"), F.hex(of("file_key")), F.lit("-"), of("row_key"), F.lit(">"))
+
+    own, number = urn("response"), F.col("page_id")
     target = F.regexp_replace(F.regexp_replace("url", r"\r", "%0D"), r"\n", "%0A")
     uri, digest = header("WARC-Target-URI", target), header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))
     http = header("Content-Type", "application/http;msgtype=response")
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), "bytes", F.lit(END))
-    again = F.coalesce(F.col("first") > number, F.col("first").isNotNull() & number.isNull())
+    again = F.coalesce(F.col("first.page_id") > number, F.col("first.page_id").isNotNull() & number.isNull())
     response = record("response", [header("WARC-Record-ID", own), uri, digest, http], F.concat(answer, "html"))
     revisit = record(
         "revisit",
@@ -81,17 +92,27 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0, file_pages: int =
     beside = header("WARC-Concurrent-To", own)
     request = record(
         "request",
-        [header("WARC-Record-ID", urn("request", number)), beside, uri, header("Content-Type", "application/http;msgtype=request")],
+        [header("WARC-Record-ID", urn("request")), beside, uri, header("Content-Type", "application/http;msgtype=request")],
         F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1" + END)),
     )
     metadata = record(
         "metadata",
-        [header("WARC-Record-ID", urn("metadata", number)), beside, uri, header("Content-Type", "application/warc-fields")],
+        [header("WARC-Record-ID", urn("metadata")), beside, uri, header("Content-Type", "application/warc-fields")],
         F.concat(F.lit("page-id: "), F.coalesce(number.cast("string"), F.lit("null")), F.lit("\r\n")),
     )
     capture = F.concat(request, F.lit(END), F.when(again, revisit).otherwise(response), F.lit(END), metadata)
-    out = rows.select(capture.alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", file_pages).text(path)
+    few = max(1, FILE_BYTES // max(1, longest))
+    short = F.col("bytes") <= FILE_BYTES // file_pages
+
+    def save(some: DataFrame, most: int) -> None:
+        out = some.select(capture.alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", most).text(path)
+
+    if few >= file_pages:
+        save(rows, file_pages)
+    else:  # long pages go to files of fewer pages
+        save(rows.where(short), file_pages)
+        save(rows.where(~short), few)
 
 
 def unpacked(content: bytes) -> Iterator[bytes]:
@@ -99,16 +120,16 @@ def unpacked(content: bytes) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
+    view, at, step = memoryview(content), 0, 1 << 16
+    while at < len(view):
         member = zlib.decompressobj(wbits=31)
-        view = memoryview(content)
-        for at in range(0, len(view), 1 << 18):
-            yield member.decompress(view[at : at + (1 << 18)])
-            if member.eof:
-                content = member.unused_data + bytes(view[at + (1 << 18) :])
-                break
-        else:
-            raise ValueError("an archive ends within a gzip member")
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("an archive ends within a gzip member")
+            piece = view[at : at + step]
+            yield member.decompress(piece)
+            at += len(piece)
+        at -= len(member.unused_data)
 
 
 class Pieces(io.RawIOBase):
@@ -188,11 +209,16 @@ def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def transactions(found: DataFrame) -> DataFrame:
-    """One nested row for each capture: capture_id, request, response, metadata (structs of record columns)."""
+    """One nested row for each capture: capture_id, request, response, metadata (structs of record columns).
+
+    Records of a capture meet in one shuffle, by the identifier that they are concurrent to.
+    """
+    answers = F.col("kind").isin("response", "revisit")
+    capture = F.when(answers, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
     nested = F.struct(*found.columns)
-    beside = lambda kind: found.where(F.col("kind") == kind).groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(F.min(nested).alias(kind))
-    responses = found.where("kind in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), nested.alias("response"))
-    return responses.join(beside("request"), "capture_id", "full").join(beside("metadata"), "capture_id", "full")
+    kinds = {"request": F.col("kind") == "request", "response": answers, "metadata": F.col("kind") == "metadata"}
+    found = found.where(F.col("kind").isin("request", "response", "revisit", "metadata"))
+    return found.groupBy(capture.alias("capture_id")).agg(*(F.min(F.when(is_kind, nested)).alias(name) for name, is_kind in kinds.items()))
 
 
 def archived(pages: DataFrame) -> DataFrame:
