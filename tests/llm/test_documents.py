@@ -1,12 +1,14 @@
 """Operators over documents against brute force, and their edge cases."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, exact_dedup, mixing, queries, simhash, warc
 
@@ -205,6 +207,14 @@ def check_captures(pages, rows):
         assert (r.record_type, r.refers_to) == (("response", None) if kept else ("revisit", first[raw.decode()]))
 
 
+def test_archives_of_many_members():
+    one = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:a:%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    members = [gzip.compress(one % i) for i in range(3000)]
+    assert [r["record_id"] for r in warc.parse(b"".join(members))] == [f"<urn:a:{i}>" for i in range(3000)]
+    with pytest.raises(ValueError):
+        list(warc.parse(b"".join(members)[:-9]))
+
+
 def test_warc_edges(spark, tmp_path):
     odd = ["", None, "x\r\n\r\nWARC/1.1\r\ny", "same", "same", "é \x00", "long " * 50_000, "same"]
     rows = [(i, None if i == 2 else f"http://h/{i}\r\nX: y", h, "") for i, h in enumerate(odd)]
@@ -220,3 +230,16 @@ def test_warc_edges(spark, tmp_path):
     assert warc.records(spark, f"{tmp_path}/c").collect() == []
     plain = b"".join(__import__("gzip").decompress(p.read_bytes()) for p in sorted((tmp_path / "a").glob("*.gz")))
     assert len(list(warc.parse(plain))) == len(odd) * 3
+
+
+def test_columns_with_names_of_the_library(spark, tmp_path):
+    rows = [(i, f"one two three four five {i % 3}", "s", 1, "f", 7, "m", "x") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, __file string, __copies int, _metadata string, `a.b` string")
+    df.write.parquet(f"{tmp_path}/docs")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
+        for got, n in ((exact_dedup.keep_first(docs), 3), (simhash.keep_one(docs), None), (mixing.mixed(docs), None)):
+            found = got.collect()
+            assert got.columns == docs.columns and (n is None or len(found) == n)
+            assert {tuple(r) for r in found} <= set(rows)
+        assert mixing.mixture(docs).agg(F.sum("size")).first()[0] == 54
+        assert exact_dedup.deduplicate(docs).where("kept").count() == 3 and simhash.near_duplicates(docs).count() == 9

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.storage import as_scan, located, shared_folder, small_or_plain, written
+from weirflow.llm.storage import as_scan, located, shared_folder, small_or_plain, whole_rows, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -110,5 +110,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = as_scan(docs)
     dropped = written(deduplicate(docs).where("not kept").select("__file", "__row"), "dedup-dropped")
-    columns = docs.columns
-    return located(docs, *columns).join(small_or_plain(dropped), ["__file", "__row"], "left_anti").select(*columns)
+    return whole_rows(docs).join(small_or_plain(dropped), ["__file", "__row"], "left_anti").select("whole.*")

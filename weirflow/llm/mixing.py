@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.llm.storage import as_scan, located, small_or_plain, written
+from weirflow.llm.storage import as_scan, located, small_or_plain, whole_rows, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, BUDGET, REPEATS, SEED = (5, 2, 1), 1.5, 2, 17
@@ -127,7 +127,8 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken, __file, __row."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(located(docs, "doc_id", "source", "text").select("doc_id", "source", words.alias("size"), "__file", "__row"), "mix-sizes")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)  # rows without an id are spread by their texts
+    sized = written(located(docs, "doc_id", "source", "text").select("doc_id", "source", words.alias("size"), draw.alias("draw"), "__file", "__row"), "mix-sizes")
     cells = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sizes = {r.source: int(r.words) for r in cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     wanted = targets(sizes)
@@ -142,9 +143,8 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     cells = cells.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long")
     cells = written(cells.withColumnsRenamed({"source": "src", "size": "len"}), "mix-plan")
 
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11)
     dealt = sized.join(small_or_plain(cells), F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("len")))
-    dealt = dealt.withColumn("draw", draw).withColumn("bucket", F.floor(F.col("draw") / F.lit(float(1 << 53)) * F.ceil(F.col("n") / BUCKET)))
+    dealt = dealt.withColumn("bucket", F.floor(F.col("draw") / F.lit(float(1 << 53)) * F.ceil(F.col("n") / BUCKET)))
     buckets = dealt.groupBy("src", "len", "bucket").agg(F.count("*").alias("held"), F.first("extra").alias("quota"))
     before = Window.partitionBy("src", "len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("quota", F.col("quota") - F.coalesce(F.sum("held").over(before), F.lit(0)))
@@ -161,7 +161,6 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     docs = as_scan(docs)
     changed = mixture(docs, seed).where("copies <> 1").select("__file", "__row", F.col("copies").cast("int").alias("__copies"))
     changed = written(changed, "mix-copies")
-    columns = docs.columns
-    rows = located(docs, *columns).join(small_or_plain(changed), ["__file", "__row"], "left")
+    rows = whole_rows(docs).join(small_or_plain(changed), ["__file", "__row"], "left")
     times = F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1))))
-    return rows.select(*columns, times.alias("__copy")).select(*columns)
+    return rows.select("whole", times.alias("__copy")).select("whole.*")

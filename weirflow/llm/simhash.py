@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.llm.components import components
-from weirflow.llm.storage import as_scan, located, small_or_plain, written
+from weirflow.llm.storage import as_scan, located, small_or_plain, whole_rows, written
 
 BITS, SEED = 64, 42
 #: Shingles counted at once, so that long texts need no more memory than short ones.
@@ -89,5 +89,4 @@ def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_d
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__row")
     stays = found.groupBy("root").agg(F.min(place).alias("s")).select("s.__file", "s.__row")
     dropped = written(found.select("__file", "__row").join(stays, ["__file", "__row"], "left_anti"), "simhash-dropped")
-    columns = docs.columns
-    return located(docs, *columns).join(small_or_plain(dropped), ["__file", "__row"], "left_anti").select(*columns)
+    return whole_rows(docs).join(small_or_plain(dropped), ["__file", "__row"], "left_anti").select("whole.*")

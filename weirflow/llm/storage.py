@@ -65,7 +65,7 @@ def for_python(texts: DataFrame) -> DataFrame:
 def as_scan(docs: DataFrame) -> DataFrame:
     """``docs`` if it scans Parquet files, else the same rows written as a table."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
     except AnalysisException:
         return written(docs, "docs")
     return docs
@@ -77,8 +77,20 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
     The two survive a second scan, so they identify rows whose ids are null or
     repeated. A DataFrame that isn't a file scan is first written as a table.
     """
-    place = (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return for_python(as_scan(docs)).select(*columns, *place)
+    docs = for_python(as_scan(docs))
+    return docs.select(*columns, *place(docs))
+
+
+def place(docs: DataFrame) -> list[Column]:
+    """``__file`` and ``__row`` of a file scan, also where a column of its own is called ``_metadata``."""
+    at = docs.metadataColumn("_metadata")
+    return [at["file_path"].alias("__file"), at["row_index"].alias("__row")]
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, whatever their names, in one struct ``whole``, with ``__file`` and ``__row``."""
+    docs = as_scan(docs)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), *place(docs))
 
 
 def row_key() -> list[Column]:
