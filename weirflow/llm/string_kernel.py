@@ -148,8 +148,8 @@ def landmarks(windows: list[str], most: int, tried: int = 400, seed: int = 6) ->
     if not distinct:
         return []
     every = Prepared(windows)
-    alike = np.stack([every.times(feature(w)) for w in distinct])
-    nearest, taken = np.zeros(len(windows)), []
+    alike = np.stack([every.times(feature(w)).astype(np.float32) for w in distinct])
+    nearest, taken = np.zeros(len(windows), np.float32), []
     for _ in range(min(most, len(distinct))):
         gain = np.maximum(alike - nearest, 0).sum(1)
         at = int(gain.argmax())
@@ -164,17 +164,19 @@ class Nystroem:
     """Features of windows for a set of landmarks."""
 
     def __init__(self, marks: list[str]) -> None:
-        self.marks, these = marks, Prepared(marks)
-        self.tables = [feature(m) for m in marks]
-        kernel = np.stack([these.times(t) for t in self.tables])
-        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
-        keep = values > 1e-6 * values.max()
-        self.root = vectors[:, keep] / np.sqrt(values[keep])  # K^-1/2, up to a rotation
-        rows = np.unique(np.concatenate([np.nonzero(t)[0] for t in self.tables]))
+        self.marks, made = marks, Prepared(marks)
+        rows = np.unique(np.concatenate([at[weight > 0] for at, weight in made.parts] or [np.zeros(0, np.int64)]))
         self.place = np.full(1 << BITS, len(rows), np.int32)  # the last row is zero
         self.place[rows] = np.arange(len(rows))
-        self.rows = np.vstack([np.stack([t[rows] for t in self.tables], 1) @ self.root, np.zeros((1, self.root.shape[1]))]).astype(np.float32)
-        del self.tables
+        owner = np.repeat(np.arange(len(marks)), np.diff(np.append(made.by, made.n)))
+        features = np.zeros((len(rows) + 1, len(marks)))  # only the subsequences that landmarks hold
+        for at, weight in made.parts:
+            np.add.at(features, (self.place[at], owner[: len(at)]), weight / NORM)
+        features[-1] = 0
+        values, vectors = np.linalg.eigh(features.T @ features)
+        keep = values > 1e-6 * values.max()
+        self.root = vectors[:, keep] / np.sqrt(values[keep])  # K^-1/2, up to a rotation
+        self.rows = (features @ self.root).astype(np.float32)
 
     def of(self, windows: list[str]) -> np.ndarray:
         """One row a window."""
