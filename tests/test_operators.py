@@ -21,8 +21,8 @@ def one(spark, *columns):
 @pytest.mark.parametrize(
     ("key", "want"),
     [
-        ("FirstName", "first_name"), ("lastName", "last_name"), ("123Number", "_123_number"), ("456Another123", "_456_another_123"), ("hello@world", "hello_world"),
-        ("test#case", "test_case"), ("MixedUPCase123", "mixed_upcase_123"), ("lowercaseAnd123", "lowercase_and_123"), ("Café", "cafe"), ("Naïve", "naive"), ("This is a full sentence", "this_is_a_full_sentence"),
+        ("orderDate", "order_date"), ("HTTPStatus code", "httpstatus_code"), ("2ndLine", "_2_nd_line"), ("tax%rate", "tax_rate"), ("Übergröße", "ubergro_e"),
+        ("_hidden", "_hidden"), ("open_", "open_"), ("--both--", "_both_"), ("a__b", "a_b"), ("a__b_", "a_b_"), ("!", ""), ("7", "_7"), ("_7", "_7"), ("plain", "plain"),
     ],
 )
 def test_snake_keys(key, want):
@@ -30,8 +30,19 @@ def test_snake_keys(key, want):
 
 
 def test_nested_keys_are_renamed(spark):
-    df = spark.createDataFrame([((("John",),),)], T.StructType([T.StructField("NestedRecord", T.StructType([T.StructField("In", T.StructType([T.StructField("FirstName", T.StringType())]))]))]))
-    assert records.keys_to_snake(df).schema.simpleString() == "struct<nested_record:struct<in:struct<first_name:string>>>"
+    df = spark.createDataFrame([((("x",),),)], "`Ship To` struct<Addr: struct<ZipCode: string>>")
+    assert records.keys_to_snake(df).schema.simpleString() == "struct<ship_to:struct<addr:struct<zip_code:string>>>"
+
+
+def test_extract_json_tells_false_values(spark):
+    bodies = ['{"k":"hello"}', '{"k":"0"}', '{"k":0}', '{"k":0.0}', '{"k":""}', '{"k":{}}', '{"k":[]}', '{"k":false}', '{"k":null}', "{}", "no json", '{"k":true}', '{"k":["a",null,0,{"x":1}]}', '{"k":{"x":2}}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    got = {}
+    for r in records.extract_json(df, "b", "$.k", "string", "v").collect():
+        got.setdefault(r.i, []).append(r.v)
+    assert got == {0: ["hello"], 1: ["0"], 11: ["true"], 12: ["a", None, "0", '{"x":1}'], 13: ['{"x":2}']}
+    nested = records.extract_json(df.where("i in (12, 13)"), "b", "$.k", "struct<x: int>", "v").where("v is not null")
+    assert sorted(r.v.x for r in nested.collect()) == [1, 2]
 
 
 def test_flatten_keeps_bare_names_until_they_clash(spark):
@@ -97,9 +108,8 @@ def test_schema_merge():
 def test_property_chunks():
     names = list("abcdefg")
     assert [len(c) for c in slices.property_chunks(names, 2)] == [2, 2, 2, 1]
-    assert slices.property_chunks(["rick", "chelsea", "victoria", "tim"], 2, always=["mook", "gaitok"]) == [["mook", "gaitok", "rick", "chelsea"], ["mook", "gaitok", "victoria", "tim"]]
-    assert slices.property_chunks(["kate", "laurie", "jaclyn"], 20, "characters") == [["kate", "laurie"], ["jaclyn"]]
-    assert len(slices.property_chunks(["laurie", "jaclyn", "kaitlin"], 17, "characters")) == 3
+    assert slices.property_chunks(["w", "x", "y"], 2, always=["id", "at"]) == [["id", "at", "w", "x"], ["id", "at", "y"]]
+    assert slices.property_chunks(["five5", "sixsix", "seven77"], 17, "characters") == [["five5", "sixsix"], ["seven77"]]
 
 
 def test_grouping(spark):
@@ -135,6 +145,20 @@ def test_state_shapes(spark):
     assert [(r.partition, r.cursor) for r in got] == [({"id": "p"}, {"c": 7})]
 
 
+def test_cursors_and_routes_in_one_pass(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("b", 1, 7), (None, 1, 3)], "p string, q int, c int")
+    got = {(r.p, r.q, r.is_global): r.cursor for r in state.max_cursor(df, ["p", "q"], "c").collect()}
+    assert got == {("a", 1, False): 5, ("a", 2, False): 9, ("b", 1, False): 7, (None, 1, False): 3, (None, None, True): 9}
+    assert [r.route for r in filters.route_deletes(df, F.col("p") == "a").orderBy("c").collect()] == ["load", "delete", "load", "delete"]
+
+
+def test_keys_without_intervals_are_read_whole(spark):
+    merged = spark.createDataFrame([("a", 3, 5)], "k string, start long, end long")
+    every = spark.createDataFrame([("a",), ("b",)], "k string")
+    got = sorted(tuple(r) for r in slices.unsynced(merged, ["k"], F.lit(0).cast("long"), F.lit(9).cast("long"), every=every).collect())
+    assert got == [("a", 0, 2), ("a", 5, 9), ("b", 0, 9)]
+
+
 def test_status_rollup(spark):
     rows = [(1, "completed"), (1, "skipped"), (2, "skipped"), (3, "failed"), (3, "running"), (4, "running"), (4, "completed"), (5, "timed_out"), (5, "running")]
     got = {r.k: r.status for r in state.rollup_status(spark.createDataFrame(rows, "k int, s string"), ["k"], "s").collect()}
@@ -142,7 +166,7 @@ def test_status_rollup(spark):
 
 
 def test_inferred_types(spark):
-    for column, want in ((["2", "90329"], "integer"), (["true", "no"], "boolean"), (["1", "2.312"], "number"), (["1", None], "boolean"), (["[1]"], "string"), ([None], "string")):
+    for column, want in ((["7", "-12000"], "integer"), (["true", "no"], "boolean"), (["4", "0.25"], "number"), (["1", None], "boolean"), (["[1]"], "string"), ([None], "string")):
         df = spark.createDataFrame([(v,) for v in column], "v string")
         assert df.agg(state.inferred_type(F.col("v")).alias("t")).first().t == want
 
@@ -151,6 +175,8 @@ def test_loading(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert {tuple(r) for r in loading.merge(target, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    twice = spark.createDataFrame([(2, "c"), (2, "x"), (2, None), (None, "n"), (None, "n")], "k int, v string")
+    assert sorted(loading.merge(target, twice, ["k"], F.col("v")).collect(), key=str) == [(1, "a"), (2, "x"), (None, "n"), (None, "n")]
     with pytest.raises(ValueError):
         loading.merge(target, new, [])
     loading.swap(new, "swapped")

@@ -110,6 +110,7 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = cursors.merge_into(stream.select("user_id", "ts", "value"), f"{tmp_path}/out", ["user_id"], f"{tmp_path}/cp", "ts")
     query.awaitTermination()
+    assert cursors.versions(spark, f"{tmp_path}/out") == [2, 3]
     newest = spark.read.parquet(f"{tmp_path}/out/v=3")
     want = events.groupBy("user_id").agg(F.max("ts").alias("ts"))
     assert newest.select("user_id", "ts").exceptAll(want).count() == 0 and newest.count() == want.count()
@@ -122,3 +123,12 @@ def test_streams(spark, tmp_path):
     once = cursors.without_repeats(twice.unionByName(twice), ["event_id"], "ts", "1 day").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.table("once").count() == events.count()
+
+
+def test_merge_into_keeps_values_without_a_time_and_goes_on(spark, tmp_path):
+    kind = "k int, v string, at int"
+    for turn, rows in enumerate([[(1, "a", None), (2, "b", 5)], [(2, "old", 1), (3, "c", None)]]):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/in{turn}")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in{turn}")
+        cursors.merge_into(stream, f"{tmp_path}/out", ["k"], f"{tmp_path}/cp{turn}", "at").awaitTermination()
+    assert {tuple(r) for r in spark.read.schema(kind).parquet(f"{tmp_path}/out/v=1").collect()} == {(1, "a", None), (2, "b", 5), (3, "c", None)}

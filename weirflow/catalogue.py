@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from weirflow.functions import dates, http, text, values
 from weirflow.operators import filters, joins, loading, records, state
-from weirflow.plans import slices
+from weirflow.plans import rates, slices
+from weirflow.sources import decoders, files, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,8 +81,7 @@ def _(orders):
     "events",
 )
 def _(events):
-    load, gone = filters.route_deletes(events, F.col("event_type") == "error")
-    return gone.select("event_id", F.lit("delete").alias("route")).unionByName(load.select("event_id", F.lit("load").alias("route")))
+    return filters.route_deletes(events, F.col("event_type") == "error").select("event_id", "route")
 
 
 @query(
@@ -98,11 +98,25 @@ def _(orders):
     return filters.first_rows(orders, 100, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query("p_extract_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL", "events")
+@query("p_extract_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) <> 0", "events")
 def _(events):
     return records.extract_json(events, "props", "$.k", "bigint", "k").select("event_id", "k")
 
 
+@query(
+    "p_extract_values",
+    """SELECT conv_id, turn, text AS v FROM conversations WHERE text <> ''
+    UNION ALL SELECT conv_id, turn, unnest([NULL, role]) FROM conversations WHERE turn % 4 = 1""",
+    "conversations",
+)
+def _(conversations):
+    # a text, a list that holds a null, and a zero: an empty text and the zero give no record
+    body = F.to_json(F.struct(F.col("text").alias("a"), F.when(F.col("turn") % 4 == 1, F.array(F.lit(None).cast("string"), "role")).alias("b"), F.lit(0).alias("z")))
+    rows = conversations.select("conv_id", "turn", body.alias("body"))
+    one, two, none = (records.extract_json(rows, "body", path, "string", "v").select("conv_id", "turn", "v") for path in ("$.a", "$.b", "$.z"))
+    return one.unionByName(two).unionByName(none)
+
+
 @query(
     "p_expand_lines",
     """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS t(i)
@@ -129,9 +143,9 @@ def _(customer):
     return records.remove_fields(records.remove_fields(customer, ["c_nationkey", "c_mktsegment", "absent"]), ["c_acctbal"], F.col("c_acctbal") < 0)
 
 
-@query("p_rename_snake", "SELECT p_partkey AS part_key, p_name AS part_name, p_brand AS pbrand2, p_size AS size_of FROM part", "part")
+@query("p_rename_snake", "SELECT p_partkey AS part_key, p_name AS part_name, p_brand AS pbrand2, p_size AS size_of, p_type AS _type, p_retailprice AS price_ FROM part", "part")
 def _(part):
-    named = part.select(F.col("p_partkey").alias("PartKey"), F.col("p_name").alias("part name"), F.col("p_brand").alias("PBrand2"), F.col("p_size").alias("SizeOf"))
+    named = part.select(F.col("p_partkey").alias("PartKey"), F.col("p_name").alias("part name"), F.col("p_brand").alias("PBrand2"), F.col("p_size").alias("SizeOf"), F.col("p_type").alias("#Type"), F.col("p_retailprice").alias("price!"))
     return records.keys_replace(records.keys_to_snake(named), "brand_2", "brand2")
 
 
@@ -181,13 +195,12 @@ def _(customer, orders):
 
 @query(
     "j_chunk_merge",
-    """SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, a.p_name, coalesce(b.p_size, a.p_size) AS p_size, b.p_brand
-    FROM (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey, p_size + 1 AS p_size, p_brand FROM part WHERE p_partkey % 2 = 0) b USING (p_partkey)""",
+    """SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_brand FROM part""",
     "part",
 )
 def _(part):
-    one = part.where("p_partkey % 3 <> 0").select("p_partkey", "p_name", "p_size")
-    two = part.where("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") + 1).alias("p_size"), "p_brand")
+    one = part.select("p_partkey", "p_name", "p_size")
+    two = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 1).alias("p_size"), "p_brand")
     return joins.merge_chunks([one, two], ["p_partkey"])
 
 
@@ -280,11 +293,14 @@ def _(events):
     SESSIONS + """, n AS (SELECT *, lead(start) OVER w AS nxt, lag("end") OVER w AS prv FROM m WINDOW w AS (PARTITION BY user_id ORDER BY start))
     SELECT user_id, CAST(0 AS BIGINT) AS start, start - 1 AS "end" FROM n WHERE prv IS NULL AND start > 0
     UNION ALL SELECT user_id, "end" + 1, nxt - 1 FROM n WHERE nxt > "end" + 1
-    UNION ALL SELECT user_id, greatest("end" - 2, 0), CAST(1000000 AS BIGINT) FROM n WHERE nxt IS NULL AND "end" - 2 < 1000000""",
+    UNION ALL SELECT user_id, greatest("end" - 2, 0), CAST(1000000 AS BIGINT) FROM n WHERE nxt IS NULL AND "end" - 2 < 1000000
+    UNION ALL SELECT DISTINCT c_custkey, CAST(0 AS BIGINT), CAST(1000000 AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""",
     "events",
+    "customer",
 )
-def _(events):
-    return slices.unsynced(merged(events), ["user_id"], F.lit(0).cast("long"), F.lit(1_000_000).cast("long"), step=1, lookback=2)
+def _(events, customer):
+    users = customer.select(F.col("c_custkey").cast(events.schema["user_id"].dataType).alias("user_id"))
+    return slices.unsynced(merged(events), ["user_id"], F.lit(0).cast("long"), F.lit(1_000_000).cast("long"), step=1, lookback=2, every=users)
 
 
 @query(
@@ -320,12 +336,12 @@ def _(events):
 
 @query("a_record_counts", "SELECT event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1", "events")
 def _(events):
-    return events.groupBy("event_type").agg(F.count("*").cast("double").alias("n"))
+    return state.record_counts(events, ["event_type"])
 
 
 @query("a_duplicate_names", "SELECT md5(text) AS name, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1", "documents")
 def _(documents):
-    return documents.groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select(F.md5("text").alias("name"), "n")
+    return state.repeated(documents, "text").select(F.md5("text").alias("name"), "n")
 
 
 @query("a_ascending", "SELECT o_custkey, coalesce(bool_and(d >= p OR p IS NULL), true) AS ascending FROM (SELECT o_custkey, o_orderdate AS d, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) GROUP BY 1", "orders")
@@ -356,16 +372,15 @@ def _(orders):
     return orders.select("o_orderkey", *(dates.ceiling(ts, u).cast("timestamp").alias(f"{u}_end") for u in ("day", "month", "week")))
 
 
-@query("i_min_max_bound", "SELECT o_orderkey, least(greatest(o_orderdate, TIMESTAMP '1994-01-01'), TIMESTAMP '1997-01-01') AS d FROM orders WHERE o_orderdate IS NOT NULL", "orders")
+@query("i_min_max_bound", "SELECT o_orderkey, CASE WHEN o_orderdate IS NOT NULL THEN least(greatest(o_orderdate, TIMESTAMP '1994-01-01'), TIMESTAMP '1997-01-01') END AS d FROM orders", "orders")
 def _(orders):
     bound = lambda s: F.lit(s).cast("timestamp")
-    return orders.where("o_orderdate is not null").select("o_orderkey", dates.bounded(F.col("o_orderdate").cast("timestamp"), bound("1994-01-01"), bound("1997-01-01")).alias("d"))
+    return orders.select("o_orderkey", dates.bounded(F.col("o_orderdate").cast("timestamp"), bound("1994-01-01"), bound("1997-01-01")).alias("d"))
 
 
 @query("i_lookback", "SELECT e.event_id FROM events e JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY 1) c USING (user_id) WHERE e.ts >= c.m - INTERVAL 1 DAY", "events")
 def _(events):
-    last = events.groupBy("user_id").agg(F.max("ts").alias("m"))
-    return events.join(last, "user_id").where("ts >= m - INTERVAL 1 DAY").select("event_id")
+    return filters.within_lookback(events, ["user_id"], "ts", "1 DAY").select("event_id")
 
 
 @query(
@@ -381,7 +396,7 @@ def _(pages):
 
 @query("i_rate_window", "SELECT date_trunc('hour', ts) AS hour, count(*) AS calls FROM events GROUP BY 1", "events")
 def _(events):
-    return events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("calls")).select(F.col("w.start").alias("hour"), "calls")
+    return rates.fixed_windows(events, F.col("ts").cast("timestamp"), "1 hour").withColumnRenamed("start", "hour")
 
 
 @query(
@@ -390,18 +405,23 @@ def _(events):
     "events",
 )
 def _(events):
-    second = F.floor(dates.epoch_seconds(F.col("ts")))
-    return events.withColumn("s", second).select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-3599, 0)).alias("calls"))
+    return rates.moving_windows(events, ["user_id"], F.floor(dates.epoch_seconds(F.col("ts"))), 3600).select("event_id", "calls")
 
 
 @query(
     "k_merge_upsert",
-    "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, c_name, c_acctbal + 1 FROM customer WHERE c_custkey % 4 = 0",
+    """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 4 <> 0
+    UNION ALL SELECT c_custkey + CASE WHEN c_custkey % 8 = 0 THEN 1000000 ELSE 0 END, c_name, c_acctbal + 2 FROM customer WHERE c_custkey % 4 = 0
+    UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 8 = 0""",
     "customer",
 )
 def _(customer):
+    # two new rows for each key, the larger one wins; half of the new keys are unknown
     target = customer.select("c_custkey", "c_name", "c_acctbal")
-    return loading.merge(target, target.where("c_custkey % 4 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
+    key_ = F.col("c_custkey") + F.when(F.col("c_custkey") % 8 == 0, 1_000_000).otherwise(0)
+    fresh = target.where("c_custkey % 4 = 0").withColumn("c_custkey", key_)
+    new = fresh.withColumn("c_acctbal", F.col("c_acctbal") + 2).unionByName(fresh.withColumn("c_acctbal", F.col("c_acctbal") + 1))
+    return loading.merge(target, new, ["c_custkey"], F.col("c_acctbal"))
 
 
 @query("k_append", "SELECT n_nationkey, n_name, NULL AS note FROM nation UNION ALL SELECT n_nationkey, n_name, 'again' FROM nation", "nation")
@@ -410,9 +430,9 @@ def _(nation):
     return loading.append(rows.withColumn("note", F.lit(None).cast("string")), rows.withColumn("note", F.lit("again")))
 
 
-@query("k_load_columns", "SELECT n_nationkey, sha256(CAST(n_nationkey AS VARCHAR)) AS _raw_id, '{}' AS _meta FROM nation", "nation")
+@query("k_load_columns", "SELECT n_nationkey, sha256(CAST(n_nationkey AS VARCHAR)) AS _raw_id, TIMESTAMP '2024-01-01' AS _extracted_at, '{}' AS _meta FROM nation", "nation")
 def _(nation):
-    return loading.with_load_columns(nation, ["n_nationkey"], F.lit("2024-01-01").cast("timestamp")).select("n_nationkey", "_raw_id", "_meta")
+    return loading.with_load_columns(nation, ["n_nationkey"], F.lit("2024-01-01").cast("timestamp")).select("n_nationkey", "_raw_id", "_extracted_at", "_meta")
 
 
 @query(
@@ -452,7 +472,7 @@ def _(customer):
     )
 
 
-@query("n_base64", "SELECT c_custkey, base64(encode(c_name)) AS coded, c_name AS decoded FROM customer", "customer")
+@query("n_base64", "SELECT c_custkey, base64(encode(c_name)) AS coded, decode(from_base64(base64(encode(c_name)))) AS decoded FROM customer", "customer")
 def _(customer):
     coded = text.base64_encode(F.col("c_name"))
     return customer.select("c_custkey", coded.alias("coded"), text.base64_decode(coded).alias("decoded"))
@@ -486,9 +506,9 @@ def _(part):
     return part.select("p_partkey", text.snake(F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
 
 
-@query("n_url", "SELECT page_id, url_encode(url) AS quoted FROM pages WHERE url NOT LIKE '% %'", "pages")
+@query("n_url", "SELECT page_id, replace(url_encode(url), '%20', '+') AS quoted, replace(url_encode(left(html, 200)), '%20', '+') AS head FROM pages", "pages")
 def _(pages):
-    return pages.where("url not like '% %'").select("page_id", text.url_quote(F.col("url")).alias("quoted"))
+    return pages.select("page_id", text.url_quote(F.col("url")).alias("quoted"), text.url_quote(F.left("html", F.lit(200))).alias("head"))
 
 
 @query(
@@ -577,3 +597,135 @@ def _(events):
     rows = events.groupBy("user_id").agg(by("purchase").alias("most_recent"), by("click").alias("end"))
     made = F.array(F.struct(F.lit(None).cast("timestamp").alias("start"), "end", "most_recent"))
     return rows.select("user_id", state.start_from_state(made, F.lit("2020-01-01").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")).alias("start"))
+
+
+@query(
+    "a_schema_infer",
+    """SELECT event_type, CASE WHEN bool_or(json_type(props, '$.k') IN ('BIGINT', 'UBIGINT')) THEN 'OBJECT<k: BIGINT, tags: ARRAY<STRING>>' ELSE 'OBJECT<k: VOID, tags: ARRAY<STRING>>' END AS "schema" FROM events GROUP BY 1""",
+    "events",
+)
+def _(events):
+    nested = F.to_json(F.struct(key(events).alias("k"), F.array("event_type").alias("tags")), {"ignoreNullFields": "false"})
+    return state.inferred_schema(events.select("event_type", nested.alias("body")), "body", ["event_type"])
+
+
+#: Columns of ``orders`` that round trips carry, as text.
+ORDER_SQL = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+
+
+def saved(df: DataFrame, kind: str, **options: str) -> str:
+    path = scratch.folder(df.sparkSession, kind)
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query("s_csv", ORDER_SQL, "orders")
+def _(orders):
+    rows = orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    read = files.read_csv(orders.sparkSession, saved(rows, "csv", header="true", compression="gzip"))
+    return files.cast_csv(read, files.infer_csv(read)).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("s_csv_below", "SELECT n_nationkey, n_name FROM nation", "nation")
+def _(nation):
+    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name")
+    body = nation.coalesce(1).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("v")).select(F.concat(F.lit("made today\nn_nationkey,n_name\n"), "v").alias("value"))
+    read = files.read_csv_below(nation.sparkSession, saved(body, "text"), before_header=1)
+    return read.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@query("s_jsonl", ORDER_SQL, "orders")
+def _(orders):
+    rows = orders.select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("value"))
+    broken = rows.limit(1).select(F.lit('{"o_orderkey": 1, ').alias("value"))
+    path = saved(rows.unionByName(broken), "text")
+    return files.read_jsonl(orders.sparkSession, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("s_jsonl_schemaless", "SELECT o_orderkey FROM orders", "orders")
+def _(orders):
+    path = saved(orders.select(F.to_json(F.struct("o_orderkey")).alias("value")), "text", compression="gzip")
+    return files.read_jsonl(orders.sparkSession, path).select(F.get_json_object("data", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
+
+
+@query("s_parquet", "SELECT p_partkey, p_name, CAST(p_size AS DOUBLE) AS size FROM part UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part", "part")
+def _(part):
+    one, two = (saved(part.select("p_partkey", "p_name", F.col(c).alias("size")), "parquet") for c in ("p_size", "p_retailprice"))
+    return files.read_parquet(part.sparkSession, one, two).select("p_partkey", "p_name", "size")
+
+
+@query("s_documents", "SELECT string_agg(n_name, chr(10) ORDER BY n_name) || chr(10) AS content, 'txt' AS ending FROM nation", "nation")
+def _(nation):
+    read = files.read_documents(nation.sparkSession, saved(nation.select("n_name").coalesce(1).sortWithinPartitions("n_name"), "text")).where("parse_error is null")
+    return read.select("content", F.element_at(F.split("document_key", r"\."), -1).alias("ending"))
+
+
+@query("s_listing", "SELECT 4 AS n", "nation")
+def _(nation):
+    path = saved(nation.repartition(4), "csv")
+    return files.listing(nation.sparkSession, path, "part-*").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("x_json", "SELECT conv_id, turn, text FROM conversations", "conversations")
+def _(conversations):
+    whole = conversations.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "text"))).alias("body"))
+    return decoders.json_records(whole, "body", "struct<turn: bigint, text: string>").select("conv_id", F.col("record.turn").cast(conversations.schema["turn"].dataType).alias("turn"), "record.text")
+
+
+@query("x_json_lines", "SELECT conv_id, turn, text FROM conversations", "conversations")
+def _(conversations):
+    line = F.to_json(F.struct("turn", "text"))
+    whole = conversations.groupBy("conv_id").agg(F.array_join(F.array_append(F.collect_list(line), F.lit("{broken")), "\n").alias("body"))
+    return decoders.json_lines(whole, "body", "turn bigint, text string").select("conv_id", F.col("record.turn").cast(conversations.schema["turn"].dataType).alias("turn"), "record.text")
+
+
+@query("x_csv", "SELECT conv_id, turn, CASE WHEN text <> '' THEN text END AS text FROM conversations", "conversations")
+def _(conversations):
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", quoted(F.col("text")), F.col("turn").cast("string"))
+    whole = conversations.groupBy("conv_id").agg(F.concat(F.lit("text,turn\r\n"), F.array_join(F.collect_list(line), "\r\n")).alias("body"))
+    found = decoders.csv_records(whole, "body", ["turn", "text"], nulls=[""])
+    return found.select("conv_id", F.col("record.turn").cast(conversations.schema["turn"].dataType).alias("turn"), "record.text")
+
+
+@query("x_xml", "SELECT c_custkey, c_name FROM customer", "customer")
+def _(customer):
+    body = F.concat(F.lit("<c><name>"), "c_name", F.lit("</name></c>"))
+    return decoders.xml_records(customer.select("c_custkey", body.alias("body")), "body", "name string").select("c_custkey", F.col("record.name").alias("c_name"))
+
+
+@query("x_lines", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents", "documents")
+def _(documents):
+    return decoders.lines(documents.select("doc_id", "text"), "text").select("doc_id", F.col("record.record").alias("line"))
+
+
+@query("x_gzip", "SELECT doc_id, replace(text, chr(0), '') AS text FROM documents", "documents")
+def _(documents):
+    path = saved(documents.select("doc_id", F.encode("text", "utf-8").alias("body")), "parquet")
+    read = documents.sparkSession.read.parquet(path)
+    return read.select("doc_id", decoders.text_of(F.col("body")).alias("text"))
+
+
+@query("x_dispatch", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer", "customer")
+def _(customer):
+    rows = customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, "shout").alias("kind"))
+    return rows.select("c_custkey", decoders.dispatch(rows, "kind", {"shout": F.upper("c_name")}, F.col("c_name")).alias("name"))
+
+
+@query("p_schemaless", "SELECT n_nationkey, n_name FROM nation", "nation")
+def _(nation):
+    whole = records.schemaless(nation)
+    return whole.select(F.get_json_object("data", "$.n_nationkey").cast("int").alias("n_nationkey"), F.get_json_object("data", "$.n_name").alias("n_name"))
+
+
+@query("p_keys_lower", "SELECT n_nationkey, n_name FROM nation", "nation")
+def _(nation):
+    return records.keys_to_lower(nation.select(F.col("n_nationkey").alias("N_NationKey"), F.col("n_name").alias("N_NAME")))
+
+
+@query("i_state_migration", "SELECT user_id, max(ts) AS \"cursor\" FROM events WHERE user_id IS NOT NULL GROUP BY 1", "events")
+def _(events):
+    last = events.where("user_id is not null").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("m"))
+    legacy = last.select(F.create_map(F.col("user_id").cast("string"), "m").alias("state"))
+    parts = legacy.select(F.explode(state.legacy_to_partitions(F.col("state"), "user_id", "ts")).alias("p"))
+    return parts.select(F.col("p.partition")["user_id"].cast(events.schema["user_id"].dataType).alias("user_id"), F.col("p.cursor")["ts"].alias("cursor"))

@@ -62,7 +62,8 @@ def snake(value: Column) -> Column:
 
 
 def url_quote(value: Column) -> Column:
-    return F.url_encode(value)
+    """Percent-encoded but for letters, digits and ``_.-~``; a blank becomes a plus."""
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def normal_name(value: Column) -> Column:
@@ -72,14 +73,18 @@ def normal_name(value: Column) -> Column:
 
 
 def snake_key(key: str) -> str:
-    """A column name in snake case: folded to ASCII, words and numbers apart, no leading digit."""
-    folded = unicodedata.normalize("NFKD", key).encode("ascii", "ignore").decode()
-    words = re.findall(r"[A-Z]+[a-z]*|[a-z]+|\d+", folded)
-    if not words:
-        return key
-    if words[0].isdigit():
-        words.insert(0, "")
-    return "_".join(words).lower()
+    """A column name in snake case: folded to ASCII, words and numbers apart, no leading digit.
+
+    A run of other signs is one underscore, also at either end; a name of nothing else becomes empty.
+    """
+    name = unicodedata.normalize("NFKD", key)
+    name = "".join(c for c in name if not unicodedata.combining(c))
+    name = re.sub("[^A-Za-z0-9]+", "_", name)
+    for before, after in (("[a-z]", "[A-Z]"), ("[A-Za-z]", "[0-9]"), ("[0-9]", "[A-Za-z]")):  # where a word ends without a sign
+        name = re.sub(f"(?<={before})(?={after})", "_", name)
+    if name == "_":
+        return ""
+    return f"_{name}".lower() if name[:1].isdigit() else name.lower()
 
 
 def normal_key(key: str) -> str:
@@ -92,6 +97,7 @@ def normal_key(key: str) -> str:
 
 def stream_name(value: Column) -> Column:
     """A class name as a stream name; runs of capitals stay one word."""
+    # fixed values: the two patterns that class names are split by
     apart = F.regexp_replace(value, "(.)([A-Z][a-z]+)", "$1_$2")
     return F.lower(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1_$2"))
 

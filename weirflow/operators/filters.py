@@ -23,10 +23,15 @@ def in_range(df: DataFrame, cursor: Column, start: Column | None, end: Column |
     return df.where(cursor.isNull() | fits)
 
 
-def route_deletes(df: DataFrame, deleted: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows to load, and rows that only delete."""
-    gone = F.coalesce(deleted, F.lit(False))
-    return df.where(~gone), df.where(gone)
+def route_deletes(df: DataFrame, deleted: Column, into: str = "route") -> DataFrame:
+    """The rows with ``delete`` or ``load``, where each goes; in one pass."""
+    return df.withColumn(into, F.when(F.coalesce(deleted, F.lit(False)), "delete").otherwise("load"))
+
+
+def within_lookback(df: DataFrame, keys: list[str], cursor: str, amount: str) -> DataFrame:
+    """The rows of each key that a sync with this lookback reads again: from its largest cursor less ``amount`` on."""
+    last = df.groupBy(*keys).agg(F.max(cursor).alias("__last"))
+    return df.join(last, list(keys)).where(F.col(cursor) >= F.col("__last") - F.expr(f"INTERVAL {amount}")).drop("__last")
 
 
 #: JSON types from narrow to wide.

@@ -18,11 +18,21 @@ def swap(new: DataFrame, table: str) -> None:
     new.write.mode("overwrite").saveAsTable(table)
 
 
-def merge(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``target`` whose key isn't in ``new``, and the rows of ``new``."""
+def merge(target: DataFrame, new: DataFrame, keys: list[str], newest: Column | None = None) -> DataFrame:
+    """An upsert: rows of ``target`` whose key isn't in ``new``, and one row of ``new`` for each key.
+
+    Of rows of ``new`` with one key that with the largest ``newest`` is taken, nulls least
+    (any of them without ``newest``). A null key matches nothing, so such rows are all kept.
+    """
     if not keys:
         raise ValueError("a merge needs a primary key")
-    return target.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rest = F.struct(*(c for c in new.columns if c not in keys))
+    order = F.struct(newest.isNotNull(), newest) if newest is not None else F.lit(0)
+    packed = new.where(whole).select(*keys, F.struct(order.alias("__order"), rest.alias("__rest")).alias("__row"))
+    taken = packed.groupBy(*keys).agg(F.max_by("__row.__rest", "__row.__order").alias("__rest")).select(*keys, "__rest.*").select(*new.columns)
+    kept = target.join(new.select(*keys), keys, "left_anti")
+    return kept.unionByName(taken.unionByName(new.where(~whole)), allowMissingColumns=True)
 
 
 def with_load_columns(df: DataFrame, keys: list[str], extracted_at: Column) -> DataFrame:

@@ -12,10 +12,18 @@ from weirflow.functions.text import normal_key, snake_key
 
 
 def extract_json(df: DataFrame, column: str, path: str, element: str, into: str = "record") -> DataFrame:
-    """One row for each element of the list at ``path`` of a JSON column; an object gives one row, nothing or a falsy value gives none."""
-    found = F.get_json_object(column, path)
-    many = F.from_json(F.when(found.startswith("["), found).otherwise(F.concat(F.lit("["), found, F.lit("]"))), f"array<{element}>")
-    return df.where(found.isNotNull()).withColumn(into, F.explode(many))
+    """One row for each element of the list at ``path`` of a JSON column, whatever the elements are.
+
+    Another value gives one row, but none where it is missing or counts as false: null,
+    false, zero, and empty text or object. Text that isn't JSON gives none.
+    """
+    found = F.try_variant_get(F.try_parse_json(column), path, "variant")
+    shown = F.to_json(found)
+    zero = ~shown.startswith('"') & (F.try_variant_get(found, "$", "double") == 0)
+    counts = shown.isNotNull() & ~shown.isin("null", "false", '""', "{}") & ~F.coalesce(zero, F.lit(False))
+    many = F.when(shown.startswith("["), F.try_variant_get(found, "$", "array<variant>")).when(counts, F.array(found))
+    # an element that doesn't fit its type becomes null
+    return df.withColumn(into, F.explode(many)).withColumn(into, F.try_variant_get(into, "$", element))
 
 
 def expand(df: DataFrame, items: Column, into: str, emit_parent: bool = False, position: str | None = None) -> DataFrame:

@@ -27,9 +27,24 @@ def interval_gaps(merged: DataFrame, keys: list[str], start: str = "start", end:
 
 def max_cursor(df: DataFrame, keys: list[str], cursor: str) -> DataFrame:
     """The largest cursor of each partition, and of all in a row whose keys are null and ``is_global`` is true."""
-    own = df.groupBy(*keys).agg(F.max(cursor).alias("cursor")).withColumn("is_global", F.lit(False))
-    every = own.agg(F.max("cursor").alias("cursor")).withColumn("is_global", F.lit(True))
-    return own.unionByName(every, allowMissingColumns=True)
+    rows = df.rollup(*keys).agg(F.max(cursor).alias("cursor"), F.grouping_id().alias("__level"))  # one pass
+    every = (1 << len(keys)) - 1
+    return rows.where(F.col("__level").isin(0, every)).select(*keys, "cursor", (F.col("__level") == every).alias("is_global"))
+
+
+def record_counts(df: DataFrame, stream: list[str]) -> DataFrame:
+    """Records of each stream, as the floating-point count that sync state carries."""
+    return df.groupBy(*stream).agg(F.count("*").cast("double").alias("n"))
+
+
+def repeated(df: DataFrame, name: str) -> DataFrame:
+    """Values of ``name`` that more than one row has, and how many rows."""
+    return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def inferred_schema(df: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
+    """The schema, nested and merged over all records, of a column of JSON text; records that don't parse are left out."""
+    return df.groupBy(*keys).agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("schema"))
 
 
 def is_ascending(df: DataFrame, keys: list[str], position: str, cursor: str) -> DataFrame:

@@ -57,15 +57,22 @@ def range_slices(df: DataFrame, start: str, end: str, step: str, granularity: st
     return rows.withColumn("slice", F.explode(ranges(F.col(start), F.col(end), step, granularity))).select(*(c for c in df.columns), "slice.start", "slice.end") if "start" not in df.columns else rows.select(F.explode(ranges(F.col(start), F.col(end), step, granularity)).alias("slice")).select("slice.*")
 
 
-def unsynced(merged: DataFrame, keys: list[str], low: Column, high: Column, step: int = 1, lookback: int = 0) -> DataFrame:
-    """What a sync still has to read: before the first interval, between intervals, and from the last (less a lookback) to ``high``."""
+def unsynced(merged: DataFrame, keys: list[str], low: Column, high: Column, step: int = 1, lookback: int = 0, every: DataFrame | None = None) -> DataFrame:
+    """What a sync still has to read: before the first interval, between intervals, and from the last (less a lookback) to ``high``.
+
+    Keys of ``every`` without an interval were never synced and are read from ``low`` to ``high``.
+    """
     by = Window.partitionBy(*keys).orderBy("start")
     after, before = F.lead("start").over(by), F.lag("end").over(by)
     rows = merged.withColumns({"__next": after, "__before": before})
     ahead = rows.where(F.col("__before").isNull() & (low < F.col("start"))).select(*keys, low.alias("start"), (F.col("start") - step).alias("end"))
     inner = rows.where(F.col("__next") > F.col("end") + step).select(*keys, (F.col("end") + step).alias("start"), (F.col("__next") - step).alias("end"))
     tail = rows.where(F.col("__next").isNull() & (F.col("end") - lookback < high)).select(*keys, F.greatest(F.col("end") - lookback, low).alias("start"), high.alias("end"))
-    return ahead.unionByName(inner).unionByName(tail)
+    out = ahead.unionByName(inner).unionByName(tail)
+    if every is None:
+        return out
+    fresh = every.select(*keys).distinct().join(merged.select(*keys), keys, "left_anti").where(low <= high)
+    return out.unionByName(fresh.select(*keys, low.alias("start"), high.alias("end")))
 
 
 def pages(df: DataFrame, order: list[str], size: int, first: int = 0, partition: list[str] = ()) -> DataFrame:

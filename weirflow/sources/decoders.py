@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
 import zipfile
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unzipped(body: Column) -> Column:
@@ -37,17 +39,33 @@ def json_records(df: DataFrame, body: str, schema: str, into: str = "record") ->
 
 def json_lines(df: DataFrame, body: str, schema: str, into: str = "record") -> DataFrame:
     """A record a line; lines that don't parse are dropped."""
+    bad = "_corrupt_record"
+    kind = T.StructType([*T.DataType.fromDDL(schema).fields, T.StructField(bad, T.StringType())])
+    parsed = F.from_json("__line", kind, {"columnNameOfCorruptRecord": bad})
     lines = df.select("*", F.explode(F.split(body, "\r?\n")).alias("__line")).where(F.trim("__line") != "")
-    return lines.where(F.try_parse_json("__line").isNotNull()).withColumn(into, F.from_json("__line", schema)).drop("__line")
+    lines = lines.withColumn(into, parsed).where(F.col(into)[bad].isNull())
+    return lines.withColumn(into, F.col(into).dropFields(bad)).drop("__line")
 
 
 def csv_records(df: DataFrame, body: str, columns: list[str], nulls: list[str] = (), separator: str = ",", into: str = "record") -> DataFrame:
-    """A record a line after the header line; values in ``nulls`` are null."""
-    lines = df.select("*", F.posexplode(F.split(body, "\r?\n")).alias("__at", "__line")).where((F.col("__at") > 0) & (F.trim("__line") != ""))
-    row = F.from_csv("__line", ", ".join(f"`{c}` string" for c in columns), {"sep": separator})
-    out = lines.withColumn("__row", row)
-    clean = F.struct(*(F.when(~F.col("__row")[c].isin(list(nulls)), F.col("__row")[c]).alias(c) if nulls else F.col("__row")[c].alias(c) for c in columns))
-    return out.withColumn(into, clean).drop("__at", "__line", "__row")
+    """A record for each row after the header row, by the header's names; ``columns`` are those wanted, values in ``nulls`` are null.
+
+    Quoted fields may hold separators and line ends; a row shorter than the header has nulls; blank rows are skipped.
+    """
+
+    @F.pandas_udf("array<map<string,string>>")
+    def rows(bodies: pd.Series) -> pd.Series:
+        def parse(text: str | None) -> list[dict]:
+            found = (r for r in csv.reader(io.StringIO(text or "", newline=""), delimiter=separator) if r)
+            head = next(found, [])
+            return [dict(zip(head, r)) for r in found]
+
+        return bodies.map(parse)
+
+    out = df.withColumn("__row", F.explode(rows(body)))
+    value = lambda c: F.try_element_at("__row", F.lit(c))
+    clean = F.struct(*(F.when(~value(c).isin(list(nulls)), value(c)).alias(c) if nulls else value(c).alias(c) for c in columns))
+    return out.withColumn(into, clean).drop("__row")
 
 
 def xml_records(df: DataFrame, body: str, schema: str, into: str = "record") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,19 +24,38 @@ def rate_windows(stream: DataFrame, event_time: str, window: str, lateness: str)
     return stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, window)).agg(F.count("*").alias("calls"))
 
 
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """The versions of a table, oldest first, as Spark's file system lists them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    whole = lambda v: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/_SUCCESS"))
+    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
+    return sorted(v for v in found if whole(v))
+
+
 def merge_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str, latest: str) -> StreamingQuery:
-    """Upserts every batch into a Parquet table by key, the row with the largest ``latest`` of a key; a repeated batch changes nothing.
+    """Upserts every batch into a Parquet table by key, the row with the largest ``latest`` of a key, nulls least; a repeated batch changes nothing.
 
-    Versions are written side by side, ``table/v=<epoch>``; the newest one is the table.
+    Versions are written side by side, ``table/v=<number>``; the newest whole one is the table.
+    A new checkpoint goes on from what the table holds; a version two back is removed.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        found = versions(spark, table)
         rows = batch
-        if epoch:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/v={epoch - 1}").unionByName(batch)
+        if found:
+            rows = spark.read.schema(batch.schema).parquet(f"{table}/v={found[-1]}").unionByName(batch)
         rest = F.struct(*(c for c in batch.columns if c not in keys))
-        rows = rows.groupBy(*keys).agg(F.max_by(rest, latest).alias("r")).select(*keys, "r.*").select(*batch.columns)
-        rows.write.mode("overwrite").parquet(f"{table}/v={epoch}")
+        order = F.struct(F.col(latest).isNotNull(), latest)
+        rows = rows.groupBy(*keys).agg(F.max_by(rest, order).alias("r")).select(*keys, "r.*").select(*batch.columns)
+        rows.write.mode("overwrite").parquet(f"{table}/v={found[-1] + 1 if found else 0}")
+        for old in found[:-1]:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v={old}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
