@@ -53,6 +53,17 @@ def test_planted_repeats_and_edges(spark):
     assert suffix_dedup.cut_out(df.limit(0)).collect() == []
 
 
+def test_hot_grams_are_counted_to_the_same_end(spark, monkeypatch):
+    line = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 90))
+    tails = ["".join(np.random.default_rng(100 + i).choice(list("ijklmnop "), 120)) for i in range(40)]
+    texts = planted() + [t + line + tails[(7 * i) % 40] for i, t in enumerate(tails)] + [tails[3] + line + tails[21]] * 2
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], KIND).repartition(3)
+    want = dict(enumerate(brute([(t or "").encode() for t in texts])))
+    for hot in (1, 10, 100_000):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert digest(suffix_dedup.cut_out(df).collect()) == want
+
+
 def test_small_runs_and_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "RUN", 5)
     monkeypatch.setattr(suffix_dedup, "PART", 7)

@@ -9,6 +9,9 @@
    where they occur stays in a table of its own.
 3. A task merges its runs with a loser tree that carries common prefixes, and finds
    which strings of ``LENGTH`` bytes through each anchor occur twice.
+   A gram with more than ``HOT`` anchors would fill a task, so its contexts aren't merged:
+   each of their strings through the anchor is counted by digest in a plain grouping,
+   which Spark combines and splits. Both ways find the same strings.
 4. The reach of the repeats is joined back to their occurrences, and spans of each
    text are united and cut out.
 
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.storage import located, row_key, written
-from weirflow.llm.suffixes import anchors, context, name, pack, repeats
+from weirflow.llm.suffixes import BACK, LENGTH, anchors, context, name, pack, repeats
 
 RUN, PART = 40_000, 40_000
+#: Anchors of one gram up to which its contexts are merged in one task.
+HOT = 100_000
 KEY = ["file_key", "row_key"]
 
 
@@ -64,15 +69,22 @@ def anchored(texts: DataFrame) -> DataFrame:
 def runs(texts: DataFrame, parts: int) -> DataFrame:
     """From texts with their repeated ``anchors``: rows with a part's sorted run, and rows with a text's contexts by name."""
     entry = pa.list_(pa.struct([("place", pa.int64()), ("context", pa.binary())]))
-    schema = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("file_key", pa.int64()), ("row_key", pa.int64()), ("at", entry)])
+    schema = pa.schema(
+        [("part", pa.int32()), ("run", pa.binary()), ("file_key", pa.int64()), ("row_key", pa.int64()), ("at", entry), ("context", pa.binary()), ("suffix", pa.binary()), ("before", pa.binary()), ("times", pa.int64())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict] = {}
+        hot: dict[tuple[bytes, bytes], int] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for part in list(held):
                 yield pa.RecordBatch.from_pylist([{"part": part, "run": pack(held.pop(part))}], schema)
+            rows = [{"context": name(*k), "suffix": k[0], "before": k[1][::-1], "times": n} for k, n in hot.items()]
+            hot.clear()
+            for first in range(0, len(rows), 2_000):
+                yield pa.RecordBatch.from_pylist(rows[first : first + 2_000], schema)
 
         for batch in batches:
             rows = []
@@ -80,7 +92,7 @@ def runs(texts: DataFrame, parts: int) -> DataFrame:
                 text, at = raw(value), []
                 for a in batch.column("anchors")[i].as_py():
                     key = context(text, a["place"])
-                    entries = held.setdefault(a["gram"] % parts, {})
+                    entries = hot if a["hot"] else held.setdefault(a["gram"] % parts, {})
                     entries[key] = entries.get(key, 0) + 1
                     size += entries[key] == 1
                     at.append({"place": a["place"], "context": name(*key)})
@@ -95,17 +107,31 @@ def runs(texts: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
         yield from out()
 
-    return texts.mapInArrow(run, "part int, run binary, file_key long, row_key long, at array<struct<place: bigint, context: binary>>")
+    kind = "part int, run binary, file_key long, row_key long, at array<struct<place: bigint, context: binary>>, context binary, suffix binary, before binary, times long"
+    return texts.mapInArrow(run, kind)
+
+
+def counted(contexts: DataFrame) -> DataFrame:
+    """``context``, ``back`` and ``on`` as ``suffixes.repeats`` gives them, for contexts (context, suffix, before, times) of any number."""
+    once = contexts.groupBy("context", "suffix", "before").agg(F.sum("times").alias("times"))
+    back = F.col("back")
+    strings = once.select("*", F.explode(F.sequence(F.lit(0), F.lit(BACK))).alias("back")).where((back <= F.octet_length("before")) & (LENGTH - back <= F.octet_length("suffix")))
+    whole = F.concat(F.substring("before", F.octet_length("before") - back + 1, back), F.substring("suffix", F.lit(1), LENGTH - back))
+    strings = written(strings.select("context", "times", "back", F.unhex(F.md5(whole)).alias("digest")), "suffix-strings")
+    # equal strings have an anchor at the same place; a string with several anchors counts once at each
+    twice = strings.groupBy("digest", "back").agg(F.sum("times").alias("n")).where("n > 1").select("digest", "back")
+    return strings.join(twice, ["digest", "back"]).groupBy("context").agg(F.max("back").alias("back"), (LENGTH - F.min("back")).alias("on"))
 
 
 def spans(texts: DataFrame) -> DataFrame:
     """For each text with repeats: file_key, row_key, spans (array of start and end, which may overlap)."""
     found = written(anchored(texts), "suffix-anchors")
-    twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
-    kept = found.join(twice, "gram", "left_semi")
-    kept = kept.groupBy(*KEY).agg(F.collect_list(F.struct("place", "gram")).alias("anchors"))
+    twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+    kept = found.join(twice.select("gram", (F.col("n") > HOT).alias("hot")), "gram")
+    kept = kept.groupBy(*KEY).agg(F.collect_list(F.struct("place", "gram", "hot")).alias("anchors"))
     kept = written(kept, "suffix-kept")
-    parts = max(1, -(-(kept.agg(F.sum(F.size("anchors"))).first()[0] or 0) // PART))
+    cold, hot = twice.agg(F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.sum((F.col("n") > HOT).cast("int"))).first()
+    parts = max(1, -(-(cold or 0) // PART))
     both = written(runs(texts.join(kept, KEY), parts), "suffix-runs")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
@@ -114,8 +140,10 @@ def spans(texts: DataFrame) -> DataFrame:
         return pa.table({"context": pa.array(columns[0], pa.binary()), "back": pa.array(columns[1], pa.int32()), "on": pa.array(columns[2], pa.int32())})
 
     reach = both.where("run is not null").select("part", "run").groupBy("part").applyInArrow(meet, "context binary, back int, on int")
+    if hot:
+        reach = reach.unionByName(counted(both.where("suffix is not null").select("context", "suffix", "before", "times")))
     reach = written(reach, "suffix-reach")
-    places = both.where("run is null").select(*KEY, F.explode("at").alias("a")).select(*KEY, "a.place", "a.context")
+    places = both.where("at is not null").select(*KEY, F.explode("at").alias("a")).select(*KEY, "a.place", "a.context")
     cut = places.join(reach, "context").select(*KEY, F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("on")).alias("end")).alias("s"))
     return written(cut.groupBy(*KEY).agg(F.collect_list("s").alias("spans")), "suffix-spans")
 
