@@ -104,6 +104,38 @@ def test_paged_http(spark, kind, options):
     assert sorted((json.loads(r.record)["shop"], json.loads(r.record)["id"]) for r in rows) == [(s, i) for s in "ab" for i in range(7)]
 
 
+class Echo(Api):
+    def answer(self):
+        size = int(self.headers.get("Content-Length") or 0)
+        body = json.loads(self.rfile.read(size)) if size else {}
+        query = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))
+        self.send_response(404 if query.get("shop") == "gone" else 200)
+        self.end_headers()
+        seen = {"method": self.command, "token": self.headers.get("Authorization"), "tag": self.headers.get("X-Tag"), "query": query, "body": body}
+        at = int(query.get("offset", 0))
+        days = [{"day": f"2024-01-{20 - i:02}"} for i in range(at, at + 2)]
+        self.wfile.write(json.dumps({"groups": {"a": {"rows": [seen]}, "b": {"rows": []}}, "days": days}).encode())
+
+    do_GET = do_POST = answer
+
+
+def test_requests_carry_options_and_errors_have_rules(spark):
+    server = HTTPServer(("127.0.0.1", 0), Echo)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    http.register(spark)
+    read = lambda **o: [json.loads(r.record) for r in spark.read.format("paged_http").options(url=f"http://127.0.0.1:{server.server_port}/x", backoff="0.01", **o).load().collect()]
+    inject = '{"day":["body","range.from"],"tag":["header","X-Tag"]}'
+    slices = '[{"shop":"a","day":"d1","tag":"t"},{"shop":"gone","day":"d2","tag":"t"}]'
+    got = read(method="POST", token="secret", params='{"v":"2"}', body='{"range":{"to":"z"}}', slices=slices, inject=inject, records="groups.*.rows.*", ignore="[404]")
+    assert got == [{"method": "POST", "token": "Bearer secret", "tag": "t", "query": {"v": "2", "shop": "a"}, "body": {"range": {"to": "z", "from": "d1"}}}]
+    days = read(records="days", pagination="offset", page_size="2", stop_field="day", stop_before="2024-01-17")
+    assert [d["day"][-2:] for d in days] == ["20", "19", "18", "17", "16", "15"]
+    for bad, what in (({"slices": '[{"shop":"gone"}]'}, "404"), ({"slices": '[{"v":1}]', "params": '{"v":2}'}, "twice")):
+        with pytest.raises(Exception, match=what):
+            read(**bad)
+    server.shutdown()
+
+
 def test_streams(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(4).write.parquet(f"{tmp_path}/in")

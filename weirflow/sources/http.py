@@ -1,10 +1,20 @@
 """A paged HTTP source: ``spark.read.format("paged_http")`` after ``register(spark)``.
 
-Options: ``url``; ``slices``, a JSON list of objects whose fields go to the query, one
-partition each; ``records``, a dotted path to the list of records; ``pagination``, one
-of ``none``, ``offset``, ``page`` and ``cursor``; ``page_size``, ``size_param``,
-``page_param``, ``first_page``; ``cursor_path``, where a response holds the next
-cursor; ``retries``. Rows are ``slice`` and ``record``, both JSON.
+Where: ``url``; ``method`` (GET); ``params``, ``headers`` and ``body`` (sent as JSON), each a
+JSON object that goes with every request; ``token``, a bearer token. ``slices`` is a JSON
+list of objects, one partition each, whose fields go to the query; ``inject``, a JSON
+object from field to ``[place, name]``, sends a field elsewhere: place is ``query``,
+``header`` or ``body`` (there ``name`` may be a dotted path). Two values for one name fail.
+
+What: ``records``, a dotted path to the list of records (``*`` takes every item or value);
+``pagination``, one of ``none``, ``offset``, ``page`` and ``cursor``; ``page_size``, ``size_param``,
+``page_param``, ``first_page``; ``cursor_path``, where a response holds the next cursor.
+``stop_field`` and ``stop_before`` end a slice, whose newest records come first, after
+the first page that has only records before that value; they don't filter.
+
+Errors: ``retries`` and ``backoff`` for rate limits, server errors and broken connections,
+and for statuses in the list ``retry``; a status in the list ``ignore`` ends its slice; others fail.
+Rows are ``slice`` and ``record``, both JSON.
 """
 
 from __future__ import annotations
@@ -21,55 +31,109 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def at_path(value, path: str):
-    for step in filter(None, path.split(".")):
-        value = value.get(step) if isinstance(value, dict) else None
+    """What lies at a dotted path; a ``*`` makes a list of what all items or values have there."""
+    steps = [step for step in path.split(".") if step]
+    for i, step in enumerate(steps):
+        if step == "*":
+            items = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
+            found = [at_path(x, ".".join(steps[i + 1 :])) for x in items]
+            found = [x for x in found if x is not None]
+            return [y for x in found for y in x] if "*" in steps[i + 1 :] else found
+        value = value.get(step) if isinstance(value, dict) else value[int(step)] if isinstance(value, list) and step.isdigit() and int(step) < len(value) else None
     return value
 
 
+def put(places: dict[str, dict], place: str, name: str, value: object) -> None:
+    """Sets a value of a request; a name that has one already fails."""
+    at, *rest = places[place], *(name.split(".") if place == "body" else [name])
+    for step in rest[:-1]:
+        at = at.setdefault(step, {})
+        if not isinstance(at, dict):
+            raise ValueError(f"{name} is set twice in the {place}")
+    if rest[-1] in at:
+        raise ValueError(f"{name} is set twice in the {place}")
+    at[rest[-1]] = value
+
+
 class Slice(InputPartition):
     def __init__(self, fields: dict) -> None:
         self.fields = fields
 
 
+class Ignored(Exception):
+    """A status that ends a slice."""
+
+
+#: What is assumed where an option isn't given.
+DEFAULTS = {
+    "method": "GET", "params": "{}", "headers": "{}", "body": "{}", "slices": "[{}]", "inject": "{}", "records": "", "pagination": "none", "page_size": "100",
+    "size_param": "limit", "page_param": "offset", "first_page": "0", "retries": "5", "backoff": "0.5", "retry": "[]", "ignore": "[]",
+}
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.o = {"pagination": "none", "page_size": "100", "size_param": "limit", "page_param": "offset", "first_page": "0", "retries": "5", "backoff": "0.5", "records": "", "slices": "[{}]", **options}
+        self.o = DEFAULTS | options
 
     def partitions(self) -> list[Slice]:
         return [Slice(s) for s in json.loads(self.o["slices"])]
 
-    def fetch(self, query: dict) -> object:
-        """A response; 429, server errors and broken connections are tried again with growing waits."""
-        url = f"{self.o['url']}?{urllib.parse.urlencode(query)}" if query else self.o["url"]
-        for attempt in range(int(self.o["retries"]) + 1):
+    def request(self, fields: dict, paging: dict) -> urllib.request.Request:
+        places = {k: json.loads(self.o[o]) for k, o in (("query", "params"), ("header", "headers"), ("body", "body"))}
+        if self.o.get("token"):
+            put(places, "header", "Authorization", f"Bearer {self.o['token']}")
+        elsewhere = json.loads(self.o["inject"])
+        for name, value in {**fields, **paging}.items():
+            put(places, *elsewhere.get(name, ["query", name]), value)
+        url = self.o["url"] + (f"?{urllib.parse.urlencode(places['query'])}" if places["query"] else "")
+        data = json.dumps(places["body"]).encode() if places["body"] else None
+        headers = {k: str(v) for k, v in places["header"].items()} | ({"Content-Type": "application/json"} if data else {})
+        return urllib.request.Request(url, data, headers, method=self.o["method"])
+
+    def fetch(self, fields: dict, paging: dict) -> object:
+        """A response; what may pass is tried again with growing waits."""
+        request, last = self.request(fields, paging), int(self.o["retries"])
+        for attempt in range(last + 1):
+            wait = float(self.o["backoff"]) * 2**attempt
             try:
-                with urllib.request.urlopen(url, timeout=60) as response:
+                with urllib.request.urlopen(request, timeout=60) as response:
                     return json.load(response)
             except urllib.error.HTTPError as e:
-                if e.code != 429 and e.code < 500 or attempt == int(self.o["retries"]):
+                if e.code in json.loads(self.o["ignore"]):
+                    raise Ignored from e
+                passing = e.code == 429 or e.code >= 500 or e.code in json.loads(self.o["retry"])
+                if not passing or attempt == last:
                     raise
-                wait = e.headers.get("Retry-After")
-                time.sleep(float(wait) if wait and wait.isdigit() else float(self.o["backoff"]) * 2**attempt)
+                asked = e.headers.get("Retry-After")
+                wait = float(asked) if asked and asked.isdigit() else wait
             except urllib.error.URLError:
-                if attempt == int(self.o["retries"]):
+                if attempt == last:
                     raise
-                time.sleep(float(self.o["backoff"]) * 2**attempt)
+            time.sleep(wait)
         return None
 
+    def passed(self, found: list) -> bool:
+        """Whether a page has only records before the stop."""
+        field, before = self.o.get("stop_field"), self.o.get("stop_before")
+        return bool(field and before and found) and all(str(at_path(r, field)) < before for r in found)
+
     def read(self, partition: Slice) -> Iterator[tuple]:
         kind, size, first = self.o["pagination"], int(self.o["page_size"]), int(self.o["first_page"])
         token: object = None if kind in ("none", "cursor") else first
         while True:
-            query = dict(partition.fields)
-            if kind in ("offset", "page"):
-                query |= {self.o["size_param"]: size}
+            paging = {self.o["size_param"]: size} if kind in ("offset", "page") else {}
             if token is not None and not (kind == "offset" and token == first):
-                query[self.o["page_param"]] = token
-            body = self.fetch(query)
+                paging[self.o["page_param"]] = token
+            try:
+                body = self.fetch(partition.fields, paging)
+            except Ignored:
+                return
             found = at_path(body, self.o["records"])
             found = found if isinstance(found, list) else [found] if found else []
             for record in found:
                 yield json.dumps(partition.fields), json.dumps(record)
+            if self.passed(found):
+                return
             if kind == "cursor":
                 token = at_path(body, self.o["cursor_path"])
                 if not token:
