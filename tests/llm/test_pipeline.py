@@ -77,3 +77,33 @@ def test_stages_and_run(spark):
         assert r.ids == ids and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect())) == sorted((r.doc_id, r.ids_sha256) for r in rows["bpe"])
+
+
+def test_odd_rows_pass_through(spark, tmp_path):
+    kind = "doc_id long, text string, source string, __row long, __file string, _metadata string, extra array<int>"
+    rows = [(i, " ".join(f"w{(i * i + j) % 50}" for j in range(8)), "s", 1, "f", "m", [i]) for i in range(6)]
+    rows += [(10, None, None, 2, "f", "m", []), (11, "", "s", 2, "f", "m", None), (None, "a b c d e f", None, 3, "f", "m", None), (12, "a b c d e f", "t", 3, "f", "m", None), (12, "a b c d e f", "t", 3, "f", "m", None)]
+    for name, some in (("odd", rows), ("none", [])):
+        docs = spark.createDataFrame(some, kind)
+        for step, stage in corpus_pipeline.STAGES:
+            done = stage(spark, docs, SF)
+            assert step == "bpe" or done.columns == docs.columns
+            done.write.parquet(f"{tmp_path}/{name}-{step}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{step}")
+        assert docs.count() <= 2 * len(some)
+    left = spark.read.parquet(f"{tmp_path}/odd-simhash").collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [0, 1, 2, 3, 4, 5, 11, 12]))
+    assert {r.doc_id: r.extra for r in left}[3] == [3]
+
+
+def test_tables_are_removed_when_asked(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlsplit
+
+    from weirflow.llm import storage
+
+    table = written(spark.range(3).toDF("id"), "gone")
+    place = Path(urlsplit(table.inputFiles()[0]).path).parent
+    assert place.exists()
+    storage.discard(spark)
+    assert not place.exists()

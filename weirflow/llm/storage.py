@@ -2,7 +2,8 @@
 
 Intermediate results are written as Parquet below ``spark.checkpoint.dir``, which
 every executor and the driver reach, so a lost executor costs a re-read and no
-lineage. Where the setting is unset, a temporary folder stands in for it, and only
+lineage. Results are lazy and read these tables, so they stay until the caller, having
+used the results, calls ``discard``. Where the setting is unset, a temporary folder stands in for it, and only
 with a local master.
 """
 
@@ -23,6 +24,18 @@ BROADCAST_ROWS = 200_000
 TEXT_ROWS, BATCH_ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Folders made so far, by application.
+_made: dict[str, list[str]] = {}
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes the tables that this application has written here; results that read them are no use afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,7 +44,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="weirflow-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
