@@ -197,3 +197,35 @@ def test_intervals_cover_the_same_points_and_merging_is_idempotent(spark, spans)
     assert sorted((r.start, r["end"]) for r in state.merge_intervals(merged, ["k"], step=1).collect()) == rows
     gaps = [(r.start, r["end"]) for r in slices.unsynced(merged, ["k"], F.lit(-3).cast("long"), F.lit(60).cast("long")).collect()]
     assert {p for a, b in gaps for p in range(a, b + 1)} >= set(range(-3, 61)) - {p for a, b in rows for p in range(a, b + 1)}
+
+
+def test_general_times_and_durations(spark):
+    for value, want in (("2021-05-06", "2021-05-06T00:00:00"), ("2021-05-06T07:08:09.5+02:00", "2021-05-06T05:08:09.500000"), ("1620284889", "2021-05-06T07:08:09"), ("soon", None), (None, None)):
+        got = one(spark, dates.parse_any(F.lit(value)).alias("t")).t
+        assert (got and got.isoformat()) == want
+    start = F.lit("2020-01-31 00:00:00").cast("timestamp")
+    for value, want in (("P1M", "2020-02-29T00:00:00"), ("P1Y2M3DT4H5M6.5S", "2021-04-03T04:05:06.500000"), ("PT36H", "2020-02-01T12:00:00"), ("P2W", "2020-02-14T00:00:00"), ("P", None), ("PT", None), ("1D", None)):
+        got = one(spark, (start + dates.duration(F.lit(value))).alias("t")).t
+        assert (got and got.isoformat()) == want
+
+
+def test_globs_name_fields(spark):
+    df = spark.createDataFrame([((1, (2, 3)), 4, 5)], "s struct<a: int, t: struct<a: int, b: int>>, tmp_x int, y int")
+    assert records.remove_fields(df, ["tmp_*", "**.a"]).schema.simpleString() == "struct<s:struct<t:struct<b:int>>,y:int>"
+    assert records.matching(df.schema, "s.*.b") == ["s.t.b"] and records.matching(df.schema, "none*") == []
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.text(alphabet="ab \n#", max_size=60), st.integers(3, 12))
+def test_chunks_lose_nothing_and_fit(spark, body, size):
+    df = spark.createDataFrame([(1, body)], "k int, t string")
+    for kind in ("lines", "markdown", "paragraphs"):
+        got = [r.content for r in loading.split_chunks(df, "t", size, kind, ["k"]).orderBy("chunk").collect()]
+        assert "".join(got) == body and all(0 < len(c) <= size for c in got)
+
+
+def test_markdown_and_code_part_at_heads(spark):
+    df = spark.createDataFrame([("# a\nx\n## b\ny\n",), ("import x\ndef f():\n  1\nclass C:\n  2\n",)], "t string")
+    heads = [r.content for r in loading.split_chunks(df, "t", 9, "markdown").collect()]
+    assert heads[:2] == ["# a\nx\n", "## b\ny\n"]
+    assert [r.content for r in loading.split_chunks(df, "t", 20, "python").collect()][-3:] == ["import x\n", "def f():\n  1\n", "class C:\n  2\n"]

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from weirflow.functions import dates, http, text, values
 from weirflow.operators import filters, joins, loading, records, state
-from weirflow.plans import rates, slices
+from weirflow.plans import incremental, rates, slices
 from weirflow.sources import decoders, files, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -729,3 +729,33 @@ def _(events):
     legacy = last.select(F.create_map(F.col("user_id").cast("string"), "m").alias("state"))
     parts = legacy.select(F.explode(state.legacy_to_partitions(F.col("state"), "user_id", "ts")).alias("p"))
     return parts.select(F.col("p.partition")["user_id"].cast(events.schema["user_id"].dataType).alias("user_id"), F.col("p.cursor")["ts"].alias("cursor"))
+
+
+@query(
+    "i_sync",
+    SESSIONS.replace("FROM events)", "FROM events WHERE event_id % 2 = 0)", 1)
+    # the last end is read again
+    + """, l AS (SELECT *, max("end") OVER (PARTITION BY user_id) AS last FROM m)
+    SELECT event_id FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS h FROM events) e
+    WHERE h IS NULL OR h BETWEEN 0 AND 1000000 AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = e.user_id AND e.h BETWEEN l.start AND l."end" AND e.h <> l.last)""",
+    "events",
+)
+def _(events):
+    read, _state = synced(events)
+    return read.select("event_id")
+
+
+@query(
+    "i_sync_state",
+    "SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS start, CAST(1000000 AS BIGINT) AS \"end\" FROM events",
+    "events",
+)
+def _(events):
+    return synced(events)[1].select("user_id", "start", "end")
+
+
+def synced(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    rows, users = events.select("event_id", "user_id", hour.alias("h")), events.select("user_id").distinct()
+    whole = [F.lit(x).cast("long") for x in (0, 1_000_000)]
+    return incremental.sync(rows, merged(events.where("event_id % 2 = 0")), ["user_id"], "h", *whole, partitions=users)

@@ -41,6 +41,21 @@ def parse(value: Column, *formats: str) -> Column:
     return F.coalesce(*tries)
 
 
+def parse_any(value: Column) -> Column:
+    """The timestamp of ISO 8601 text (a date, or a date and time, with or without zone) or of seconds since 1970, else null."""
+    text = F.trim(value.cast("string"))
+    seconds = F.timestamp_micros((text.try_cast("double") * 1_000_000).cast("long"))
+    return F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$") & (F.length(text) != 4), seconds).when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp"))
+
+
+def duration(value: Column) -> Column:
+    """The interval of an ISO 8601 duration such as ``P1Y2M3DT4H5M6.5S``, else null."""
+    fine = value.rlike(r"^P(?=.)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=\d)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$")
+    day, time = F.regexp_extract(value, "^P([^T]*)", 1), F.regexp_extract(value, "T(.*)$", 1)
+    of = lambda part, unit, kind="int": F.coalesce(F.regexp_extract(part, rf"(\d+(?:\.\d+)?){unit}", 1).try_cast(kind), F.lit(0).cast(kind))
+    return F.when(fine, F.make_interval(of(day, "Y"), of(day, "M"), of(day, "W"), of(day, "D"), of(time, "H"), of(time, "M"), of(time, "S", "decimal(18,6)")))
+
+
 def render(ts: Column, format: str) -> Column:
     """The timestamp in the format, as text."""
     if format in EPOCHS:

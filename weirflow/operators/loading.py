@@ -65,6 +65,26 @@ def chunks(df: DataFrame, text: str, size: int, overlap: int = 0, keep: list[str
     return rows.select(*keep, "chunk", F.array_join(F.slice("__words", F.col("chunk") * step + 1, F.lit(size)), " ").alias("content"))
 
 
+#: Where texts of a kind are parted, before a heading or a definition.
+PARTS = {"markdown": r"(?m)(?=^#{1,6} )", "python": r"(?m)(?=^(?:class|def|async def) )", "paragraphs": r"(?<=\n\n)(?=\S)", "lines": r"(?<=\n)"}
+
+
+def split_chunks(df: DataFrame, text: str, size: int, kind: str = "paragraphs", keep: list[str] = ()) -> DataFrame:
+    """Parts of a text put together while they fit ``size`` characters: keep, chunk, content. A longer part is cut; nothing is lost."""
+    parts = F.split(F.coalesce(text, F.lit("")), PARTS.get(kind, kind))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))
+    pieces = F.flatten(F.transform(F.filter(parts, lambda p: p != ""), cut))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        fits = F.length(acc["open"]) + F.length(piece) <= size
+        done = F.when(fits | (acc["open"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(acc["open"], piece)).otherwise(piece).alias("open"))
+
+    whole = F.aggregate(pieces, empty, add, lambda acc: F.filter(F.array_append(acc["done"], acc["open"]), lambda c: c != ""))
+    return df.select(*keep, F.posexplode(whole).alias("chunk", "content"))
+
+
 def checked_embedding(vector: Column, dimension: int) -> Column:
     """Whether a vector has the dimension and finite components only."""
     return F.coalesce((F.size(vector) == dimension) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +45,22 @@ def add_fields(df: DataFrame, fields: list[tuple[str, Column | str, str | None]]
     return df
 
 
+def matching(schema: T.StructType, pattern: str) -> list[str]:
+    """Dotted paths of the fields that a dotted pattern with ``*`` and ``?`` names; ``**`` stands for any number of levels."""
+    step, _, rest = pattern.partition(".")
+    out = matching(schema, rest) if step == "**" and rest else []
+    for f in schema.fields:
+        inner = f.dataType if isinstance(f.dataType, T.StructType) else None
+        if step == "**":
+            out += ([f"{f.name}.{p}" for p in matching(inner, pattern)] if inner else []) if rest else [f.name]
+        elif fnmatchcase(f.name, step):
+            out += [f.name] if not rest else [f"{f.name}.{p}" for p in matching(inner, rest)] if inner else []
+    return list(dict.fromkeys(out))
+
+
 def remove_fields(df: DataFrame, names: list[str], when: Column | None = None) -> DataFrame:
-    """Columns or nested fields (dotted) removed, missing ones ignored; with ``when`` they become null where it holds."""
-    for name in names:
+    """Columns or nested fields (dotted, with globs) removed, missing ones ignored; with ``when`` columns become null where it holds."""
+    for name in [p for n in names for p in (matching(df.schema, n) if set(n) & set("*?[") else [n])]:
         top, _, rest = name.partition(".")
         if top not in df.columns:
             continue
