@@ -28,7 +28,7 @@ def main(folders: list[str]) -> None:
             scores[ids == q] = -np.inf
             best = ids[np.lexsort((ids, -scores))[:20]]
             found.append(len(got.get(q, set()) & set(best.tolist())) / len(best))
-        visited = ann.BUDGET * len(kept) ** ann.POWER
+        visited = min(float(len(kept) * ann.TREES), max(ann.BUDGET * len(kept) ** ann.POWER, ann.FLOOR * ann.TOP * ann.TREES))
         print(f"{folder}: {len(kept)} vectors, {len(found)} queries, recall {np.mean(found):.4f}, leaves hold {visited:.0f} entries a query ({visited / len(kept):.2f} N, repeats over trees included)", flush=True)
 
 
