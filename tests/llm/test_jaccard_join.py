@@ -1,0 +1,130 @@
+"""The similarity join against all pairs, signature trees against all pairs, and the query against its SQL."""
+
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from weirflow.llm import jaccard_join, queries, signature_tree
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingle_set(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
+    return frozenset(tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+
+
+def brute(rows, percent=85):
+    """Sizes and components by comparing all pairs."""
+    held = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(held):
+        for j in range(i):
+            if a and held[j] and 100 * len(a & held[j]) >= percent * len(a | held[j]):
+                parent[top(i)] = top(j)
+    known = {}
+    for i, (doc, _) in enumerate(rows):
+        known.setdefault(top(i), []).append(doc)
+    first = {r: min((d for d in ids if d is not None), default=None) for r, ids in known.items()}
+    return sorted(((doc, len(held[i]), first[top(i)]) for i, (doc, _) in enumerate(rows)), key=repr)
+
+
+def got(df, **options):
+    rows = jaccard_join.joined(df, **options).select("doc_id", "size", "component_id").collect()
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def table(spark, rows):
+    """Documents with columns that clash with the operator's own."""
+    return spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], "doc_id long, text string, size int, token string, rid int").repartition(3)
+
+
+def variants(seed, words, edits, copies):
+    rng = random.Random(seed)
+    base = [f"w{seed}x{rng.randrange(10_000)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        own = list(base)
+        for _ in range(edits):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for seed, (words, edits, copies) in enumerate([(60, 1, 25), (60, 2, 25), (90, 3, 20), (200, 5, 20), (200, 8, 10), (12, 1, 8), (5, 1, 5), (400, 12, 15)]):
+        texts += variants(seed, words, edits, copies)
+    texts += [passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 90))) for _ in range(80)]  # share a passage, some are alike
+    texts += ["one two", "ONE\ttwo", "one two three", "a b c d", "A  b\nc\x0bd ", "a b c d e", "É b c d", "é b c d", "same " * 50, "same " * 90, "", "  \n", None]
+    texts += [texts[0]] * 40 + ["word " * 3 + " ".join(map(str, range(20_000)))] + [" ".join(map(str, range(1, 20_010)))]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    return rows + [(None, texts[1]), (None, "nothing else like this"), (3, texts[2]), (5, texts[5])]
+
+
+def test_equals_all_pairs(spark, corpus):
+    want = brute(corpus)
+    assert got(table(spark, corpus)) == want
+    assert len({c for _, _, c in want}) < len(want) - 60
+
+
+@pytest.mark.parametrize("options", [{"low": 0.02}, {"low": 1.0}, {"block": 1_000}, {"low": 0.5, "block": 20_000}])
+def test_order_and_blocks_change_nothing(spark, corpus, options):
+    assert got(table(spark, corpus), **options) == brute(corpus)
+
+
+def test_other_lengths_and_thresholds(spark, corpus):
+    rows = [(d, t) for d, t in corpus if t and len(t) < 5_000]
+    for percent in (60, 97, 100):
+        assert got(table(spark, rows), percent=percent) == brute(rows, percent)
+
+
+def test_nothing_to_link(spark):
+    assert got(table(spark, [])) == []
+    assert got(table(spark, [(1, None), (2, ""), (3, " \t")])) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+    assert got(table(spark, [(7, "a b c d e f"), (6, "g h i j k")])) == brute([(7, "a b c d e f"), (6, "g h i j k")])
+
+
+def test_trees_lose_no_pair():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 63, 3000, np.uint64)
+    sets = [np.unique(rng.choice(pool[: int(rng.integers(40, 3000))], int(rng.integers(1, 900)))) for _ in range(150)]
+    for s in list(sets[:60]):  # near copies
+        sets.append(np.unique(np.concatenate([s[: max(1, int(len(s) * rng.uniform(0.8, 1)))], rng.choice(pool, 3)])))
+    sizes, maps = np.array([len(s) for s in sets]), [signature_tree.bitmap(s) for s in sets]
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    roots = np.arange(len(sets))
+    whole = signature_tree.tree(sizes, roots, maps, 85)
+    found = {(max(p), min(p)) for p in zip(*(x.tolist() for x in signature_tree.pairs(whole, whole, 85)[:2]))}
+    assert alike <= found and len(found) < len(sets) * (len(sets) - 1) / 20 and len(alike) > 20
+    a, b, bound = signature_tree.pairs(whole, whole, 85)
+    assert all(len(np.intersect1d(sets[i], sets[j])) <= n for i, j, n in zip(a.tolist(), b.tolist(), bound.tolist()))
+    half = len(sets) // 2
+    x, y = signature_tree.tree(sizes[:half], roots[:half], maps[:half], 85), signature_tree.tree(sizes[half:], roots[half:], maps[half:], 85)
+    across = {(j + half, i) for i, j in zip(*(v.tolist() for v in signature_tree.pairs(x, y, 85)[:2]))}
+    assert {(i, j) for i, j in alike if i >= half > j} <= across
+    one = signature_tree.tree(sizes, np.zeros(len(sets), np.int64), maps, 85)  # one component: nothing is left to link
+    assert len(signature_tree.pairs(one, one, 85)[0]) == 0
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    found = queries.op12_jaccard_join(spark, SF)
+    result = con.execute(queries.SQL["op12_jaccard_join"])
+    assert [d[0] for d in result.description] == found.columns
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == sorted(result.fetchall())
+    assert len({r[2] for r in rows}) < len(rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import ann, bpe, chat, exact_dedup, language_model, mixing, simhash, suffix_dedup, toxicity, warc
+from weirflow.llm import ann, bpe, centroids, chat, exact_dedup, jaccard_join, language_model, mixing, simhash, suffix_dedup, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,42 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, tokenizer_file(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.joined(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def rounds_of_centroids(rounds: int = centroids.ROUNDS) -> str:
+    """The clustering written out in SQL, two common table expressions a round."""
+    steps = [
+        """v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c::DOUBLE))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS k, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT 40))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d := d, k := k)) AS best FROM (
+            SELECT r, vec_id, v.x, k, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{i} AS c) GROUP BY r)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} AS c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+                SELECT best.k AS k, i, sum(x[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(i) GROUP BY best.k, i) GROUP BY k) AS m ON m.k = c.k)"""
+            )
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, best.k::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+               sha256(list_aggregate(c.x, 'string_agg', ',')) AS centroid_sha256
+        FROM a{rounds} AS a JOIN c{rounds} AS c ON c.k = a.best.k"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ann": op2_ann,
@@ -94,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_model": op9_language_model,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_centroids": op13_centroids,
 }
 
 SQL: dict[str, str] = {
@@ -109,4 +148,17 @@ SQL: dict[str, str] = {
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) BETWEEN 1 AND 3 THEN [array_to_string(w, ' ')]
+                                  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM w),
+        k AS MATERIALIZED (SELECT doc_id, s, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS node FROM s),
+        nodes AS MATERIALIZED (SELECT node, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS first_id FROM k WHERE n > 0 GROUP BY node),
+        t AS MATERIALIZED (SELECT token, node, n FROM (SELECT unnest(s) AS token, node, n FROM nodes) QUALIFY count(*) OVER (PARTITION BY token) > 1),
+        links AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM t AS a JOIN t AS b ON a.token = b.token AND a.node <> b.node
+                               GROUP BY a.node, b.node HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b),
+        found AS (SELECT a AS node, min(first_id) AS component_id FROM reach JOIN nodes ON nodes.node = reach.b GROUP BY a)
+        SELECT doc_id, k.n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM k LEFT JOIN found ON k.n > 0 AND found.node = k.node""",
+    "op13_centroids": rounds_of_centroids(),
 }
