@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from weirflow.functions import dates, text, values
 from weirflow.operators import filters, joins, loading, records, state
-from weirflow.plans import slices
+from weirflow.plans import incremental, slices
 
 
 def one(spark, *columns):
@@ -21,7 +21,7 @@ def one(spark, *columns):
 @pytest.mark.parametrize(
     ("key", "want"),
     [
-        ("orderDate", "order_date"), ("HTTPStatus code", "httpstatus_code"), ("2ndLine", "_2_nd_line"), ("tax%rate", "tax_rate"), ("Übergröße", "ubergro_e"),
+        ("orderDate", "order_date"), ("HTTPStatus code", "httpstatus_code"), ("2ndLine", "_2_nd_line"), ("tax%rate", "tax_rate"), ("Übergröße", "ubergrosse"),
         ("_hidden", "_hidden"), ("open_", "open_"), ("--both--", "_both_"), ("a__b", "a_b"), ("a__b_", "a_b_"), ("!", ""), ("7", "_7"), ("_7", "_7"), ("plain", "plain"),
     ],
 )
@@ -229,3 +229,21 @@ def test_markdown_and_code_part_at_heads(spark):
     heads = [r.content for r in loading.split_chunks(df, "t", 9, "markdown").collect()]
     assert heads[:2] == ["# a\nx\n", "## b\ny\n"]
     assert [r.content for r in loading.split_chunks(df, "t", 20, "python").collect()][-3:] == ["import x\n", "def f():\n  1\n", "class C:\n  2\n"]
+
+
+def test_snake_keys_of_several_scripts(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["Gr\u00f6\u00dfe", "\u0416", "\u65e5\u672c"])
+    assert records.keys_to_snake(df).columns == ["grosse", "zh", text.snake_key("\u65e5\u672c")] and text.snake_key("\u65e5") != text.snake_key("\u672c")
+    with pytest.raises(ValueError, match="told apart"):
+        records.keys_to_snake(spark.createDataFrame([(1, 2)], ["aB", "a_b"]))
+    with pytest.raises(ValueError, match="told apart"):
+        records.keys_to_snake(spark.createDataFrame([(1,)], ["--"]))
+
+
+def test_sync_reads_no_record_twice_and_keeps_null_partitions(spark):
+    state = spark.createDataFrame([("a", 0, 49), ("a", 100, 102)], "k string, start long, end long")
+    rows = spark.createDataFrame([("a", 95), ("a", 60), ("a", 101), (None, 7), ("a", None), (None, None)], "k string, at long")
+    parts = spark.createDataFrame([(None,), ("a",)], "k string")
+    got, after = incremental.sync(rows, state, ["k"], "at", F.lit(0).cast("long"), F.lit(1000).cast("long"), lookback=10, partitions=parts)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    assert sorted(map(tuple, after.select("k", "start", "end").collect()), key=repr) == [("a", 0, 1000), (None, 0, 1000)]

@@ -1,0 +1,122 @@
+"""Page reads that are killed and go on, and that start over on narrower slices, against a local server."""
+
+import json
+import threading
+import urllib.parse
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from weirflow.sources import http, resumable
+
+
+class Shelf(BaseHTTPRequestHandler):
+    """Records 0 to 39 of each shop by id; serves 10 records of a query at most with /limited."""
+
+    asked: Counter = Counter()
+    broken_after = None
+
+    def do_GET(self):
+        url = urllib.parse.urlsplit(self.path)
+        query = dict(urllib.parse.parse_qsl(url.query))
+        Shelf.asked[self.path] += 1
+        if Shelf.broken_after is not None and sum(Shelf.asked.values()) > Shelf.broken_after:
+            return self.answer(500, {})
+        start, at, size = int(query.get("since", 0)), int(query.get("offset", 0)), int(query.get("limit", 4))
+        if url.path == "/limited" and at >= 10:
+            return self.answer(400, {"error": "too deep"})
+        rows = [{"shop": query.get("shop"), "id": i} for i in range(start, 40)][at : at + size]
+        more = at + size < 40 - start
+        return self.answer(200, {"rows": rows, "more": more, "next": f"?shop={query.get('shop')}&offset={at + size}" if more else None})
+
+    def answer(self, status, body):
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def shelf():
+    server = HTTPServer(("127.0.0.1", 0), Shelf)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Shelf.asked, Shelf.broken_after = Counter(), None
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def options(url, **more):
+    return {"url": url, "records": "rows", "pagination": "offset", "page_param": "offset", "page_size": "4", "retries": "0", **more}
+
+
+def shops(spark):
+    return spark.createDataFrame([("a",), ("b",), ("c",)], "shop string")
+
+
+def ids(rows):
+    return sorted((r["shop"], r["id"]) for r in (json.loads(x.record) for x in rows.collect()))
+
+
+ALL = [(s, i) for s in "abc" for i in range(40)]
+
+
+def test_a_killed_read_goes_on(spark, shelf, tmp_path):
+    whole, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/whole", options(f"{shelf}/all"), pages=3)
+    assert done and ids(whole) == ALL and max(Shelf.asked.values()) == 1
+    Shelf.asked, Shelf.broken_after = Counter(), 14  # breaks in the second round
+    with pytest.raises(Exception, match="500"):
+        resumable.read_pages(spark, shops(spark), f"{tmp_path}/cut", options(f"{shelf}/all"), pages=3)
+    first = {p for p in Shelf.asked if "offset" not in p}
+    Shelf.broken_after = None
+    rest, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/cut", options(f"{shelf}/all"), pages=3)
+    assert done and ids(rest) == ALL
+    assert all(Shelf.asked[p] == 1 for p in first)  # rounds that were whole aren't fetched again
+    again, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/cut", options(f"{shelf}/all"), pages=3)
+    assert done and ids(again) == ALL
+
+
+def test_rounds_stop_in_between(spark, shelf, tmp_path):
+    some, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/x", options(f"{shelf}/all"), pages=2, rounds=2)
+    assert not done and ids(some) == [(s, i) for s in "abc" for i in range(16)]
+    rest, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/x", options(f"{shelf}/all"), pages=100)
+    assert done and ids(rest) == ALL
+
+
+@pytest.mark.parametrize("more", [{"record_limit": "8"}, {"reset": "[400]"}])
+def test_starts_over_on_narrower_slices(spark, shelf, tmp_path, more):
+    read, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/n", options(f"{shelf}/limited", cursor_field="id", start_field="since", **more), pages=2)
+    rows = ids(read)
+    assert done and sorted(set(rows)) == ALL
+    assert len(rows) > len(ALL)  # the record at a new start comes again
+    since = {json.loads(r.slice).get("since") for r in read.collect()}
+    assert None in since and {s for s in since if s is not None} and max(s or 0 for s in since) >= 32
+
+
+def test_a_slice_that_does_not_narrow_fails(spark, shelf, tmp_path):
+    for name, more in (("a", {"cursor_field": "id"}), ("b", {})):
+        with pytest.raises(Exception, match="without getting narrower"):
+            resumable.read_pages(spark, shops(spark), f"{tmp_path}/{name}", options(f"{shelf}/limited", reset="[400]", **more), pages=50)
+
+
+def test_empty_slices_and_other_paginations(spark, shelf, tmp_path):
+    none, done = resumable.read_pages(spark, shops(spark).limit(0), f"{tmp_path}/e", options(f"{shelf}/all"))
+    assert done and none.collect() == []
+    linked, done = resumable.read_pages(spark, shops(spark), f"{tmp_path}/l", options(f"{shelf}/all", pagination="link", cursor_path="next"), pages=4)
+    assert done and ids(linked) == ALL
+    stopped, _ = resumable.read_pages(spark, shops(spark), f"{tmp_path}/m", options(f"{shelf}/all", more_path="more", page_size="10"), pages=2)
+    assert ids(stopped) == ALL
+
+
+def test_waits_follow_headers():
+    reader = lambda **o: http.PagedReader({"url": "http://x", **o})
+    assert reader().asked_wait({"Retry-After": "7"}, 0) == 7 and reader().asked_wait({}, 0) is None
+    assert reader(max_wait="30").asked_wait({"Retry-After": "9999"}, 0) == 30
+    assert reader().asked_wait({"Retry-After": "Thu, 01 Jan 1970 00:02:00 GMT"}, 20.0) == 100
+    assert reader(wait_header="X-Reset", wait_kind="until").asked_wait({"X-Reset": "at 1030"}, 1000.0) == 30
+    assert reader(wait_header="X-Wait", min_wait="5").asked_wait({"X-Wait": "2"}, 0) == 5
+    assert http.comes_before(9, "10") and not http.comes_before("b", "a") and http.comes_before("2024-01-09", "2024-01-10")
+    with pytest.raises(ValueError, match="http"):
+        http.PagedReader({"url": "file:///etc/hosts"}).request({}, {})

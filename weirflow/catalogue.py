@@ -290,10 +290,10 @@ def _(events):
 
 @query(
     "i_unsynced",
-    SESSIONS + """, n AS (SELECT *, lead(start) OVER w AS nxt, lag("end") OVER w AS prv FROM m WINDOW w AS (PARTITION BY user_id ORDER BY start))
-    SELECT user_id, CAST(0 AS BIGINT) AS start, start - 1 AS "end" FROM n WHERE prv IS NULL AND start > 0
-    UNION ALL SELECT user_id, "end" + 1, nxt - 1 FROM n WHERE nxt > "end" + 1
-    UNION ALL SELECT user_id, greatest("end" - 2, 0), CAST(1000000 AS BIGINT) FROM n WHERE nxt IS NULL AND "end" - 2 < 1000000
+    SESSIONS + """, n AS (SELECT *, lead(start) OVER w AS nxt, lag("end") OVER w AS prv, greatest(max("end") OVER (PARTITION BY user_id) - 2, 0) AS tail FROM m WINDOW w AS (PARTITION BY user_id ORDER BY start)),
+    open_gaps AS (SELECT user_id, CAST(0 AS BIGINT) AS start, start - 1 AS "end", tail FROM n WHERE prv IS NULL AND start > 0 UNION ALL SELECT user_id, "end" + 1, nxt - 1, tail FROM n WHERE nxt > "end" + 1)
+    SELECT user_id, start, least("end", tail - 1) AS "end" FROM open_gaps WHERE start <= least("end", tail - 1)
+    UNION ALL SELECT user_id, tail, CAST(1000000 AS BIGINT) FROM n WHERE nxt IS NULL AND tail < 1000000
     UNION ALL SELECT DISTINCT c_custkey, CAST(0 AS BIGINT), CAST(1000000 AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""",
     "events",
     "customer",
@@ -754,8 +754,35 @@ def _(events):
     return synced(events)[1].select("user_id", "start", "end")
 
 
-def synced(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+@query(
+    "i_sync_lookback",
+    # the last 400 hours of each user are read again, across intervals and gaps; events without a user are a partition
+    SESSIONS.replace("SELECT user_id,", "SELECT nullif(user_id, 3) AS user_id,", 1).replace("FROM events)", "FROM events WHERE event_id % 2 = 0)", 1)
+    + """, l AS (SELECT *, max("end") OVER (PARTITION BY user_id) AS last FROM m)
+    SELECT event_id, user_id FROM (SELECT event_id, nullif(user_id, 3) AS user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS h FROM events) e
+    WHERE h IS NULL OR h BETWEEN 0 AND 1000000 AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id IS NOT DISTINCT FROM e.user_id AND e.h BETWEEN l.start AND l."end" AND e.h < l.last - 400)""",
+    "events",
+)
+def _(events):
+    read, _state = synced(events.withColumn("user_id", F.nullif("user_id", F.lit(3))), lookback=400)
+    return read.select("event_id", "user_id")
+
+
+@query(
+    "p_keys_scripts",
+    "SELECT p_partkey AS part_key, p_name AS grosse, p_brand AS zh, p_size AS u65e5_u672c, p_type AS onoma_2, {'ka_ta': p_size} AS cafe FROM part",
+    "part",
+)
+def _(part):
+    inner = F.struct(F.col("p_size").alias("\u304b-\u305f"))
+    named = part.select(
+        F.col("p_partkey").alias("PartKey"), F.col("p_name").alias("Gr\u00f6\u00dfe"), F.col("p_brand").alias("\u0416"), F.col("p_size").alias("\u65e5-\u672c"), F.col("p_type").alias("\u038c\u03bd\u03bf\u03bc\u03b12"), inner.alias("Caf\u00e9")
+    )
+    return records.keys_to_snake(named)
+
+
+def synced(events: DataFrame, lookback: int = 0) -> tuple[DataFrame, DataFrame]:
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
     rows, users = events.select("event_id", "user_id", hour.alias("h")), events.select("user_id").distinct()
     whole = [F.lit(x).cast("long") for x in (0, 1_000_000)]
-    return incremental.sync(rows, merged(events.where("event_id % 2 = 0")), ["user_id"], "h", *whole, partitions=users)
+    return incremental.sync(rows, merged(events.where("event_id % 2 = 0")), ["user_id"], "h", *whole, lookback=lookback, partitions=users)

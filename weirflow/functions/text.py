@@ -72,13 +72,42 @@ def normal_name(value: Column) -> Column:
     return F.when(name.rlike("^[0-9]"), F.concat(F.lit("_"), name)).otherwise(name)
 
 
+#: Letters of Greek and Cyrillic in Latin script, by the last words of their Unicode names.
+GREEK = {
+    "ALPHA": "a", "BETA": "v", "GAMMA": "g", "DELTA": "d", "EPSILON": "e", "ZETA": "z", "ETA": "i", "THETA": "th", "IOTA": "i", "KAPPA": "k", "LAMDA": "l", "MU": "m",
+    "NU": "n", "XI": "x", "OMICRON": "o", "PI": "p", "RHO": "r", "SIGMA": "s", "FINAL SIGMA": "s", "TAU": "t", "UPSILON": "y", "PHI": "f", "CHI": "ch", "PSI": "ps", "OMEGA": "o",
+}
+CYRILLIC = {
+    "A": "a", "BE": "b", "VE": "v", "GHE": "g", "DE": "d", "IE": "e", "IO": "yo", "ZHE": "zh", "ZE": "z", "I": "i", "SHORT I": "i", "KA": "k", "EL": "l", "EM": "m", "EN": "n", "O": "o", "PE": "p",
+    "ER": "r", "ES": "s", "TE": "t", "U": "u", "EF": "f", "HA": "kh", "TSE": "ts", "CHE": "ch", "SHA": "sh", "SHCHA": "shch", "HARD SIGN": "", "YERU": "y", "SOFT SIGN": "", "E": "e", "YU": "yu", "YA": "ya",
+}
+#: Latin letters whose names hold no base letter.
+LATIN = {"SHARP S": "ss", "THORN": "th", "ETH": "d", "ENG": "ng", "DOTLESS I": "i", "LONG S": "s", "KRA": "q"}
+
+
+def latin(sign: str) -> str:
+    """A sign in ASCII: a letter by what its Unicode name says, one without such a name by its code point, other signs as they are."""
+    if sign.isascii() or not sign.isalnum():
+        return sign
+    name = unicodedata.name(sign, "")
+    found = re.match(r"(?P<script>[A-Z]+)(?: (?P<case>CAPITAL|SMALL))?(?: LETTER| SYLLABLE)(?: SMALL)? (?P<rest>.*)", name)
+    if sign.isdigit():
+        return str(unicodedata.digit(sign))
+    if not found:
+        return f"u{ord(sign):x}"
+    rest = re.sub(" (WITH|PRECEDED) .*", "", found["rest"])
+    tables = {"GREEK": GREEK, "CYRILLIC": CYRILLIC, "LATIN": LATIN}
+    out = tables.get(found["script"], {}).get(rest, re.sub("[^A-Z0-9]", "", rest).lower())
+    return out.capitalize() if found["case"] == "CAPITAL" else out
+
+
 def snake_key(key: str) -> str:
-    """A column name in snake case: folded to ASCII, words and numbers apart, no leading digit.
+    """A column name in snake case: in Latin letters, words and numbers apart, no leading digit.
 
     A run of other signs is one underscore, also at either end; a name of nothing else becomes empty.
     """
-    name = unicodedata.normalize("NFKD", key)
-    name = "".join(c for c in name if not unicodedata.combining(c))
+    name = unicodedata.normalize("NFC", key)  # marks that make up a letter belong to it
+    name = "".join(latin(unicodedata.normalize("NFKD", c)[0] if unicodedata.normalize("NFKD", c)[0].isascii() else c) for c in name if not unicodedata.combining(c))
     name = re.sub("[^A-Za-z0-9]+", "_", name)
     for before, after in (("[a-z]", "[A-Z]"), ("[A-Za-z]", "[0-9]"), ("[0-9]", "[A-Za-z]")):  # where a word ends without a sign
         name = re.sub(f"(?<={before})(?={after})", "_", name)

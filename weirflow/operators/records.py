@@ -81,6 +81,15 @@ def renamed_keys(kind: T.DataType, rename: Callable[[str], str], nested: bool =
     return T.StructType(list(fields.values()))
 
 
+def clashes(kind: T.DataType, rename: Callable[[str], str], path: str = "") -> list[str]:
+    """The fields of a schema, through structs, whose new names another field takes as well."""
+    if not isinstance(kind, T.StructType):
+        return []
+    taken = [rename(f.name) for f in kind.fields]
+    out = [f"{path}{f.name}" for f, name in zip(kind.fields, taken) if taken.count(name) > 1]
+    return out + [c for f in kind.fields for c in clashes(f.dataType, rename, f"{path}{f.name}.")]
+
+
 def rename_keys(df: DataFrame, rename: Callable[[str], str], nested: bool = True) -> DataFrame:
     """Columns (and fields of structs) renamed; of clashing columns the last wins."""
     last = {rename(f.name): f for f in df.schema.fields}
@@ -92,6 +101,10 @@ def keys_to_lower(df: DataFrame) -> DataFrame:
 
 
 def keys_to_snake(df: DataFrame) -> DataFrame:
+    """Names in snake case; names that become one, or nothing, fail, so no column is lost."""
+    lost = clashes(df.schema, snake_key) + [f.name for f in df.schema.fields if not snake_key(f.name)]
+    if lost:
+        raise ValueError(f"these names can't be told apart in snake case: {', '.join(lost)}")
     return rename_keys(df, snake_key)
 
 

@@ -57,21 +57,34 @@ def range_slices(df: DataFrame, start: str, end: str, step: str, granularity: st
     return rows.withColumn("slice", F.explode(ranges(F.col(start), F.col(end), step, granularity))).select(*(c for c in df.columns), "slice.start", "slice.end") if "start" not in df.columns else rows.select(F.explode(ranges(F.col(start), F.col(end), step, granularity)).alias("slice")).select("slice.*")
 
 
+def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Whether the keys of two DataFrames agree, nulls among them."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
 def unsynced(merged: DataFrame, keys: list[str], low: Column, high: Column, step: int = 1, lookback: int = 0, every: DataFrame | None = None) -> DataFrame:
     """What a sync still has to read: before the first interval, between intervals, and from the last (less a lookback) to ``high``.
 
-    Keys of ``every`` without an interval were never synced and are read from ``low`` to ``high``.
+    Slices don't overlap: what the lookback reads again is left out of the gaps before it.
+    Keys of ``every`` without an interval were never synced and are read from ``low`` to
+    ``high``; null keys are keys like others.
     """
     by = Window.partitionBy(*keys).orderBy("start")
     after, before = F.lead("start").over(by), F.lag("end").over(by)
-    rows = merged.withColumns({"__next": after, "__before": before})
-    ahead = rows.where(F.col("__before").isNull() & (low < F.col("start"))).select(*keys, low.alias("start"), (F.col("start") - step).alias("end"))
-    inner = rows.where(F.col("__next") > F.col("end") + step).select(*keys, (F.col("end") + step).alias("start"), (F.col("__next") - step).alias("end"))
-    tail = rows.where(F.col("__next").isNull() & (F.col("end") - lookback < high)).select(*keys, F.greatest(F.col("end") - lookback, low).alias("start"), high.alias("end"))
-    out = ahead.unionByName(inner).unionByName(tail)
+    again = F.greatest(F.max("end").over(Window.partitionBy(*keys)) - lookback, low)
+    rows = merged.withColumns({"__next": after, "__before": before, "__tail": F.when(again < high, again)})
+    gap = F.array(
+        F.when(F.col("__before").isNull() & (low < F.col("start")), F.struct(low.alias("start"), (F.col("start") - step).alias("end"))),
+        F.when(F.col("__next") > F.col("end") + step, F.struct((F.col("end") + step).alias("start"), (F.col("__next") - step).alias("end"))),
+    )
+    cut = F.transform(F.array_compact(gap), lambda g: F.struct(g.start.alias("start"), F.coalesce(F.least(g.end, F.col("__tail") - step), g.end).alias("end")))
+    tail = F.array_compact(F.array(F.when(F.col("__next").isNull() & F.col("__tail").isNotNull(), F.struct(F.col("__tail").alias("start"), high.alias("end")))))
+    slices = F.concat(F.filter(cut, lambda g: g.start <= g.end), tail)
+    out = rows.select(*keys, F.explode(slices).alias("__slice")).select(*keys, "__slice.start", "__slice.end")
     if every is None:
         return out
-    fresh = every.select(*keys).distinct().join(merged.select(*keys), keys, "left_anti").where(low <= high)
+    asked = every.select(*keys).distinct()
+    fresh = asked.join(merged.select(*keys), null_safe(asked, merged, keys), "left_anti").where(low <= high)
     return out.unionByName(fresh.select(*keys, low.alias("start"), high.alias("end")))
 
 

@@ -7,19 +7,26 @@ object from field to ``[place, name]``, sends a field elsewhere: place is ``quer
 ``header`` or ``body`` (there ``name`` may be a dotted path). Two values for one name fail.
 
 What: ``records``, a dotted path to the list of records (``*`` takes every item or value);
-``pagination``, one of ``none``, ``offset``, ``page`` and ``cursor``; ``page_size``, ``size_param``,
-``page_param``, ``first_page``; ``cursor_path``, where a response holds the next cursor.
+``pagination``, one of ``none``, ``offset``, ``page``, ``cursor`` and ``link``; ``page_size``, ``size_param``,
+``page_param``, ``first_page``; ``cursor_path``, where a response holds the next cursor (or, for ``link``, the
+next page's url, also relative; without it the response's ``Link`` header says it);
+``more_path``, where a response says whether there are more pages.
 ``stop_field`` and ``stop_before`` end a slice, whose newest records come first, after
 the first page that has only records before that value; they don't filter.
 
 Errors: ``retries`` and ``backoff`` for rate limits, server errors and broken connections,
 and for statuses in the list ``retry``; a status in the list ``ignore`` ends its slice; others fail.
+``Retry-After`` (seconds or a date), or the header ``wait_header`` (``wait_kind`` ``seconds``, or ``until``, a
+time in seconds since 1970; ``wait_pattern`` picks its number), says how long to wait, ``max_wait`` seconds
+at most and ``min_wait`` at least. Only http and https are read.
 Rows are ``slice`` and ``record``, both JSON.
 """
 
 from __future__ import annotations
 
+import email.utils
 import json
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -64,10 +71,24 @@ class Ignored(Exception):
     """A status that ends a slice."""
 
 
+def number_or_text(value: object) -> float | str:
+    """A number where the value reads as one, so that cursors compare by size."""
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return str(value)
+
+
+def comes_before(value: object, bound: object) -> bool:
+    """Whether ``value`` comes before ``bound``, as numbers if both are, else as text."""
+    a, b = number_or_text(value), number_or_text(bound)
+    return a < b if type(a) is type(b) else str(value) < str(bound)
+
+
 #: What is assumed where an option isn't given.
 DEFAULTS = {
     "method": "GET", "params": "{}", "headers": "{}", "body": "{}", "slices": "[{}]", "inject": "{}", "records": "", "pagination": "none", "page_size": "100",
-    "size_param": "limit", "page_param": "offset", "first_page": "0", "retries": "5", "backoff": "0.5", "retry": "[]", "ignore": "[]",
+    "size_param": "limit", "page_param": "offset", "first_page": "0", "retries": "5", "backoff": "0.5", "retry": "[]", "ignore": "[]", "max_wait": "600", "min_wait": "0", "wait_kind": "seconds", "wait_pattern": r"[\d.]+",
 }
 
 
@@ -78,70 +99,95 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         return [Slice(s) for s in json.loads(self.o["slices"])]
 
-    def request(self, fields: dict, paging: dict) -> urllib.request.Request:
+    def request(self, fields: dict, paging: dict, url: str | None = None) -> urllib.request.Request:
         places = {k: json.loads(self.o[o]) for k, o in (("query", "params"), ("header", "headers"), ("body", "body"))}
         if self.o.get("token"):
             put(places, "header", "Authorization", f"Bearer {self.o['token']}")
         elsewhere = json.loads(self.o["inject"])
         for name, value in {**fields, **paging}.items():
             put(places, *elsewhere.get(name, ["query", name]), value)
-        url = self.o["url"] + (f"?{urllib.parse.urlencode(places['query'])}" if places["query"] else "")
+        if url is None:
+            url = self.o["url"] + (f"?{urllib.parse.urlencode(places['query'])}" if places["query"] else "")
+        if urllib.parse.urlsplit(url).scheme not in ("http", "https"):
+            raise ValueError(f"only http and https are read, not {url}")
         data = json.dumps(places["body"]).encode() if places["body"] else None
         headers = {k: str(v) for k, v in places["header"].items()} | ({"Content-Type": "application/json"} if data else {})
         return urllib.request.Request(url, data, headers, method=self.o["method"])
 
-    def fetch(self, fields: dict, paging: dict) -> object:
-        """A response; what may pass is tried again with growing waits."""
-        request, last = self.request(fields, paging), int(self.o["retries"])
+    def asked_wait(self, headers, now: float) -> float | None:
+        """The seconds that a response's headers ask to wait, within the bounds; None if they say nothing."""
+        named, after = self.o.get("wait_header"), headers.get("Retry-After")
+        wait = None
+        if named and headers.get(named) and (found := re.search(self.o["wait_pattern"], headers[named])):
+            wait = float(found[0]) - (now if self.o["wait_kind"] == "until" else 0)
+        elif after and re.fullmatch(r"[\d.]+", after.strip()):
+            wait = float(after)
+        elif after and (date := email.utils.parsedate_to_datetime(after)):
+            wait = date.timestamp() - now
+        return None if wait is None else min(max(wait, float(self.o["min_wait"]), 0), float(self.o["max_wait"]))
+
+    def fetch(self, fields: dict, paging: dict, url: str | None = None) -> tuple[object, object]:
+        """A response's body and headers; what may pass is tried again with growing waits."""
+        request, last = self.request(fields, paging, url), int(self.o["retries"])
         for attempt in range(last + 1):
-            wait = float(self.o["backoff"]) * 2**attempt
+            wait = min(float(self.o["backoff"]) * 2**attempt, float(self.o["max_wait"]))
             try:
                 with urllib.request.urlopen(request, timeout=60) as response:
-                    return json.load(response)
+                    return json.load(response), response.headers
             except urllib.error.HTTPError as e:
                 if e.code in json.loads(self.o["ignore"]):
                     raise Ignored from e
                 passing = e.code == 429 or e.code >= 500 or e.code in json.loads(self.o["retry"])
                 if not passing or attempt == last:
                     raise
-                asked = e.headers.get("Retry-After")
-                wait = float(asked) if asked and asked.isdigit() else wait
+                asked = self.asked_wait(e.headers, time.time())
+                wait = wait if asked is None else asked
             except urllib.error.URLError:
                 if attempt == last:
                     raise
             time.sleep(wait)
-        return None
+        return None, {}
 
     def passed(self, found: list) -> bool:
         """Whether a page has only records before the stop."""
         field, before = self.o.get("stop_field"), self.o.get("stop_before")
-        return bool(field and before and found) and all(str(at_path(r, field)) < before for r in found)
+        return bool(field and before and found) and all(comes_before(at_path(r, field), before) for r in found)
+
+    def first(self) -> object:
+        """The token of a slice's first page."""
+        return int(self.o["first_page"]) if self.o["pagination"] in ("offset", "page") else None
+
+    def page(self, fields: dict, token: object) -> tuple[list, object]:
+        """The records of one page, and the next page's token, None after the last."""
+        kind, size = self.o["pagination"], int(self.o["page_size"])
+        paging = {self.o["size_param"]: size} if kind in ("offset", "page") else {}
+        if token is not None and kind != "link" and not (kind == "offset" and token == self.first()):
+            paging[self.o["page_param"]] = token
+        try:
+            body, headers = self.fetch(fields, paging, token if kind == "link" else None)
+        except Ignored:
+            return [], None
+        found = at_path(body, self.o["records"])
+        found = found if isinstance(found, list) else [found] if found else []
+        if self.passed(found) or kind == "none" or self.o.get("more_path") and not at_path(body, self.o["more_path"]):
+            return found, None
+        if kind == "link":
+            link = at_path(body, self.o["cursor_path"]) if "cursor_path" in self.o else (re.search(r'<([^>]*)>[^,]*rel="?next"?', headers.get("Link") or "") or [None, None])[1]
+            return found, urllib.parse.urljoin(token or self.o["url"], link) if link else None
+        if kind == "cursor":
+            return found, at_path(body, self.o["cursor_path"]) or None
+        if len(found) < size:
+            return found, None
+        return found, token + (len(found) if kind == "offset" else 1)
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        kind, size, first = self.o["pagination"], int(self.o["page_size"]), int(self.o["first_page"])
-        token: object = None if kind in ("none", "cursor") else first
+        token = self.first()
         while True:
-            paging = {self.o["size_param"]: size} if kind in ("offset", "page") else {}
-            if token is not None and not (kind == "offset" and token == first):
-                paging[self.o["page_param"]] = token
-            try:
-                body = self.fetch(partition.fields, paging)
-            except Ignored:
-                return
-            found = at_path(body, self.o["records"])
-            found = found if isinstance(found, list) else [found] if found else []
+            found, token = self.page(partition.fields, token)
             for record in found:
                 yield json.dumps(partition.fields), json.dumps(record)
-            if self.passed(found):
-                return
-            if kind == "cursor":
-                token = at_path(body, self.o["cursor_path"])
-                if not token:
-                    return
-            elif kind == "none" or len(found) < size:
+            if token is None:
                 return
-            else:
-                token += len(found) if kind == "offset" else 1
 
 
 class PagedHttp(DataSource):
