@@ -12,6 +12,7 @@ from weirflow.functions import dates, http, text, values
 from weirflow.operators import filters, joins, loading, records, state
 from weirflow.plans import incremental, rates, slices
 from weirflow.sources import decoders, files, scratch
+from weirflow.streaming import partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -768,6 +769,35 @@ def _(events):
     return read.select("event_id", "user_id")
 
 
+@query(
+    "i_partition_cursors",
+    # a slice an order; those of every 97th key never close, so nothing after the first of them counts
+    """SELECT o_orderpriority AS stream, CAST(o_custkey % 40 AS VARCHAR) AS part, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS cursor
+    FROM (SELECT *, min(CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey END) OVER (PARTITION BY o_orderpriority, o_custkey % 40) AS first_open FROM orders)
+    WHERE first_open IS NULL OR o_orderkey < first_open GROUP BY 1, 2""",
+    "orders",
+)
+def _(orders):
+    spark = orders.sparkSession
+    kinds = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("kind")) for i, k in enumerate(("open", "record", "close"))))
+    steps = orders.select("*", F.explode(kinds).alias("e")).where("e.kind <> 'close' or o_orderkey % 97 <> 0")
+    events = steps.select(
+        F.col("o_orderpriority").alias("stream"),
+        (F.col("o_orderkey") * 3 + F.col("e.at")).cast("long").alias("n"),
+        "e.kind",
+        (F.col("o_custkey") % 40).cast("string").alias("partition"),
+        F.col("o_orderkey").cast("long").alias("slice"),
+        F.lit(False).alias("last"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cursor"),
+        F.lit(None).cast("string").alias("parent"),
+    )
+    places = [scratch.folder(spark, f"cursors-{name}") for name in ("events", "states", "checkpoint")]
+    events.write.parquet(places[0])
+    states = partitions.states_after(spark, spark.readStream.schema(partitions.EVENTS).parquet(places[0]), *places[1:])
+    held = F.from_json("state", "states array<struct<partition: string, cursor: bigint>>")["states"]
+    return states.select("stream", F.explode(held).alias("s")).select("stream", F.col("s.partition").alias("part"), "s.cursor")
+
+
 @query(
     "p_keys_scripts",
     "SELECT p_partkey AS part_key, p_name AS grosse, p_brand AS zh, p_size AS u65e5_u672c, p_type AS onoma_2, {'ka_ta': p_size} AS cafe FROM part",
