@@ -163,7 +163,10 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             fine = [alike(x.as_py(), y.as_py()) for x, y in zip(batch.column("a"), batch.column("b"))]
             yield batch.select(["hi", "lo"]).filter(pa.array(fine, pa.bool_()))
 
-    side = lambda end, name: held.select(F.col("rid").alias(end), F.col("hashes").alias(name))
+    pairs = written(pairs, "jaccard-pairs")
+    met = written(pairs.select(F.col("hi").alias("rid")).unionByName(pairs.select(F.col("lo").alias("rid"))).distinct(), "jaccard-ends")
+    whole = held.join(small_or_plain(met), "rid")  # only sets that are in a pair go through the shuffles
+    side = lambda end, name: whole.select(F.col("rid").alias(end), F.col("hashes").alias(name))
     return written(pairs.join(side("hi", "a"), "hi").join(side("lo", "b"), "lo").mapInArrow(run, "hi long, lo long"), "jaccard-links")
 
 
