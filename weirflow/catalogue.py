@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from weirflow.functions import dates, http, text, values
 from weirflow.operators import filters, joins, loading, records, state
 from weirflow.plans import incremental, rates, slices
-from weirflow.sources import decoders, files, scratch
+from weirflow.sources import avro, decoders, files, scratch
 from weirflow.streaming import partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -769,6 +769,26 @@ def _(events):
     return read.select("event_id", "user_id")
 
 
+@query(
+    "s_avro",
+    """SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18, 2)) AS price, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
+              o_custkey AS customer, CAST(len(string_split(o_comment, ' ')) AS INTEGER) AS words, o_orderdate AS at FROM (SELECT *, o_orderpriority || ' ' || o_orderstatus AS o_comment FROM orders)""",
+    "orders",
+)
+def _(orders):
+    spark = orders.sparkSession
+    path = scratch.folder(spark, "avro")
+    avro.register(spark)
+    made = orders.select(
+        "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority"), F.struct(F.col("o_custkey").alias("key")).alias("customer"),
+        F.split(F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), " ").alias("words"), F.map_from_arrays(F.array(F.lit("at")), F.array(F.col("o_orderdate").cast("timestamp_ntz"))).alias("times"),
+    )
+    made.write.format("avro_files").option("path", path).mode("append").save()
+    back = avro.read_avro(spark, path, split=1 << 18)
+    return back.select("o_orderkey", "o_orderstatus", "price", "day", "priority", F.col("customer.key").alias("customer"), F.size("words").alias("words"), F.col("times")["at"].alias("at"))
+
+
 @query(
     "i_partition_cursors",
     # a slice an order; those of every 97th key never close, so nothing after the first of them counts
