@@ -1,0 +1,65 @@
+"""Workbooks written and read back, ragged and odd ones by hand, types over several files."""
+
+import datetime as dt
+import io
+import zipfile
+
+import pytest
+
+from weirflow.sources import excel
+
+AT = dt.datetime(2024, 2, 29, 12, 30, 15, 250_000)
+
+
+def test_a_table_reads_back_equal(spark, tmp_path):
+    rows = [["n", "t", "b", "at", "mixed", "none", "é & <x>"], [1, "a", True, AT, 1, None, " s p "], [2.5, "b", False, None, "x"], [None, None, None, dt.datetime(1999, 12, 31), True], [], [-7, "", True, AT, AT, None, "end"]]
+    (tmp_path / "a.xlsx").write_bytes(excel.workbook(rows))
+    df = excel.read_workbooks(spark, str(tmp_path))
+    assert [t for _, t in df.dtypes] == ["double", "string", "boolean", "timestamp_ntz", "string", "double", "string"] and df.columns == rows[0]
+    got = [tuple(r) for r in df.collect()]
+    assert got == [
+        (1.0, "a", True, AT, "1", None, " s p "), (2.5, "b", False, None, "x", None, None), (None, None, None, dt.datetime(1999, 12, 31), "true", None, None), (-7.0, "", True, AT, "2024-02-29 12:30:15.250000", None, "end"),
+    ]
+
+
+def test_types_and_columns_are_those_of_all_workbooks(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(excel.workbook([["k", "v"], [1, 1]]))
+    (tmp_path / "b.xlsx").write_bytes(excel.workbook([["w", "k"], [True, "one"]]))
+    (tmp_path / "c.xlsx").write_bytes(excel.workbook([["only", "head"]]))
+    (tmp_path / "d.xlsx").write_bytes(excel.workbook([]))
+    df = excel.read_workbooks(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"k": "string", "w": "boolean", "v": "double", "only": "double", "head": "double"}
+    assert {(r.k, r.v, r.w) for r in df.collect()} == {("1", 1.0, None), ("one", None, True)}
+    assert [tuple(r) for r in excel.read_workbooks(spark, str(tmp_path), "v int, `no` string", glob="a*").collect()] == [(1, None)]
+
+
+def edited(rows, **members):
+    """A workbook with other contents of some members."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(excel.workbook(rows))) as z, zipfile.ZipFile(out, "w") as to:
+        for name in z.namelist():
+            change = members.get(name.rpartition("/")[2].partition(".")[0])
+            to.writestr(name, change(z.read(name).decode()) if change else z.read(name))
+    return out.getvalue()
+
+
+def test_sheets_of_other_writers():
+    row = '<row><c t="inlineStr"><is><t>h</t></is></c><c t="str"><v>h</v></c><c/><c r="E1" t="s"><v>0</v></c></row>'
+    data = '<row><c s="2"><v>1.5</v></c><c t="e"><v>#N/A</v></c><c t="d"><v>2020-01-02T03:04:05</v></c><c r="E2" t="b"><v>1</v></c><c r="G2"><v>1E3</v></c></row>'
+    styles = lambda s: s.replace("<cellXfs", '<numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;s&quot;"/><numFmt numFmtId="171" formatCode="0.0&quot;days&quot;[Red]"/></numFmts><cellXfs').replace('<xf numFmtId="22"/>', '<xf numFmtId="171"/><xf numFmtId="170"/>')
+    texts = lambda s: s.replace("</sst>", "<si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>")
+    book = edited([], sheet1=lambda s: s.replace("<sheetData>", f"<sheetData>{row}{data}"), styles=styles, sharedStrings=texts, workbook=lambda s: s.replace("<sheets>", '<workbookPr date1904="1"/><sheets>'))
+    head, first = excel.cells(book)
+    assert head == {0: ("text", "h"), 1: ("text", "h"), 4: ("text", "rich")}
+    assert first == {0: ("time", "1904-01-02 12:00:00"), 2: ("time", "2020-01-02 03:04:05"), 4: ("boolean", "true"), 6: ("number", "1E3")}
+    assert excel.named(head, 7) == ["h", "h_1", "column_3", "column_4", "rich", "column_6", "column_7"]
+    assert excel.moment(59, False) == "1900-02-28 00:00:00" and excel.moment(61, False) == "1900-03-01 00:00:00"
+
+
+def test_broken_workbooks_and_missing_sheets_fail_with_their_paths(spark, tmp_path):
+    (tmp_path / "x.xlsx").write_bytes(b"PK nothing")
+    with pytest.raises(Exception, match="x.xlsx isn't a workbook"):
+        excel.read_workbooks(spark, str(tmp_path)).collect()
+    (tmp_path / "x.xlsx").write_bytes(excel.workbook([["a"], [1]]))
+    with pytest.raises(Exception, match="no sheet other"):
+        excel.read_workbooks(spark, str(tmp_path), name="other").collect()

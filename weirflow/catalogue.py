@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from weirflow.functions import dates, http, text, values
 from weirflow.operators import filters, joins, loading, records, state
 from weirflow.plans import incremental, rates, slices
-from weirflow.sources import avro, decoders, files, scratch
+from weirflow.sources import avro, decoders, excel, files, json_items, scratch
 from weirflow.streaming import partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,8 +772,8 @@ def _(events):
 
 @query(
     "s_avro",
-    """SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18, 2)) AS price, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
-              o_custkey AS customer, CAST(len(string_split(o_comment, ' ')) AS INTEGER) AS words, o_orderdate AS at FROM (SELECT *, o_orderpriority || ' ' || o_orderstatus AS o_comment FROM orders)""",
+    """SELECT o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
+              o_custkey AS customer, CAST(len(string_split(o_comment, ' ')) AS INTEGER) AS words, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT *, o_orderpriority || ' ' || o_orderstatus AS o_comment FROM orders)""",
     "orders",
 )
 def _(orders):
@@ -786,7 +787,57 @@ def _(orders):
     )
     made.write.format("avro_files").option("path", path).mode("append").save()
     back = avro.read_avro(spark, path, split=1 << 18)
-    return back.select("o_orderkey", "o_orderstatus", "price", "day", "priority", F.col("customer.key").alias("customer"), F.size("words").alias("words"), F.col("times")["at"].alias("at"))
+    at = F.date_format(F.col("times")["at"], "yyyy-MM-dd HH:mm:ss").alias("at")
+    return back.select("o_orderkey", "o_orderstatus", F.col("price").cast("double").alias("price"), F.col("day").cast("string").alias("day"), "priority", F.col("customer.key").alias("customer"), F.size("words").alias("words"), at)
+
+
+@query(
+    "s_excel",
+    """SELECT CAST(o_orderkey AS DOUBLE) AS "Key", o_orderpriority AS "Priority", CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS "Price", strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "Placed", o_orderstatus = 'O' AS "Open",
+       CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE CAST(o_custkey AS VARCHAR) END AS "Mixed" FROM orders""",
+    "orders",
+)
+def _(orders):
+    spark = orders.sparkSession
+    path = scratch.folder(spark, "excel")
+
+    def book(rows: pd.DataFrame) -> pd.DataFrame:
+        head = ["Key", "Priority", "Price", "Placed", "Open", "Mixed"]
+        lines = ([int(r.k), r.p, None if pd.isna(r.price) else float(r.price), r.at.to_pydatetime(), bool(r.open), r.s if r.k % 2 == 0 else int(r.c)] for r in rows.itertuples())
+        return pd.DataFrame({"path": [f"{rows['book'].iloc[0]}.xlsx"], "content": [excel.workbook([head, *lines])]})
+
+    price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price")
+    columns = [F.floor(F.col("o_orderkey") / 2000).alias("book"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), price]
+    columns += [F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") == "O").alias("open"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c")]
+    orders.select(*columns).groupBy("book").applyInPandas(book, "path string, content binary").write.parquet(path)  # 2,000 keys a workbook
+    rows = excel.sheet_cells(spark.read.parquet(path))
+    return excel.typed(rows, excel.schema_of(rows)).withColumn("Placed", F.date_format("Placed", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "x_json_items",
+    """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders""",
+    "orders",
+)
+def _(orders):
+    spark = orders.sparkSession
+    path = scratch.folder(spark, "json-items")
+
+    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ['{"meta": {"rows": [0]}, "data": {"note": "[{", "rows": [']})
+        first = True
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"value": [("" if first and i == 0 else ", ") + v for i, v in enumerate(b["value"])]})
+                first = False
+        yield pd.DataFrame({"value": ["]}}"]})
+
+    lines = orders.select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("value"))
+    lines.mapInPandas(document, "value string").write.option("compression", "gzip").text(path)  # a document a task
+    json_items.register(spark)
+    items = spark.read.format("json_items").options(path=path, items="data.rows").load()
+    kind = ", ".join(f"{n} {orders.schema[n].dataType.simpleString()}" for n in ("o_orderkey", "o_orderstatus", "o_totalprice"))
+    return items.select(F.from_json("item", kind).alias("r")).select("r.*")
 
 
 @query(
