@@ -9,7 +9,7 @@ hash (``LOW`` of all) are counted over the corpus; any share gives the same resu
 
 The sets under one shingle are a group; of groups with the same members one is kept. Each group is
 searched by the dual traversal of a signature tree (``signature_tree``), and the pairs that it
-can't exclude are verified by their whole sets. Components spare work, never a link between two of them: a first
+can't exclude are verified by their whole sets, which are made anew from the texts of those documents alone. Components spare work, never a link between two of them: a first
 round compares each set with the one of its groups that meets most others, as an original does among its
 copies; a second one takes each set's best pair of the trees; the last one all pairs of the trees whose ends
 are in different components by then. A group of more than ``BLOCK`` bytes is cut into blocks of one size
@@ -24,7 +24,7 @@ fewer words than a shingle has are one shingle of their own kind; repeated rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -84,7 +84,7 @@ def least_shared(size: int, percent: int) -> int:
 
 
 def read(docs: DataFrame, length: int, percent: int, low: float) -> DataFrame:
-    """A row a document: its set's digest, size and first shingles, with an id ``rid`` that is larger in later tasks.
+    """A row a document: its set's digest, size, bitmap and first shingles, with an id ``rid``.
 
     ``low`` holds the shingles of low hash. ``spare`` is how many more than those the
     first ones are, and ``fill`` holds as many of the others.
@@ -94,7 +94,7 @@ def read(docs: DataFrame, length: int, percent: int, low: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rid = Words(), TaskContext.get().partitionId() << 38
         for batch in batches:
-            digests, sizes, counts, spares, lows, fills = [], [], [], [], [], []
+            digests, sizes, counts, spares, lows, fills, maps = [], [], [], [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), known, length)
                 few = int(np.searchsorted(found, bound))
@@ -105,14 +105,15 @@ def read(docs: DataFrame, length: int, percent: int, low: float) -> DataFrame:
                 spares.append(spare)
                 lows.append(found[:few].view(np.int64))
                 fills.append(found[few : few + max(0, spare)].view(np.int64))
+                maps.append(signature_tree.bitmap(found).tobytes())
             ids = pa.array(np.arange(rid, rid + batch.num_rows))
             rid += batch.num_rows
             lists = [pa.array(v, pa.list_(pa.int64())) for v in (lows, fills)]
-            made = [ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spares, pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *KEY)), *made], ["doc_id", *KEY, "rid", "digest", "size", "few", "spare", "low", "fill"])
+            made = [ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spares, pa.int64()), *lists, pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *KEY)), *made], ["doc_id", *KEY, "rid", "digest", "size", "few", "spare", "low", "fill", "bits"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return located(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, __file string, __row long, rid long, digest binary, size long, few long, spare long, low array<long>, fill array<long>")
+    return located(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, __file string, __row long, rid long, digest binary, size long, few long, spare long, low array<long>, fill array<long>, bits binary")
 
 
 def first_shingles(rows: DataFrame) -> DataFrame:
@@ -135,39 +136,59 @@ def groups(first: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``rid``, ``size``, ``hashes`` and ``bits`` of the sets of rows that ``wanted`` (rid, __file, __row) names."""
+    """``rid`` and ``hashes``, the set, of the rows that ``wanted`` (rid, __file, __row) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            found = [shingles(t.as_py(), known, length) for t in batch.column("text")]
-            bits = [signature_tree.bitmap(s).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], ["rid", "size", "hashes", "bits"]
-            )
+            found = [shingles(t.as_py(), known, length).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], ["rid", "hashes"])
 
     rows = located(docs, "text").join(small_or_plain(wanted), KEY).select("rid", "text")
-    return rows.mapInArrow(run, "rid long, size long, hashes binary, bits binary")
+    return rows.mapInArrow(run, "rid long, hashes binary")
 
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (hi, lo) whose sets, found in ``held``, are similar."""
+def beside(pairs: DataFrame, held: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``pairs`` (hi, lo) with ``columns`` of both ends, found in ``held`` by ``rid``, as ``a_`` and ``b_``."""
+    side = lambda end, name: held.select(F.col("rid").alias(end), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+    return pairs.join(side("hi", "a"), "hi").join(side("lo", "b"), "lo")
+
+
+def filtered(pairs: DataFrame, test: Callable[..., bool], columns: tuple[str, ...]) -> DataFrame:
+    """The ``pairs`` for which ``test`` holds, of the ``columns`` of one end and then the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(f"{end}_{c}") for end in "ab" for c in columns))
+            yield batch.select(["hi", "lo"]).filter(pa.array([test(*(v.as_py() for v in r)) for r in rows], pa.bool_()))
+
+    return pairs.mapInArrow(run, "hi long, lo long")
+
+
+def possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (hi, lo) that sizes and bitmaps don't exclude."""
+
+    def test(size_a: int, a: bytes, size_b: int, b: bytes) -> bool:
+        return signature_tree.may_be_alike(np.frombuffer(a, np.uint64), size_a, np.frombuffer(b, np.uint64), size_b, percent)
+
+    columns = ("size", "bits")
+    near = F.lit(100) * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    return filtered(beside(pairs, rows, columns).where(near), test, columns)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
+    """The ``pairs`` (hi, lo) whose whole sets are similar."""
 
     def alike(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = [alike(x.as_py(), y.as_py()) for x, y in zip(batch.column("a"), batch.column("b"))]
-            yield batch.select(["hi", "lo"]).filter(pa.array(fine, pa.bool_()))
-
     pairs = written(pairs, "jaccard-pairs")
     met = written(pairs.select(F.col("hi").alias("rid")).unionByName(pairs.select(F.col("lo").alias("rid"))).distinct(), "jaccard-ends")
-    whole = held.join(small_or_plain(met), "rid")  # only sets that are in a pair go through the shuffles
-    side = lambda end, name: whole.select(F.col("rid").alias(end), F.col("hashes").alias(name))
-    return written(pairs.join(side("hi", "a"), "hi").join(side("lo", "b"), "lo").mapInArrow(run, "hi long, lo long"), "jaccard-links")
+    wanted = written(rows.select("rid", *KEY).join(small_or_plain(met), "rid"), "jaccard-places")
+    held = written(sets(docs, wanted, length), "jaccard-sets")
+    return written(filtered(beside(pairs, held, ("hashes",)), alike, ("hashes",)), "jaccard-links")
 
 
 def ends(a: str, b: str) -> list[Column]:
@@ -250,17 +271,14 @@ def searched(members: DataFrame, percent: int, block: int, best: bool) -> DataFr
 def links(docs: DataFrame, rows: DataFrame, length: int, percent: int, block: int) -> DataFrame:
     """Verified links ``hi``, ``lo`` that connect all sets of ``rows`` that are similar."""
     members = written(groups(written(first_shingles(rows), "jaccard-first")), "jaccard-members")
-    wanted = written(members.select("rid").distinct(), "jaccard-wanted")
-    wanted = written(rows.select("rid", *KEY).join(small_or_plain(wanted), "rid"), "jaccard-places")
-    held = written(sets(docs, wanted, length), "jaccard-sets")
-    found = verified(starred(members), held, percent)
+    found = verified(docs, possible(starred(members), rows, percent), rows, length, percent)
     for best in (True, False):
         roots = components(found)
         own = members.join(roots, members.rid == roots.hi, "left").select("token", "rid", F.coalesce("lo", "rid").alias("root"))
         own = written(own, "jaccard-rooted")
         several = written(own.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token"), "jaccard-mixed")
-        left = own.join(several, "token").join(held.select("rid", "size", "bits"), "rid")
-        found = found.unionByName(verified(searched(left, percent, block, best), held, percent))
+        left = own.join(several, "token").join(rows.select("rid", "size", "bits"), "rid")
+        found = found.unionByName(verified(docs, searched(left, percent, block, best), rows, length, percent))
     return found
 
 

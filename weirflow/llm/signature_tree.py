@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bits a token of a set, members of a leaf.
-DENSITY, LEAF, LEAST = 16, 32, 256
+DENSITY, LEAF, LEAST = 4, 32, 64
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -104,6 +104,14 @@ def compared(x: Node, y: Node, percent: int) -> tuple[np.ndarray, np.ndarray, np
     return x.members[i], y.members[j], shared[i, j]
 
 
+def may_be_alike(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, percent: int) -> bool:
+    """Whether two sets may be similar, by their bitmaps."""
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
+    shared = int(count(a & b)) + min(size_a - int(count(a)), size_b - int(count(b)))
+    return (100 + percent) * min(shared, size_a, size_b) >= percent * (size_a + size_b)
+
+
 def pairs(x: Node, y: Node, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places of all pairs below ``x`` and ``y`` (of one tree if ``x is y``) that may be similar, and the bound of each."""
     found, stack = [], [(x, y)]
