@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.functions import dates, http, text, values
-from weirflow.operators import filters, joins, loading, records, state
-from weirflow.plans import incremental, rates, slices
-from weirflow.sources import avro, decoders, excel, files, json_items, scratch
+from weirflow.operators import filters, joins, loading, merging, paths, records, schemas, state
+from weirflow.plans import delegating, incremental, rates, slices
+from weirflow.sources import avro, decoders, excel, files, index, json_items, scratch, transfer
 from weirflow.streaming import partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,12 +239,12 @@ def _(customer):
 
 @query(
     "r_property_chunk",
-    "SELECT CAST(chunk AS BIGINT) AS chunk, names FROM (VALUES (0, 'p_partkey,p_name,p_brand'), (1, 'p_partkey,p_type,p_size'), (2, 'p_partkey,p_retailprice')) AS t(chunk, names)",
+    "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
     "part",
 )
 def _(part):
     chunked = slices.property_chunks([c for c in part.columns if c != "p_partkey"], 2, always=["p_partkey"])
-    return part.sparkSession.createDataFrame([(i, ",".join(c)) for i, c in enumerate(chunked)], "chunk long, names string")
+    return merging.merge_chunks([part.select(*chunk) for chunk in chunked], ["p_partkey"])
 
 
 @query(
@@ -508,9 +510,9 @@ def _(part):
     return part.select("p_partkey", text.snake(F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
 
 
-@query("n_url", "SELECT page_id, replace(url_encode(url), '%20', '+') AS quoted, replace(url_encode(left(html, 200)), '%20', '+') AS head FROM pages", "pages")
+@query("n_url", "SELECT page_id, replace(url_encode(url), '%20', '+') AS quoted, replace(url_encode(html), '%20', '+') AS body FROM pages", "pages")
 def _(pages):
-    return pages.select("page_id", text.url_quote(F.col("url")).alias("quoted"), text.url_quote(F.left("html", F.lit(200))).alias("head"))
+    return pages.select("page_id", text.url_quote(F.col("url")).alias("quoted"), text.url_quote(F.col("html")).alias("body"))
 
 
 @query(
@@ -662,10 +664,14 @@ def _(nation):
     return read.select("content", F.element_at(F.split("document_key", r"\."), -1).alias("ending"))
 
 
-@query("s_listing", "SELECT 4 AS n", "nation")
-def _(nation):
-    path = saved(nation.repartition(4), "csv")
-    return files.listing(nation.sparkSession, path, "part-*").agg(F.count("*").cast("int").alias("n"))
+@query("s_listing", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus", "orders")
+def _(orders):
+    spark = orders.sparkSession
+    path = scratch.folder(spark, "listing")
+    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    found = files.listing(spark, path, "*.parquet", since="2000-01-01").where("uri not like '%o_orderstatus=P/%' and size > 0")
+    rows = files.with_file_columns(spark.read.parquet(path)).join(F.broadcast(found), F.col(files.URL) == F.col("uri"))  # a row a file
+    return rows.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("x_json", "SELECT conv_id, turn, text FROM conversations", "conversations")
@@ -703,15 +709,24 @@ def _(documents):
 
 @query("x_gzip", "SELECT doc_id, replace(text, chr(0), '') AS text FROM documents", "documents")
 def _(documents):
-    path = saved(documents.select("doc_id", F.encode("text", "utf-8").alias("body")), "parquet")
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else gzip.compress(t.encode()))
+
+    body = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "utf-8")).otherwise(packed("text"))
+    path = saved(documents.select("doc_id", body.alias("body")), "parquet")
     read = documents.sparkSession.read.parquet(path)
     return read.select("doc_id", decoders.text_of(F.col("body")).alias("text"))
 
 
 @query("x_dispatch", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer", "customer")
 def _(customer):
-    rows = customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, "shout").alias("kind"))
-    return rows.select("c_custkey", decoders.dispatch(rows, "kind", {"shout": F.upper("c_name")}, F.col("c_name")).alias("name"))
+    xml = F.concat(F.lit("<r><name>"), F.upper("c_name"), F.lit("</name></r>"))
+    body = F.when(F.col("c_custkey") % 4 == 0, xml).when(F.col("c_custkey") % 4 == 2, F.to_json(F.struct(F.upper("c_name").alias("name")))).otherwise(F.col("c_name"))
+    kind = F.when(F.col("c_custkey") % 4 == 0, "application/xml").when(F.col("c_custkey") % 4 == 2, "application/json").otherwise("text/plain")
+    rows = customer.select("c_custkey", F.encode(body, "utf-8").alias("body"), kind.alias("kind")).withColumn("text", decoders.text_of(F.col("body")))
+    by = {"application/xml": F.from_xml("text", "name string")["name"], "application/json": F.from_json("text", "name string")["name"]}
+    return rows.select("c_custkey", decoders.dispatch(rows, "kind", by, F.col("text")).alias("name"))
 
 
 @query("p_schemaless", "SELECT n_nationkey, n_name FROM nation", "nation")
@@ -887,3 +902,184 @@ def synced(events: DataFrame, lookback: int = 0) -> tuple[DataFrame, DataFrame]:
     rows, users = events.select("event_id", "user_id", hour.alias("h")), events.select("user_id").distinct()
     whole = [F.lit(x).cast("long") for x in (0, 1_000_000)]
     return incremental.sync(rows, merged(events.where("event_id % 2 = 0")), ["user_id"], "h", *whole, lookback=lookback, partitions=users)
+
+
+PARTS = """SELECT o_orderkey, [{'code': 'p', 'tags': [o_orderpriority, o_orderstatus], 'v': {'n': o_custkey}}, {'code': 'q', 'tags': CASE WHEN o_orderkey % 3 <> 0 THEN [CAST(o_custkey AS VARCHAR)] ELSE [] END, 'v': NULL}] AS parts FROM orders"""
+
+
+def nested(orders: DataFrame) -> DataFrame:
+    """Orders with lists of structs of lists, and a map of structs."""
+    spare = F.when(F.col("o_orderkey") % 3 != 0, F.array(F.col("o_custkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    part = lambda code, tags, v: F.struct(F.lit(code).alias("code"), tags.alias("tags"), v.alias("v"))
+    inner = F.struct(F.col("o_custkey").alias("n"))
+    parts = F.array(part("p", F.array("o_orderpriority", "o_orderstatus"), inner), part("q", spare, F.lit(None).cast("struct<n: bigint>")))
+    more = F.create_map(F.lit("one"), F.struct(F.col("o_totalprice").alias("v")), F.lit("two"), F.struct((-F.col("o_totalprice")).alias("v")))
+    return orders.select("o_orderkey", F.struct(parts.alias("parts"), more.alias("more")).alias("body"))
+
+
+@query(
+    "p_extract_wild",
+    f"WITH n AS ({PARTS}) SELECT o_orderkey, unnest(list_concat(parts[1].tags, parts[2].tags)) AS record FROM n UNION ALL SELECT o_orderkey, CAST(parts[1].v.n AS VARCHAR) FROM n",
+    "orders",
+)
+def _(orders):
+    rows = nested(orders)
+    tags, numbers = paths.extract_at(rows, "body.parts.*.tags.*", keep=["o_orderkey"]), paths.extract_at(rows, "body.**.n", keep=["o_orderkey"])
+    return tags.unionByName(numbers.withColumn("record", F.col("record").cast("string")))
+
+
+@query(
+    "p_expand_wild",
+    f"WITH n AS ({PARTS}) SELECT o_orderkey, unnest(parts[2].tags) AS tag, 2 AS n_parts FROM n WHERE len(parts[2].tags) > 0 UNION ALL SELECT o_orderkey, NULL, 2 FROM n WHERE len(parts[2].tags) = 0",
+    "orders",
+)
+def _(orders):
+    out = paths.expand_at(nested(orders), "body.parts.1.tags", "tag", emit_parent=True, original="was")
+    return out.select("o_orderkey", "tag", F.size("was.body.parts").alias("n_parts"))
+
+
+@query(
+    "p_remove_wild",
+    f"""WITH n AS ({PARTS}) SELECT o_orderkey, '{{"parts":[{{"tags":["' || parts[1].tags[1] || '","' || parts[1].tags[2] || '"]}},{{"tags":[' || CASE WHEN len(parts[2].tags) > 0 THEN '"' || parts[2].tags[1] || '"' ELSE '' END
+    || ']}}],"more":{{"one":{{}}}}}}' AS body FROM n""",
+    "orders",
+)
+def _(orders):
+    rows = paths.remove_at(paths.change_at(nested(orders), "body.more.*.v", lambda value, kind: F.lit(None).cast(kind)), "body.parts.*.code", "body.parts.*.v", "body.more.tw*")
+    return rows.select("o_orderkey", F.to_json("body").alias("body"))
+
+
+@query(
+    "p_set_nested",
+    """SELECT o_orderkey, o_custkey + 1 AS n, o_orderstatus AS made, CASE WHEN o_orderkey % 3 <> 0 THEN 'x' END AS third FROM orders""",
+    "orders",
+)
+def _(orders):
+    third = F.when(F.col("o_orderkey") % 3 != 0, F.lit("x"))
+    rows = paths.change_at(nested(orders).join(orders.select("o_orderkey", "o_orderstatus"), "o_orderkey"), "body.parts.0.v.n", lambda value, kind: value + 1)
+    rows = paths.set_at(paths.set_at(rows, "fresh.inner.made", F.col("o_orderstatus")), "body.parts.1.tags.2", third)
+    return rows.select("o_orderkey", F.col("body.parts")[0].v.n.alias("n"), F.col("fresh.inner.made").alias("made"), F.col("body.parts")[1].tags[2].alias("third"))
+
+
+@query(
+    "p_lift_wild",
+    """SELECT o_orderkey, o_custkey AS in_key, o_orderstatus AS in_status FROM orders""",
+    "orders",
+)
+def _(orders):
+    deep = F.struct(F.struct(F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("leaf")).alias("mid")).alias("top")
+    return paths.lift_at(orders.select("o_orderkey", deep), "top.*.leaf", prefix="in_").drop("top")
+
+
+@query(
+    "p_variant_wild",
+    f"WITH n AS ({PARTS}) SELECT o_orderkey, unnest(list_concat(parts[1].tags, parts[2].tags)) AS v FROM n UNION ALL SELECT o_orderkey, CAST(parts[1].v.n AS VARCHAR) FROM n",
+    "orders",
+)
+def _(orders):
+    rows = nested(orders).select("o_orderkey", F.to_json("body").alias("text"))
+    both = [paths.variant_values(rows, "text", path, "v", depth=3) for path in ("parts.*.tags.*", "**.n")]
+    return both[0].unionByName(both[1]).select("o_orderkey", F.try_variant_get("v", "$", "string").alias("v"))
+
+
+@query(
+    "a_schema_lattice",
+    """SELECT event_type AS kind, 'props.k' AS path, list_sort(list(DISTINCT CASE WHEN user_id % 5 = 0 THEN 'string' WHEN k IS NULL THEN 'null' ELSE 'number' END)) AS kinds
+    FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) WHERE json_exists(props, '$.k') GROUP BY event_type
+    UNION ALL SELECT event_type, 'list[]', list_sort(list(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'number' END)) FROM events GROUP BY event_type""",
+    "events",
+)
+def _(events):
+    k = F.get_json_object("props", "$.k")
+    shown = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit('"'), F.coalesce(k, F.lit("-")), F.lit('"'))).otherwise(F.coalesce(k, F.lit("null")))
+    element = F.when(F.col("event_id") % 2 == 0, F.lit("true")).otherwise(F.col("event_id").cast("string"))
+    inner = F.when(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").isNotNull(), F.concat(F.lit('{"k":'), shown, F.lit("}"))).otherwise(F.lit("{}"))
+    body = F.concat(F.lit('{"props":'), inner, F.lit(',"list":['), element, F.lit("]}"))
+    found = schemas.places(events.select(F.col("event_type").alias("kind"), body.alias("body")), "body", ["kind"])
+    return found.where("path in ('props.k', 'list[]')")
+
+
+@query(
+    "j_deep_merge",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'late' ELSE o_orderstatus END AS status, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS customer FROM orders""",
+    "orders",
+)
+def _(orders):
+    one = orders.select("o_orderkey", F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")).alias("inner")).alias("s"))
+    late = F.when(F.col("o_orderkey") % 2 == 0, F.lit("late"))
+    two = orders.select("o_orderkey", F.struct(F.struct(late.alias("status")).alias("inner"), F.lit(None).cast("bigint").alias("customer")).alias("s"))
+    three = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.struct(F.col("o_custkey").alias("customer")).alias("s"))
+    out = merging.merge_chunks([one, two, three], ["o_orderkey"])
+    return out.select("o_orderkey", F.col("s.inner.status").alias("status"), F.col("s.inner.price").alias("price"), F.col("s.customer").alias("customer"))
+
+
+@query(
+    "a_deep_merge_rows",
+    """SELECT user_id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) FILTER (event_id % 3 <> 0 AND value IS NOT NULL) AS value, max(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id""",
+    "events",
+)
+def _(events):
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    rows = events.where("user_id is not null").select("user_id", "event_id", F.struct(F.col("event_type").alias("kind"), F.struct(value.alias("value")).alias("inner")).alias("s"))
+    out = merging.merge_rows(rows, ["user_id"], ["event_id"])
+    return out.select("user_id", F.col("s.kind").alias("kind"), F.col("s.inner.value").alias("value"), "event_id")
+
+
+@query(
+    "p_flatten_lists",
+    """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS "tags.0", o_orderstatus AS "tags.1", CASE WHEN o_orderkey % 3 <> 0 THEN 'q' END AS "rows.0.a" FROM orders""",
+    "orders",
+)
+def _(orders):
+    rows = F.when(F.col("o_orderkey") % 3 != 0, F.array(F.struct(F.lit("q").alias("a")))).otherwise(F.array().cast("array<struct<a: string>>"))
+    body = F.to_json(F.struct(F.struct(F.col("o_custkey").alias("id")).alias("head"), rows.alias("rows"), F.array("o_orderpriority", "o_orderstatus").alias("tags")))
+    out = merging.flat_columns(orders.select("o_orderkey", body.alias("body")), "body", keep=["o_orderkey"])
+    return out.select("o_orderkey", F.col("`head.id`").alias("id"), "`tags.0`", "`tags.1`", "`rows.0.a`")
+
+
+@query(
+    "k_index",
+    """SELECT CAST(doc_id AS VARCHAR) AS record_id, CASE WHEN doc_id % 4 = 1 THEN 'again' ELSE source END AS content FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 1""",
+    "documents",
+)
+def _(documents):
+    spark = documents.sparkSession
+    folder = scratch.folder(spark, "index")
+    chunk = lambda rows, content: rows.select(F.lit("docs").alias("stream"), F.col("doc_id").cast("string").alias("record_id"), F.lit(0).alias("chunk"), content.alias("content"))
+    index.write_batch(index.operations(chunk(documents, F.col("source"))), folder, "first")
+    gone = chunk(documents.where("doc_id % 3 = 0"), F.lit("")).select("stream", "record_id")
+    for _ in range(2):  # a batch that comes again changes nothing
+        index.write_batch(index.operations(chunk(documents.where("doc_id % 4 = 1"), F.lit("again")), gone), folder, "second")
+    return index.live(spark, folder).select("record_id", "content")
+
+
+@query(
+    "s_transfer",
+    """SELECT c_custkey, c_name FROM customer""",
+    "customer",
+)
+def _(customer):
+    spark = customer.sparkSession
+    source, target = (scratch.folder(spark, name) for name in ("transfer-from", "transfer-to"))
+    customer.select("c_custkey", "c_name").write.parquet(source)
+    copied = transfer.transfer(spark, source, target, glob="*.parquet")
+    whole = copied.agg(F.sum("bytes")).first()[0]
+    return spark.read.schema(spark.read.parquet(source).schema).parquet(target).where(F.lit(whole > 0))
+
+
+@query("i_delegate_full", "SELECT event_id FROM events", "events")
+def _(events):
+    old = events.agg((F.max("ts") - F.expr("INTERVAL 90 DAYS")).alias("cursor"))
+    return chosen(events, old)
+
+
+@query("i_delegate_incremental", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 3 HOURS FROM events)", "events")
+def _(events):
+    recent = events.agg((F.max("ts") - F.expr("INTERVAL 3 HOURS")).alias("cursor"))
+    return chosen(events, recent)
+
+
+def chosen(events: DataFrame, state: DataFrame) -> DataFrame:
+    newest = events.agg(F.max("ts")).first()[0]
+    rows, _kind = delegating.delegated(state, "cursor", lambda: events, lambda cursor: events.where(F.col("ts") >= F.lit(cursor)), retention=timedelta(days=30), now=newest)
+    return rows.select("event_id")

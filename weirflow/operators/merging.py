@@ -42,17 +42,26 @@ def merged(a: Column, kind_a: T.DataType, b: Column, kind_b: T.DataType) -> Colu
     return F.when(a.isNotNull() | b.isNotNull(), F.struct(*parts))
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """A type all of whose fields may be null."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    return T.MapType(kind.keyType, nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
 def merge_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key: its rows put over each other in order, deeply, later ones last. A null key is no key: its rows stay as they are.
 
     The rows of a key (the chunks of a record) meet in one list.
     """
     names = [c for c in df.columns if c not in keys]
-    kind = T.StructType([df.schema[c] for c in names])
+    kind = nullable(T.StructType([df.schema[c] for c in names]))
     whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
     packed = F.struct(F.struct(*order).alias("o"), F.struct(*names).alias("r"))
     rows = df.where(whole).groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("rows"))
-    first, rest = F.element_at("rows", 1)["r"], F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
+    first, rest = F.element_at("rows", 1)["r"].cast(kind), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
     out = F.aggregate(rest, first, lambda acc, x: merged(acc, kind, x["r"], kind).cast(kind))
     return rows.select(*keys, out.alias("__r")).select(*keys, "__r.*").select(*df.columns).unionByName(df.where(~whole))
 
