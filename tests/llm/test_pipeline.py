@@ -52,18 +52,18 @@ def test_stages_and_run(spark):
     assert sorted(r.doc_id for r in rows["exact_dedup"]) == sorted(last.values())
 
     some = sorted(rows["exact_dedup"], key=lambda d: d.doc_id)
-    assert sorted(r.doc_id for r in rows["simhash"]) == firsts_of_near_copies(some)
+    assert sorted(r.doc_id for r in rows["near_copies"]) == firsts_of_near_copies(some)
 
     words = lambda t: len((t or "").encode().split())
     sizes, taken, seen = {}, {}, {}
-    for d in rows["simhash"]:
+    for d in rows["near_copies"]:
         sizes[d.source] = sizes.get(d.source, 0) + words(d.text)
     for d in rows["mixing"]:
         taken[d.source] = taken.get(d.source, 0) + words(d.text)
         seen[d.doc_id] = seen.get(d.doc_id, 0) + 1
-    assert max(seen.values()) <= 2 and seen.keys() <= {d.doc_id for d in rows["simhash"]}
+    assert max(seen.values()) <= 2 and seen.keys() <= {d.doc_id for d in rows["near_copies"]}
     for s, t in mixing.targets(sizes).items():
-        own = [words(d.text) for d in rows["simhash"] if d.source == s]
+        own = [words(d.text) for d in rows["near_copies"] if d.source == s]
         whole, sums = int(t >= sum(own)) * sum(own), {0}
         for x in own:
             sums |= {y + x for y in sums}
@@ -91,7 +91,7 @@ def test_odd_rows_pass_through(spark, tmp_path):
             done.write.parquet(f"{tmp_path}/{name}-{step}")
             docs = spark.read.parquet(f"{tmp_path}/{name}-{step}")
         assert docs.count() <= 2 * len(some)
-    left = spark.read.parquet(f"{tmp_path}/odd-simhash").collect()
+    left = spark.read.parquet(f"{tmp_path}/odd-near_copies").collect()
     assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [0, 1, 2, 3, 4, 5, 11, 12]))
     assert {r.doc_id: r.extra for r in left}[3] == [3]
 

@@ -282,8 +282,11 @@ def links(docs: DataFrame, rows: DataFrame, length: int, percent: int, block: in
     return found
 
 
-def joined(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, low: float = LOW, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size (of its set), root (a component's node), component_id (its smallest doc_id), __file, __row."""
+def joined(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, low: float = LOW, block: int = BLOCK, empties: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size (of its set), root (a component's node), component_id (its smallest doc_id), __file, __row.
+
+    With ``empties`` texts without words are one component, else each is its own.
+    """
     docs = as_scan(docs)
     every = written(read(docs, length, percent, low), "jaccard-rows")
     nodes = written(every.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.first("size").alias("size")), "jaccard-nodes")
@@ -295,7 +298,7 @@ def joined(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, low:
     rooted = written(rooted, "jaccard-roots")
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = written(rooted.join(firsts, "root").select("digest", "root", "component_id"), "jaccard-labels")
-    empty = F.col("size") == 0
+    empty = (F.col("size") == 0) & F.lit(not empties)
     return narrow.join(labels, "digest").select(
         "doc_id", "size", F.when(empty, F.col("rid")).otherwise(F.col("root")).alias("root"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *KEY
     )
