@@ -80,14 +80,14 @@ def test_equals_all_pairs(spark, corpus):
     assert len({c for _, _, c in want}) < len(want) - 60
 
 
-@pytest.mark.parametrize("options", [{"low": 0.02}, {"low": 1.0}, {"block": 1_000}, {"low": 0.5, "block": 20_000}])
+@pytest.mark.parametrize("options", [{"low": 0.02, "block": 1_000}, {"low": 1.0, "block": 20_000}])
 def test_order_and_blocks_change_nothing(spark, corpus, options):
     assert got(table(spark, corpus), **options) == brute(corpus)
 
 
 def test_other_lengths_and_thresholds(spark, corpus):
     rows = [(d, t) for d, t in corpus if t and len(t) < 5_000]
-    for percent in (60, 97, 100):
+    for percent in (60, 100):
         assert got(table(spark, rows), percent=percent) == brute(rows, percent)
 
 
