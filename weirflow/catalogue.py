@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.functions import dates, http, text, values
-from weirflow.operators import filters, joins, loading, merging, paths, records, schemas, state
+from weirflow.operators import chunking, filters, joins, loading, merging, paths, records, schemas, state, state_formats
 from weirflow.plans import delegating, incremental, rates, slices
 from weirflow.sources import avro, decoders, excel, files, index, json_items, scratch, transfer
 from weirflow.streaming import partitions
@@ -1083,3 +1083,40 @@ def chosen(events: DataFrame, state: DataFrame) -> DataFrame:
     newest = events.agg(F.max("ts")).first()[0]
     rows, _kind = delegating.delegated(state, "cursor", lambda: events, lambda cursor: events.where(F.col("ts") >= F.lit(cursor)), retention=timedelta(days=30), now=newest)
     return rows.select("event_id")
+
+
+@query("k_chunks_hierarchy", r"SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\S')", "documents")
+def _(documents):
+    chunks = chunking.hierarchy_chunks(documents, "text", 500, kind="markdown", keep=["doc_id"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda c: c.content), "")  # a document's own chunks
+    return chunks.groupBy("doc_id").agg(whole.alias("text"))
+
+
+@query(
+    "k_documents_nested",
+    f"""WITH n AS ({PARTS}) SELECT 'shop_orders_' || o_orderkey || '_' || parts[1].v.n AS record_id, 'code: ["p","q"]' || chr(10) || 'tags: ["' || array_to_string(list_concat(parts[1].tags, parts[2].tags), '","') || '"]' AS content,
+       CAST(parts[1].v.n AS VARCHAR) AS customer FROM n""",
+    "orders",
+)
+def _(orders):
+    names = {"body.parts.*.code": "code", "body.parts.*.tags.*": "tags", "body.**.n": "customer"}
+    out = chunking.record_documents(nested(orders), ["body.parts.*.code", "body.parts.*.tags.*"], ["body.**.n"], "orders", ["o_orderkey", "body.parts.0.v.n"], "shop", names)
+    return out.select("record_id", "content", F.col("metadata")["customer"].alias("customer"))
+
+
+@query("i_state_formats", SESSIONS + """ SELECT user_id, start * 3600 AS start, "end" * 3600 AS "end" FROM m WHERE start IS NOT NULL""", "events")
+def _(events):
+    hours = merged(events).where("start is not null")
+    at = lambda c: F.timestamp_seconds(F.col(c) * 3600).alias(c)
+    rows = hours.select("user_id", at("start"), at("end"))
+    for form in ("seconds", "iso", "%Y/%m/%d %H:%M"):
+        rows = state_formats.intervals_of(state_formats.states_of(rows, ["user_id"], "ts", form), ["user_id"], "state", "ts", form)
+    return rows.select("user_id", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"))
+
+
+@query("i_state_sequential", SESSIONS + """ SELECT user_id, min(start) * 3600 AS low FROM m WHERE start IS NOT NULL GROUP BY user_id""", "events")
+def _(events):
+    at = lambda c: F.timestamp_seconds(F.col(c) * 3600).alias(c)
+    rows = merged(events).where("start is not null").select("user_id", at("start"), at("end"))
+    held = state_formats.states_of(rows, ["user_id"], "ts", "millis", sequential=True)
+    return held.select("user_id", (F.get_json_object("state", "$.ts").cast("long") / 1000).cast("long").alias("low"))
