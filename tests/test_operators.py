@@ -247,3 +247,25 @@ def test_sync_reads_no_record_twice_and_keeps_null_partitions(spark):
     got, after = incremental.sync(rows, state, ["k"], "at", F.lit(0).cast("long"), F.lit(1000).cast("long"), lookback=10, partitions=parts)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
     assert sorted(map(tuple, after.select("k", "start", "end").collect()), key=repr) == [("a", 0, 1000), (None, 0, 1000)]
+
+
+def test_hashes_of_nested_values(spark):
+    def plain(v):
+        """The hash of a Python value."""
+        if isinstance(v, dict):
+            shown = str(sorted((k, plain(x)) for k, x in v.items()))
+        else:
+            shown = str([plain(x) for x in v]) if isinstance(v, list) else str(v)
+        return hashlib.sha256(("seed" + shown).encode()).hexdigest()
+
+    kind = "v struct<b: array<map<string, int>>, a: string, c: struct<x: boolean, y: array<string>>, n: int>"
+    values_ = [{"b": [{"k": 1, "it's": 2}, {}], "a": "é", "c": {"x": True, "y": ["p", None]}, "n": None}, {"b": None, "a": None, "c": None, "n": -5}]
+    df = spark.createDataFrame([(v,) for v in values_], kind)
+    got = [r.h for r in df.select(text.one_way_hash_of(F.col("v"), df.schema["v"].dataType, "seed").alias("h")).collect()]
+    assert got == [plain(v) for v in values_]
+
+
+def test_base64_of_ascii(spark):
+    assert one(spark, text.base64_ascii(F.lit("user:pass")).alias("s")).s == "dXNlcjpwYXNz" and one(spark, text.base64_ascii(F.lit(None).cast("string")).alias("s")).s is None
+    with pytest.raises(Exception, match="not ASCII"):
+        one(spark, text.base64_ascii(F.lit("\u00e9")).alias("s"))

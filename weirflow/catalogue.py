@@ -1120,3 +1120,13 @@ def _(events):
     rows = merged(events).where("start is not null").select("user_id", at("start"), at("end"))
     held = state_formats.states_of(rows, ["user_id"], "ts", "millis", sequential=True)
     return held.select("user_id", (F.get_json_object("state", "$.ts").cast("long") / 1000).cast("long").alias("low"))
+
+
+@query(
+    "n_hash_nested",
+    """SELECT o_orderkey, sha256('seed[(' || q || 'list' || q || ', ' || q || sha256('seed[' || q || sha256('seed' || o_orderstatus) || q || ', ' || q || sha256('seedNone') || q || ']') || q || '), (' || q || 'n' || q || ', ' || q || sha256('seed' || o_custkey) || q || ')]') AS hash FROM (SELECT *, chr(39) AS q FROM orders)""",
+    "orders",
+)
+def _(orders):
+    rows = orders.select("o_orderkey", F.struct(F.col("o_custkey").alias("n"), F.array("o_orderstatus", F.lit(None).cast("string")).alias("list")).alias("v"))
+    return rows.select("o_orderkey", text.one_way_hash_of(F.col("v"), rows.schema["v"].dataType, "seed").alias("hash"))

@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def digest(value: Column, method: str = "md5", salt: str = "") -> Column:
@@ -36,6 +37,41 @@ def one_way_hash(value: Column, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(seed), value.cast("string")), 256)
 
 
+def quoted(text: Column) -> Column:
+    """Text as a literal in quotes: single ones, double where it holds single ones and no double ones."""
+    inner = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    single, double = text.contains("'"), text.contains('"')
+    return F.when(single & ~double, F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def one_way_hash_of(value: Column, kind: T.DataType, seed: str) -> Column:
+    """A hash of any value: of a struct or map that of its sorted names and the hashes of their values, of a list that of its elements' hashes.
+
+    A null is hashed as ``None``, truth as ``True`` and ``False``. A struct's fields are all there, null or not.
+    """
+    hashed = lambda text: F.sha2(F.concat(F.lit(seed), text), 256)
+    none = hashed(F.lit("None"))
+    pair = lambda k, h: F.concat(F.lit("("), k, F.lit(", '"), h, F.lit("')"))
+    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    if isinstance(kind, T.StructType):
+        names = sorted(kind.fieldNames())
+        pairs = F.array(*(pair(quoted(F.lit(n)), one_way_hash_of(value.getField(n), kind[n].dataType, seed)) for n in names))
+        return F.when(value.isNull(), none).otherwise(hashed(listed(pairs)))
+    if isinstance(kind, T.MapType):
+        held = F.array_sort(F.map_entries(F.transform_values(value, lambda k, v: one_way_hash_of(v, kind.valueType, seed))))
+        return F.when(value.isNull(), none).otherwise(hashed(listed(F.transform(held, lambda e: pair(quoted(e["key"]), e["value"])))))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: F.concat(F.lit("'"), one_way_hash_of(x, kind.elementType, seed), F.lit("'")))
+        return F.when(value.isNull(), none).otherwise(hashed(listed(items)))
+    text = F.initcap(value.cast("string")) if isinstance(kind, T.BooleanType) else value.cast("string")
+    return hashed(F.coalesce(text, F.lit("None")))
+
+
+def base64_ascii(value: Column) -> Column:
+    """Base64 of ASCII text; other text fails."""
+    return F.when(value.rlike(r"^\p{ASCII}*$"), F.base64(value.cast("binary"))).when(value.isNotNull(), F.raise_error(F.concat(F.lit("not ASCII: "), value)).cast("string"))
+
+
 def base64_encode(value: Column) -> Column:
     return F.base64(value.cast("binary"))
 
