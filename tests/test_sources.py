@@ -130,6 +130,10 @@ def test_requests_carry_options_and_errors_have_rules(spark):
     assert got == [{"method": "POST", "token": "Bearer secret", "tag": "t", "query": {"v": "2", "shop": "a"}, "body": {"range": {"to": "z", "from": "d1"}}}]
     days = read(records="days", pagination="offset", page_size="2", stop_field="day", stop_before="2024-01-17")
     assert [d["day"][-2:] for d in days] == ["20", "19", "18", "17", "16", "15"]
+    days = read(records="days", pagination="offset", page_size="2", stop_field="day", stop_before="2024-01-17", drop_passed="true")
+    assert [d["day"][-2:] for d in days] == ["20", "19", "18", "17"]
+    names = {"url": f"http://127.0.0.1:{server.server_port}/x", "records": "days", "page_size": "2", "stop_field": "day", "stop_before": "2024-01-17", "pagination": "offset"}
+    assert http.property_names(names, "day", ["2024-01-19", "2024-01-15"]) == ["2024-01-19", "2024-01-15"] and len(http.property_names(names, "day")) == 6
     for bad, what in (({"slices": '[{"shop":"gone"}]'}, "404"), ({"slices": '[{"v":1}]', "params": '{"v":2}'}, "twice")):
         with pytest.raises(Exception, match=what):
             read(**bad)
@@ -164,3 +168,19 @@ def test_merge_into_keeps_values_without_a_time_and_goes_on(spark, tmp_path):
         stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in{turn}")
         cursors.merge_into(stream, f"{tmp_path}/out", ["k"], f"{tmp_path}/cp{turn}", "at").awaitTermination()
     assert {tuple(r) for r in spark.read.schema(kind).parquet(f"{tmp_path}/out/v=1").collect()} == {(1, "a", None), (2, "b", 5), (3, "c", None)}
+
+
+def test_records_and_errors_of_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"n": 1}\n{"n": 2}\n')
+    (tmp_path / "b.jsonl").write_text('{"n": 3}\nbroken\n{"n": 4}\n')
+    (tmp_path / "c.jsonl").write_text('{"n": 9}')
+    raw = spark.read.format("binaryFile").load(f"{tmp_path}/*.jsonl")
+    parse = lambda content: (json.loads(line) for line in content.decode().splitlines())
+    rows = files.parsed_files(raw, parse, "n int", str(tmp_path / "parsed"))
+    good, bad = files.records_of(rows), files.errors_of(rows)
+    assert sorted((r[files.URL][-7:], r.n) for r in good.collect()) == [("a.jsonl", 1), ("a.jsonl", 2), ("b.jsonl", 3), ("c.jsonl", 9)]
+    (error,) = bad.collect()
+    assert error.path.endswith("b.jsonl") and error.position == 1 and "JSONDecodeError" in error.error
+    with pytest.raises(ValueError, match="1 of 3 files"):
+        files.fail_on_errors(rows, raw)
+    files.fail_on_errors(files.parsed_files(raw.where("path not like '%b.jsonl'"), parse, "n int", str(tmp_path / "fine")), raw)

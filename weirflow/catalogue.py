@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -1130,3 +1131,21 @@ def _(events):
 def _(orders):
     rows = orders.select("o_orderkey", F.struct(F.col("o_custkey").alias("n"), F.array("o_orderstatus", F.lit(None).cast("string")).alias("list")).alias("v"))
     return rows.select("o_orderkey", text.one_way_hash_of(F.col("v"), rows.schema["v"].dataType, "seed").alias("hash"))
+
+
+@query(
+    "s_file_errors",
+    """SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE conv_id % 5 <> 0 OR r <= 2""",
+    "conversations",
+)
+def _(conversations):
+    spark = conversations.sparkSession
+    # a file a conversation, of a line a turn; in every fifth the third line is broken, which costs the rest of that file alone
+    line = F.to_json(F.struct("conv_id", "turn"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = conversations.withColumn("r", at).withColumn("line", F.when((F.col("conv_id") % 5 == 0) & (F.col("r") > 2), F.lit("{broken")).otherwise(line))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x.line), "\n")
+    raw = rows.groupBy("conv_id").agg(F.encode(body, "utf-8").alias("content")).select(F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), "content")
+    parsed = files.parsed_files(raw, lambda content: (json.loads(x) for x in content.decode().splitlines()), "conv_id long, turn long", scratch.folder(spark, "parsed"))
+    kinds = conversations.schema
+    return files.records_of(parsed).select(*(F.col(c).cast(kinds[c].dataType).alias(c) for c in ("conv_id", "turn")))

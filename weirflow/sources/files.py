@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weirflow.operators.filters import merged_schema
 from weirflow.operators.state import inferred_type
@@ -137,3 +141,51 @@ def read_documents(spark: SparkSession, path: str, skip_unknown: bool = True) ->
     if not skip_unknown:
         content = content.otherwise(F.raise_error(error).cast("string"))
     return raw.select(F.col("path").alias("document_key"), content.alias("content"), F.when(~known, error).alias("parse_error"))
+
+
+def parsed_files(raw: DataFrame, parse: Callable[[bytes], Iterable[dict]], schema: str, table: str) -> DataFrame:
+    """The records that ``parse`` makes of files (path, content), and what went wrong, in one pass kept as ``table``.
+
+    A row is a record (``record``, with its ``position`` in the file) or a file's error (``error``, at the
+    position where it stopped): one file that can't be read costs its own rest, not the job. See ``records_of`` and ``errors_of``.
+    """
+    kind = T.StructType([T.StructField("path", T.StringType()), T.StructField("position", T.LongType()), T.StructField("record", T.StructType.fromDDL(schema)), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows, at = [], 0
+                try:
+                    for record in parse(content.as_py()):
+                        rows.append({"path": path, "position": at, "record": record})
+                        at += 1
+                        if len(rows) == 1_000:
+                            yield pa.RecordBatch.from_pylist(rows, arrow)
+                            rows = []
+                except Exception as e:  # of any parser; it is a row of the result
+                    rows.append({"path": path, "position": at, "error": f"{type(e).__name__}: {e}"})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    raw.select("path", "content").mapInArrow(run, kind).write.parquet(table)
+    return raw.sparkSession.read.schema(kind).parquet(table)
+
+
+def records_of(parsed: DataFrame) -> DataFrame:
+    """The records of ``parsed_files`` with their file's url."""
+    return parsed.where("error is null").select("record.*", F.col("path").alias(URL))
+
+
+def errors_of(parsed: DataFrame) -> DataFrame:
+    """``path``, ``position`` and ``error`` of the files of ``parsed_files`` that couldn't be read to their ends."""
+    return parsed.where("error is not null").select("path", "position", "error")
+
+
+def fail_on_errors(parsed: DataFrame, raw: DataFrame) -> None:
+    """Fails, after everything was read, if any file had an error, with the first few of them."""
+    bad = errors_of(parsed)
+    count = bad.count()
+    if count:
+        some = "; ".join(f"{r.path} at {r.position}: {r.error}" for r in bad.orderBy("path").limit(5).collect())
+        raise ValueError(f"{count} of {raw.count()} files couldn't be read: {some}")

@@ -12,7 +12,8 @@ What: ``records``, a dotted path to the list of records (``*`` takes every item
 next page's url, also relative; without it the response's ``Link`` header says it);
 ``more_path``, where a response says whether there are more pages.
 ``stop_field`` and ``stop_before`` end a slice, whose newest records come first, after
-the first page that has only records before that value; they don't filter.
+the first page that has only records before that value; with ``drop_passed`` those records, which were read
+before, are left out once the page was judged.
 
 Errors: ``retries`` and ``backoff`` for rate limits, server errors and broken connections,
 and for statuses in the list ``retry``; a status in the list ``ignore`` ends its slice; others fail.
@@ -153,6 +154,13 @@ class PagedReader(DataSourceReader):
         field, before = self.o.get("stop_field"), self.o.get("stop_before")
         return bool(field and before and found) and all(comes_before(at_path(r, field), before) for r in found)
 
+    def kept(self, found: list) -> list:
+        """A page's records without those before the stop, if they are to be dropped; one without a cursor stays."""
+        field, before = self.o.get("stop_field"), self.o.get("stop_before")
+        if not (field and before and str(self.o.get("drop_passed", "")).lower() == "true"):
+            return found
+        return [r for r in found if (at := at_path(r, field)) is None or not comes_before(at, before)]
+
     def first(self) -> object:
         """The token of a slice's first page."""
         return int(self.o["first_page"]) if self.o["pagination"] in ("offset", "page") else None
@@ -184,7 +192,7 @@ class PagedReader(DataSourceReader):
         token = self.first()
         while True:
             found, token = self.page(partition.fields, token)
-            for record in found:
+            for record in self.kept(found):
                 yield json.dumps(partition.fields), json.dumps(record)
             if token is None:
                 return
@@ -204,3 +212,10 @@ class PagedHttp(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedHttp)
+
+
+def property_names(options: dict, name: str = "name", wanted: list[str] | None = None) -> list[str]:
+    """The names of the properties that an endpoint lists (each once, in order), of ``wanted`` alone if given; a list of names, as long as a schema."""
+    reader = PagedReader(options)
+    found = [at_path(json.loads(record), name) for part in reader.partitions() for _, record in reader.read(part)]
+    return [n for n in dict.fromkeys(found) if n is not None and (wanted is None or n in wanted)]

@@ -61,7 +61,7 @@ class Walk:
                     raise
                 self.start_over()
                 continue
-            yield found
+            yield self.reader.kept(found)
             self.state["seen"] += len(found)
             for cursor in (at_path(r, field) for r in found) if field else ():
                 latest = self.state["latest"]
