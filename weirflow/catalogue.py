@@ -887,7 +887,7 @@ def _(orders):
 
 @query(
     "p_keys_scripts",
-    "SELECT p_partkey AS part_key, p_name AS grosse, p_brand AS zh, p_size AS u65e5_u672c, p_type AS onoma_2, {'ka_ta': p_size} AS cafe FROM part",
+    "SELECT p_partkey AS part_key, p_name AS grosse, p_brand AS zh, p_size AS u_26085_u_26412, p_type AS onoma_2, p_size AS ka_ta FROM part",
     "part",
 )
 def _(part):
@@ -895,7 +895,7 @@ def _(part):
     named = part.select(
         F.col("p_partkey").alias("PartKey"), F.col("p_name").alias("Gr\u00f6\u00dfe"), F.col("p_brand").alias("\u0416"), F.col("p_size").alias("\u65e5-\u672c"), F.col("p_type").alias("\u038c\u03bd\u03bf\u03bc\u03b12"), inner.alias("Caf\u00e9")
     )
-    return records.keys_to_snake(named)
+    return records.keys_to_snake(named).select("part_key", "grosse", "zh", "u_26085_u_26412", "onoma_2", F.col("cafe.ka_ta").alias("ka_ta"))
 
 
 def synced(events: DataFrame, lookback: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -985,9 +985,9 @@ def _(orders):
 
 @query(
     "a_schema_lattice",
-    """SELECT event_type AS kind, 'props.k' AS path, list_sort(list(DISTINCT CASE WHEN user_id % 5 = 0 THEN 'string' WHEN k IS NULL THEN 'null' ELSE 'number' END)) AS kinds
+    """SELECT event_type AS kind, 'props.k' AS path, array_to_string(list_sort(list(DISTINCT CASE WHEN user_id % 5 = 0 THEN 'string' WHEN k IS NULL THEN 'null' ELSE 'number' END)), ',') AS kinds
     FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) WHERE json_exists(props, '$.k') GROUP BY event_type
-    UNION ALL SELECT event_type, 'list[]', list_sort(list(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'number' END)) FROM events GROUP BY event_type""",
+    UNION ALL SELECT event_type, 'list[]', array_to_string(list_sort(list(DISTINCT CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'number' END)), ',') FROM events GROUP BY event_type""",
     "events",
 )
 def _(events):
@@ -997,7 +997,7 @@ def _(events):
     inner = F.when(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").isNotNull(), F.concat(F.lit('{"k":'), shown, F.lit("}"))).otherwise(F.lit("{}"))
     body = F.concat(F.lit('{"props":'), inner, F.lit(',"list":['), element, F.lit("]}"))
     found = schemas.places(events.select(F.col("event_type").alias("kind"), body.alias("body")), "body", ["kind"])
-    return found.where("path in ('props.k', 'list[]')")
+    return found.where("path in ('props.k', 'list[]')").withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query(
@@ -1028,14 +1028,14 @@ def _(events):
 
 @query(
     "p_flatten_lists",
-    """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS "tags.0", o_orderstatus AS "tags.1", CASE WHEN o_orderkey % 3 <> 0 THEN 'q' END AS "rows.0.a" FROM orders""",
+    """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS tag_0, o_orderstatus AS tag_1, CASE WHEN o_orderkey % 3 <> 0 THEN 'q' END AS first_a FROM orders""",
     "orders",
 )
 def _(orders):
     rows = F.when(F.col("o_orderkey") % 3 != 0, F.array(F.struct(F.lit("q").alias("a")))).otherwise(F.array().cast("array<struct<a: string>>"))
     body = F.to_json(F.struct(F.struct(F.col("o_custkey").alias("id")).alias("head"), rows.alias("rows"), F.array("o_orderpriority", "o_orderstatus").alias("tags")))
     out = merging.flat_columns(orders.select("o_orderkey", body.alias("body")), "body", keep=["o_orderkey"])
-    return out.select("o_orderkey", F.col("`head.id`").alias("id"), "`tags.0`", "`tags.1`", "`rows.0.a`")
+    return out.select("o_orderkey", F.col("`head.id`").alias("id"), F.col("`tags.0`").alias("tag_0"), F.col("`tags.1`").alias("tag_1"), F.col("`rows.0.a`").alias("first_a"))
 
 
 @query(

@@ -130,7 +130,7 @@ def latin(sign: str) -> str:
     if sign.isdigit():
         return str(unicodedata.digit(sign))
     if not found:
-        return f"u{ord(sign):x}"
+        return f"u{ord(sign)}"
     rest = re.sub(" (WITH|PRECEDED) .*", "", found["rest"])
     tables = {"GREEK": GREEK, "CYRILLIC": CYRILLIC, "LATIN": LATIN}
     out = tables.get(found["script"], {}).get(rest, re.sub("[^A-Z0-9]", "", rest).lower())
