@@ -184,3 +184,18 @@ def test_records_and_errors_of_files(spark, tmp_path):
     with pytest.raises(ValueError, match="1 of 3 files"):
         files.fail_on_errors(rows, raw)
     files.fail_on_errors(files.parsed_files(raw.where("path not like '%b.jsonl'"), parse, "n int", str(tmp_path / "fine")), raw)
+
+
+def test_merge_into_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    kind = "k int, v string, at int"
+    batches = [[(i, "a", 1) for i in range(40)], [(7, "b", 2)], [(7, "old", 1), (8, "c", 3)], [(7, "d", 4)], [(None, "n", 1)]]
+    for turn, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/in{turn}")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in{turn}")
+        cursors.merge_into(stream, f"{tmp_path}/out", ["k"], f"{tmp_path}/cp{turn}", "at", buckets=8).awaitTermination()
+        if turn == 1:
+            assert len(cursors.buckets_of(spark, f"{tmp_path}/out")) == 8 and sum(len(v) for v in cursors.buckets_of(spark, f"{tmp_path}/out").values()) == 9
+    want = {i: "a" for i in range(40)} | {7: "d", 8: "c", None: "n"}
+    assert {r.k: r.v for r in cursors.newest(spark, f"{tmp_path}/out", kind).collect()} == want
+    assert all(len(v) <= 2 for v in cursors.buckets_of(spark, f"{tmp_path}/out").values())
+    assert cursors.newest(spark, f"{tmp_path}/none", kind).collect() == []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.functions import dates, http, text, values
-from weirflow.operators import chunking, filters, joins, loading, merging, paths, records, schemas, state, state_formats
+from weirflow.operators import chunking, filters, joins, loading, merging, paths, records, schemas, state, state_formats, validation
 from weirflow.plans import delegating, incremental, rates, slices
 from weirflow.sources import avro, decoders, excel, files, index, json_items, scratch, transfer
 from weirflow.streaming import partitions
@@ -1149,3 +1149,17 @@ def _(conversations):
     parsed = files.parsed_files(raw, lambda content: (json.loads(x) for x in content.decode().splitlines()), "conv_id long, turn long", scratch.folder(spark, "parsed"))
     kinds = conversations.schema
     return files.records_of(parsed).select(*(F.col(c).cast(kinds[c].dataType).alias(c) for c in ("conv_id", "turn")))
+
+
+@query(
+    "f_conformance_nested",
+    """SELECT event_id, (CASE WHEN value < 0 THEN 1 ELSE 0 END + CASE WHEN event_type IN ('purchase', 'click') THEN 0 ELSE 1 END + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::INTEGER AS wrong FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL""",
+    "events",
+)
+def _(events):
+    fields = {"amount": {"type": "number", "minimum": 0}, "kind": {"enum": ["purchase", "click"]}, "list": {"type": "array", "items": {"type": "object", "required": ["k"]}}}
+    items = F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.lit(1).alias("k"), F.lit(1).alias("j")), F.struct(F.lit(None).cast("int").alias("k"), F.lit(2).alias("j"))))
+    body = F.to_json(F.struct(F.struct(F.col("value").alias("amount"), F.col("event_type").alias("kind"), F.coalesce(items, F.array().cast("array<struct<k: int, j: int>>")).alias("list")).alias("inner")))
+    rows = events.where("value is not null and event_type is not null").select("event_id", body.alias("body"))
+    found = validation.validated(rows, "body", {"type": "object", "properties": {"inner": {"properties": fields}}})
+    return found.select("event_id", F.size("violations").alias("wrong"))

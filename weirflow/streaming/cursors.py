@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -36,26 +37,70 @@ def versions(spark: SparkSession, table: str) -> list[int]:
     return sorted(v for v in found if whole(v))
 
 
-def merge_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str, latest: str) -> StreamingQuery:
+#: The number of the one bucket of a table that isn't cut, which lies in its version's folder itself.
+UNCUT = -1
+
+
+def bucket_path(table: str, version: int, bucket: int) -> str:
+    return f"{table}/v={version}" if bucket == UNCUT else f"{table}/v={version}/bucket={bucket}"
+
+
+def buckets_of(spark: SparkSession, table: str) -> dict[int, list[int]]:
+    """The whole versions that hold each bucket of a table, oldest first."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for v in versions(spark, table):
+        names = [status.getPath().getName() for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}"))]
+        for b in [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")] or [UNCUT]:
+            out.setdefault(b, []).append(v)
+    return out
+
+
+def newest(spark: SparkSession, table: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a table that ``merge_into`` writes: of each bucket those of its newest version."""
+    held = buckets_of(spark, table)
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    paths = [bucket_path(table, v[-1], b) for b, v in sorted(held.items())]
+    return spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
+
+
+def merge_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str, latest: str, buckets: int = 1) -> StreamingQuery:
     """Upserts every batch into a Parquet table by key, the row with the largest ``latest`` of a key, nulls least; a repeated batch changes nothing.
 
-    Versions are written side by side, ``table/v=<number>``; the newest whole one is the table.
-    A new checkpoint goes on from what the table holds; a version two back is removed.
+    Rows lie in ``buckets`` by a hash of their key, and a batch rewrites only those it touches, as a new version
+    ``table/v=<number>/bucket=<number>`` (a single bucket lies in ``table/v=<number>``); ``newest`` reads the table. A bucket's version two back is removed, so a
+    reader that has begun can end. A new checkpoint goes on from what the table holds. The number of buckets stays that of the first batch.
     """
+    order, place = F.struct(F.col(latest).isNotNull(), latest), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        found = versions(spark, table)
-        rows = batch
-        if found:
-            rows = spark.read.schema(batch.schema).parquet(f"{table}/v={found[-1]}").unionByName(batch)
+        spark, fresh = batch.sparkSession, batch.withColumn("bucket", place)
+        cut = buckets > 1
+        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect()) if cut else [UNCUT]  # ``buckets`` at most
+        if not touched:
+            return
+        held = buckets_of(spark, table)
+        old = [bucket_path(table, held[b][-1], b) for b in touched if b in held]
+        rows = spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", place).unionByName(fresh) if old else fresh
         rest = F.struct(*(c for c in batch.columns if c not in keys))
-        order = F.struct(F.col(latest).isNotNull(), latest)
-        rows = rows.groupBy(*keys).agg(F.max_by(rest, order).alias("r")).select(*keys, "r.*").select(*batch.columns)
-        rows.write.mode("overwrite").parquet(f"{table}/v={found[-1] + 1 if found else 0}")
-        for old in found[:-1]:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v={old}")
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        merged = rows.groupBy("bucket", *keys).agg(F.max_by(rest, order).alias("r")).select("bucket", *keys, "r.*").select("bucket", *batch.columns)
+        whole = versions(spark, table)
+        target = f"{table}/v={whole[-1] + 1 if whole else 0}"
+        if cut:
+            merged.write.partitionBy("bucket").mode("overwrite").parquet(target)
+        else:
+            merged.drop("bucket").write.mode("overwrite").parquet(target)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for b in touched:
+            for v in held.get(b, [])[:-1]:
+                held[b].remove(v)
+                gone = jvm.org.apache.hadoop.fs.Path(bucket_path(table, v, b))
+                gone.getFileSystem(conf).delete(gone, True)
+        for v in whole[:-1]:
+            if not any(v in vs for vs in held.values()):
+                gone = jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}")
+                gone.getFileSystem(conf).delete(gone, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
