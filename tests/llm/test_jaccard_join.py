@@ -88,7 +88,7 @@ def test_order_and_blocks_change_nothing(spark, corpus, options):
 def test_other_lengths_and_thresholds(spark, corpus):
     rows = [(d, t) for d, t in corpus if t and len(t) < 5_000]
     for percent in (60, 100):
-        assert got(table(spark, rows), percent=percent) == brute(rows, percent)
+        assert got(table(spark, rows), percent=percent, block=20_000) == brute(rows, percent)
 
 
 def test_nothing_to_link(spark):

@@ -213,7 +213,7 @@ def dealt(members: DataFrame, percent: int, block: int) -> DataFrame:
     if hot.isEmpty():
         return members.withColumns({"i": one, "j": one, "own": one})
     plain = members.join(hot, "token", "left_anti").withColumns({"i": one, "j": one, "own": one})
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))).cast("long")  # similar sets lie in bands next to each other
+    band = F.floor(F.log(F.col("size").cast("double")) / signature_tree.band_width(percent)).cast("long")
     rows = members.join(hot, "token").withColumn("band", band)
     by_root = rows.groupBy("token", "band", "root").agg(F.sum(heavy).alias("bytes"))
     shares = by_root.withColumn("k", F.ceil(F.col("bytes") / block))

@@ -69,9 +69,14 @@ def parent(a: Node, b: Node) -> Node:
     return Node(nothing, nothing, nothing, nothing, folded(a.union, words) | folded(b.union, words), min(a.least, b.least), max(a.most, b.most), max(a.excess, b.excess) + lost, a.root if a.root == b.root else None, (a, b))
 
 
+def band_width(percent: int) -> float:
+    """The width, as a logarithm, of bands of sizes in which similar sets lie next to each other at most."""
+    return float(np.log(100 / min(percent, 99)))
+
+
 def tree(sizes: np.ndarray, roots: np.ndarray, maps: list[np.ndarray], percent: int) -> Node:
     """A tree over sets of about one size and component next to each other; ``maps`` holds their bitmaps."""
-    band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent))
+    band = np.floor(np.log(np.maximum(sizes, 1)) / band_width(percent))
     order = np.lexsort((sizes, roots, band))
     nodes = [leaf(order[at : at + LEAF], sizes, roots, maps) for at in range(0, len(order), LEAF)]
     while len(nodes) > 1:
