@@ -107,3 +107,20 @@ def test_tables_are_removed_when_asked(spark, tmp_path):
     assert place.exists()
     storage.discard(spark)
     assert not place.exists()
+
+
+def test_stages_leave_only_the_tables_of_the_last(spark, tmp_path):
+    from weirflow.llm import storage
+
+    kind = "doc_id long, text string, source string"
+    docs = spark.createDataFrame([(i, f"w{i} b c d e f g", "s") for i in range(5)], kind)
+    before = set(storage.made(spark))
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["exact_dedup"](spark, docs, SF)
+    own = set(storage.made(spark)) - before
+    second = stages["near_copies"](spark, first, SF)  # reads the tables of the first, which therefore stay
+    assert sorted(r.doc_id for r in second.collect()) == list(range(5)) and own
+    second.write.parquet(f"{tmp_path}/second")
+    third = stages["exact_dedup"](spark, spark.read.parquet(f"{tmp_path}/second"), SF)
+    assert len(set(storage.made(spark)) - before) < 8  # what the join wrote is gone
+    assert sorted(r.doc_id for r in third.collect()) == list(range(5))

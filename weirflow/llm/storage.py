@@ -36,6 +36,24 @@ def discard(spark: SparkSession) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this application has made here and not discarded."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def discard_some(spark: SparkSession, folders: list[str], read: DataFrame) -> None:
+    """Removes ``folders``, but for those that ``read`` still reads."""
+    files = read.inputFiles()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    names = {f.rstrip("/").rsplit("/", 1)[-1]: f for f in folders}
+    used = {part for f in files for part in f.split("/")}
+    for name, path in names.items():
+        if name not in used:
+            _made[spark.sparkContext.applicationId].remove(path)
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
