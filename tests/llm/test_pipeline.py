@@ -122,5 +122,5 @@ def test_stages_leave_only_the_tables_of_the_last(spark, tmp_path):
     assert sorted(r.doc_id for r in second.collect()) == list(range(5)) and own
     second.write.parquet(f"{tmp_path}/second")
     third = stages["exact_dedup"](spark, spark.read.parquet(f"{tmp_path}/second"), SF)
-    assert len(set(storage.made(spark)) - before) < 8  # what the join wrote is gone
+    assert not [f for f in set(storage.made(spark)) - before if "/jaccard" in f]
     assert sorted(r.doc_id for r in third.collect()) == list(range(5))

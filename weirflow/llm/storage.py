@@ -41,8 +41,8 @@ def made(spark: SparkSession) -> list[str]:
     return list(_made.get(spark.sparkContext.applicationId, []))
 
 
-def discard_some(spark: SparkSession, folders: list[str], read: DataFrame) -> None:
-    """Removes ``folders``, but for those that ``read`` still reads."""
+def discard_some(spark: SparkSession, folders: list[str], read: DataFrame) -> list[str]:
+    """Removes ``folders``, but for those that ``read`` still reads, which it returns."""
     files = read.inputFiles()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     names = {f.rstrip("/").rsplit("/", 1)[-1]: f for f in folders}
@@ -52,6 +52,7 @@ def discard_some(spark: SparkSession, folders: list[str], read: DataFrame) -> No
             _made[spark.sparkContext.applicationId].remove(path)
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
+    return [path for name, path in names.items() if name in used]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
