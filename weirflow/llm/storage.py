@@ -49,7 +49,8 @@ def discard_some(spark: SparkSession, folders: list[str], read: DataFrame) -> li
     used = {part for f in files for part in f.split("/")}
     for name, path in names.items():
         if name not in used:
-            _made[spark.sparkContext.applicationId].remove(path)
+            if path in (held := _made.get(spark.sparkContext.applicationId, [])):
+                held.remove(path)
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
     return [path for name, path in names.items() if name in used]
