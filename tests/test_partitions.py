@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 
 from weirflow.streaming import partitions
@@ -115,3 +116,45 @@ def test_null_cursors_repeats_and_unknown_closes(spark, tmp_path):
     odd = read("a", [None, 3]) + read("a", [9]) + [{**read("ghost", [])[1], "kind": "close"}] + [{**read("late", [5])[1]}]
     got = run(spark, str(tmp_path), [rows(odd, "s")])
     assert got["s", 1]["states"] == [{"partition": "a", "cursor": 9}]
+
+
+def test_many_closed_slices_behind_an_open_one_cost_and_keep_little():
+    n = 40_000
+    held = partitions.Cursors(json.loads(json.dumps(partitions.EMPTY)), {}, partitions.CAP, partitions.SWITCH)
+    started = time.perf_counter()
+    for s in range(n):
+        held.open("p", s, s == n - 1, None)
+        held.record("p", s, (s * 7) % n)
+        if s % 1000:
+            held.close("p", s)
+    assert time.perf_counter() - started < 20  # a search of all closed slices at each close took minutes
+    entry = held.partitions["p"]
+    assert entry["cursor"] is None and len(entry["ahead"]) == len(entry["open"]) == n // 1000 and entry["late"] is None
+    held.close("p", 0)
+    assert entry["cursor"] == max(s * 7 % n for s in range(1000)) and held.partitions["p"]["seq"] is not None
+    for s in range(n - 1000, 0, -1000):
+        held.close("p", s)
+    assert entry["cursor"] == n - 1 and entry["seq"] is None and not entry["ahead"]
+
+
+def test_a_state_with_a_cursor_for_each_closed_slice_is_read():
+    entry = {"made": 0, "cursor": 3, "seq": 0, "open": [4, 1], "ahead": {"1": 5, "2": 9, "3": 7, "5": 11}, "finished": True}
+    held = partitions.Cursors(json.loads(json.dumps(partitions.EMPTY)) | {"created": 1, "opened": 1}, {"p": entry}, 10, 10)
+    assert entry["ahead"] == {1: 9, 4: 11}
+    held.close("p", 1)
+    assert entry["cursor"] == 9
+    held.close("p", 4)
+    assert entry["cursor"] == 11 and entry["seq"] is None
+
+
+def test_a_slice_that_opens_late_never_lets_more_count():
+    held = partitions.Cursors(json.loads(json.dumps(partitions.EMPTY)), {}, 10, 10)
+    for s in (1, 5):
+        held.open("p", s, False, None)
+        held.record("p", s, s)
+    held.close("p", 5)
+    held.open("p", 3, False, None)
+    held.close("p", 1)
+    assert held.partitions["p"]["cursor"] is None
+    held.close("p", 3)
+    assert held.partitions["p"]["cursor"] == 5

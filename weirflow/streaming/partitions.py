@@ -6,18 +6,22 @@ closed without a gap before them, and the parent's state is that before the olde
 
 Events arrive as rows, in order of ``n``: ``open`` of a slice (with the parent's state at that
 moment, and whether it is the partition's last), ``record`` (with a cursor), ``close`` of a
-slice, and ``end`` of a read. State is keyed by stream: one entry a partition, ``cap`` of them at most, so it is bounded
-whatever the number of records. At the cap the oldest finished partition goes, or else the
+slice, and ``end`` of a read. Slices of a partition open in rising order; of one that opens below a closed one the cursor
+waits longer, never less. State is keyed by stream: one entry a partition, ``cap`` of them at most, with a number for each of its
+slices that are open, so it is bounded whatever the number of records and closed slices. At the cap the oldest finished partition goes, or else the
 oldest; a stream with more than ``switch`` partitions gives up cursors by partition for one global cursor, from
 which partitions without an entry start.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Partitions that are kept, and beyond which a stream has one cursor.
 CAP, SWITCH = 25_000, 10_000
+#: Kinds of events, and how many events are Python values at a time.
+KINDS, BLOCK = ("open", "record", "close", "end"), 100_000
 #: What a stream of events has besides its own name.
 EVENTS = "stream string, n long, kind string, partition string, slice long, last boolean, cursor long, parent string"
 STATE = "stream string, version long, state string"
@@ -38,12 +44,52 @@ def larger(a: int | None, b: int | None) -> int | None:
 
 
 class Cursors:
-    """One stream's state. ``partitions`` holds entries in the order they were made; ``touched`` those to write."""
+    """One stream's state. ``partitions`` holds entries in the order they were made; ``touched`` those to write.
+
+    An entry's ``open`` slices are sorted, and ``ahead`` has for each the largest cursor seen in it and in the closed
+    slices between it and the next open one: all that waits for it to close. ``late`` came after the slices it belongs to;
+    ``top`` is the last slice with a cursor.
+    """
 
     def __init__(self, whole: dict, partitions: dict[str, dict], cap: int, switch: int) -> None:
         self.whole, self.partitions, self.cap, self.switch = whole, partitions, cap, switch
         self.touched: set[str] = set()
         self.gone: set[str] = set()
+        self.live = [(e["seq"], p) for p, e in partitions.items() if e["seq"] is not None]
+        heapq.heapify(self.live)
+        for entry in partitions.values():
+            self.settle(entry)
+
+    @staticmethod
+    def settle(entry: dict) -> None:
+        """Brings an entry, also one written with a cursor for each closed slice, into the form that is kept here."""
+        entry |= {"late": entry.get("late"), "top": entry.get("top", -1)}
+        entry["open"] = sorted(entry["open"])
+        seen, entry["ahead"] = entry["ahead"], {}
+        for number, cursor in seen.items():
+            Cursors.wait(entry, int(number), cursor)
+
+    @staticmethod
+    def wait(entry: dict, number: int, cursor: int | None) -> None:
+        """A cursor of a slice waits with the last open one up to it."""
+        if cursor is None:
+            return
+        entry["top"] = max(entry["top"], number)
+        at = bisect_left(entry["open"], number + 1)
+        if at:
+            before = entry["open"][at - 1]
+            entry["ahead"][before] = larger(entry["ahead"].get(before), cursor)
+        else:
+            entry["late"] = larger(entry["late"], cursor)
+
+    def oldest(self) -> int | None:
+        """The number of the oldest partition that is open."""
+        while self.live:
+            seq, name = self.live[0]
+            if name in self.partitions and self.partitions[name]["seq"] == seq:
+                return seq
+            heapq.heappop(self.live)
+        return None
 
     def room(self) -> None:
         """Makes room for one more partition: the oldest that is read to its end goes, else the oldest."""
@@ -62,15 +108,24 @@ class Cursors:
             if entry is None:
                 entry = {"made": self.whole["created"], "cursor": self.whole["global"]}
                 self.whole["created"] += 1
-            entry |= {"seq": self.whole["opened"], "open": [], "ahead": {}, "before": None, "finished": False}
+            entry |= {"seq": self.whole["opened"], "open": [], "ahead": {}, "late": None, "top": -1, "finished": False}
             parents = self.whole["parents"]
             if parent is not None and (not parents or parents[-1][1] != parent):
                 parents.append([self.whole["opened"], parent])
+            heapq.heappush(self.live, (self.whole["opened"], name))
             self.whole["opened"] += 1
             self.partitions[name] = entry
             self.gone.discard(name)
         if not entry["finished"]:  # a partition that comes twice is read once
-            entry["open"].append(number)
+            held, waiting = entry["open"], None
+            if number < entry["top"]:  # what is closed above it waits for it too
+                at = bisect_left(held, number)
+                if at:
+                    waiting = entry["ahead"].pop(held[at - 1], None)
+                else:
+                    waiting, entry["late"] = entry["late"], None
+            insort(held, number)
+            self.wait(entry, number, waiting)
             entry["finished"] = last
         self.touched.add(name)
 
@@ -81,23 +136,27 @@ class Cursors:
         self.whole["next_global"] = larger(self.whole["next_global"], cursor)
         entry = self.partitions.get(name)
         if entry is not None and entry["seq"] is not None:
-            entry["ahead"][str(number)] = larger(entry["ahead"].get(str(number)), cursor)
+            self.wait(entry, number, cursor)
             self.touched.add(name)
 
     def close(self, name: str, number: int) -> None:
         entry = self.partitions.get(name)
-        if entry is None or entry["seq"] is None or number not in entry["open"]:
+        if entry is None or entry["seq"] is None:
+            return
+        held = entry["open"]
+        at = bisect_left(held, number)
+        if at == len(held) or held[at] != number:
             return
-        entry["open"].remove(number)
-        low = min(entry["open"], default=None)  # slices before it are closed without a gap
-        for k in [k for k in entry["ahead"] if low is None or int(k) < low]:
-            entry["cursor"] = larger(entry["cursor"], entry["ahead"].pop(k))
-        if entry["finished"] and not entry["open"]:
+        again = at + 1 < len(held) and held[at + 1] == number  # opened more than once
+        del held[at]
+        if not again:
+            self.wait(entry, number, entry["ahead"].pop(number, None))
+        entry["cursor"], entry["late"] = larger(entry["cursor"], entry["late"]) if entry["late"] is not None else entry["cursor"], None
+        if entry["finished"] and not held:
             entry["seq"] = None
         self.touched.add(name)
-        oldest = min((e["seq"] for e in self.partitions.values() if e["seq"] is not None), default=None)
         parents = self.whole["parents"]
-        while parents and (oldest is None or oldest > parents[0][0]):
+        while parents and ((oldest := self.oldest()) is None or oldest > parents[0][0]):
             self.whole["parent"] = parents.pop(0)[1]
 
     def end(self, parent: str | None) -> None:
@@ -108,16 +167,22 @@ class Cursors:
             self.whole["global"] = self.whole["next_global"]
         self.whole["parent"] = parent if parent is not None else self.whole["parent"]
 
-    def apply(self, event) -> None:
-        name = event.partition
-        if event.kind == "open":
-            self.open(name, int(event.slice), bool(event.last), event.parent)
-        elif event.kind == "record":
-            self.record(name, int(event.slice), None if pd.isna(event.cursor) else int(event.cursor))
-        elif event.kind == "close":
-            self.close(name, int(event.slice))
-        elif event.kind == "end":
-            self.end(event.parent)
+    def apply(self, events: pd.DataFrame, names: list[str | None], parents: list[str | None]) -> None:
+        """Events of ``coded`` in order, made Python values a block at a time."""
+        opened, recorded, closed, ended = range(len(KINDS))
+        columns = [events[c].to_numpy() for c in ("kind", "partition", "slice", "last", "cursor", "parent")]
+        order = np.argsort(events["n"].to_numpy(), kind="stable")
+        for at in range(0, len(order), BLOCK):
+            block = order[at : at + BLOCK]
+            for kind, code, number, last, cursor, parent in zip(*(c[block].tolist() for c in columns)):
+                if kind == opened:
+                    self.open(names[code], number, last, parents[parent])
+                elif kind == recorded:
+                    self.record(names[code], number, None if cursor != cursor else int(cursor))
+                elif kind == closed:
+                    self.close(names[code], number)
+                elif kind == ended:
+                    self.end(parents[parent])
 
     def shown(self) -> str:
         """The sync state as JSON."""
@@ -144,8 +209,9 @@ class CursorProcessor(StatefulProcessor):
         entries = {k[0]: json.loads(v[0]) for k, v in self.entries.iterator()} if self.entries.exists() else {}
         ordered = dict(sorted(entries.items(), key=lambda e: e[1]["made"]))
         cursors = Cursors(whole, ordered, self.cap, self.switch)
-        for event in condensed(pd.concat([condensed(chunk) for chunk in rows])).sort_values("n", kind="stable").itertuples():
-            cursors.apply(event)
+        names, parents = {}, {}
+        events = condensed(pd.concat([condensed(coded(chunk, names, parents)) for chunk in rows], ignore_index=True))
+        cursors.apply(events, [*names, None], [*parents, None])
         for name in cursors.gone & entries.keys():
             self.entries.removeKey((name,))
         for name in cursors.touched & cursors.partitions.keys():
@@ -158,10 +224,27 @@ class CursorProcessor(StatefulProcessor):
         pass
 
 
+def codes(values: pd.Series, known: dict[str, int]) -> np.ndarray:
+    """Texts as numbers, which ``known`` gives, new ones added; -1 for nulls."""
+    found, texts = pd.factorize(values)
+    numbers = [known.setdefault(t, len(known)) for t in texts]
+    return np.array([*numbers, -1], dtype="int32")[found]
+
+
+def coded(events: pd.DataFrame, names: dict[str, int], parents: dict[str, int]) -> pd.DataFrame:
+    """Events without texts, 34 bytes or so each, as a batch may hold millions of a stream."""
+    kinds = {k: i for i, k in enumerate(KINDS)}
+    columns = {"n": events["n"], "kind": events["kind"].map(kinds).fillna(-1).astype("int8"), "slice": events["slice"].fillna(0).astype("int64"), "cursor": pd.to_numeric(events["cursor"])}
+    return pd.DataFrame(columns).assign(partition=codes(events["partition"], names), parent=codes(events["parent"], parents), last=events["last"].eq(True).astype(bool))
+
+
 def condensed(events: pd.DataFrame) -> pd.DataFrame:
-    """Events with the records of a slice made one, which comes where the first of them came, before the slice closes."""
-    records = events[events["kind"] == "record"].groupby(["kind", "partition", "slice"], dropna=False, as_index=False).agg(n=("n", "min"), cursor=("cursor", "max"))
-    return pd.concat([events[events["kind"] != "record"], records]) if len(records) else events
+    """Coded events with the records of a slice made one, which comes where the first of them came, before the slice closes."""
+    is_record = events["kind"] == KINDS.index("record")
+    if not events[is_record].duplicated(["partition", "slice"]).any():
+        return events
+    records = events[is_record].groupby(["kind", "partition", "slice"], sort=False, as_index=False).agg(n=("n", "min"), cursor=("cursor", "max"), last=("last", "first"), parent=("parent", "first"))
+    return pd.concat([events[~is_record], records[events.columns].astype({"kind": "int8", "partition": "int32", "parent": "int32"})], ignore_index=True)
 
 
 def partition_states(events: DataFrame, cap: int = CAP, switch: int = SWITCH) -> DataFrame:
