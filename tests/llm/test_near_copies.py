@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 
 import corpus_pipeline
-from weirflow.llm import near_copies, queries
+from weirflow.llm import jaccard_join, near_copies, queries, simhash
 
 DOCS = "doc_id long, text string, source string"
 
@@ -69,3 +69,19 @@ def test_near_copies_of_odd_rows(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert kept(df) == [1, 3, 4]
     assert kept(df.limit(0)) == [] and len(near_copies.near_duplicates(df).collect()) == len(rows)
+
+
+def test_ball_hashing_makes_pairs_for_the_exact_check(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(4_000)]
+    texts = [" ".join(base)] + [" ".join(edited(base, rng, 1)) for _ in range(12)] + [" ".join(f"v{x}" for x in rng.integers(0, 9_000, 60)) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    rows = jaccard_join.read(df, near_copies.SHINGLE, near_copies.ALIKE, near_copies.LOW, True)
+    fps = {r.rid: r.fp % 2**64 for r in rows.select("rid", "fp").collect()}
+    found = {(r.hi, r.lo) for r in near_copies.by_fingerprints(rows).collect()}
+    assert found and all(a > b and (fps[a] ^ fps[b]).bit_count() <= 2 for a, b in found)
+    met = {x for pair in found for x in pair}
+    assert met == {a for a in fps for b in fps if a != b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    used, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes: used.append(nodes) or links(nodes))
+    assert kept(df) == sorted(set(brute_groups(texts))) and len(used) == 1

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm import signature_tree
+from weirflow.llm import signature_tree, simhash
 from weirflow.llm.components import components
 from weirflow.llm.storage import as_scan, located, small_or_plain, written
 
@@ -83,8 +83,8 @@ def least_shared(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def read(docs: DataFrame, length: int, percent: int, low: float) -> DataFrame:
-    """A row a document: its set's digest, size, bitmap and first shingles, with an id ``rid``.
+def read(docs: DataFrame, length: int, percent: int, low: float, prints: bool = False) -> DataFrame:
+    """A row a document: its set's digest, size, bitmap and first shingles, with an id ``rid``, and the SimHash ``fp`` of the set if ``prints``.
 
     ``low`` holds the shingles of low hash. ``spare`` is how many more than those the
     first ones are, and ``fill`` holds as many of the others.
@@ -94,7 +94,7 @@ def read(docs: DataFrame, length: int, percent: int, low: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rid = Words(), TaskContext.get().partitionId() << 38
         for batch in batches:
-            digests, sizes, counts, spares, lows, fills, maps = [], [], [], [], [], [], []
+            digests, sizes, counts, spares, lows, fills, maps, fps = [], [], [], [], [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), known, length)
                 few = int(np.searchsorted(found, bound))
@@ -106,14 +106,15 @@ def read(docs: DataFrame, length: int, percent: int, low: float) -> DataFrame:
                 lows.append(found[:few].view(np.int64))
                 fills.append(found[few : few + max(0, spare)].view(np.int64))
                 maps.append(signature_tree.bitmap(found).tobytes())
+                fps.append(simhash.of_hashes(found) if prints else 0)
             ids = pa.array(np.arange(rid, rid + batch.num_rows))
             rid += batch.num_rows
             lists = [pa.array(v, pa.list_(pa.int64())) for v in (lows, fills)]
-            made = [ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spares, pa.int64()), *lists, pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *KEY)), *made], ["doc_id", *KEY, "rid", "digest", "size", "few", "spare", "low", "fill", "bits"])
+            made = [ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spares, pa.int64()), *lists, pa.array(maps, pa.binary()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", *KEY)), *made], ["doc_id", *KEY, "rid", "digest", "size", "few", "spare", "low", "fill", "bits", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return located(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, __file string, __row long, rid long, digest binary, size long, few long, spare long, low array<long>, fill array<long>, bits binary")
+    return located(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, __file string, __row long, rid long, digest binary, size long, few long, spare long, low array<long>, fill array<long>, bits binary, fp long")
 
 
 def first_shingles(rows: DataFrame) -> DataFrame:
@@ -185,6 +186,8 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, length: int, pe
         return 100 * both >= percent * (len(a) + len(b) - both)
 
     pairs = written(pairs, "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
     met = written(pairs.select(F.col("hi").alias("rid")).unionByName(pairs.select(F.col("lo").alias("rid"))).distinct(), "jaccard-ends")
     wanted = written(rows.select("rid", *KEY).join(small_or_plain(met), "rid"), "jaccard-places")
     held = written(sets(docs, wanted, length), "jaccard-sets")
@@ -268,32 +271,35 @@ def searched(members: DataFrame, percent: int, block: int, best: bool) -> DataFr
     return rows.mapInArrow(run, "hi long, lo long").distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, length: int, percent: int, block: int) -> DataFrame:
-    """Verified links ``hi``, ``lo`` that connect all sets of ``rows`` that are similar."""
+def links(docs: DataFrame, rows: DataFrame, length: int, percent: int, block: int, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links ``hi``, ``lo`` that connect all sets of ``rows`` that are similar: each node of a component but one, with the smallest."""
     members = written(groups(written(first_shingles(rows), "jaccard-first")), "jaccard-members")
-    found = verified(docs, possible(starred(members), rows, percent), rows, length, percent)
+    likely = starred(members).unionByName(first(rows)).distinct() if first else starred(members)
+    roots = components(verified(docs, possible(likely, rows, percent), rows, length, percent))
     for best in (True, False):
-        roots = components(found)
         own = members.join(roots, members.rid == roots.hi, "left").select("token", "rid", F.coalesce("lo", "rid").alias("root"))
         own = written(own, "jaccard-rooted")
         several = written(own.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token"), "jaccard-mixed")
         left = own.join(several, "token").join(rows.select("rid", "size", "bits"), "rid")
-        found = found.unionByName(verified(docs, searched(left, percent, block, best), rows, length, percent))
-    return found
+        roots = components(roots.unionByName(verified(docs, searched(left, percent, block, best), rows, length, percent)))
+    return roots
 
 
-def joined(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, low: float = LOW, block: int = BLOCK, empties: bool = False) -> DataFrame:
+def joined(
+    docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, low: float = LOW, block: int = BLOCK, empties: bool = False, first: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size (of its set), root (a component's node), component_id (its smallest doc_id), __file, __row.
 
-    With ``empties`` texts without words are one component, else each is its own.
+    With ``empties`` texts without words are one component, else each is its own. ``first`` makes pairs (hi, lo) of the
+    distinct sets (rid, fp, their SimHash, and others) that are verified before any search.
     """
     docs = as_scan(docs)
-    every = written(read(docs, length, percent, low), "jaccard-rows")
+    every = written(read(docs, length, percent, low, first is not None), "jaccard-rows")
     nodes = written(every.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.first("size").alias("size")), "jaccard-nodes")
     narrow = every.select("doc_id", "rid", "digest", "size", *KEY)
     copies = written(narrow.join(nodes.select("digest", "node"), "digest").where("rid <> node").select("rid"), "jaccard-copies")
     rows = every.where("size > 0").join(small_or_plain(copies), "rid", "left_anti")
-    roots = components(links(docs, rows, length, percent, block))
+    roots = links(docs, rows, length, percent, block, first)
     rooted = nodes.join(roots, nodes.node == roots.hi, "left").select("digest", "first_id", F.coalesce("lo", "node").alias("root"))
     rooted = written(rooted, "jaccard-roots")
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

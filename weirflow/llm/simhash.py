@@ -50,6 +50,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' 64-bit hashes as a signed integer; zero of none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
     """Columns ``keep`` with ``fp``, the fingerprint as a signed long."""
 
