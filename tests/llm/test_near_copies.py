@@ -85,3 +85,14 @@ def test_ball_hashing_makes_pairs_for_the_exact_check(spark, monkeypatch):
     used, links = [], simhash.links
     monkeypatch.setattr(simhash, "links", lambda nodes: used.append(nodes) or links(nodes))
     assert kept(df) == sorted(set(brute_groups(texts))) and len(used) == 1
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    from weirflow.llm import components
+
+    made, written = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: made.append(name) or written(df, name))
+    links = spark.createDataFrame([(2, 1), (3, 1), (9, 7)], "hi long, lo long")
+    assert sorted(map(tuple, components.components(links).collect())) == [(2, 1), (3, 1), (9, 7)] and len(made) == 1
+    chain = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (6, 6)], "hi long, lo long")
+    assert sorted(map(tuple, components.components(chain).collect())) == [(n, 1) for n in (2, 3, 4, 5)]
