@@ -61,3 +61,28 @@ def test_few_distinct_vectors_are_searched_whole(spark):
         df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
         got = {q: [r.vec_id for r in rows] for q, rows in gathered(ann.neighbours(df, "true")).items()}
         assert got == brute(vectors, list(vectors))
+
+
+def passed_on(spark, n):
+    """Rows that the cells pass on for a query, by the metrics of the written plan's input to the merge."""
+    kind = type(spark.range(1))
+    rng, seen, plain = np.random.default_rng(3), [], kind.groupBy
+
+    def watched(df, *columns):
+        if columns[:4] == ("key", "vec_id", "file_key", "row_key"):
+            seen.append(df)
+        return plain(df, *columns)
+
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(n, 12)))]
+    kind.groupBy = watched
+    try:
+        out = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 100 = 0")
+        assert out.groupby("query_id").count().where("count <> 20").isEmpty()
+    finally:
+        kind.groupBy = plain
+    return seen[0].count() / (n / 100)
+
+
+def test_what_cells_pass_on_for_a_query_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SCOUTS", 200)
+    assert passed_on(spark, 8_000) < 1.5 * passed_on(spark, 2_000)

@@ -10,8 +10,10 @@ queries meet by cells, subtrees of about ``CELL`` entries, in blocks of bounded
 the candidates in the query's leaves are ranked by exact inner products in double
 precision; the best of all blocks are merged.
 
-A query's ``TOP + 1``-st best score among ``SCOUTS`` sample vectors bounds its result from
-below, so candidates under it aren't passed on.
+A query's ``TOP + 1``-st best score among scouts, sample vectors, bounds its result from
+below, so candidates under it aren't passed on. Scouts are a fixed share of all vectors (``SHARE``, ``SCOUTS`` at
+least, the sample at most), so what is passed on for a query doesn't grow with the table up to five times the sample. A query
+takes a leaf of each of its best scouts too, so what sets its bound is found.
 
 Inner products are searched as angles: vectors get one more coordinate that gives
 all of them the length of the longest, and queries get a zero there.
@@ -42,7 +44,7 @@ from pyspark.sql.window import Window
 from weirflow.llm.forest import TREES, Forest, grow, joined
 from weirflow.llm.storage import located, row_key, small_or_plain, written
 
-SAMPLE, SCOUTS, TOP, CELL, BLOCK, FLOOR = 60_000, 2_048, 20, 4_096, 8_192, 10
+SAMPLE, SCOUTS, SHARE, TOP, CELL, BLOCK, FLOOR = 60_000, 2_048, 5, 20, 4_096, 8_192, 10
 BUDGET, POWER = 4.0, 0.75
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -111,7 +113,8 @@ def of_dimension(rows: DataFrame, asked: Column | str, top: int, budget: float,
 
     forest = forest_of(spark, lengthened(picked), max(1, CELL * len(picked) // n))
     sent = spark.sparkContext.broadcast(forest)
-    scouts = spark.sparkContext.broadcast(picked[:SCOUTS])
+    first = picked[: max(SCOUTS, n // SHARE)]
+    scouts = spark.sparkContext.broadcast((first, forest.leaves(lengthened(first))[:, 0]))  # with a leaf of each
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,11 +135,13 @@ def of_dimension(rows: DataFrame, asked: Column | str, top: int, budget: float,
             for at in range(0, len(b), 100):
                 part = b.iloc[at : at + 100]
                 x = matrix(part["embedding"])
-                known = x @ scouts.value.T
-                least = np.partition(known, -top - 1, axis=1)[:, -top - 1] if known.shape[1] > top else np.full(len(x), -np.inf)
+                held, homes = scouts.value
+                known = x @ held.T
+                best = np.argpartition(known, -top - 1, axis=1)[:, -top - 1 :] if known.shape[1] > top else np.zeros((len(x), 0), np.int64)
+                least = np.take_along_axis(known, best, 1).min(1, initial=np.inf) if best.shape[1] else np.full(len(x), -np.inf)
                 out = []
-                for leaves in sent.value.search(lengthened(x, True), most, sizes):
-                    found = np.array(leaves)
+                for leaves, own in zip(sent.value.search(lengthened(x, True), most, sizes), best):
+                    found = np.union1d(leaves, homes[own]).astype(np.int64)
                     cells = sent.value.cells[found]
                     order = np.argsort(cells, kind="stable")
                     names, first = np.unique(cells[order], return_index=True)
