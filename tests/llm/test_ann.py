@@ -86,3 +86,35 @@ def passed_on(spark, n):
 def test_what_cells_pass_on_for_a_query_does_not_grow(spark, monkeypatch):
     monkeypatch.setattr(ann, "SCOUTS", 200)
     assert passed_on(spark, 8_000) < 1.5 * passed_on(spark, 2_000)
+
+
+def test_leaves_are_those_that_one_queue_would_take():
+    import heapq
+    import math
+
+    from weirflow.llm import forest
+
+    rng = np.random.default_rng(5)
+    x, asked = rng.normal(size=(700, 6)), rng.normal(size=(70, 6))
+    grown = forest.joined([forest.grow(x, i, 50) for i in range(3)] + [forest.grow(x[:1], 3, 50)], x)
+    sizes = np.bincount(grown.leaves(x).ravel(), minlength=len(grown.cells)).tolist()
+    steep = forest.ALIKE / math.sqrt(1 - forest.ALIKE**2) / grown.spread / math.sqrt(2)
+    costs = grown.costs(asked, grown.levels())
+    for budget in (40, 900, 10**6):
+        for i, found in enumerate(grown.search(asked, budget, sizes)):
+            queue, want, left = [(0.0, int(r)) for r in grown.roots], {}, budget
+            while queue and left > 0:
+                cost, node = heapq.heappop(queue)
+                if node < 0:
+                    if ~node not in want:
+                        want[~node] = cost
+                        left -= sizes[~node]
+                    continue
+                m = float(asked[i] @ grown.planes[node] - grown.cuts[node])
+                far = 0.5 * math.erfc(abs(m) * steep)
+                sides = (-math.log(far + 1e-300), -math.log(1 - far))
+                for side in (0, 1):
+                    heapq.heappush(queue, (cost + sides[(m > 0) == bool(side)], int(grown.children[node, side])))
+            assert abs(len(found) - len(want)) <= 2 and len(set(found.tolist()) ^ want.keys()) <= 4  # costs are in steps
+            assert sum(sizes[w] for w in found) >= min(budget, sum(sizes))
+            assert all(abs(costs[w, i] - c) < 0.05 or c > 20 for w, c in want.items())

@@ -2,7 +2,7 @@
 
 The trees are grown from at most ``SAMPLE`` vectors, a tree a task, so their size is
 bounded, and sent to the tasks. Every vector is placed in one small leaf of each tree; each
-query takes leaves from one priority queue over all trees until they hold
+query takes the likeliest leaves of all trees until they hold
 ``BUDGET * N ** POWER`` entries of ``N`` (``FLOOR * TOP`` distinct ones at least, so few vectors
 are searched whole). The share of the vectors that are scored so falls as the table grows;
 for structure-free vectors, the hardest case, this power keeps the recall. Vectors and
@@ -61,8 +61,17 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of an Arrow column of lists of one length as rows."""
+    return one_array(column).flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
 def exact(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of one vector with rows, summed in the order of the components."""
+    """Inner products of one vector, or of a column of ``q`` each, with rows, summed in the order of the components."""
     total = np.zeros(len(vectors))
     for x, y in zip(q, vectors.T):
         total += x * y
@@ -162,28 +171,51 @@ def of_dimension(rows: DataFrame, asked: Column | str, top: int, budget: float,
     block = ["cell", "bv", "bq"]
     columns = ["key", "vec_id", "file_key", "row_key", "score"]
 
-    def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(v) and len(q):
-            v = v.sort_values("leaf", kind="stable")
-            leaf, x, ids = v["leaf"].to_numpy(), matrix(v["embedding"]), v["ids"].tolist()
-            names, first = np.unique(leaf, return_index=True)
-            bounds = dict(zip(names.tolist(), zip(first.tolist(), np.append(first[1:], len(leaf)).tolist())))
-            for key, own, least, leaves in zip(q["key"], matrix(q["embedding"]), q["least"], q["leaves"]):
-                spans = [np.arange(*bounds[w]) for w in leaves if w in bounds]
-                if not spans:
-                    continue
-                rows = np.concatenate(spans)
-                rough = x[rows] @ own
-                if len(rough) > top + 1:
-                    least = max(least, np.partition(rough, -top - 1)[-top - 1] - 1e-9 * max(1.0, np.abs(rough).max()))
-                rows = rows[rough >= least]
-                score = exact(own, x[rows])
-                pairs = sorted((-s, i["vec_id"], i["file_key"], i["row_key"]) for s, r in zip(score.tolist(), rows.tolist()) for i in ids[r])
-                out += [(key, i, f, r, -s) for s, i, f, r in pairs[: top + 1]]
-        return pd.DataFrame(out, columns=columns).astype({"vec_id": "int64", "file_key": "int64", "row_key": "int64", "score": "float64"})
-
-    met = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(meet, "key binary, vec_id long, file_key long, row_key long, score double")
+    out = pa.schema([("key", pa.binary()), ("vec_id", pa.int64()), ("file_key", pa.int64()), ("row_key", pa.int64()), ("score", pa.float64())])
+
+    def meet(v: pa.Table, q: pa.Table) -> pa.Table:
+        if not len(v) or not len(q):
+            return out.empty_table()
+        v, q = v.sort_by("leaf").combine_chunks(), q.combine_chunks()
+        x, own = rows_of(v.column("embedding")), rows_of(q.column("embedding"))
+        names, first = np.unique(v.column("leaf").to_numpy(), return_index=True)
+        bounds = np.append(first, len(v))
+        wanted, leaves = one_array(q.column("leaves")), q.column("least").to_numpy()
+        ends = wanted.offsets.to_numpy()
+        leaf = wanted.values.to_numpy()
+        at = np.minimum(np.searchsorted(names, leaf), len(names) - 1)
+        there = names[at] == leaf
+        low, size = bounds[at], np.where(there, bounds[at + 1] - bounds[at], 0)
+        asked, met = [], []
+        for i, least in enumerate(leaves.tolist()):
+            spans = slice(ends[i], ends[i + 1])
+            n = size[spans]
+            total = int(n.sum())
+            if not total:
+                continue
+            rows = np.arange(total) + np.repeat(low[spans] - (np.cumsum(n) - n), n)
+            rough = x[rows] @ own[i]
+            if total > top + 1:
+                least = max(least, np.partition(rough, -top - 1)[-top - 1] - 1e-9 * max(1.0, np.abs(rough).max()))
+            rows = rows[rough >= least]
+            asked.append(np.full(len(rows), i))
+            met.append(rows)
+        if not met:
+            return out.empty_table()
+        asked, met = np.concatenate(asked), np.concatenate(met)
+        score = exact(own.T[:, asked], x[met])
+        ids = one_array(v.column("ids"))
+        place, rank = ids.offsets.to_numpy(), ids.values.flatten()
+        copies = place[met + 1] - place[met]
+        each = np.arange(copies.sum()) + np.repeat(place[met] - (np.cumsum(copies) - copies), copies)
+        asked, score = np.repeat(asked, copies), np.repeat(score, copies)
+        names = [c.to_numpy()[each] for c in rank]  # vec_id, file_key, row_key
+        order = np.lexsort((*names[::-1], -score, asked))
+        begins = np.searchsorted(asked[order], asked[order])
+        order = order[np.arange(len(order)) - begins <= top]
+        return pa.table([one_array(q.column("key")).take(pa.array(asked[order])), *(pa.array(c[order]) for c in names), pa.array(score[order])], schema=out)
+
+    met = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(meet, "key binary, vec_id long, file_key long, row_key long, score double")
     nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "file_key", "row_key")
     short = met.groupBy(*columns[:4]).agg(F.first("score").alias("score")).withColumn("near", F.row_number().over(nearest)).where(F.col("near") <= top + 1)
     short = written(short, "ann-short")
