@@ -119,6 +119,28 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert len(row.ids_sha256) == len(row.decoded_sha256) == 64
 
 
+def test_bpe_words_go_in_sorted_order_without_a_trie():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file()
+    library, model = Tokenizer.from_file(path), bpe.Merges(open(path).read())
+    words = [" in", " inter", " international", " internationally", " inteé", "é", "a", " ", " interx", " zq", "zqzqzq", "😀"]
+    made = 0
+    own = model.apart
+
+    def counted(a, b):
+        nonlocal made
+        made += 1
+        return own(a, b)
+
+    model.apart = counted
+    found = model.words_to_ids(words)
+    assert {w: np.frombuffer(i, "<u4").tolist() for w, i in found.items()} == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+    before, made = made, 0
+    model.words_to_ids([w for w in words for _ in range(3)])  # a word that repeats takes no step
+    assert made <= before and not hasattr(model, "walk")
+
+
 def test_bpe_long_words_take_the_same_tokens():
     from tokenizers import Tokenizer
 

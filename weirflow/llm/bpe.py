@@ -1,17 +1,17 @@
-"""Byte-level BPE: words in a trie, last-token states carried down it, exact decoding.
+"""Byte-level BPE: words in sorted order, last-token states carried along shared prefixes, exact decoding.
 
 A prefix of a word has one encoding, and that encoding is fixed by its last token
-together with the encoding of what stands before that token. So each trie node
-needs one state, its last token, and a walk from the root finds the state of a
-child from those of its ancestors: the encodings of shared prefixes are computed
-once. ``words_to_ids`` inserts the distinct words of a batch and walks depth first.
+together with the encoding of what stands before that token. So each prefix
+needs one state, its last token, found from those of shorter prefixes. ``words_to_ids``
+goes through the distinct words of a batch in sorted order and keeps the states of one word's prefixes, so
+the encodings of prefixes that words share are computed once.
 
 Whether token ``b`` may follow token ``a`` is decided from the merge table alone,
 by ``Merges.apart``.
 
 Edge cases: null text counts as empty, and an empty text has no tokens. Special
 tokens written in a text are recognised, as the tokenizers library does. Texts of any length are read
-whole; words over ``LONG_WORD`` bytes are walked alone instead of kept in the trie.
+whole; words over ``LONG_WORD`` bytes are walked alone.
 """
 
 from __future__ import annotations
@@ -33,12 +33,11 @@ LONG_WORD = 2048
 #: Bounds of the tables that a Python worker keeps between batches: bytes of words and their
 #: encodings in each of two generations, and judged pairs of tokens.
 KEPT_BYTES, KEPT_PAIRS = 3_000_000, 400_000
-#: Bytes of words in one trie, and characters of text encoded together.
-TRIE_BYTES, SLICE = 100_000, 1_000_000
+#: Characters of text encoded together.
+SLICE = 1_000_000
 NEVER = 1 << 60
 #: A path's last TAIL bytes say how long a token that ends there can be.
 TAIL, SHORT = 4, (3, 2, 1)
-WORD, BYTES = -1, [bytes([b]) for b in range(256)]
 
 FIELDS = {
     "n_tokens": pa.int64(),
@@ -121,61 +120,36 @@ class Merges:
         self.known[a << 32 | b] = fine
         return fine
 
-    def step(self, path: bytes, last: list[int], ids: list[bytes]) -> None:
-        """Set the last token and the encoding of ``path``, given those of all shorter prefixes."""
-        depth = len(path)
-        for size in self.sizes.get(path[-TAIL:], SHORT):
-            if size <= depth:
-                token = self.id_of.get(path[depth - size :])
-                if token is not None:
-                    before = depth - size
-                    if not before or self.known.get(last[before] << 32 | token) or self.apart(last[before], token):
-                        last[depth], ids[depth] = token, ids[before] + self.packed[token]
-                        return
-        raise ValueError("the vocabulary lacks a byte")
-
     def words_to_ids(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Encodings of distinct words; in sorted order, so that words of one trie share their prefixes."""
+        """Encodings of distinct words; in sorted order, where a word shares its longest known prefix with the one before."""
         found: dict[str, bytes] = {}
-        held, size = [], 0
+        last, ids = [0] * (LONG_WORD + 1), [b""] * (LONG_WORD + 1)  # last token and encoding of each prefix
+        sizes, id_of, known, packed, apart = self.sizes.get, self.id_of.get, self.known.get, self.packed, self.apart
+        before = b""
         for word in sorted(words):
             raw = word.encode()
             if len(raw) > LONG_WORD:
                 found[word] = self.long_word(raw)
                 continue
-            held.append((word, raw))
-            size += len(raw)
-            if size >= TRIE_BYTES:
-                self.walk(held, found)
-                held, size = [], 0
-        self.walk(held, found)
-        return found
-
-    def walk(self, words: list[tuple[str, bytes]], found: dict[str, bytes]) -> None:
-        """Adds the encodings of ``words`` to ``found``, by one depth-first walk over their trie."""
-        last, ids = [0] * (LONG_WORD + 1), [b""] * (LONG_WORD + 1)
-        root: dict = {}  # children by byte; at WORD the word that ends here
-        for word, raw in words:
-            node = root
-            for byte in raw:
-                child = node.get(byte)
-                if child is None:
-                    child = node[byte] = {}
-                node = child
-            node[WORD] = word
-        walk = [(b"", root)]
-        while walk:
-            path, node = walk.pop()
-            if path:
-                self.step(path, last, ids)
-            for byte, child in node.items():
-                if byte == WORD:
-                    found[child] = ids[len(path)]
+            same = 0
+            for x, y in zip(before, raw):
+                if x != y:
+                    break
+                same += 1
+            for depth in range(same + 1, len(raw) + 1):
+                for size in sizes(raw[max(0, depth - TAIL) : depth], SHORT):
+                    if size <= depth and (token := id_of(raw[depth - size : depth])) is not None:
+                        at = depth - size
+                        if not at or known(last[at] << 32 | token) or apart(last[at], token):
+                            last[depth], ids[depth] = token, ids[at] + packed[token]
+                            break
                 else:
-                    walk.append((path + BYTES[byte], child))
+                    raise ValueError("the vocabulary lacks a byte")
+            found[word], before = ids[len(raw)], raw
+        return found
 
     def long_word(self, raw: bytes) -> bytes:
-        """The same walk down a single path, keeping one id a byte."""
+        """The same along a single word, keeping one id a byte."""
         last, ids = [0] * (len(raw) + 1), []
         for depth in range(1, len(raw) + 1):
             for size in self.sizes.get(raw[max(0, depth - TAIL) : depth], SHORT):
