@@ -154,3 +154,18 @@ def test_probabilities_sum_to_one():
     ids = np.array([x for leaf in range(leaves) for x in (3, 7, leaf)])  # every leaf after the same two words
     logs = np.concatenate([maxent.token_logs(b, weights) for b in maxent.Batches(v, ids, np.arange(0, len(ids), 3))])
     assert np.exp(logs[2::3]).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_first_slopes_equal_those_at_zero_weights():
+    rng = np.random.default_rng(6)
+    v = maxent.Vocabulary([b"", *(f"w{i}".encode() for i in range(40))], np.arange(41, 0, -1.0), np.full(maxent.TAILS, 0.5), 900, 50)
+    assert v.ids([b"w3", b"other", b""]).tolist() == [4, 41 + maxent.tail_of(b"other"), 0] and len(v.at) == 41
+    ids, starts = rng.integers(0, 41 + maxent.TAILS, 500), np.arange(0, 500, 10)
+    zero, both, plain = np.zeros(1 << v.bits, np.float32), np.zeros(1 << v.bits, np.complex128), np.zeros((2, 1 << v.bits))
+    for some in maxent.Batches(v, ids, starts):
+        maxent.add_first_slopes(some, both)
+        maxent.add_slopes(some, zero, plain[0])
+        chance = maxent.chances(some, zero).astype(np.float64)
+        for p in some[4]:
+            np.add.at(plain[1], p, chance * (1 - chance))
+    assert plain[1].any() and both.real == pytest.approx(plain[0], abs=1e-6) and both.imag == pytest.approx(plain[1], abs=1e-4)

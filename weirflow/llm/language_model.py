@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.bpe import slices
-from weirflow.llm.maxent import ENDING, SEEN, TAILS, Batches, Vocabulary, add_slopes, stepped, token_logs
+from weirflow.llm.maxent import ENDING, SEEN, TAILS, Batches, Vocabulary, add_first_slopes, add_slopes, stepped, token_logs
 from weirflow.llm.storage import located, row_key, written
 from weirflow.llm.sums import array_sums
 
@@ -112,7 +112,7 @@ def token_table(placed: DataFrame, vocab: Broadcast) -> DataFrame:
                 sizes, known, base, packed, rare = [], [], [], [], []
                 for text in some:
                     words = tokens(text)
-                    ids = np.array(v.ids(words), np.int32)
+                    ids = v.ids(words)
                     other = Counter(words[i] for i in np.nonzero(ids >= head)[0].tolist())
                     sizes.append(len(ids))
                     known.append(int(v.known[ids].sum()))
@@ -151,26 +151,30 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 first, held = at + 1, 0
 
 
-def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray, bends: bool) -> np.ndarray:
-    """The gradient of all weights over all ``texts``, and then the curvature if ``bends``."""
-    sent = texts.sparkSession.sparkContext.broadcast(weights)  # 2 ** MOST_BITS weights at most
+def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray | None) -> np.ndarray:
+    """The gradient of all weights over all ``texts``; without ``weights`` that at zero, and then the curvature."""
+    first, width = weights is None, 1 << vocab.value.bits
+    sent = None if first else texts.sparkSession.sparkContext.broadcast(weights)  # 2 ** MOST_BITS weights at most
 
     def slopes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((1 + bends, len(sent.value)))
+        out = np.zeros(width, np.complex128 if first else np.float64)
         for _, ids, starts in together(batches):
             for some in Batches(vocab.value, ids, starts):
-                add_slopes(some, sent.value, out[0], out[1] if bends else None)
-        return out
+                if first:
+                    add_first_slopes(some, out)
+                else:
+                    add_slopes(some, sent.value, out)
+        return np.stack([out.real, out.imag]) if first else out[None]
 
     tasks = max(1, -(-vocab.value.tokens // TASK_TOKENS))
-    return array_sums(texts.select("ids").coalesce(tasks), slopes, 1 + bends, len(weights))
+    return array_sums(texts.select("ids").coalesce(tasks), slopes, 1 + first, width)
 
 
 def trained(texts: DataFrame, vocab: Broadcast, rounds: int = ROUNDS) -> np.ndarray:
     """The weights after ``rounds`` steps over all ``texts``."""
     weights, curvature = np.zeros(1 << vocab.value.bits, np.float32), None
     for turn in range(rounds):
-        sums = summed(texts, vocab, weights, turn == 0)
+        sums = summed(texts, vocab, weights if turn else None)
         curvature = sums[1] if turn == 0 else curvature
         weights = stepped(weights, sums[0], curvature)
     return weights

@@ -74,6 +74,13 @@ def nested(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return starts, np.concatenate(nodes)[order].astype(np.uint32), np.concatenate(sides)[order], np.concatenate(biases).astype(np.float32)
 
 
+class Leaves(dict):
+    """Leaf numbers of the head's words, and of any other word by its tail leaf; other words aren't kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + tail_of(word)
+
+
 @dataclass
 class Vocabulary:
     """The head of the vocabulary (``b""`` is the end of a text), with what scoring needs of it; leaf numbers are the ids of tokens."""
@@ -86,17 +93,18 @@ class Vocabulary:
     at: dict[bytes, int] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.at = {w: i for i, w in enumerate(self.words)}
+        self.at = Leaves((w, i) for i, w in enumerate(self.words))
         self.denominator = self.tokens + 0.5 * (self.distinct + 1)
         self.base = np.append(np.log10((self.counts + 0.5) / self.denominator), np.full(TAILS, -np.log10(self.denominator)))
         self.known = np.append(self.counts > 0, np.zeros(TAILS, bool))
         # an end without training texts still needs a share
-        self.starts, self.nodes, self.sides, self.biases = nested(np.append(np.maximum(self.counts, 0.5), self.tail_mass))
+        self.starts, nodes, self.sides, biases = nested(np.append(np.maximum(self.counts, 0.5), self.tail_mass))
+        # of each choice on a leaf's path: what its node mixes into the hashes of features, and its bias
+        self.salts, self.biases = (nodes + np.uint32(1)) * np.uint32(0x27D4EB2F), biases[nodes]
         self.bits = weight_bits(self.tokens)
 
-    def ids(self, words: list[bytes]) -> list[int]:
-        known, head = self.at.get, len(self.words)
-        return [i if (i := known(w, -1)) >= 0 else head + tail_of(w) for w in words]
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
 
 
 def features(ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
@@ -130,38 +138,59 @@ class Batches:
             ids = self.ids[at : at + BATCH]
             first, sizes = v.starts[ids], v.starts[ids + 1] - v.starts[ids]
             ends = np.cumsum(sizes)
-            of = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
-            nodes = v.nodes[of]
-            salt = (nodes + np.uint32(1)) * np.uint32(0x27D4EB2F)
-            places = [((np.repeat(h[at : at + BATCH], sizes) ^ salt) * np.uint32(0x9E3779B1) >> shift).astype(np.int64) for h in self.hashes]
-            yield at, sizes, v.sides[of], v.biases[nodes], places
-
-
-def chances(batch: tuple, weights: np.ndarray) -> np.ndarray:
-    """For each choice of a batch the probability of its second class."""
+            of = np.repeat(first - (ends - sizes), sizes)
+            of += np.arange(len(of))
+            salt, places = v.salts.take(of), []
+            for h in self.hashes:
+                mixed = np.repeat(h[at : at + BATCH], sizes)
+                mixed ^= salt
+                mixed *= np.uint32(0x9E3779B1)
+                mixed >>= shift
+                places.append(mixed.astype(np.int64))
+            yield at, sizes, v.sides.take(of), v.biases.take(of), places
+
+
+def chances(batch: tuple, weights: np.ndarray, sign: np.ndarray | None = None) -> np.ndarray:
+    """For each choice of a batch the probability of its second class, or of the first where ``sign`` is -1."""
     _, _, _, z, places = batch
-    z = z.copy()
-    for p in places:
+    z = z + weights.take(places[0])
+    for p in places[1:]:
         z += weights.take(p)
-    return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
+    if sign is not None:
+        z *= sign
+    return logistic(z)
 
 
-def add_slopes(batch: tuple, weights: np.ndarray, gradient: np.ndarray, curvature: np.ndarray | None) -> None:
-    """Adds the gradient, and the curvature if wanted, of the choices of a batch."""
-    chance = chances(batch, weights)
-    step = (batch[2] - chance).astype(np.float64)
-    bend = (chance * (1 - chance)).astype(np.float64)
+def logistic(z: np.ndarray) -> np.ndarray:
+    np.clip(z, -15, 15, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def add_slopes(batch: tuple, weights: np.ndarray, gradient: np.ndarray) -> None:
+    """Adds the gradient of the choices of a batch."""
+    step = (batch[2] - chances(batch, weights)).astype(np.float64)
     for p in batch[4]:
         np.add.at(gradient, p, step)
-        if curvature is not None:
-            np.add.at(curvature, p, bend)
+
+
+def add_first_slopes(batch: tuple, sums: np.ndarray) -> None:
+    """Adds the gradient, and the curvature as the imaginary part, of the choices of a batch where all weights are zero."""
+    chance = logistic(batch[3].copy())
+    both = np.empty(len(chance), np.complex128)  # one place in memory for both sums of a weight
+    both.real = batch[2] - chance
+    both.imag = chance * (1 - chance)
+    for p in batch[4]:
+        np.add.at(sums, p, both)
 
 
 def token_logs(batch: tuple, weights: np.ndarray) -> np.ndarray:
     """The natural log probability of each token's leaf."""
     _, sizes, sides, _, _ = batch
-    chance = chances(batch, weights).astype(np.float64)
-    taken = np.append(np.where(sides, chance, 1 - chance), 1.0)
+    taken = np.ones(len(sides) + 1)
+    taken[:-1] = chances(batch, weights, np.where(sides, np.float32(1), np.float32(-1)))
     first = np.cumsum(sizes) - sizes
     return np.where(sizes > 0, np.log(np.multiply.reduceat(taken, first)), 0.0)
 
