@@ -96,3 +96,14 @@ def test_stars_take_no_round(spark, monkeypatch):
     assert sorted(map(tuple, components.components(links).collect())) == [(2, 1), (3, 1), (9, 7)] and len(made) == 1
     chain = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (6, 6)], "hi long, lo long")
     assert sorted(map(tuple, components.components(chain).collect())) == [(n, 1) for n in (2, 3, 4, 5)]
+
+
+def test_stage_writes_few_tables_where_nothing_is_alike(spark):
+    from weirflow.llm import storage
+
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20)), "s") for i in range(30)], DOCS)
+    before = set(storage.made(spark))
+    assert kept(df) == list(range(30))
+    names = [f.rsplit("/", 1)[-1].rsplit("-", 1)[0] for f in set(storage.made(spark)) - before]
+    # without pairs no ends are looked up and no round of components is run; only the first makes its empty table of links
+    assert names.count("links") <= 2 and not {"jaccard-sets", "jaccard-places", "jaccard-hot"} & set(names)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import signature_tree, simhash
 from weirflow.llm.components import components
-from weirflow.llm.storage import as_scan, located, small_or_plain, written
+from weirflow.llm.storage import as_scan, located, small, small_or_plain, written
 
 SHINGLE, PERCENT, LOW, BLOCK = 4, 85, 0.3, 32 << 20
 #: Words whose hashes a task keeps, and the longest of them in bytes.
@@ -137,7 +137,7 @@ def groups(first: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``rid`` and ``hashes``, the set, of the rows that ``wanted`` (rid, __file, __row) names."""
+    """``rid`` and ``hashes``, the set, of the rows that ``wanted`` (rid, __file, __row, perhaps with a hint) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -145,7 +145,7 @@ def sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             found = [shingles(t.as_py(), known, length).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], ["rid", "hashes"])
 
-    rows = located(docs, "text").join(small_or_plain(wanted), KEY).select("rid", "text")
+    rows = located(docs, "text").join(wanted, KEY).select("rid", "text")
     return rows.mapInArrow(run, "rid long, hashes binary")
 
 
@@ -177,8 +177,8 @@ def possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return filtered(beside(pairs, rows, columns).where(near), test, columns)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
-    """The ``pairs`` (hi, lo) whose whole sets are similar."""
+def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame | None:
+    """The ``pairs`` (hi, lo) whose whole sets are similar; None without pairs."""
 
     def alike(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -186,11 +186,12 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, length: int, pe
         return 100 * both >= percent * (len(a) + len(b) - both)
 
     pairs = written(pairs, "jaccard-pairs")
-    if pairs.isEmpty():
-        return pairs
-    met = written(pairs.select(F.col("hi").alias("rid")).unionByName(pairs.select(F.col("lo").alias("rid"))).distinct(), "jaccard-ends")
-    wanted = written(rows.select("rid", *KEY).join(small_or_plain(met), "rid"), "jaccard-places")
-    held = written(sets(docs, wanted, length), "jaccard-sets")
+    met = written(pairs.select(F.explode(F.array("hi", "lo")).alias("rid")).distinct(), "jaccard-ends")
+    few = small(met)
+    if few == 0:
+        return None
+    hinted = F.broadcast if few else lambda df: df  # as many rows in both tables, each narrow
+    held = written(sets(docs, hinted(rows.select("rid", *KEY).join(hinted(met), "rid")), length), "jaccard-sets")
     return written(filtered(beside(pairs, held, ("hashes",)), alike, ("hashes",)), "jaccard-links")
 
 
@@ -212,9 +213,10 @@ def dealt(members: DataFrame, percent: int, block: int) -> DataFrame:
     """``members`` (token, rid, root, size, bits) with ``i`` and ``j``, the pair of blocks, and ``own``, the block of the row."""
     one = F.lit(0).cast("long")
     heavy = F.octet_length("bits").cast("long")
-    hot = written(members.groupBy("token").agg(F.sum(heavy).alias("bytes")).where(F.col("bytes") > block).select("token"), "jaccard-hot")
+    hot = members.groupBy("token").agg(F.sum(heavy).alias("bytes")).where(F.col("bytes") > block).select("token")
     if hot.isEmpty():
         return members.withColumns({"i": one, "j": one, "own": one})
+    hot = written(hot, "jaccard-hot")
     plain = members.join(hot, "token", "left_anti").withColumns({"i": one, "j": one, "own": one})
     band = F.floor(F.log(F.col("size").cast("double")) / signature_tree.band_width(percent)).cast("long")
     rows = members.join(hot, "token").withColumn("band", band)
@@ -275,13 +277,15 @@ def links(docs: DataFrame, rows: DataFrame, length: int, percent: int, block: in
     """Links ``hi``, ``lo`` that connect all sets of ``rows`` that are similar: each node of a component but one, with the smallest."""
     members = written(groups(written(first_shingles(rows), "jaccard-first")), "jaccard-members")
     likely = starred(members).unionByName(first(rows)).distinct() if first else starred(members)
-    roots = components(verified(docs, possible(likely, rows, percent), rows, length, percent))
+    found = verified(docs, possible(likely, rows, percent), rows, length, percent)
+    roots = components(likely.limit(0) if found is None else found)
     for best in (True, False):
         own = members.join(roots, members.rid == roots.hi, "left").select("token", "rid", F.coalesce("lo", "rid").alias("root"))
         own = written(own, "jaccard-rooted")
         several = written(own.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token"), "jaccard-mixed")
         left = own.join(several, "token").join(rows.select("rid", "size", "bits"), "rid")
-        roots = components(roots.unionByName(verified(docs, searched(left, percent, block, best), rows, length, percent)))
+        found = verified(docs, searched(left, percent, block, best), rows, length, percent)
+        roots = roots if found is None else components(roots.unionByName(found))
     return roots
 
 

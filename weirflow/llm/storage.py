@@ -76,13 +76,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> int | None:
+    """The rows of ``df``, None for more than ``rows``."""
+    count = df.limit(rows + 1).count()
+    return count if count <= rows else None
+
+
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count finds at most ``rows`` rows, else as it is.
 
     ``df`` must be a written table of narrow rows: beyond the bound the join is an
     ordinary shuffle join, which adaptive execution splits where a key is hot.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if small(df, rows) is not None else df
 
 
 def for_python(texts: DataFrame) -> DataFrame:
