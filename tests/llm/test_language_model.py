@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weirflow.llm import language_model as lm
@@ -169,3 +170,31 @@ def test_first_slopes_equal_those_at_zero_weights():
         for p in some[4]:
             np.add.at(plain[1], p, chance * (1 - chance))
     assert plain[1].any() and both.real == pytest.approx(plain[0], abs=1e-6) and both.imag == pytest.approx(plain[1], abs=1e-4)
+
+
+def test_equal_tokens_are_added_once():
+    rng = np.random.default_rng(7)
+    v = maxent.Vocabulary([b"", *(f"w{i}".encode() for i in range(40))], np.arange(41, 0, -1.0), np.full(maxent.TAILS, 0.5), 900, 50)
+    some, weights = rng.integers(0, 41 + maxent.TAILS, 60), rng.normal(0, 1, 1 << v.bits).astype(np.float32)
+    ids, starts = np.tile(some, 50), np.arange(0, 3000, 10)  # 50 times the same six texts
+    want, got = (np.zeros((2, 1 << v.bits), np.complex128) for _ in range(2))
+    slopes, taken = np.zeros((2, 1 << v.bits)), 0
+    for b in maxent.Batches(v, ids, starts):
+        maxent.add_first_slopes(b, want[0])
+        maxent.add_slopes(b, weights, slopes[0])
+    for b, times in maxent.distinct_triples(v, ids, starts):
+        maxent.add_first_slopes(b, got[0], times)
+        maxent.add_slopes(b, weights, slopes[1], times)
+        taken += len(b[1])
+    assert taken <= 60 and slopes[0].any()
+    assert got == pytest.approx(want) and slopes[1] == pytest.approx(slopes[0])
+
+
+def test_arrow_tokens_equal_plain_ones():
+    texts = ["", " ", None, "a  B", " \ta\x0b\x0cB\r\n", "\x1c x\x1f\x85 y z   ÀB İ", "a ", "\x00 a\x00b", "Odd", "x " * 5000]
+    assert lm.token_lists(pa.array(texts)).to_pylist() == [tokens(t) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for most in (1, 7, 10_000, 1 << 30):
+        parts = [part.column("text").to_pylist() for part in lm.runs(batch, most)]
+        assert sum(parts, []) == texts and all(len(p) == 1 or sum(len((t or "").encode()) for t in p[:-1]) <= most for p in parts)
+        assert sum((lm.token_lists(p.column("text")).to_pylist() for p in lm.runs(batch, most)), []) == [tokens(t) for t in texts]

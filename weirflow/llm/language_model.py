@@ -18,23 +18,24 @@ read whole, in batches of tokens; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.bpe import slices
-from weirflow.llm.maxent import ENDING, SEEN, TAILS, Batches, Vocabulary, add_first_slopes, add_slopes, stepped, token_logs
+from weirflow.llm.maxent import ENDING, SEEN, TAILS, Batches, Vocabulary, add_first_slopes, add_slopes, counted, distinct_triples, stepped, tail_of, token_logs
 from weirflow.llm.storage import located, row_key, written
 from weirflow.llm.sums import array_sums
 
 FOLDS, HELD, ROUNDS = 5, 1, 2
-#: Words that all tasks know, words counted before they are passed on, tokens whose gradient one task sums (fewer tasks send fewer sums), tokens scored together.
-HEAD, COUNTED, TASK_TOKENS, TOGETHER = 1 << 17, 300_000, 8_000_000, 200_000
+#: Words that all tasks know, tokens counted before they are passed on, tokens whose gradient one task sums (fewer tasks send fewer sums), tokens scored together.
+HEAD, COUNTED, TASK_TOKENS, TOGETHER = 1 << 17, 3_000_000, 8_000_000, 200_000
+#: Bytes of text whose tokens are found together, tokens of which equal ones add to the sums once.
+SLICE, EQUAL = 4_000_000, 2_000_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -52,27 +53,40 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
+def token_lists(texts: pa.Array) -> pa.Array:
+    """The ``tokens`` of each text (null: empty) as a list of binary; Arrow's kernels know the same six white spaces and change A-Z only."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    closed = pc.if_else(pc.equal(trimmed, ""), "", pc.binary_join_element_wise(trimmed, " ", ""))  # what follows the last space is the end
+    return pc.ascii_split_whitespace(closed).cast(pa.list_(pa.binary()))
+
+
+def runs(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts hold about ``most`` bytes (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word`` (b"" is the end of a text) and ``n`` over all texts."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            items = list(counts.items())
-            for at in range(0, len(items), 50_000):
-                words, ns = zip(*items[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], schema=schema)
+    def totals(held: list[pa.Array]) -> pa.RecordBatch:
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays(found.flatten(), ["word", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
         for batch in batches:
-            for _, some in slices(batch, "text"):
-                for text in some:
-                    counts.update(tokens(text))
-                if len(counts) > COUNTED:
-                    yield from out()
-                    counts.clear()
-        yield from out()
+            for some in runs(batch):
+                held.append(token_lists(some.column("text")).flatten())
+                if sum(map(len, held)) >= COUNTED:
+                    yield totals(held)
+                    held.clear()
+        if held:
+            yield totals(held)
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -102,31 +116,32 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def token_table(placed: DataFrame, vocab: Broadcast) -> DataFrame:
     """For each text its ids, what its head words give, and its other words with their counts."""
     names = ["doc_id", "file_key", "row_key", "held_out"]
-    entry = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        head = len(v.words)
+        head = pa.array(v.words, pa.binary())
         for batch in batches:
-            for start, some in slices(batch, "text"):
-                sizes, known, base, packed, rare = [], [], [], [], []
-                for text in some:
-                    words = tokens(text)
-                    ids = v.ids(words)
-                    other = Counter(words[i] for i in np.nonzero(ids >= head)[0].tolist())
-                    sizes.append(len(ids))
-                    known.append(int(v.known[ids].sum()))
-                    base.append(float(v.base[ids].sum()))
-                    packed.append(ids.tobytes())
-                    rare.append([{"word": w, "n": n} for w, n in other.items()])
+            for some in runs(batch):
+                lists = token_lists(some.column("text"))
+                words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+                starts = np.append(0, ends[:-1])
+                ids = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy().astype("<i4")
+                other = np.flatnonzero(ids < 0)
+                rare = words.take(pa.array(other)).dictionary_encode()
+                codes, distinct = rare.indices.to_numpy(), rare.dictionary
+                ids[other] = (len(head) + np.fromiter(map(tail_of, distinct.to_pylist()), np.int32, len(distinct)))[codes]
+                # a text's other words, each once with its count
+                pairs, times = counted(np.searchsorted(ends, other, "right").astype(np.uint64) << np.uint64(32) | codes.astype(np.uint64))
+                entries = pa.StructArray.from_arrays([distinct.take(pa.array(pairs & np.uint64(0xFFFFFFFF))), pa.array(times, pa.int64())], ["word", "n"])
+                firsts = np.searchsorted(pairs >> np.uint64(32), np.arange(len(ends) + 1, dtype=np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(k).slice(start, len(some)) for k in names),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(packed, pa.binary()),
-                        pa.array(rare, entry),
+                        *(some.column(k) for k in names),
+                        pa.array(ends - starts, pa.int64()),
+                        pa.array(np.add.reduceat(v.known[ids].astype(np.int64), starts)),
+                        pa.array(np.add.reduceat(v.base[ids], starts)),
+                        pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int32)), pa.py_buffer(ids)]),
+                        pa.ListArray.from_arrays(pa.array(firsts), entries),
                     ],
                     [*names, "n_tokens", "n_known", "base", "ids", "rare"],
                 )
@@ -151,6 +166,19 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 first, held = at + 1, 0
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of whole texts one after another, ``EQUAL`` of them where there are as many, and where each text begins."""
+    held, tokens = [], 0
+    for _, ids, starts in together(batches):
+        held.append((ids, starts + tokens))
+        tokens += len(ids)
+        if tokens >= EQUAL:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, tokens = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray | None) -> np.ndarray:
     """The gradient of all weights over all ``texts``; without ``weights`` that at zero, and then the curvature."""
     first, width = weights is None, 1 << vocab.value.bits
@@ -158,12 +186,12 @@ def summed(texts: DataFrame, vocab: Broadcast, weights: np.ndarray | None) -> np
 
     def slopes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(width, np.complex128 if first else np.float64)
-        for _, ids, starts in together(batches):
-            for some in Batches(vocab.value, ids, starts):
+        for ids, starts in gathered(batches):
+            for some, times in distinct_triples(vocab.value, ids, starts):
                 if first:
-                    add_first_slopes(some, out)
+                    add_first_slopes(some, out, times)
                 else:
-                    add_slopes(some, sent.value, out)
+                    add_slopes(some, sent.value, out, times)
         return np.stack([out.real, out.imag]) if first else out[None]
 
     tasks = max(1, -(-vocab.value.tokens // TASK_TOKENS))

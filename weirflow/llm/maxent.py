@@ -13,12 +13,14 @@ the share of its smoothed count, which stays in a distributed table.
 
 Weights are trained by full gradients: each round adds ``gradient / (curvature + PRIOR)``
 of all training tokens, so the result depends on no order and no split of the input; the curvature is that of the first round.
+Tokens equal in leaf and both leaves before add the same, so they are added once, times their number.
 Their number grows with the training tokens, up to 2^``MOST_BITS``, since they are sent to all tasks.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,15 +109,21 @@ class Vocabulary:
         return np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
 
 
-def features(ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """A hash for each template and token; ``begins`` holds each token's distance from its text's start."""
-    n, out = len(ids), []
-    back = {}
+def before(ids: np.ndarray, begins: np.ndarray) -> dict[int, np.ndarray]:
+    """By how many tokens back, the leaves there, -1 before a text; ``begins`` holds each token's distance from its text's start."""
+    out = {}
     for k in (1, 2):
-        back[k] = np.full(n, BEFORE, np.uint32)
-        back[k][k:] = np.where(begins[k:] >= k, ids[: max(0, n - k)].astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(1), np.uint32(BEFORE))
+        out[k] = np.full(len(ids), -1, np.int64)
+        out[k][k:] = np.where(begins[k:] >= k, ids[: max(0, len(ids) - k)], -1)
+    return out
+
+
+def features(words: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """A hash for each template and token, of the leaves ``before`` it."""
+    back = {k: np.where(w >= 0, w.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(1), np.uint32(BEFORE)) for k, w in words.items()}
+    out = []
     for i, template in enumerate(TEMPLATES):
-        mixed = np.full(n, 0x85EBCA6B * (i + 1) & 0xFFFFFFFF, np.uint32)
+        mixed = np.full(len(words[1]), 0x85EBCA6B * (i + 1) & 0xFFFFFFFF, np.uint32)
         for k in template:
             mixed = (mixed ^ back[k]) * np.uint32(0xC2B2AE35)
             mixed ^= mixed >> np.uint32(15)
@@ -123,39 +131,66 @@ def features(ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def distances(starts: np.ndarray, n: int) -> np.ndarray:
+    """How far each of ``n`` tokens lies from its text's start."""
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+def choices(vocab: Vocabulary, leaves: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple]:
+    """First token, path lengths, sides, biases and weight places (an array for each of ``hashes``) in bounded batches."""
+    shift = np.uint32(32 - vocab.bits)
+    for at in range(0, len(leaves), BATCH):
+        ids = leaves[at : at + BATCH]
+        first, sizes = vocab.starts[ids], vocab.starts[ids + 1] - vocab.starts[ids]
+        ends = np.cumsum(sizes)
+        of = np.repeat(first - (ends - sizes), sizes)
+        of += np.arange(len(of))
+        salt, places = vocab.salts.take(of), []
+        for h in hashes:
+            mixed = np.repeat(h[at : at + BATCH], sizes)
+            mixed ^= salt
+            mixed *= np.uint32(0x9E3779B1)
+            mixed >>= shift
+            places.append(mixed.astype(np.int64))
+        yield at, sizes, vocab.sides.take(of), vocab.biases.take(of), places
+
+
 class Batches:
     """The choices of tokens in bounded batches; ``ids`` are whole texts one after another, ``starts`` where each begins."""
 
     def __init__(self, vocab: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> None:
         self.vocab, self.ids = vocab, ids
-        sizes = np.diff(np.append(starts, len(ids)))
-        self.hashes = features(ids, np.arange(len(ids)) - np.repeat(starts, sizes))
-
-    def __iter__(self):
-        """First token, path lengths, sides, biases and weight places (an array a template) of each batch."""
-        v, shift = self.vocab, np.uint32(32 - self.vocab.bits)
-        for at in range(0, len(self.ids), BATCH):
-            ids = self.ids[at : at + BATCH]
-            first, sizes = v.starts[ids], v.starts[ids + 1] - v.starts[ids]
-            ends = np.cumsum(sizes)
-            of = np.repeat(first - (ends - sizes), sizes)
-            of += np.arange(len(of))
-            salt, places = v.salts.take(of), []
-            for h in self.hashes:
-                mixed = np.repeat(h[at : at + BATCH], sizes)
-                mixed ^= salt
-                mixed *= np.uint32(0x9E3779B1)
-                mixed >>= shift
-                places.append(mixed.astype(np.int64))
-            yield at, sizes, v.sides.take(of), v.biases.take(of), places
+        self.hashes = features(before(ids, distances(starts, len(ids))))
+
+    def __iter__(self) -> Iterator[tuple]:
+        return choices(self.vocab, self.ids, self.hashes)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``keys`` in order and how often each occurs; sorts in place."""
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def distinct_triples(vocab: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The choices of the distinct triples of a leaf and the two before it, with how often each triple occurs."""
+    bits = np.uint64(len(vocab.base).bit_length())  # 18 at most, with a head of 2 ** 17
+    low = np.uint64((1 << int(bits)) - 1)
+    words = before(ids, distances(starts, len(ids)))
+    one, two = ((words[k] + 1).astype(np.uint64) for k in (1, 2))
+    triples, times = counted((one << bits | two) << bits | ids.astype(np.uint64))
+    back = {1: (triples >> bits + bits).astype(np.int64) - 1, 2: (triples >> bits & low).astype(np.int64) - 1}
+    for batch in choices(vocab, (triples & low).astype(np.int64), features(back)):
+        yield batch, times[batch[0] : batch[0] + len(batch[1])]
 
 
 def chances(batch: tuple, weights: np.ndarray, sign: np.ndarray | None = None) -> np.ndarray:
     """For each choice of a batch the probability of its second class, or of the first where ``sign`` is -1."""
     _, _, _, z, places = batch
-    z = z + weights.take(places[0])
+    z = z + weights.take(places[0], mode="clip")  # places are below 2 ** bits
     for p in places[1:]:
-        z += weights.take(p)
+        z += weights.take(p, mode="clip")
     if sign is not None:
         z *= sign
     return logistic(z)
@@ -169,19 +204,23 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
-def add_slopes(batch: tuple, weights: np.ndarray, gradient: np.ndarray) -> None:
-    """Adds the gradient of the choices of a batch."""
+def add_slopes(batch: tuple, weights: np.ndarray, gradient: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Adds the gradient of the choices of a batch, each token's as often as ``times`` says."""
     step = (batch[2] - chances(batch, weights)).astype(np.float64)
+    if times is not None:
+        step *= np.repeat(times, batch[1])
     for p in batch[4]:
         np.add.at(gradient, p, step)
 
 
-def add_first_slopes(batch: tuple, sums: np.ndarray) -> None:
-    """Adds the gradient, and the curvature as the imaginary part, of the choices of a batch where all weights are zero."""
+def add_first_slopes(batch: tuple, sums: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Adds the gradient, and the curvature as the imaginary part, of the choices of a batch where all weights are zero, each token's as often as ``times`` says."""
     chance = logistic(batch[3].copy())
     both = np.empty(len(chance), np.complex128)  # one place in memory for both sums of a weight
     both.real = batch[2] - chance
     both.imag = chance * (1 - chance)
+    if times is not None:
+        both *= np.repeat(times, batch[1])
     for p in batch[4]:
         np.add.at(sums, p, both)
 
@@ -190,7 +229,10 @@ def token_logs(batch: tuple, weights: np.ndarray) -> np.ndarray:
     """The natural log probability of each token's leaf."""
     _, sizes, sides, _, _ = batch
     taken = np.ones(len(sides) + 1)
-    taken[:-1] = chances(batch, weights, np.where(sides, np.float32(1), np.float32(-1)))
+    sign = sides.astype(np.float32)
+    sign *= 2
+    sign -= 1
+    taken[:-1] = chances(batch, weights, sign)
     first = np.cumsum(sizes) - sizes
     return np.where(sizes > 0, np.log(np.multiply.reduceat(taken, first)), 0.0)
 
