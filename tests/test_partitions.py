@@ -3,7 +3,10 @@
 import json
 import random
 import time
+import tracemalloc
 
+import pandas as pd
+import pytest
 
 from weirflow.streaming import partitions
 
@@ -158,3 +161,101 @@ def test_a_slice_that_opens_late_never_lets_more_count():
     assert held.partitions["p"]["cursor"] is None
     held.close("p", 3)
     assert held.partitions["p"]["cursor"] == 5
+
+
+class Held:
+    """State of one key in memory, as the processor asks Spark for it."""
+
+    def __init__(self):
+        self.values = {}
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def exists(self):
+        return bool(self.values)
+
+    def iterator(self):
+        return iter(self.values.items())
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def get(self):
+        return self.values[()]
+
+    def update(self, value):
+        self.values[()] = value
+
+
+def processed(chunks, cap=partitions.CAP, switch=partitions.SWITCH):
+    """One stream's state after one batch, without Spark."""
+    processor = partitions.CursorProcessor(cap, switch)
+    processor.init(Held())
+    processor.whole = Held()
+    return json.loads(next(processor.handleInputRows(("s",), iter(chunks), None))["state"][0])
+
+
+def filled(events, start=0):
+    """Events as the processor gets them."""
+    table = pd.DataFrame([{"stream": "s", "n": start + i, **e} for i, e in enumerate(events)])
+    return table.assign(**{c: [v if v is not None and v == v else d for v in table[c]] for c, d in (("slice", 0), ("last", False), ("cursor", 0))})
+
+
+def test_a_task_holds_no_more_of_a_large_batch_than_of_a_small_one(monkeypatch):
+    monkeypatch.setattr(partitions, "BLOCK", 2000)
+
+    def chunks(n):
+        for i in range(n):
+            slices = range(i * 300, (i + 1) * 300)
+            yield filled([{"kind": k, "partition": "p", "slice": s, "last": False, "cursor": s, "parent": None} for s in slices for k in ("open", "record", "close")], i * 900)
+
+    def peak(n):
+        tracemalloc.start()
+        got = processed(chunks(n))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got["states"] == [{"partition": "p", "cursor": 300 * n - 1}]
+        return most
+
+    assert peak(90) < 1.3 * peak(15)  # a batch was held whole
+
+
+@pytest.mark.parametrize("block", [1, 7, 10**6])
+def test_states_are_the_same_for_any_size_of_block(monkeypatch, block):
+    monkeypatch.setattr(partitions, "BLOCK", block)
+    for seed in range(30):
+        events = scrambled(seed, [f"p{i}" for i in range(6)], 4)
+        table = filled(events)
+        assert processed([table[i : i + 5] for i in range(0, len(table), 5)]) == plain(events), seed
+        # evictions, ends and repeats: as event by event
+        many = [e for i in (1, 2, 1, 3, 4, 2) for e in [*read(f"q{i}", [i, seed, 2 * i]), *([end(str(i))] if i % 2 else [])]]
+        mixed = [many.pop(0) if many and random.Random(seed + i).random() < 0.4 else e for i, e in enumerate(events)] + many
+        one, table = partitions.Cursors(json.loads(json.dumps(partitions.EMPTY)), {}, 4, 6), filled(mixed)
+        for i in range(len(table)):
+            one.apply(table[i : i + 1])
+        assert processed([table[i : i + 5] for i in range(0, len(table), 5)], 4, 6) == json.loads(one.shown()), seed
+
+
+def test_events_out_of_order_are_refused():
+    table = filled(read("a", [1, 2]))
+    with pytest.raises(ValueError, match="order"):
+        processed([table[2:], table[:2]])
+
+
+def test_evicted_partitions_leave_nothing_behind():
+    held = partitions.Cursors(json.loads(json.dumps(partitions.EMPTY)), {}, 10, 10**9)
+    for i in range(5000):
+        held.open(f"p{i}", 0, True, None)
+        held.close(f"p{i}", 0)
+    assert len(held.partitions) == 10 and len(held.touched) <= 10 and not held.gone and len(held.live) < 200
+
+
+def test_large_cursors_are_exact(spark, tmp_path):
+    got = run(spark, str(tmp_path), [rows(read("a", [2**60 + 1, None]) + [end("x")], "s")])
+    assert got["s", 1]["states"] == [{"partition": "a", "cursor": 2**60 + 1}]

@@ -8,7 +8,8 @@ Events arrive as rows, in order of ``n``: ``open`` of a slice (with the parent's
 moment, and whether it is the partition's last), ``record`` (with a cursor), ``close`` of a
 slice, and ``end`` of a read. Slices of a partition open in rising order; of one that opens below a closed one the cursor
 waits longer, never less. State is keyed by stream: one entry a partition, ``cap`` of them at most, with a number for each of its
-slices that are open, so it is bounded whatever the number of records and closed slices. At the cap the oldest finished partition goes, or else the
+slices that are open, so it is bounded whatever the number of records and closed slices. Spark sorts a batch's events of a stream, on disk where
+they are many, and they are applied ``BLOCK`` at a time, so a task holds no more of a large batch than of a small one. At the cap the oldest finished partition goes, or else the
 oldest; a stream with more than ``switch`` partitions gives up cursors by partition for one global cursor, from
 which partitions without an entry start.
 """
@@ -18,10 +19,9 @@ from __future__ import annotations
 import heapq
 import json
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +29,18 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Partitions that are kept, and beyond which a stream has one cursor.
 CAP, SWITCH = 25_000, 10_000
-#: Kinds of events, and how many events are Python values at a time.
-KINDS, BLOCK = ("open", "record", "close", "end"), 100_000
+#: Fixed value: how many events a task holds at a time.
+BLOCK = 100_000
 #: What a stream of events has besides its own name.
 EVENTS = "stream string, n long, kind string, partition string, slice long, last boolean, cursor long, parent string"
 STATE = "stream string, version long, state string"
 #: The parts of a stream's state apart from its partitions.
 EMPTY = {"version": 0, "created": 0, "opened": 0, "global": None, "next_global": None, "use_global": False, "parent": None, "parents": [], "synced": False}
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Spark's check of streaming plans refuses every sort, as none can order a whole stream; that of ``partition_states`` orders a batch's partitions only.
+ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.unsupportedOperationCheck": "false",
+}
 
 
 def larger(a: int | None, b: int | None) -> int | None:
@@ -44,7 +48,7 @@ def larger(a: int | None, b: int | None) -> int | None:
 
 
 class Cursors:
-    """One stream's state. ``partitions`` holds entries in the order they were made; ``touched`` those to write.
+    """One stream's state. ``partitions`` holds entries in the order they were made; ``touched`` those to write, ``gone`` those to delete.
 
     An entry's ``open`` slices are sorted, and ``ahead`` has for each the largest cursor seen in it and in the closed
     slices between it and the next open one: all that waits for it to close. ``late`` came after the slices it belongs to;
@@ -53,6 +57,7 @@ class Cursors:
 
     def __init__(self, whole: dict, partitions: dict[str, dict], cap: int, switch: int) -> None:
         self.whole, self.partitions, self.cap, self.switch = whole, partitions, cap, switch
+        self.stored = set(partitions)
         self.touched: set[str] = set()
         self.gone: set[str] = set()
         self.live = [(e["seq"], p) for p, e in partitions.items() if e["seq"] is not None]
@@ -98,7 +103,9 @@ class Cursors:
         while len(self.partitions) > self.cap - 1:
             name = next((p for p, e in self.partitions.items() if e["seq"] is None), next(iter(self.partitions)))
             del self.partitions[name]
-            self.gone.add(name)
+            self.touched.discard(name)
+            if name in self.stored:
+                self.gone.add(name)
 
     def open(self, name: str, number: int, last: bool, parent: str | None) -> None:
         entry = self.partitions.get(name)
@@ -112,6 +119,9 @@ class Cursors:
             parents = self.whole["parents"]
             if parent is not None and (not parents or parents[-1][1] != parent):
                 parents.append([self.whole["opened"], parent])
+            if len(self.live) > 2 * len(self.partitions) + 100:  # most of them are read to their end
+                self.live = [(e["seq"], p) for p, e in self.partitions.items() if e["seq"] is not None]
+                heapq.heapify(self.live)
             heapq.heappush(self.live, (self.whole["opened"], name))
             self.whole["opened"] += 1
             self.partitions[name] = entry
@@ -167,22 +177,18 @@ class Cursors:
             self.whole["global"] = self.whole["next_global"]
         self.whole["parent"] = parent if parent is not None else self.whole["parent"]
 
-    def apply(self, events: pd.DataFrame, names: list[str | None], parents: list[str | None]) -> None:
-        """Events of ``coded`` in order, made Python values a block at a time."""
-        opened, recorded, closed, ended = range(len(KINDS))
-        columns = [events[c].to_numpy() for c in ("kind", "partition", "slice", "last", "cursor", "parent")]
-        order = np.argsort(events["n"].to_numpy(), kind="stable")
-        for at in range(0, len(order), BLOCK):
-            block = order[at : at + BLOCK]
-            for kind, code, number, last, cursor, parent in zip(*(c[block].tolist() for c in columns)):
-                if kind == opened:
-                    self.open(names[code], number, last, parents[parent])
-                elif kind == recorded:
-                    self.record(names[code], number, None if cursor != cursor else int(cursor))
-                elif kind == closed:
-                    self.close(names[code], number)
-                elif kind == ended:
-                    self.end(parents[parent])
+    def apply(self, events: pd.DataFrame) -> None:
+        """Events in their order."""
+        columns = (events[c].tolist() for c in ("kind", "partition", "slice", "last", "cursor", "parent"))
+        for kind, name, number, last, cursor, parent in zip(*columns):
+            if kind == "open":
+                self.open(name, number, last, parent)
+            elif kind == "record":
+                self.record(name, number, cursor)
+            elif kind == "close":
+                self.close(name, number)
+            elif kind == "end":
+                self.end(parent)
 
     def shown(self) -> str:
         """The sync state as JSON."""
@@ -209,10 +215,9 @@ class CursorProcessor(StatefulProcessor):
         entries = {k[0]: json.loads(v[0]) for k, v in self.entries.iterator()} if self.entries.exists() else {}
         ordered = dict(sorted(entries.items(), key=lambda e: e[1]["made"]))
         cursors = Cursors(whole, ordered, self.cap, self.switch)
-        names, parents = {}, {}
-        events = condensed(pd.concat([condensed(coded(chunk, names, parents)) for chunk in rows], ignore_index=True))
-        cursors.apply(events, [*names, None], [*parents, None])
-        for name in cursors.gone & entries.keys():
+        for events in blocks(rows):
+            cursors.apply(condensed(events))
+        for name in cursors.gone:
             self.entries.removeKey((name,))
         for name in cursors.touched & cursors.partitions.keys():
             self.entries.updateValue((name,), (json.dumps(cursors.partitions[name]),))
@@ -224,37 +229,49 @@ class CursorProcessor(StatefulProcessor):
         pass
 
 
-def codes(values: pd.Series, known: dict[str, int]) -> np.ndarray:
-    """Texts as numbers, which ``known`` gives, new ones added; -1 for nulls."""
-    found, texts = pd.factorize(values)
-    numbers = [known.setdefault(t, len(known)) for t in texts]
-    return np.array([*numbers, -1], dtype="int32")[found]
-
-
-def coded(events: pd.DataFrame, names: dict[str, int], parents: dict[str, int]) -> pd.DataFrame:
-    """Events without texts, 34 bytes or so each, as a batch may hold millions of a stream."""
-    kinds = {k: i for i, k in enumerate(KINDS)}
-    columns = {"n": events["n"], "kind": events["kind"].map(kinds).fillna(-1).astype("int8"), "slice": events["slice"].fillna(0).astype("int64"), "cursor": pd.to_numeric(events["cursor"])}
-    return pd.DataFrame(columns).assign(partition=codes(events["partition"], names), parent=codes(events["parent"], parents), last=events["last"].eq(True).astype(bool))
+def blocks(chunks: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stream's events, which come in order, with ``BLOCK`` rows or a chunk's more."""
+    held, size, latest = [], 0, None
+    for chunk in chunks:
+        if not chunk["n"].is_monotonic_increasing or latest is not None and chunk["n"].iloc[0] < latest:
+            raise ValueError("the events of a stream don't come in order")
+        latest = chunk["n"].iloc[-1]
+        held.append(chunk)
+        size += len(chunk)
+        if size >= BLOCK:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def condensed(events: pd.DataFrame) -> pd.DataFrame:
-    """Coded events with the records of a slice made one, which comes where the first of them came, before the slice closes."""
-    is_record = events["kind"] == KINDS.index("record")
-    if not events[is_record].duplicated(["partition", "slice"]).any():
+    """Events in order; of a slice's records between which its partition has no other kind and the stream no end, only the first, with the largest cursor."""
+    record = events["kind"] == "record"
+    if not events[record].duplicated(["partition", "slice"]).any():
         return events
-    records = events[is_record].groupby(["kind", "partition", "slice"], sort=False, as_index=False).agg(n=("n", "min"), cursor=("cursor", "max"), last=("last", "first"), parent=("parent", "first"))
-    return pd.concat([events[~is_record], records[events.columns].astype({"kind": "int8", "partition": "int32", "parent": "int32"})], ignore_index=True)
+    turns = events["kind"].isin(["open", "close"]).groupby(events["partition"], dropna=False).cumsum()
+    runs = events.assign(turns=turns, ends=(events["kind"] == "end").cumsum())[record]
+    by = ["partition", "slice", "turns", "ends"]
+    largest = runs.groupby(by, sort=False, dropna=False)["cursor"].transform("max")
+    first = largest[~runs.duplicated(by)]
+    kept = events[~record | events.index.isin(first.index)].copy()
+    kept.loc[first.index, "cursor"] = first
+    return kept
 
 
 def partition_states(events: DataFrame, cap: int = CAP, switch: int = SWITCH) -> DataFrame:
-    """``STATE`` after each batch of a streaming DataFrame of ``EVENTS``; needs the state store that ``rocks`` sets."""
-    return events.groupBy("stream").transformWithStateInPandas(CursorProcessor(cap, switch), STATE, "Append", "None")
+    """``STATE`` after each batch of a streaming DataFrame of ``EVENTS``; needs the settings that ``rocks`` makes."""
+    kind = F.when((F.col("kind") != "record") | F.col("cursor").isNotNull(), F.col("kind"))  # a record without a cursor says nothing
+    filled = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)  # noqa: E731  # a null would make pandas' integers floats
+    rows = events.select("stream", filled("n", 2**63 - 1), kind.alias("kind"), "partition", filled("slice", 0), filled("last", False), filled("cursor", 0), "parent")
+    ordered = rows.repartition("stream").sortWithinPartitions("stream", "n")
+    return ordered.groupBy("stream").transformWithStateInPandas(CursorProcessor(cap, switch), STATE, "Append", "None")
 
 
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
-    """The settings of keyed state for as long as the block runs."""
+    """The settings of keyed state, and of the order in its batches, for as long as the block runs."""
     before = {k: spark.conf.get(k, None) for k in ROCKS}
     for k, v in ROCKS.items():
         spark.conf.set(k, v)
